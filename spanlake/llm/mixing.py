@@ -137,18 +137,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
     """The mix as documents: a document is there once for each pass of which it fills at least half its words; pieces of a
     document go with its larger part."""
-    names = docs.columns
     times = F.aggregate("passes", F.lit(0), lambda n, p: n + F.when(p * 2 >= F.col("size"), 1).otherwise(0))
-    plan = mix(docs, weights, share).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), times.alias("_times"))
+    plan = mix(docs, weights, share).where("size > 0").select(F.col("doc_id").alias("_of"), F.col("size").alias("_long"), times.alias("_times"))
     # rows of equal id and size are alike to the plan: their copies are dealt out among them
-    plan = plan.groupBy("_id", "_size").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    plan = plan.groupBy("_of", "_long").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("bigint")
-    rows = docs.withColumn("_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == plan["_size"])).drop(plan["_size"]).drop("_size", "_id")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in names])))
-    single = rows.where("_rows = 1").withColumn("_n", F.col("_times"))
-    several = rows.where("_rows > 1").withColumn("_n", F.floor((F.col("_times") + F.col("_rows") - F.least(turn, F.col("_rows"))) / F.col("_rows")))
-    rows = single.unionByName(several).where("_n > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), size.alias("_size"))
+    rows = rows.join(plan, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_long")))
+    turn = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.xxhash64("_row")))
+    single = rows.where("_rows = 1").select("_row", F.col("_times").alias("_n"))
+    several = rows.where("_rows > 1").select("_row", F.floor((F.col("_times") + F.col("_rows") - turn) / F.col("_rows")).alias("_n"))
+    rows = single.unionByName(several).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

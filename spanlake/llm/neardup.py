@@ -204,6 +204,22 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def survivors(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without the near copies: of each group the row of the smallest id stays, once. An id that is on
+    rows of several texts stays while one of its texts does."""
+    found = stash(clusters(docs, shingle, percent).select(F.col("doc_id").alias("_id"), "kept"), "found")
+    ids = found.where("_id is not null").groupBy("_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    gone, several = ids.where("not stays").select("_id"), ids.where("stays and n > 1").select("_id")
+    n_gone, n_several = gone.count(), several.count()
+    gone = F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone
+    rows = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_id"], "left_anti")
+    if not n_several:
+        return rows
+    several = F.broadcast(several) if n_several <= MOST_BROADCAST else several
+    same = rows["doc_id"].cast("bigint") == several["_id"]
+    return rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(documents(spark, sf_dir))
 

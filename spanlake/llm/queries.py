@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, repeats, sharding
+from . import decontaminate, flac, language, mixing, neardup, pseudonyms, quality, repeats, sharding, toxicity
 
 QUERIES = {
+    "op1_language": language.query,
+    "op2_pseudonyms": pseudonyms.query,
     "op3_mix_sources": mixing.query,
+    "op4_quality": quality.query,
+    "op5_toxicity": toxicity.query,
     "op6_shard_tree": sharding.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_flac": flac.query,
     "op9_repeats": repeats.query,
     "op10_near_duplicates": neardup.query,
 }

@@ -65,20 +65,24 @@ def place(key: Column, tree: Tree) -> Column:
     return _choose(key, _choose(key, region["below"])["below"])["shard"]
 
 
+_OUT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard(docs: DataFrame, n: int = SHARDS_OF_QUERY, weights: dict[int, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, size, text_crc32, law, shard, slot and grown_shard, the shard among n + 1."""
+    """doc_id, the columns of ``keep``, size, text_crc32, law, shard, slot and grown_shard, the shard among n + 1. A kept
+    column of the name of another result column is called in_<name>."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.col("text").cast("string").cast("binary")
     order = F.md5(F.concat(key, F.lit("|slot")).cast("binary"))
-    placed = {"_shard": place(key, tree_of(n, weights)), "_order": order, "_sub": F.substring(order, 1, 2)}
-    names = ["doc_id", *keep]
-    rows = docs.select(*names, (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("bigint").alias("_size"), F.crc32(text).alias("_crc"), place(key, tree_of(n + 1, weights)).alias("_grown")).withColumns(placed)
-    counts = docs.select("doc_id").withColumns(placed).groupBy("_shard", "_sub").agg(F.count("*").alias("_n"))
+    placed = [place(key, tree_of(n, weights)).alias("_shard"), order.alias("_order"), F.substring(order, 1, 2).alias("_sub")]
+    kept = F.struct(F.col("doc_id"), *[F.col(c).alias(f"in_{c}" if c in _OUT else c) for c in keep if c != "doc_id"]).alias("_row")
+    rows = docs.select(kept, (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("bigint").alias("_size"), F.crc32(text).alias("_crc"), place(key, tree_of(n + 1, weights)).alias("_grown"), *placed)
+    counts = docs.select(*placed).groupBy("_shard", "_sub").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("_shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_shard", "_sub", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("_shard", "_sub").orderBy("_order", "doc_id", "_crc", "_size")
+    within = Window.partitionBy("_shard", "_sub").orderBy("_order", "_row.doc_id", "_crc", "_size")
     rows = rows.withColumn("_place", F.row_number().over(within)).join(counts, ["_shard", "_sub"])
-    return rows.select(*names, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), (F.col("_ahead") + F.col("_place") - 1).cast("bigint").alias("slot"), F.col("_grown").alias("grown_shard"))
+    return rows.select("_row.*", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), (F.col("_ahead") + F.col("_place") - 1).cast("bigint").alias("slot"), F.col("_grown").alias("grown_shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
