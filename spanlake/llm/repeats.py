@@ -34,7 +34,7 @@ from .common import discard, documents, stash, tidy
 WINDOW, ANCHOR = 13, 7
 CHUNK = 2 << 20
 #: Words whose probes make one part.
-PART_WORDS = 4_000_000
+PART_WORDS = 1_000_000
 _NO_ID = np.iinfo(np.int64).max
 _CHUNK = "chunk bigint, ids binary, bounds binary, n_words bigint, body binary"
 
@@ -139,12 +139,18 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
         ids, got = [], []
         for batch in batches:
             ids += batch.column("chunk").to_pylist()
-            got += [_decode(b.as_py(), bits) for b in batch.column("blob")]
-        value = np.concatenate([v for v, _ in got])
-        flags = np.concatenate([f for _, f in got])
-        owner = np.repeat(np.arange(len(got)), [len(v) for v, _ in got])
-        order = np.argsort(value, kind="stable")
-        value, flags, owner = value[order], flags[order], owner[order]
+            for b in batch.column("blob"):
+                value, flags = _decode(b.as_py(), bits)
+                got.append(value << np.uint64(2) | flags.astype(np.uint64))  # bits <= 60
+        lengths = [len(v) for v in got]
+        keyed = np.concatenate(got)
+        del got
+        order = np.argsort(keyed, kind="stable")
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)[order]
+        keyed = keyed[order]
+        del order
+        value, flags = keyed >> np.uint64(2), (keyed & np.uint64(3)).astype(np.uint8)
+        del keyed
         at = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         n = np.diff(np.r_[at, len(value)])
         both = np.bitwise_or.reduceat(flags, at)
@@ -152,8 +158,8 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
         value, owner = value[live], owner[live]
         order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
-        cuts = np.searchsorted(owner, np.arange(len(got) + 1))
-        full = [i for i in range(len(got)) if cuts[i] < cuts[i + 1]]
+        cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
+        full = [i for i in range(len(ids)) if cuts[i] < cuts[i + 1]]
         yield _arrow("lb", chunk=[ids[i] for i in full], blob=[value[cuts[i] : cuts[i + 1]].tobytes() for i in full])
 
     sent = held.mapInArrow(scatter, "part int, chunk bigint, blob binary")
