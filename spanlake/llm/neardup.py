@@ -6,9 +6,12 @@ root of what independent tables would. Pairs are only formed from small keys tha
 shares cannot be part of a shared table key. At similarity 0.8 a link is missed with probability below 0.0004.
 
 Documents with equal shingle sets are one class, so copies are never compared with each other. In each table bucket all
-members are compared with one centre; links are joined to components; then all pairs of a bucket that are still in
-different components are compared too, so no shared bucket leaves a pair unresolved and no bucket is capped. Comparisons
-are exact, on full shingle sets made from whole texts.
+members are compared with one centre; links are joined to components; then all pairs that are still in different components are
+compared too, so no shared bucket leaves a pair unresolved and no bucket is capped. Comparisons are exact, on full shingle sets made from whole texts.
+
+The second comparison works on pools: classes that buckets connect, whether their pairs are links or not. A pool is cut
+into blocks, and pairs of blocks are compared in one task each, which returns links only. A pool above POOL members is
+not compared as a whole but by shared small keys, which every pair of a bucket has.
 
 Defined cases: a document without words or text has an empty set and is linked with nothing; a null doc_id is linked
 with nothing and has no component, and its row is kept; rows of equal doc_id are rows of their own that share an id.
@@ -32,6 +35,11 @@ SIDE, WIDTH = 12, 3
 MOST_BROADCAST = 2_000_000
 #: Members compared with one centre in one task.
 GROUP = 2_000
+#: Members in a block of a pool; members up to which a pool is compared as one, and not by its shared small keys.
+SQUARE, POOL = 512, 50_000
+#: Minhashes of the estimate before an exact comparison in a pool, and how many must agree: at similarity 0.8 fewer do
+#: with a probability of about 0.00005.
+GUESS, AGREE = 128, 84
 
 
 def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -54,6 +62,15 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys
 
 
+def minhashes(grams: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """n plain minhashes of 32 bits of each non-empty set, for the estimate before an exact comparison."""
+    out = np.empty((len(bounds) - 1, n), np.uint32)
+    for i, c in enumerate(X.constants(n, 29)):
+        h = grams * c
+        out[:, i] = np.minimum.reduceat(h ^ h >> np.uint64(29), bounds[:-1]) >> np.uint64(16)
+    return out
+
+
 def _class_ids(grams: np.ndarray, bounds: np.ndarray) -> list[str | None]:
     """128 bits for each distinct set; none for an empty one."""
     sums = []
@@ -68,7 +85,7 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Per document: size of its set, class id and small keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in X.blocks(batches, most=2 << 20):
+        for block in X.blocks(batches):
             buf, offsets = X.buffer_of(block.column("text"))
             grams, bounds = X.shingle_sets(buf, offsets, shingle)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(signatures(grams, bounds).astype(np.int64).ravel()), 2 * SIDE).cast(pa.list_(pa.int64()))
@@ -78,11 +95,15 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(sketch, "doc_id bigint, n_shingles bigint, cid string, keys array<bigint>")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cid) for every table bucket that holds at least two classes."""
+def small_keys(classes: DataFrame) -> DataFrame:
+    """(j, key, cid) for every small key that at least two classes have."""
     small = classes.select("cid", F.posexplode("keys").alias("j", "key"))
     shared = small.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").select("j", "key")
-    small = small.join(shared, ["j", "key"])
+    return small.join(shared, ["j", "key"])
+
+
+def buckets(small: DataFrame) -> DataFrame:
+    """(bucket, cid) for every table bucket that holds at least two classes."""
     a = small.where(F.col("j") < SIDE).select("cid", F.struct("j", "key").alias("a"))
     b = small.where(F.col("j") >= SIDE).select("cid", F.struct("j", "key").alias("b"))
     a = a.groupBy("cid").agg(F.collect_list("a").alias("a"))  # at most SIDE each
@@ -126,6 +147,63 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     return rows.mapInArrow(compare, "x string, y string")
 
 
+def pooled(groups: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Links (x, y) between members of different labels of each group; groups: gid, m (its size), cid, label.
+
+    A group is cut into blocks of about SQUARE members, and each pair of blocks is one unit of work, whose rows stream in
+    together. In it, pairs of different labels whose minhashes agree often enough are compared exactly. Only links leave
+    the task."""
+    k = F.ceil(F.col("m") / SQUARE).cast("int")
+    cut = groups.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("k")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = cut.select("gid", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("left"), "cid", "label")
+    rows = cut.join(texts, "cid").repartition("gid", "low", "high").sortWithinPartitions("gid", "low", "high")
+
+    def square(rows: list[tuple], text: pa.Array, out: tuple[list[str], list[str]]) -> None:
+        cids, labels, left = [r[3] for r in rows], np.unique([r[4] for r in rows], return_inverse=True)[1], np.array([r[5] for r in rows])
+        grams, bounds = X.shingle_sets(*X.buffer_of(text), shingle)
+        sizes, sketch = np.diff(bounds), minhashes(grams, bounds, GUESS)
+        same = rows[0][1] == rows[0][2]
+        a, b = (np.arange(len(rows)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        agree = np.zeros((len(a), len(b)), np.uint8)
+        for t in range(GUESS):
+            agree += sketch[a, t][:, None] == sketch[b, t]
+        likely = (agree >= AGREE) & (labels[a][:, None] != labels[b]) & (100 * np.minimum(sizes[a][:, None], sizes[b]) >= percent * np.maximum(sizes[a][:, None], sizes[b]))
+        if same:
+            likely &= a[:, None] < b
+        for i, j in zip(*(v.tolist() for v in np.nonzero(likely)), strict=True):
+            p, q = grams[bounds[a[i]] : bounds[a[i] + 1]], grams[bounds[b[j]] : bounds[b[j] + 1]]
+            both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+            if 100 * both >= percent * (len(p) + len(q) - both):
+                out[0].append(cids[a[i]])
+                out[1].append(cids[b[j]])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        texts_: list[pa.Array] = []
+        for block in X.blocks(batches):
+            out: tuple[list[str], list[str]] = ([], [])
+            keys = list(zip(*[block.column(c).to_pylist() for c in ("gid", "low", "high", "cid", "label", "left")], strict=True))
+            text, start = block.column("text"), 0
+            for i in range(len(keys) + 1):
+                ends = i == len(keys)
+                if ends or (held or i > start) and keys[i][:3] != (keys[i - 1] if i > start else held[-1])[:3]:
+                    held += keys[start:i]
+                    texts_.append(text.slice(start, i - start))
+                    start = i
+                    if not ends:
+                        square(held, pa.concat_arrays(texts_), out)
+                        held, texts_ = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["x", "y"])
+        if held:
+            out = ([], [])
+            square(held, pa.concat_arrays(texts_), out)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names=["x", "y"])
+
+    order = ["gid", "low", "high", "cid", "label", "left", "text"]
+    return rows.select(*order).mapInArrow(compare, "x string, y string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label): label is the smallest id that a vertex of a link can reach. Labels spread along links and jump to
     the label of their label, so rounds grow with the logarithm of the longest path."""
@@ -151,7 +229,8 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     rows = stash(profile(docs, shingle), "profile")
     known = rows.where("cid is not null and doc_id is not null")
     classes = known.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
-    held = stash(buckets(classes), "buckets")
+    small = stash(small_keys(classes), "small")
+    held = stash(buckets(small), "buckets")
     near = held.select("cid").distinct()
     n = near.count()
     if n:
@@ -175,22 +254,20 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
             return pairs.join(a, "x").join(b, "y").where(fits).select("x", "y")
 
         centres = held.groupBy("bucket").agg(F.min("cid").alias("x"))
-        first = stash(fitting(held.join(centres, "bucket").where("x <> cid").select("x", F.col("cid").alias("y")).distinct()), "pairs")
-        links = stash(verify(first, texts, shingle, percent), "links")
+        star = stash(held.join(centres, "bucket").where("x <> cid").select("x", F.col("cid").alias("y")).distinct(), "star")
+        links = stash(verify(fitting(star), texts, shingle, percent), "links")
         labels = components(links)
-        marked = held.join(labels, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-        counts = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("label", F.struct("n", "label")).alias("main")).where("k > 1").select("bucket", "main")
-        rest = stash(marked.join(mixed, "bucket"), "mixed")
-        left = rest.where("label <> main").select("bucket", F.col("cid").alias("x"), F.col("label").alias("lx"))
-        right = rest.select("bucket", F.col("cid").alias("y"), F.col("label").alias("ly"), (F.col("label") != F.col("main")).alias("also"))
-        cross = left.join(right, "bucket").where("lx <> ly and (not also or x < y)").select("x", "y").distinct()
-        seen = first.select("x", "y").unionByName(first.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        more = stash(fitting(cross.join(seen, ["x", "y"], "left_anti")), "cross")
-        if more.limit(1).count():
-            added = stash(verify(more, texts, shingle, percent), "links")
-            if added.limit(1).count():
-                labels = components(links.unionByName(added))
+        pools = components(star).select("cid", F.col("label").alias("pool")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        pools = stash(pools, "pools")
+        mixed = pools.groupBy("pool").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("pool", "m")
+        rest = pools.join(mixed, "pool").select("pool", "m", "cid", "label")
+        whole = rest.where(F.col("m") <= POOL).select(F.col("pool").alias("gid"), "m", "cid", "label")
+        wide = small.where(F.col("j") < SIDE).join(rest.where(F.col("m") > POOL).drop("m"), "cid").withColumn("gid", F.concat_ws(":", "j", "key", "pool"))
+        sizes = wide.groupBy("gid").agg(F.count("*").alias("m"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gid", "m")
+        groups = whole.unionByName(wide.join(sizes, "gid").select("gid", "m", "cid", "label"))
+        added = stash(pooled(groups, texts, shingle, percent), "links")
+        if added.limit(1).count():
+            labels = components(links.unionByName(added))
         discard(texts)
     else:
         labels = spark.createDataFrame([], "cid string, label string")
