@@ -205,22 +205,26 @@ def pooled(groups: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(cid, label): label is the smallest id that a vertex of a link can reach. Labels spread along links and jump to
-    the label of their label, so rounds grow with the logarithm of the longest path."""
-    both = stash(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = stash(both.groupBy(F.col("x").alias("cid")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("cid").alias("y"), "label"), "y").groupBy(F.col("x").alias("cid")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "cid").select("cid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("cid").alias("label"), F.col("label").alias("far"))
-        step = stash(step.join(jump, "label", "left").select("cid", "old", F.least("label", "far").alias("label")), "labels")
-        moved = step.where("label <> old").limit(1).count()
-        discard(labels)
-        labels = step.select("cid", "label")
-        labels._stashed = step._stashed
-        if not moved:
-            discard(both)
-            return labels
+    """(cid, label): label is the same for all that links connect. In each round every vertex goes to the smallest of its
+    neighbours and itself, and links between what has come together vanish; at least half of the linked vertices go each
+    round, so the links left shrink fast and rounds grow with the logarithm of the input at most."""
+    edges = stash(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
+    labels: DataFrame | None = None
+    while edges.limit(1).count():
+        ends = edges.select(F.col("x").alias("v"), F.col("y").alias("u")).unionByName(edges.select(F.col("y").alias("v"), F.col("x").alias("u")))
+        step = stash(ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("w")), "step")
+        if labels is None:
+            moved = stash(step.select(F.col("v").alias("cid"), F.col("w").alias("label")), "labels")
+        else:
+            moved = stash(labels.join(step, labels["label"] == step["v"], "left").select("cid", F.coalesce("w", "label").alias("label")), "labels")
+            discard(labels)
+        to = [step.select(F.col("v").alias(c), F.col("w").alias(f"{c}2")) for c in "xy"]
+        rest = edges.join(to[0], "x").join(to[1], "y").where("x2 <> y2")
+        rest = stash(rest.select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")).distinct(), "edges")
+        discard(edges)
+        discard(step)
+        edges, labels = rest, moved
+    return edges.select(F.col("x").alias("cid"), F.col("y").alias("label")) if labels is None else labels
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
