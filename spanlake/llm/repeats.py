@@ -32,9 +32,9 @@ from . import text as X
 from .common import discard, documents, stash, tidy
 
 WINDOW, ANCHOR = 13, 7
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Words whose probes make one part.
-PART_WORDS = 1_000_000
+PART_WORDS = 500_000
 _NO_ID = np.iinfo(np.int64).max
 _CHUNK = "chunk bigint, ids binary, bounds binary, n_words bigint, body binary"
 
@@ -74,6 +74,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            X.release()
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -136,6 +137,7 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
             yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=[_encode(h[cuts[p] : cuts[p + 1]], flags[cuts[p] : cuts[p + 1]], bits) for p in full])
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.release()
         ids, got = [], []
         for batch in batches:
             ids += batch.column("chunk").to_pylist()
@@ -210,6 +212,7 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
             yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=packed)
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.release()
         ids, got = [], []
         for batch in batches:
             ids += batch.column("chunk").to_pylist()
