@@ -186,3 +186,36 @@ on_spark("splice_models", lambda s: models.splice(_pieces(s).where("model_id = '
 on_spark("shift_model", lambda s: rounded(models.shift(_pieces(s), 0.2), "t0", "t1"), f"WITH {PIECES}, u AS (SELECT model_id, greatest(t0, 0.2) - 0.2 AS t0, size FROM pieces WHERE t1 IS NULL OR t1 > 0.2) SELECT model_id, CAST(row_number() OVER w - 1 AS INT) AS piece, round(t0, 6) AS t0, round(lead(t0) OVER w, 6) AS t1, size FROM u WINDOW w AS (PARTITION BY model_id ORDER BY t0)")
 on_spark("reduced_emission", lambda s: rounded(models.reduced_emission(s.range(9).select(F.col("id").alias("m"), F.when(F.col("id") < 8, (F.col("id") + 1) / 4).alias("t")), 0.05, 2.0), "even", "odd"), "SELECT i AS m, round(coalesce(exp(-0.2 * t), 1e-20), 6) AS even, round(coalesce(1 - exp(-0.2 * t), 1e-20), 6) AS odd FROM (SELECT i, CASE WHEN i < 8 THEN (i + 1) / 4 END AS t FROM range(9) AS r(i))")
 on_spark("model_json_roundtrip", lambda s: models.from_json(models.to_json(_pieces(s))), f"WITH {PIECES} SELECT * FROM pieces")
+
+
+# inference; no SQL counterpart but for the weaker check of rows
+def _pair_model(spark_df: DataFrame):
+    from ..operators import demography as dm
+
+    known = [(a, b, n) for a in (-1, 0, 1, 2) for n in (0, 4) for b in range(n + 1)]
+    steps = dm.Steps(dm.np.array([0.0, 0.2, 1.0]), dm.np.array([1.0, 0.3, 2.0]))
+    return dm.pair_model(steps, steps.balanced(8), 0.05, 0.02, known)
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    from ..operators import hmm
+
+    return hmm.statistics(spans.compress(df), _pair_model(df))
+
+
+def _posterior(df: DataFrame) -> DataFrame:
+    from ..operators import hmm
+
+    return hmm.posterior(spans.compress(df), _pair_model(df)).select("contig_id", "seq", "start", "span", F.transform("gamma", lambda x: F.round(x, 6)).alias("gamma"))
+
+
+def _perplexity(df: DataFrame) -> DataFrame:
+    from ..operators import hmm
+
+    return rounded(hmm.perplexity(_stats(df)), "occupancy", "perplexity")
+
+
+on_spans("hmm_loglik", lambda df: rounded(_stats(df).where("kind = 'loglik'").select("contig_id", F.col("value").alias("loglik")), "loglik"))
+on_spans("hmm_posterior", _posterior)
+on_spans("gamma_sums", lambda df: rounded(_stats(df).where("kind = 'gamma'").groupBy("key", "i").agg(F.sum("value").alias("mass")), "mass"))
+on_spans("occupancy_perplexity", _perplexity)
