@@ -20,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    modest(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,11 +44,23 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows in an Arrow batch: documents may be long, and a batch is in memory on both sides of the worker's pipe.
+BATCH_ROWS = 256
+
+
+def modest(spark: SparkSession) -> None:
+    """Use small Arrow batches where the session has not chosen a size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,9 +32,9 @@ from . import text as X
 from .common import discard, documents, stash, tidy
 
 WINDOW, ANCHOR = 13, 7
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Words whose probes make one part.
-PART_WORDS = 500_000
+PART_WORDS = 1_000_000
 _NO_ID = np.iinfo(np.int64).max
 _CHUNK = "chunk bigint, ids binary, bounds binary, n_words bigint, body binary"
 
@@ -82,11 +82,11 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _encode(values: np.ndarray, flags: np.ndarray, bits: int) -> bytes:
-    """Sorted values below 2**bits with 2 flag bits each. Narrow ones go as differences of 30 bits; a longer difference is
-    bridged by values without a flag, which can match nothing but a block that is then found to be no repeat."""
+    """Sorted values below 2**bits with 2 flag bits each. Narrow ones go as the first and differences of 30 bits; a longer
+    difference is bridged by values without a flag, which can match nothing but a block that is then found to be no repeat."""
     if bits > 46:
         return ((values << np.uint64(2)) | flags.astype(np.uint64)).tobytes()
-    gaps = np.diff(values, prepend=np.uint64(0))
+    base, gaps = values[:1].astype(np.uint64), np.diff(values, prepend=values[:1])
     step = np.uint64((1 << 30) - 1)
     if len(gaps) and gaps.max() > step:
         extra = ((gaps - np.uint64(1)) // step).astype(np.int64)
@@ -94,15 +94,15 @@ def _encode(values: np.ndarray, flags: np.ndarray, bits: int) -> bytes:
         at = np.repeat(np.arange(len(gaps)), extra)
         gaps = gaps - extra.astype(np.uint64) * step
         gaps, flags = np.insert(gaps, at, step), np.insert(flags, at, 0)
-    return ((gaps.astype(np.uint32) << np.uint32(2)) | flags.astype(np.uint32)).tobytes()
+    return base.tobytes() + ((gaps.astype(np.uint32) << np.uint32(2)) | flags.astype(np.uint32)).tobytes()
 
 
 def _decode(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if bits > 46:
         raw = np.frombuffer(blob, np.uint64)
         return raw >> np.uint64(2), (raw & np.uint64(3)).astype(np.uint8)
-    raw = np.frombuffer(blob, np.uint32)
-    return np.cumsum(raw >> np.uint32(2), dtype=np.uint64), (raw & np.uint32(3)).astype(np.uint8)
+    base, raw = np.frombuffer(blob, np.uint64, 1), np.frombuffer(blob, np.uint32, offset=8)
+    return np.cumsum(raw >> np.uint32(2), dtype=np.uint64) + base, (raw & np.uint32(3)).astype(np.uint8)
 
 
 def _arrow(kind: str, **columns: list) -> pa.RecordBatch:
