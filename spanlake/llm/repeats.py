@@ -4,7 +4,8 @@ Every document's words are cut into blocks of ANCHOR words, which do not overlap
 windows of ANCHOR words probe it. A repeat of WINDOW >= 2 * ANCHOR - 1 words holds a whole block wherever the cut falls,
 so every repeat has an anchor that both of its sides find. Around the hits, the WINDOW-word sequences are compared by
 96-bit hashes, and where one also starts in a document of smaller id its words go; overlapping ones join to the maximal
-exact repeat.
+exact repeat. Blocks are met by hashes of so many bits that about one probe in a thousand hits by chance; that costs a
+comparison, not a result.
 
 The texts are first written once, in compressed chunks of about CHUNK bytes, to the shared folder. All shuffles then move
 packed, sorted arrays with one entry for each distinct window of a chunk, dealt by hash; a passage in a third of all
@@ -43,7 +44,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """One row for each chunk of documents: ids, byte bounds and the compressed texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, base = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        press, base = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId() << 32
         for k, block in enumerate(X.blocks(batches, most=size)):
             buf, offsets = X.buffer_of(block.column("text"))
             ids = block.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -81,27 +82,30 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _encode(values: np.ndarray, flags: np.ndarray, bits: int) -> bytes:
-    """Sorted values below 2**bits with 2 flag bits each. Narrow ones go as the first and differences of 30 bits; a longer
-    difference is bridged by values without a flag, which can match nothing but a block that is then found to be no repeat."""
-    if bits > 46:
-        return ((values << np.uint64(2)) | flags.astype(np.uint64)).tobytes()
-    base, gaps = values[:1].astype(np.uint64), np.diff(values, prepend=values[:1])
-    step = np.uint64((1 << 30) - 1)
+def _encode(values: np.ndarray, flags: np.ndarray) -> bytes:
+    """Sorted values with 2 flag bits each, as the first value and differences of 3 bytes, or 4 where those are too wide. A
+    longer difference is bridged by values without a flag, which match nothing but a block that is then found to be no
+    repeat."""
+    gaps = np.diff(values, prepend=values[:1])
+    room = 22 if len(gaps) and float(np.mean(gaps)) < 1 << 20 else 30
+    step = np.uint64((1 << room) - 1)
     if len(gaps) and gaps.max() > step:
-        extra = ((gaps - np.uint64(1)) // step).astype(np.int64)
-        extra[gaps == 0] = 0
+        extra = ((gaps - np.minimum(gaps, np.uint64(1))) // step).astype(np.int64)
         at = np.repeat(np.arange(len(gaps)), extra)
         gaps = gaps - extra.astype(np.uint64) * step
         gaps, flags = np.insert(gaps, at, step), np.insert(flags, at, 0)
-    return base.tobytes() + ((gaps.astype(np.uint32) << np.uint32(2)) | flags.astype(np.uint32)).tobytes()
-
-
-def _decode(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    if bits > 46:
-        raw = np.frombuffer(blob, np.uint64)
-        return raw >> np.uint64(2), (raw & np.uint64(3)).astype(np.uint8)
-    base, raw = np.frombuffer(blob, np.uint64, 1), np.frombuffer(blob, np.uint32, offset=8)
+    packed = (gaps.astype(np.uint32) << np.uint32(2)) | flags.astype(np.uint32)
+    body = packed.tobytes() if room == 30 else packed.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return bytes([room]) + values[:1].astype(np.uint64).tobytes() + body
+
+
+def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    base = np.frombuffer(blob, np.uint64, 1, 1)
+    if blob[0] == 30:
+        raw = np.frombuffer(blob, np.uint32, offset=9)
+    else:
+        three = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, 3).astype(np.uint32)
+        raw = three[:, 0] | three[:, 1] << np.uint32(8) | three[:, 2] << np.uint32(16)
     return np.cumsum(raw >> np.uint32(2), dtype=np.uint64) + base, (raw & np.uint32(3)).astype(np.uint8)
 
 
@@ -134,7 +138,7 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
             part = _part(h << shift, parts)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=[_encode(h[cuts[p] : cuts[p + 1]], flags[cuts[p] : cuts[p + 1]], bits) for p in full])
+            yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=[_encode(h[cuts[p] : cuts[p + 1]], flags[cuts[p] : cuts[p + 1]]) for p in full])
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         X.release()
@@ -142,7 +146,7 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
         for batch in batches:
             ids += batch.column("chunk").to_pylist()
             for b in batch.column("blob"):
-                value, flags = _decode(b.as_py(), bits)
+                value, flags = _decode(b.as_py())
                 got.append(value << np.uint64(2) | flags.astype(np.uint64))  # bits <= 60
         lengths = [len(v) for v in got]
         keyed = np.concatenate(got)
@@ -162,7 +166,7 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
         value, owner = value[order], owner[order]
         cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
         full = [i for i in range(len(ids)) if cuts[i] < cuts[i + 1]]
-        yield _arrow("lb", chunk=[ids[i] for i in full], blob=[value[cuts[i] : cuts[i + 1]].tobytes() for i in full])
+        yield _arrow("lb", chunk=[ids[i] for i in full], blob=[_encode(value[cuts[i] : cuts[i + 1]], np.zeros(cuts[i + 1] - cuts[i], np.uint8)) for i in full])
 
     sent = held.mapInArrow(scatter, "part int, chunk bigint, blob binary")
     return sent.groupBy("part").applyInArrow(meet, "chunk bigint, blob binary")
@@ -187,7 +191,7 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
             if not row["found"]:
                 continue
             c = Chunk(row)
-            known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in row["found"]]))
+            known = np.sort(np.concatenate([_decode(b)[0] for b in row["found"]]))
             h7, ok7 = c.windows(anchor, 29)
             h7 = h7 >> shift
             live = ok7 & (known[np.minimum(np.searchsorted(known, h7), len(known) - 1)] == h7)
@@ -233,12 +237,12 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
         live = least < rows["high"]
         rows, owner, least = rows[live], owner[live], least[live]
         order = np.argsort(owner, kind="stable")
-        h, x, least, owner = rows["h"][order], rows["x"][order], least[order], owner[order]
+        h, least, owner = rows["h"][order], least[order], owner[order]
         cuts = np.searchsorted(owner, np.arange(len(got) + 1))
         full = [i for i in range(len(got)) if cuts[i] < cuts[i + 1]]
-        out = np.empty(len(h), np.dtype([("h", "<u8"), ("x", "<u8"), ("low", "<i8")]))
-        out["h"], out["x"], out["low"] = h, x, least
-        yield _arrow("lb", chunk=[ids[i] for i in full], blob=[out[cuts[i] : cuts[i + 1]].tobytes() for i in full])
+        press = zstandard.ZstdCompressor(level=3)
+        packed = [press.compress(h[cuts[i] : cuts[i + 1]].tobytes() + least[cuts[i] : cuts[i + 1]].tobytes()) for i in full]
+        yield _arrow("lb", chunk=[ids[i] for i in full], blob=packed)
 
     sent = _with(held, found).mapInArrow(scatter, "part int, chunk bigint, blob binary")
     return sent.groupBy("part").applyInArrow(meet, "chunk bigint, blob binary")
@@ -246,27 +250,20 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
 
 def removals(held: DataFrame, found: DataFrame, window: int, with_text: bool = False) -> DataFrame:
     """Per document: word counts, the hash of what is kept, and with_text the kept words themselves."""
-    kind = np.dtype([("h", "<u8"), ("x", "<u8"), ("low", "<i8")])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = Chunk(row)
             gone = np.zeros(len(c.starts) + 1, np.int64)
             if row["found"]:
-                known = np.concatenate([np.frombuffer(b, kind) for b in row["found"]])
-                known = known[np.lexsort((known["x"], known["h"]))]
+                raw = [zstandard.ZstdDecompressor().decompress(b) for b in row["found"]]
+                known = np.concatenate([np.frombuffer(b, np.uint64, len(b) // 16) for b in raw])
+                low = np.concatenate([np.frombuffer(b, np.int64, offset=len(b) // 2) for b in raw])
+                order = np.argsort(known)
+                known, low = known[order], low[order]
                 h, ok = c.windows(window, 31)
-                x = X.ngrams(c.hashes, window, 37) >> np.uint64(32)
-                at = np.searchsorted(known["h"], h)
-                end = np.searchsorted(known["h"], h, "right")
-                hit = np.flatnonzero(ok & (end > at))
-                at, own = at[hit], c.ids[c.doc[hit]]
-                wrong = known["x"][at] != x[hit]
-                for i in np.flatnonzero(wrong):  # equal first 64 bits; look among them
-                    same = np.flatnonzero(known["x"][at[i] : end[hit[i]]] == x[hit[i]])
-                    if len(same):
-                        at[i], wrong[i] = at[i] + same[0], False
-                hit = hit[~wrong & (known["low"][at] < own)]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                own = c.ids[c.doc[: len(h)]]
+                hit = np.flatnonzero(ok & (known[at] == h) & (low[at] < own))
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + window, -1)
             gone = np.cumsum(gone[:-1]) > 0
@@ -300,7 +297,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text
     spark = docs.sparkSession
     held = stash(chunks(docs), "chunks")
     n = held.agg(F.sum("n_words")).first()[0] or 0
-    parts, bits = max(1, math.ceil(n / PART_WORDS)), min(60, max(44, 17 + math.ceil(math.log2(n + 1))))
+    parts, bits = max(1, math.ceil(n / PART_WORDS)), min(60, max(32, 8 + math.ceil(math.log2(n + 1))))
     parts = max(parts, min(24, n // 100_000))
     one = stash(anchors(held, parts, bits, anchor), "anchors")
     tidy(spark)
