@@ -6,13 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-ORDERED = Window.partitionBy("model_id").orderBy("t0")
 #: Fixed values of the built-in human-like history: sizes in units of the reference size and their start times.
 HUMAN = {"t0": [0.0, 0.005, 0.05, 0.3, 1.0], "size": [10.0, 0.5, 1.5, 1.0, 2.0]}
 
 
+def ordered() -> WindowSpec:
+    return Window.partitionBy("model_id").orderBy("t0")
+
+
 def table(spark: SparkSession, models: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Pieces from start times and sizes."""
     rows = [(m, i, float(t), float(ts[i + 1]) if i + 1 < len(ts) else None, float(s)) for m, (ts, sizes) in models.items() for i, (t, s) in enumerate(zip(ts, sizes, strict=True))]
@@ -32,7 +35,7 @@ def clip(pieces: DataFrame, low: float = 1e-3, high: float = 1e3) -> DataFrame:
 def hazard(pieces: DataFrame) -> DataFrame:
     """Cumulative hazard at the start of each piece."""
     area = (F.col("t1") - F.col("t0")) / F.col("size")
-    return pieces.withColumn("hazard", F.coalesce(F.sum(area).over(ORDERED.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    return pieces.withColumn("hazard", F.coalesce(F.sum(area).over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
 def as_of(points: DataFrame, pieces: DataFrame, at: str = "t") -> DataFrame:

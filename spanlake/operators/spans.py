@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-ORDERED = Window.partitionBy("contig_id").orderBy("seq")
+def ordered() -> WindowSpec:
+    """The rows of a contig in order."""
+    return Window.partitionBy("contig_id").orderBy("seq")
 
 
 def populations(df: DataFrame) -> list[str]:
@@ -35,7 +37,7 @@ def _sum(columns: list[Column]) -> Column:
 
 def positions(df: DataFrame) -> DataFrame:
     """start and stop of each row, from 0, half open."""
-    stop = F.sum("span").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0))
+    stop = F.sum("span").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("span"))
 
 
@@ -46,8 +48,8 @@ def lengths(df: DataFrame) -> DataFrame:
 def islands(df: DataFrame, same: list[str]) -> DataFrame:
     """island: the number of changes of ``same`` up to each row of a contig."""
     key = F.struct(*same)
-    changed = F.when(F.lag(key).over(ORDERED).eqNullSafe(key), 0).otherwise(1)
-    return df.withColumn("island", F.sum(changed).over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.when(F.lag(key).over(ordered()).eqNullSafe(key), 0).otherwise(1)
+    return df.withColumn("island", F.sum(changed).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def compress(df: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def _missing(contigs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def head(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(ORDERED)).where(F.col("_n") <= n).drop("_n")
+    return df.withColumn("_n", F.row_number().over(ordered())).where(F.col("_n") <= n).drop("_n")
 
 
 def thin(df: DataFrame, k: int) -> DataFrame:
@@ -170,14 +172,14 @@ def break_long(df: DataFrame, cutoff: int) -> DataFrame:
     missing base."""
     names = observation(df)
     long = (F.col("span") >= cutoff) & _all([(F.col(f"a{p}") == -1) & (F.col(f"nb{p}") == 0) for p in populations(df)])
-    rows = df.withColumn("long", long.cast("int")).withColumn("piece", F.sum("long").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("long", long.cast("int")).withColumn("piece", F.sum("long").over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
     pieces = rows.groupBy("contig_id").agg(F.sum("long").alias("n")).select("contig_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("piece"))
     return rows.where("long = 0").select("contig_id", "piece", "seq", "span", *names).unionByName(_missing(pieces, names))
 
 
 def grouped(df: DataFrame, n: int) -> DataFrame:
     """Fixed-size groups of rows in order; ``filled`` rows would complete the last group."""
-    rows = df.withColumn("grp", F.floor((F.row_number().over(ORDERED) - 1) / n))
+    rows = df.withColumn("grp", F.floor((F.row_number().over(ordered()) - 1) / n))
     return rows.groupBy("contig_id", "grp").agg(F.count("*").alias("rows"), F.sum("span").alias("bases"), (F.lit(n) - F.count("*")).alias("filled"))
 
 
@@ -241,7 +243,7 @@ def segregating(df: DataFrame) -> DataFrame:
 
 def transitions(df: DataFrame, state: str) -> DataFrame:
     """Counts of neighbouring states."""
-    rows = df.withColumn("s2", F.lead(state).over(ORDERED)).where("s2 is not null")
+    rows = df.withColumn("s2", F.lead(state).over(ordered())).where("s2 is not null")
     return rows.groupBy(F.col(state).alias("s1"), "s2").agg(F.count("*").alias("n"))
 
 
