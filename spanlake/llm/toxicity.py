@@ -174,13 +174,13 @@ class Network:
 
     def learn(self, w: Words, a: np.ndarray, b: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> None:
         """Adam over the given windows."""
-        rng, ids = np.random.default_rng(seed), self.ids(w)
+        rng, ids, size = np.random.default_rng(seed), self.ids(w), int(np.clip(len(a) // 20, 32, BATCH))
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         steps = 0
         for epoch in range(epochs):
             order = rng.permutation(len(a))
-            for i in range(0, len(order), BATCH):
-                some = order[i : i + BATCH]
+            for i in range(0, len(order), size):
+                some = order[i : i + size]
                 at = a[some] + np.arange(SPAN)[:, None]
                 mask = at < b[some]
                 at = np.minimum(at, len(ids) - 1)
