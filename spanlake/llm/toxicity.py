@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import documents, remainder, table
 
-POSITIVE, NEGATIVE = 2500, 3500
+POSITIVE, NEGATIVE = 2000, 2500
 VOCABULARY, BUCKETS = 4096, 4096
 WIDTH, HIDDEN, SPAN, STRIDE = 12, 8, 48, 32
 EPOCHS, ROUNDS, BATCH, STEP = 4, 2, 512, 0.01
@@ -199,16 +199,17 @@ class Network:
         both = np.concatenate([p["wf"], p["wb"]], axis=1)
         tables = [p[k] @ both for k in ("word", "head", "tail")]
         tables[0] = tables[0] + np.concatenate([p["cf"], p["cb"]])
-        x = np.zeros((max(1, len(ids)), both.shape[1]), np.float32)
-        if len(ids):
-            x[:] = tables[0][ids]
-            x += tables[1][w.head]
-            x += tables[2][w.tail]
         for i in range(0, len(a), most):
+            low, high = int(a[i]), max(int(a[i]) + 1, int(b[i : i + most].max()))  # windows are in order of their words
+            x = np.zeros((high - low, both.shape[1]), np.float32)
+            if len(ids[low:high]):
+                x += tables[0][ids[low:high]]
+                x += tables[1][w.head[low:high]]
+                x += tables[2][w.tail[low:high]]
             at = a[i : i + most] + np.arange(SPAN)[:, None]
             mask = at < b[i : i + most]
             steps = max(1, int(mask.any(1).sum()))
-            at, mask = np.minimum(at[:steps], len(x) - 1), mask[:steps]
+            at, mask = np.minimum(at[:steps] - low, len(x) - 1), mask[:steps]
             states = np.concatenate([self.layer(x[:, : 3 * HIDDEN][at], mask, "f"), self.layer(x[:, 3 * HIDDEN :][at], mask, "b")], axis=2)
             out[i : i + most] = self.pool(states, mask)[3]
         return out
