@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, keys, models, sampling, spans
+from ..operators import ingest, keys, models, sampling, spans, splines
+from ..sources import text
 from ..sources.adapters import GENO_SQL, MASK_SQL, SPANS_SQL, genotypes, masks
 from ..sources.adapters import spans as span_table
 
@@ -186,6 +187,30 @@ on_spark("splice_models", lambda s: models.splice(_pieces(s).where("model_id = '
 on_spark("shift_model", lambda s: rounded(models.shift(_pieces(s), 0.2), "t0", "t1"), f"WITH {PIECES}, u AS (SELECT model_id, greatest(t0, 0.2) - 0.2 AS t0, size FROM pieces WHERE t1 IS NULL OR t1 > 0.2) SELECT model_id, CAST(row_number() OVER w - 1 AS INT) AS piece, round(t0, 6) AS t0, round(lead(t0) OVER w, 6) AS t1, size FROM u WINDOW w AS (PARTITION BY model_id ORDER BY t0)")
 on_spark("reduced_emission", lambda s: rounded(models.reduced_emission(s.range(9).select(F.col("id").alias("m"), F.when(F.col("id") < 8, (F.col("id") + 1) / 4).alias("t")), 0.05, 2.0), "even", "odd"), "SELECT i AS m, round(coalesce(exp(-0.2 * t), 1e-20), 6) AS even, round(coalesce(1 - exp(-0.2 * t), 1e-20), 6) AS odd FROM (SELECT i, CASE WHEN i < 8 THEN (i + 1) / 4 END AS t FROM range(9) AS r(i))")
 on_spark("model_json_roundtrip", lambda s: models.from_json(models.to_json(_pieces(s))), f"WITH {PIECES} SELECT * FROM pieces")
+SPLINES = {kind: splines.fit(kind, [0.0, 0.25, 0.75, 1.5, 2.0], [0.5, 1.0, 0.75, 0.875, 2.0]) for kind in ("cubic", "pchip", "akima", "piecewise")}
+_curves = ", ".join(f"('{m}', {t!r}::DOUBLE, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in c) + ")" for m, s in SPLINES.items() for t, c in zip(s.x.tolist(), s.c.tolist(), strict=True))
+_kind = lambda: F.element_at(F.array(*map(F.lit, SPLINES)), (F.col("contig_id") % 4 + 1).cast("int"))
+QUERIES["spline_asof"] = lambda s, d: rounded(splines.values(span_table(s, d).select(_kind().alias("model_id"), "seq", (F.col("span") / 16).alias("t")), splines.pieces(s, SPLINES)), "y")
+SQL["spline_asof"] = f"WITH {SPANS_SQL}, c AS (SELECT * FROM (VALUES {_curves}) AS v(model_id, t0, c0, c1, c2, c3)), p AS (SELECT {list(SPLINES)}[contig_id % 4 + 1] AS model_id, seq, span / 16 AS t FROM spans) SELECT p.model_id, seq, t, round(c0 + c1 * (t - t0) + c2 * (t - t0) ** 2 + c3 * (t - t0) ** 3, 6) AS y FROM p ASOF JOIN c ON p.model_id = c.model_id AND p.t >= c.t0"
+
+
+# text formats: written to the shared folder and read again
+def _span_text(df: DataFrame) -> DataFrame:
+    path = text.scratch(df.sparkSession, "spans")
+    text.write_spans(df, path, df.select("contig_id").distinct().withColumn("header", F.lit('{"version": "1", "pids": ["p"]}')))
+    return text.read_spans(df.sparkSession, path, contig=F.regexp_extract("file", "contig_id=([^/]+)", 1).cast("bigint"))
+
+
+def _vcf_text(calls: DataFrame) -> DataFrame:
+    spark, path = calls.sparkSession, text.scratch(calls.sparkSession, "calls")
+    samples = [r.sid for r in calls.select("sid").distinct().orderBy("sid").collect()]  # columns of the file
+    text.write_vcf(calls, path, samples, calls.groupBy("contig").agg(F.max("pos").alias("length")))
+    back = text.genotypes(text.read_variants(spark, path), text.vcf_samples(spark, path))
+    return ingest.project(back.withColumn("sid", F.col("sid").cast("int")))
+
+
+on_spans("span_text_roundtrip", lambda df: _span_text(df).select("contig_id", F.row_number().over(spans.ordered()).alias("line"), "span", "a1", "b1", "nb1"), f"SELECT contig_id, row_number() OVER (PARTITION BY contig_id ORDER BY seq) AS line, span, {OBS} FROM spans")
+on_calls("vcf_text_roundtrip", _vcf_text, f"{SITES} SELECT * FROM sites")
 
 
 # inference; no SQL counterpart but for the weaker check of rows
