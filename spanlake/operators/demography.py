@@ -141,8 +141,8 @@ def roughness(y: np.ndarray) -> float:
     return float(np.sum(np.diff(y, 2) ** 2))
 
 
-def estimate(spans: DataFrame, knots: list[float], states: list[float], theta: float, rho: float, rounds: int = 3, penalty: float = 0.0, on: Callable[[str, dict], None] | None = None) -> tuple[Steps, list[float]]:
-    """EM on the distinguished pair: each round is one distributed E-step and a driver M-step over one knot at a time, last
+def estimate(spans: DataFrame, knots: list[float], states: list[float], theta: float, rho: float, rounds: int = 3, penalty: float = 0.0, on: Callable[[str, dict], None] | None = None, build: Callable[..., hmm.Model] = pair_model) -> tuple[Steps, list[float]]:
+    """EM on the distinguished pair, or with ``build`` = conditioned.sample_model on all samples: each round is one distributed E-step and a driver M-step over one knot at a time, last
     first, of the log sizes. Returns the model and the log likelihoods; stops when the relative gain is small."""
     spans = spans.select("contig_id", "seq", "span", "a1", "b1", "nb1").persist()
     keys = [(r.a1, r.b1, r.nb1) for r in spans.select("a1", "b1", "nb1").distinct().collect()]  # few: counts of one sample
@@ -150,7 +150,7 @@ def estimate(spans: DataFrame, knots: list[float], states: list[float], theta: f
     tell = on or (lambda message, state: None)
     tell("begin", {"y": y})
     for i in range(rounds):
-        model = pair_model(Steps(np.array(knots), np.exp(y)), states, theta, rho, keys)
+        model = build(Steps(np.array(knots), np.exp(y)), states, theta, rho, keys)
         tell("pre E-step", {"round": i})
         stats = hmm.reduced(hmm.statistics(spans, model)).collect()  # keys times states
         history.append(sum(r["value"] for r in stats if r["kind"] == "loglik"))
@@ -161,7 +161,7 @@ def estimate(spans: DataFrame, knots: list[float], states: list[float], theta: f
         def cost(v: float, k: int, y: np.ndarray = y, stats: list = stats) -> float:
             z = y.copy()
             z[k] = v
-            m = pair_model(Steps(np.array(knots), np.exp(z)), states, theta, rho, keys)
+            m = build(Steps(np.array(knots), np.exp(z)), states, theta, rho, keys)
             return -hmm.expectation(m.pi, m.transition, m.emission, stats) + penalty * roughness(z)
 
         for k in range(len(knots) - 1, -1, -1):

@@ -50,10 +50,13 @@ def marginalise(keys: DataFrame, n: int) -> DataFrame:
 
 
 def polarise(weights: DataFrame, p: float, na: int = 2) -> DataFrame:
-    """Each key's mass goes to its folded key with probability p; monomorphic keys go, the rest sums to 1 by ``grp``."""
-    half = folded(weights, na)
-    both = weights.select("grp", *KEY, (F.col("mass") * (1 - p)).alias("mass")).unionByName(half.select("grp", F.col("fa").cast("int").alias("a1"), F.col("fb").cast("int").alias("b1"), "nb1", (F.col("mass") * p).alias("mass")))
-    kept = both.where(~monomorphic(na)).groupBy("grp", *KEY).agg(F.sum("mass").alias("mass"))
+    """Each key's mass goes to its folded key with probability p. What is all derived is first taken as all ancestral; what
+    is all derived after that goes, and the rest sums to 1 by ``grp``."""
+    derived = (F.col("a1") == na) & (F.col("b1") == F.col("nb1"))
+    start = weights.select("grp", *[F.when(derived, 0).otherwise(F.col(c)).alias(c) for c in ("a1", "b1")], "nb1", "mass")
+    sides = F.array(F.struct("a1", "b1", (F.col("mass") * (1 - p)).alias("mass")), F.struct((na - F.col("a1")).alias("a1"), (F.col("nb1") - F.col("b1")).alias("b1"), (F.col("mass") * p).alias("mass")))
+    both = start.select("grp", "nb1", F.inline(sides))
+    kept = both.where(~derived & (F.col("mass") > 0)).groupBy("grp", *KEY).agg(F.sum("mass").alias("mass"))
     return kept.withColumn("mass", F.col("mass") / F.sum("mass").over(Window.partitionBy("grp")))
 
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-#: Fixed values of the built-in human-like history: sizes in units of the reference size and their start times.
-HUMAN = {"t0": [0.0, 0.005, 0.05, 0.3, 1.0], "size": [10.0, 0.5, 1.5, 1.0, 2.0]}
+#: Fixed values of the built-in histories. human: size at the start and end of each piece, in units of n0, and the years
+#: at which the pieces but the last end. sawtooth: the first size, then times and the growth rates that hold from them on.
+HUMAN = {"n0": 10000.0, "start": [10.0, 0.5, 1.0, 4.0], "end": [1.0, 0.5, 1.0, 4.0], "years": [10000.0, 70000.0, 200000.0], "generation": 29.0}
+SAWTOOTH = {
+    "n0": 14312.0,
+    "first": 5.0,
+    "events": [(0.000582262, 1318.18), (0.00232905, -329.546), (0.00931919, 82.3865), (0.0372648, -20.5966), (0.149059, 5.14916), (0.596236, 0.0)],
+    "last": 0.1,
+}
 
 
 def ordered() -> WindowSpec:
@@ -22,10 +30,33 @@ def table(spark: SparkSession, models: dict[str, tuple[list[float], list[float]]
     return spark.createDataFrame(rows, "model_id string, piece int, t0 double, t1 double, size double")
 
 
-def sawtooth(teeth: int = 4, low: float = 0.1, high: float = 1.0, first: float = 0.01, ratio: float = 4.0) -> tuple[list[float], list[float]]:
-    """Sizes that alternate between two values at geometrically spaced times."""
-    times = [0.0] + [first * ratio**i for i in range(teeth)]
-    return times, [high if i % 2 == 0 else low for i in range(teeth + 1)]
+def human() -> list[tuple[float, float, float, float]]:
+    """Pieces (t0, t1, size at t0, size at t1) of the human history; times in units of 2 n0 generations; the last,
+    which has no end, is given one year."""
+    ends = [*HUMAN["years"], HUMAN["years"][-1] + 1]
+    times = [0.0, *[y / (2 * HUMAN["n0"]) / HUMAN["generation"] for y in ends]]
+    return list(zip(times, times[1:], HUMAN["start"], HUMAN["end"], strict=False))
+
+
+def sawtooth() -> list[tuple[float, float, float, float]]:
+    """Pieces (t0, t1, size at t0, size at t1) of the sawtooth history, in units of 2 n0 generations. The size at the end of
+    its last piece is its start time, as its published form has it."""
+    size, rate, before, out = SAWTOOTH["first"], 0.0, 0.0, []
+    for time, growth in SAWTOOTH["events"]:
+        end = size * math.exp(-rate * (time - before))
+        out.append((2 * before, 2 * time, size, end))
+        size, rate, before = end, growth, time
+    return [*out, (2 * before, 2 * (before + SAWTOOTH["last"]), size, before)]
+
+
+def stepped(growth: list[tuple[float, float, float, float]], parts: int = 25) -> tuple[list[float], list[float]]:
+    """Start times and sizes of a step model that follows pieces of exponential growth: the size half way through each part."""
+    times, sizes = [], []
+    for t0, t1, a, b in growth:
+        n = 1 if a == b else parts
+        times += [t0 + (t1 - t0) * i / n for i in range(n)]
+        sizes += [a * (b / a) ** ((i + 0.5) / n) for i in range(n)]
+    return times, sizes
 
 
 def clip(pieces: DataFrame, low: float = 1e-3, high: float = 1e3) -> DataFrame:

@@ -46,7 +46,7 @@ i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY contig_
 runs AS (SELECT contig_id, min(seq) AS seq, CAST(sum(span) AS BIGINT) AS span, {OBS} FROM i GROUP BY contig_id, g, {OBS})"""
 on_spans("rle_compress", spans.compress, f"{RUNS} SELECT * FROM runs")
 on_spans("rle_expand_counts", lambda df: spans.expand_counts(spans.compress(df)), f"{RUNS} SELECT {OBS}, CAST(sum(span) AS BIGINT) AS bases, count(*) AS runs FROM runs GROUP BY {OBS}")
-on_spans("decompress_polymorphic", lambda df: spans.decompress_polymorphic(df.where("seq % 10 = 3")), f""", p AS (SELECT *, a1 > 0 OR b1 > 0 AS poly FROM spans WHERE seq % 10 = 3)
+on_spans("decompress_polymorphic", lambda df: spans.decompress_polymorphic(df), f""", p AS (SELECT *, a1 > 0 OR b1 > 0 AS poly FROM spans)
 SELECT contig_id, seq, CAST(k AS INT) AS part, CASE WHEN poly THEN 1 ELSE span END AS span, {OBS} FROM (SELECT *, unnest(range(0, CASE WHEN poly THEN span ELSE 1 END)) AS k FROM p)""")
 # recodes and filters
 on_spans("recode_nonseg", lambda df: spans.recode_nonseg(df, 30), "SELECT contig_id, seq, span, CASE WHEN span > 30 AND a1 = 0 AND b1 = 0 THEN -1 ELSE a1 END AS a1, b1, CASE WHEN span > 30 AND a1 = 0 AND b1 = 0 THEN 0 ELSE nb1 END AS nb1 FROM spans")
@@ -153,8 +153,8 @@ on_spans("key_expand_missing", lambda df: keys.expand_missing(keys.distinct(df))
 LF = ", lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS f FROM range(0, 7) AS t(i))"
 HYPER = f"{KEYS}{LF}, hy AS (SELECT ks.*, unnest(range(b1, 6 + b1 - nb1 + 1)) AS full_ FROM ks), mg AS (SELECT a1, b1, nb1, CAST(full_ AS INT) AS \"full\", exp(f1.f - f2.f - f3.f + f4.f - f5.f - f6.f - (f7.f - f8.f - f9.f)) AS weight FROM hy JOIN lf f1 ON f1.i = full_ JOIN lf f2 ON f2.i = b1 JOIN lf f3 ON f3.i = full_ - b1 JOIN lf f4 ON f4.i = 6 - full_ JOIN lf f5 ON f5.i = nb1 - b1 JOIN lf f6 ON f6.i = 6 - full_ - nb1 + b1 JOIN lf f7 ON f7.i = 6 JOIN lf f8 ON f8.i = nb1 JOIN lf f9 ON f9.i = 6 - nb1)"
 on_spans("hypergeom_marginalize", lambda df: rounded(keys.marginalise(keys.distinct(df), 6), "weight"), f"{HYPER} SELECT a1, b1, nb1, \"full\", round(weight, 6) AS weight FROM mg")
-on_spans("polarize_keys", lambda df: rounded(keys.polarise(df.where("a1 >= 0 and nb1 > 0").groupBy(F.expr("contig_id % 5").alias("grp"), *keys.KEY).agg(F.sum("span").cast("double").alias("mass")), 0.25), "mass"), """, m AS (SELECT contig_id % 5 AS grp, a1, b1, nb1, CAST(sum(span) AS DOUBLE) AS mass FROM spans WHERE a1 >= 0 AND nb1 > 0 GROUP BY ALL),
-u AS (SELECT grp, a1, b1, nb1, mass * 0.75 AS mass FROM m UNION ALL SELECT grp, 2 - a1, nb1 - b1, nb1, mass * 0.25 FROM m), s AS (SELECT grp, a1, b1, nb1, sum(mass) AS mass FROM u WHERE NOT ((a1 = 0 AND b1 = 0) OR (a1 = 2 AND b1 = nb1)) GROUP BY ALL)
+on_spans("polarize_keys", lambda df: rounded(keys.polarise(df.where("a1 >= 0 and nb1 > 0").groupBy(F.expr("contig_id % 5").alias("grp"), *keys.KEY).agg(F.sum("span").cast("double").alias("mass")), 0.25), "mass"), """, m AS (SELECT contig_id % 5 AS grp, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE a1 END AS a1, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE b1 END AS b1, nb1, CAST(sum(span) AS DOUBLE) AS mass FROM spans WHERE a1 >= 0 AND nb1 > 0 GROUP BY ALL),
+u AS (SELECT grp, a1, b1, nb1, mass * 0.75 AS mass FROM m UNION ALL SELECT grp, 2 - a1, nb1 - b1, nb1, mass * 0.25 FROM m), s AS (SELECT grp, a1, b1, nb1, sum(mass) AS mass FROM u WHERE NOT (a1 = 2 AND b1 = nb1) GROUP BY ALL)
 SELECT grp, a1, b1, nb1, round(mass / sum(mass) OVER (PARTITION BY grp), 6) AS mass FROM s""")
 
 
@@ -244,3 +244,37 @@ on_spans("hmm_loglik", lambda df: rounded(_stats(df).where("kind = 'loglik'").se
 on_spans("hmm_posterior", _posterior)
 on_spans("gamma_sums", lambda df: rounded(_stats(df).where("kind = 'gamma'").groupBy("key", "i").agg(F.sum("value").alias("mass")), "mass"))
 on_spans("occupancy_perplexity", _perplexity)
+
+
+def _sample_model(df: DataFrame):
+    from ..operators import conditioned
+    from ..operators import demography as dm
+
+    known = [(r.a1, r.b1, r.nb1) for r in keys.distinct(df).collect()]  # at most a few for each number of samples
+    steps = dm.Steps(dm.np.array([0.0, 0.2, 1.0]), dm.np.array([1.0, 0.3, 2.0]))
+    return conditioned.sample_model(steps, steps.balanced(8), 0.05, 0.02, known)
+
+
+def _sample_loglik(df: DataFrame) -> DataFrame:
+    from ..operators import hmm
+
+    stats = hmm.statistics(spans.compress(df), _sample_model(df))
+    return rounded(stats.where("kind = 'loglik'").select("contig_id", F.col("value").alias("loglik")), "loglik")
+
+
+def _spectra(spark: SparkSession) -> DataFrame:
+    """Conditioned spectra of the built-in histories with 8 other samples, as rows."""
+    from ..operators import conditioned
+    from ..operators import demography as dm
+
+    rows = []
+    for name, history in (("human", models.human()), ("sawtooth", models.sawtooth())):
+        times, sizes = models.stepped(history)
+        steps = dm.Steps(dm.np.array(times), dm.np.array(sizes))
+        found = conditioned.spectra(steps, steps.balanced(6), 8)
+        rows += [(name, m, a, b, float(found[m, a, b])) for m in range(6) for a in range(3) for b in range(9)]
+    return rounded(spark.createDataFrame(rows, "model_id string, m int, a int, b int, length double"), "length")
+
+
+on_spans("sample_loglik", _sample_loglik)
+QUERIES["conditioned_spectra"] = lambda s, d: _spectra(s)

@@ -69,3 +69,20 @@ def test_bins_and_emissions():
     full = cs.with_mutation(cs.spectra(BENT, states, 4), 0.05)
     np.testing.assert_allclose(full.sum((1, 2)), 1, atol=1e-8)
     assert cs.marginal(cs.spectra(FLAT, [0.0, math.inf], 4)[0], True).sum() == pytest.approx((2 / np.arange(1, 6)).sum())
+
+
+def test_histories():
+    from spanlake.operators import models
+
+    human, saw = models.human(), models.sawtooth()
+    assert [round(x[1] * 20000 * 29) for x in human] == [10000, 70000, 200000, 200001]
+    assert saw[0][2:] == (5.0, 5.0) and saw[1][3] == pytest.approx(0.5, rel=1e-4) and saw[2][3] == pytest.approx(5.0, rel=1e-3)
+    times, sizes = models.stepped(human)
+    assert len(times) == 28 and sizes[-1] == 4.0 and times == sorted(times)
+
+
+def test_estimate_with_samples(spark):
+    rows = [(c, i, 40 + (7 * i + c) % 60, a, b, 4) for c in range(3) for i in range(60) for a, b in [((i + c) % 3 % 2, (i * 5 + c) % 4)]]
+    df = spark.createDataFrame(rows, "contig_id int, seq int, span int, a1 int, b1 int, nb1 int")
+    model, history = dm.estimate(df, [0.0, 0.5], [0.0, 0.4, 1.0, math.inf], 0.01, 0.01, rounds=2, build=cs.sample_model)
+    assert len(model.a) == 2 and history[-1] >= history[0] - 1e-6 * abs(history[0])
