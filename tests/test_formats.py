@@ -92,3 +92,13 @@ def test_commands(spark, tmp_path):
     assert spark.read.parquet(at("k")).agg(F.sum("span")).first()[0] == 1000
     with pytest.raises(SystemExit):
         main(["estimate", at("in"), at("n"), "--mu", "1"], spark)
+
+
+def test_convert(spark, tmp_path):
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=c,length=60>", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "s1", "s2"])]
+    rows = ["\t".join(["c", str(p), ".", "A", "C", ".", ".", ".", "GT", x, y]) for p, x, y in ((10, "0/1", "0/0"), (30, "0|0", "1|1"), (45, "./.", "0/1"))]
+    (tmp_path / "v.vcf").write_text("\n".join(head + rows) + "\n")
+    main(["convert", str(tmp_path / "v.vcf"), str(tmp_path / "o")], spark)
+    got = spark.read.parquet(str(tmp_path / "o")).orderBy("seq").collect()
+    seen = [(r.span, r.a1, r.b1, r.nb1) for r in got]
+    assert seen[:6] == [(9, 0, 0, 2), (1, 1, 0, 2), (19, 0, 0, 2), (1, 0, 2, 2), (14, 0, 0, 2), (1, -1, 1, 2)]
