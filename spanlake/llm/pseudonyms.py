@@ -8,7 +8,9 @@ range. Equal values so get equal pseudonyms in every document, different values
 can invert them. Conjugating a step of one by the network makes the permutation free of fixed points, so no value stays.
 
 Numbers that do not validate are left alone. Defined cases: null stays null and empty stays empty; rows of equal id are
-treated each; overlapping matches go to the first, then to the longest kind in the order of KINDS.
+treated each; every place and every length that a format admits is tried, and of valid values that overlap those are
+replaced that together replace most characters, then the first, the longest and the kind in the order of KINDS. A phone
+number does not end inside a valid IPv4 address.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -113,9 +117,39 @@ def _days() -> int:
     return (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
+def _code(phone: str) -> str:
+    return re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", phone).group()
+
+
+def _date(value: str) -> datetime.date:
+    fields = [int(x) for x in re.split(r"[-/.]", value)]
+    return datetime.date(*(fields if value[:4].isdigit() else reversed(fields)))
+
+
+def valid(kind: str, value: str) -> bool:
+    """Whether a value of a format is one: by check digit, range or length."""
+    chars = "".join(c for c in value if c.isalnum())
+    if kind == "ip":
+        return all(int(p) <= 255 and (len(p) == 1 or p[0] != "0") for p in value.split("."))
+    if kind == "date":
+        try:
+            return 0 <= _date(value).toordinal() - datetime.date(1900, 1, 1).toordinal() < _days()
+        except ValueError:
+            return False
+    if kind == "card":
+        return 13 <= len(chars) <= 19 and luhn(chars) % 10 == 0 and len(set(chars)) > 1
+    if kind == "iban":
+        return 15 <= len(chars) <= 34 and _iban_rest(chars) == 1
+    if kind == "ssn":
+        return 0 < int(chars[:3]) < 900 and int(chars[:3]) != 666 and int(chars[3:5]) > 0 and int(chars[5:]) > 0
+    return kind != "phone" or 7 <= sum(c.isdigit() for c in value[len(_code(value)) :]) <= 14
+
+
 @lru_cache(maxsize=100_000)
 def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str | None:
     """The pseudonym of a value, or with ``back`` the value of a pseudonym; None where the value is not valid."""
+    if not valid(kind, value):
+        return None
     if kind == "email":
         local, _, domain = value.partition("@")
         return f"{_permute(local, key, kind, back)}@{domain}"
@@ -125,72 +159,71 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
                 return _permute(value, key, kind, back, alphabet)
         return _permute(value, key, kind, back)
     if kind == "ip":
-        parts = value.split(".")
-        if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
-            return None
-        p, x = Permutation(1 << 32, key, kind), int.from_bytes(bytes(map(int, parts)), "big")
+        p, x = Permutation(1 << 32, key, kind), int.from_bytes(bytes(map(int, value.split("."))), "big")
         return ".".join(map(str, (p.inverse(x) if back else p.forward(x)).to_bytes(4, "big")))
     if kind == "date":
-        order = [0, 1, 2] if value[:4].isdigit() else [2, 1, 0]
-        fields = re.split(r"[-/.]", value)
-        try:
-            day = datetime.date(*[int(fields[i]) for i in order])
-        except ValueError:
-            return None
-        x = day.toordinal() - datetime.date(1900, 1, 1).toordinal()
-        if not 0 <= x < _days():
-            return None
+        x = _date(value).toordinal() - datetime.date(1900, 1, 1).toordinal()
         p = Permutation(_days(), key, kind)
         new = datetime.date.fromordinal(datetime.date(1900, 1, 1).toordinal() + (p.inverse(x) if back else p.forward(x)))
         made = [f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"]
-        return value[4].join(made) if order[0] == 0 else value[2].join(reversed(made))
+        return value[4].join(made) if value[:4].isdigit() else value[2].join(reversed(made))
     chars = "".join(c for c in value if c.isalnum())
     if kind == "card":
-        if not 13 <= len(chars) <= 19 or luhn(chars) % 10 or len(set(chars)) == 1:
-            return None
         body = _permute(chars[:-1], key, kind, back)
         return _refill(value, body + str(-luhn(body + "0") % 10))
     if kind == "iban":
-        if not 15 <= len(chars) <= 34 or _iban_rest(chars) != 1:
-            return None
         body = _permute(chars[4:], key, kind + chars[:2], back)
         return _refill(value, f"{chars[:2]}{98 - _iban_rest(chars[:2] + '00' + body):02}{body}")
     if kind == "ssn":
         area, group, serial = int(chars[:3]), int(chars[3:5]), int(chars[5:])
         areas = [a for a in range(1, 900) if a != 666]
-        if area not in areas or not group or not serial:
-            return None
         p, x = Permutation(len(areas) * 99 * 9999, key, kind), (areas.index(area) * 99 + group - 1) * 9999 + serial - 1
         x = p.inverse(x) if back else p.forward(x)
         x, serial = divmod(x, 9999)
         area, group = divmod(x, 99)
         return f"{areas[area]:03}-{group + 1:02}-{serial + 1:04}"
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", value).group()
+        code = _code(value)
         rest = value[len(code) :]
         digits = "".join(c for c in rest if c.isdigit())
-        if not 7 <= len(digits) <= 14:
-            return None
         return code + _refill(rest, _permute(digits, key, kind, back))
     raise ValueError(kind)
 
 
 #: All repeats are bounded, so a text costs time in proportion to its length.
-_FIND = re.compile(
-    r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<![\d+.])\d(?:[ -]?\d){12,18}(?![\d]))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<date>(?<!\d)(?:\d{4}([-/.])\d{2}\5\d{2}|\d{2}([-/.])\d{2}\6\d{4})(?!\d))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))"
-)
+_FORMS = {
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
+    "card": r"(?<![\d+.])\d(?:[ -]?\d){12,18}(?![\d])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "date": r"(?<!\d)(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?!\d)",
+    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
+    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\d))",
+}
+_FORM = {kind: re.compile(form) for kind, form in _FORMS.items()}
+#: Where any of them begins. The date comes first, as its groups are numbered.
+_PLACE = re.compile("(?=" + "|".join([_FORMS["date"], *[form for kind, form in _FORMS.items() if kind != "date"]]) + ")")
+#: Formats of several lengths: the shortest, the longest, and what may not follow the end.
+_LENGTHS = {"iban": (12, 44, re.compile(r"[A-Za-z0-9]")), "card": (13, 37, re.compile(r"\d")), "phone": (6, 31, re.compile(r"\d"))}
 _AFTER = re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_ -]?key|access[_ -]?key|auth)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_-]{12,256})")
 _LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 
 
+def _at(text: str, start: int) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of all that the formats admit at a place, each length of them."""
+    for kind, form in _FORM.items():
+        m = form.match(text, start)
+        if m and kind in _LENGTHS:
+            least, most, more = _LENGTHS[kind]
+            for end in range(min(len(text), start + most), start + least - 1, -1):
+                if not more.match(text, end) and form.fullmatch(text, start, end):
+                    yield start, end, kind
+        elif m:
+            yield start, m.end(), kind
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of candidate values, first the earlier; they may not be valid yet, and they do not overlap."""
+    """Start, end and kind of the valid values, first the earlier, then the longer; they may overlap."""
     found = []
     at = text.find("@")
     while at >= 0:
@@ -201,25 +234,46 @@ def find(text: str) -> list[tuple[int, int, str]]:
     low = text.lower() if "=" in text or ":" in text else ""
     if any(w in low for w in ("token", "secret", "passw", "key", "auth")):
         found += [(m.start(1), m.end(1), "secret") for m in _AFTER.finditer(text)]
-    found += [(m.start(), m.end(), m.lastgroup) for m in _FIND.finditer(text)]
+    found += [f for m in _PLACE.finditer(text) for f in _at(text, m.start()) if valid(f[2], text[f[0] : f[1]])]
+    quads = sorted(f[:2] for f in found if f[2] == "ip")
+
+    def cuts(end: int) -> bool:
+        i = bisect_left(quads, (end,)) - 1
+        return i >= 0 and quads[i][0] < end < quads[i][1]
+
+    found = [f for f in found if f[2] != "phone" or not cuts(f[1])] if quads else found
     found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
     return found
 
 
+def choose(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of sorted values those that do not overlap and replace most characters; of an e-mail address the local part is."""
+    if all(a[1] <= b[0] for a, b in pairwise(found)):
+        return found
+    starts, best = [f[0] for f in found], [0] * (len(found) + 1)
+    after = [bisect_left(starts, f[1]) for f in found]
+    size = [(text.index("@", a) if kind == "email" else b) - a for a, b, kind in found]
+    for i in range(len(found) - 1, -1, -1):
+        best[i] = max(best[i + 1], size[i] + best[after[i]])
+    chosen, i = [], 0
+    while i < len(found):
+        take = best[i] > best[i + 1] or best[i] == size[i] + best[after[i]]
+        if take:
+            chosen.append(found[i])
+        i = after[i] if take else i + 1
+    return chosen
+
+
 def hide(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind there were."""
     counts = dict.fromkeys(KINDS, 0)
     if not text or not ("@" in text or _DIGIT.search(text)):
         return text, counts
     out, upto = [], 0
-    for a, b, kind in find(text):
-        if a < upto:
-            continue
-        new = pseudonym(kind, text[a:b], key, back)
-        if new is not None:
-            out += [text[upto:a], new]
-            upto = b
-            counts[kind] += 1
+    for a, b, kind in choose(text, find(text)):
+        out += [text[upto:a], pseudonym(kind, text[a:b], key, back)]
+        upto = b
+        counts[kind] += 1
     out.append(text[upto:])
     return "".join(out), counts
 

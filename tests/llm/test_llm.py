@@ -183,6 +183,34 @@ def test_pseudonyms(odd, none):
     assert pseudonyms.pseudonymise(odd).where("doc_id = 4").first().text is None and pseudonyms.pseudonymise(none).count() == 0
 
 
+def all_values(text):
+    """Valid values of the formats by trying every start and end."""
+    end = lambda form, b: re.compile(form + f"(?=.{{{len(text) - b}}}\\Z)")
+    tries = [(a, b, kind, end(form, b)) for kind, form in pseudonyms._FORMS.items() for b in range(6, len(text) + 1) for a in range(b)]
+    found = {(a, b, kind) for a, b, kind, form in tries if form.match(text, a) and pseudonyms.valid(kind, text[a:b])}
+    return {f for f in found if f[2] != "phone" or not any(a < f[1] < b for a, b, kind in found if kind == "ip")}
+
+
+def test_values_beside_numbers():
+    gone = [("+1 (826) 555-4081 190.137.223.204", ["555-4081", "190.137.223.204"]), ("card 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 42", ["4111111111111111"]), ("7 4111111111111111", ["4111111111111111"]),
+            ("ssn 123-45-6789 1234", ["123-45-6789"]), ("on 2024-02-29 12345", ["2024-02-29"]), ("ES91 2100 0418 4502 0005 1332 2024", ["ES91 2100 0418 4502 0005 1332"]), ("+1 8265 101.102.1.2", ["101.102.1.2"])]
+    for text, values in gone:
+        out = pseudonyms.hide(text)[0]
+        assert len(values) <= sum(pseudonyms.hide(text)[1].values()) and not any(v in out for v in values), text
+    values = ["+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "4111111111111111", "123-45-6789", "2024-02-29", "GB82 WEST 1234 5698 7654 32", "212-555-0100", "42", "1234", "12/27"]
+    for a in values:
+        for b in values:
+            text = f"{a} {b}"
+            found = pseudonyms.find(text)
+            assert set(found) == all_values(text) and len(set(found)) == len(found), text
+            taken = pseudonyms.choose(text, found)
+            assert all(x[1] <= y[0] for x, y in zip(taken, taken[1:], strict=False)), text
+            sets = [[]]
+            for f in found:
+                sets += [[*s, f] for s in sets if not s or s[-1][1] <= f[0]]
+            assert sum(y - x for x, y, _ in taken) == max(sum(y - x for x, y, _ in s) for s in sets), text
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in language.query(spark, SF).collect()}
