@@ -4,7 +4,9 @@ The mix is a row of slots of BLOCK words. Slot i has the van der Corput point of
 interval of one source on the line of cumulative targets. The rank of a slot among those of its source is the number of
 earlier points in that interval, which has a closed form over the binary digits of i, so slots are ranked where they are
 made, without a sort or a shuffle. Each source's documents are put in a seeded random order, laid on a line of words,
-twice for two passes, and cut into blocks of equal words; block r of a source fills its slot of rank r.
+twice for two passes, and cut into blocks of equal words; block r of a source fills its slot of rank r. A source of few
+slots would be far off its target, as slots grow with the table; it gets its rounded target in words: its last block is
+cut, or blocks without a slot are added at the end.
 
 Positions on a source's line are two-level sums (within hash buckets, then over bucket totals), so a source that holds
 most rows is still dealt over all tasks.
@@ -30,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 PASSES = 2
 #: Words in a slot are at most BLOCK, and fewer while the mix has fewer than SLOTS of them.
 BLOCK, SLOTS = 1024, 1 << 18
+#: A source with a target of fewer slots gets its words exactly; the others are off by a few slots.
+FEW = 1024
 #: Weights are a setting of the driver's; more sources than this are refused.
 MOST_SOURCES = 1_000_000
 BITS = 48
@@ -80,12 +84,28 @@ def _reverse(i: np.ndarray) -> np.ndarray:
     return out
 
 
-def schedule(spark: SparkSession, shares: list[float], slots: int) -> DataFrame:
-    """(slot, source rank, block): the source and the block of each slot."""
+def _bounds(shares: list[float]) -> np.ndarray:
+    """Where the interval of each source ends, in units of 2**-BITS."""
     line = np.cumsum(np.asarray(shares, np.float64))
     bounds = np.floor(line / (line[-1] or 1.0) * float(1 << BITS)).astype(np.int64) if len(line) else np.zeros(0, np.int64)
     if len(bounds):
         bounds[-1] = 1 << BITS
+    return bounds
+
+
+def words_due(shares: list[float], slots: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that each source gives to the mix, and its slots in the schedule. Where the target is below FEW slots, the
+    words are the target, rounded, whatever the schedule has; else they fill the slots."""
+    bounds = _bounds(shares)
+    ends = np.full(len(bounds), slots, np.int64)
+    has = _earlier(ends, bounds) - _earlier(ends, np.r_[0, bounds[:-1]]) if len(bounds) else ends
+    target = np.asarray(shares, np.float64)
+    return np.where(target < FEW * block, np.rint(target).astype(np.int64), has * block), has
+
+
+def schedule(spark: SparkSession, shares: list[float], slots: int) -> DataFrame:
+    """(slot, source rank, block): the source and the block of each slot."""
+    bounds = _bounds(shares)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.r_[0, bounds[:-1]]
@@ -119,13 +139,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
         raise ValueError(f"more than {MOST_SOURCES} sources")
     total = sum(r.target for r in planned)
     block = max(1, min(BLOCK, int(total) // SLOTS))
-    slots = schedule(spark, [r.target for r in planned], int(round(total / block))).select("rank", "block")
-    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    known = F.broadcast(spark.createDataFrame([(r.source, r["rank"], r.source_size, r.target) for r in planned], kind).withColumnRenamed("source", "of"))
+    shares, n_slots = [r.target for r in planned], int(round(total / block))
+    due, has = words_due(shares, n_slots, block)
+    slots = schedule(spark, shares, n_slots).select("rank", "block")
+    # blocks of small sources for which the schedule has no slot come after it; blocks it has too many are cut to no words
+    more = [(i, int(has[i]), int(-(-due[i] // block)) - 1) for i in np.flatnonzero(due > has * block).tolist()]
+    slots = slots.unionByName(spark.createDataFrame(more, "rank int, a bigint, b bigint").select("rank", F.explode(F.sequence("a", "b")).alias("block")))
+    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("due", T.LongType())])
+    known = F.broadcast(spark.createDataFrame([(r.source, r["rank"], r.source_size, r.target, n) for r, n in zip(planned, due.tolist(), strict=True)], kind).withColumnRenamed("source", "of"))
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     rows = stash(_ordered(rows, ["doc_id", "size"]).withColumn("row", F.monotonically_increasing_id()), "lines")
-    passes = rows.where("size > 0").select("row", "rank", "size", F.explode(F.array([F.lit(p) for p in range(PASSES)])).alias("pass"), (F.col("start") + F.col("pass") * F.col("source_size")).alias("a"))
-    pieces = passes.select("row", "rank", "pass", "a", (F.col("a") + F.col("size")).alias("b"), F.explode(F.expr(f"sequence(a div {block}, (a + size - 1) div {block})")).alias("block"))
+    passes = rows.where("size > 0").select("row", "rank", "size", "due", F.explode(F.array([F.lit(p) for p in range(PASSES)])).alias("pass"), (F.col("start") + F.col("pass") * F.col("source_size")).alias("a"))
+    passes = passes.where("a < due")
+    pieces = passes.select("row", "rank", "pass", "a", F.least(F.col("a") + F.col("size"), "due").alias("b"), F.explode(F.expr(f"sequence(a div {block}, (least(a + size, due) - 1) div {block})")).alias("block"))
     words = F.least(F.col("b"), (F.col("block") + 1) * block) - F.greatest(F.col("a"), F.col("block") * block)
     pieces = pieces.select("row", "rank", "block", "pass", words.alias("words"))
     taken = pieces.join(slots, ["rank", "block"]).groupBy("row").agg(F.sum("words").alias("taken"), *[F.sum(F.when(F.col("pass") == p, F.col("words")).otherwise(0)).alias(f"p{p}") for p in range(PASSES)])

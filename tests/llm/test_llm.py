@@ -127,6 +127,22 @@ def test_mix(spark, odd, none):
     assert mixing._earlier(i, np.full(300, u)).tolist() == [int((x[:k] < u).sum()) for k in i]
 
 
+def test_small_sources_get_their_words_in_large_mixes(spark, monkeypatch):
+    assert mixing.words_due([], 0, 1)[0].tolist() == []
+    shares = [3e9, 300.0, 4e9, 1000.4, 3000.0, 5e8]
+    total = sum(shares)
+    due, has = mixing.words_due(shares, int(round(total / 1024)), 1024)
+    assert due.tolist()[1:5:2] + [due.tolist()[4]] == [300, 1000, 3000] and has.sum() == round(total / 1024)
+    assert all(abs(n - t) <= max(0.5, 0.005 * t) for n, t in zip(due.tolist(), shares, strict=True))
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # slots of many words on a small table
+    text = F.concat_ws(" ", F.array_repeat(F.lit("w"), 60))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") < 8, F.concat(F.lit("s"), F.col("id"))).otherwise(F.concat(F.lit("z"), F.col("id") % 2)).alias("source"))
+    sums = mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    alone = [r for r in sums if r.source_size == 60]
+    assert sum(r.n for r in alone) == 8 and all(r.taken == round(r.target) * r.n for r in alone)
+    assert mixing.mixed(docs).where("source like 's%'").select("source").distinct().count() == 8
+
+
 def test_shards_move_into_the_new_one_only(spark, none):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     rows = sharding.shard(docs, 40).collect()
