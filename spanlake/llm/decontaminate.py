@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,9 +151,6 @@ class Matcher:
         return out
 
 
-_PASS = "doc_id bigint, text string, spans array<bigint>, items array<string>"
-
-
 def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items, each id and text once, in lists of about ``most`` bytes."""
     rows, size = [], 0
@@ -168,12 +165,16 @@ def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[tuple
         yield rows
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Documents with ``spans`` (first word, end word, ... of maximal hit runs) and ``items`` (ids that occur)."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: Column | None = None) -> DataFrame:
+    """Documents with ``spans`` (first word, end word, ... of maximal hit runs) and ``items`` (ids that occur); the first
+    column is doc_id, or ``keep``."""
     spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(
+    keep = F.col("doc_id").cast("bigint").alias("doc_id") if keep is None else keep
+    out = docs.select(keep, F.col("text").cast("string").alias("text")).withColumns(
         {"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
     )
+    name = out.columns[0]
+    schema = T.StructType([out.schema[0], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
     for rows in shards(benchmark, shard_bytes):
         held = spark.sparkContext.broadcast(Matcher(rows, window))
 
@@ -193,9 +194,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
                         own[x:y] = True
                     edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
                     spans[d], items[d] = edges.tolist(), sorted({*items[d], *names})
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([block.column(name), block.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[name, "text", "spans", "items"])
 
-        out = out.mapInArrow(scan, _PASS)
+        out = out.mapInArrow(scan, schema)
     return out
 
 
@@ -216,40 +217,35 @@ def report(found: DataFrame) -> DataFrame:
     return found.mapInArrow(digest, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
-def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_covered: float = 0.5) -> DataFrame:
+def cut(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_covered: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove hit spans from the texts, and whole documents of which more than ``most_covered`` is hit.
 
-    Returns the columns of ``docs``; texts without a hit stay as they are, byte for byte. n_chars, where there is such a
-    column, follows the new text."""
+    Spans and coverage are of the text as it came, over all shards of the items. Returns the columns of ``docs``; texts
+    without a hit stay as they are, byte for byte. n_chars, where there is such a column, follows the new text."""
     names = docs.columns
-    found = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", docs.select(F.struct(*[F.col(c) for c in names]).alias("row")).schema[0].dataType), T.StructField("text", T.StringType()), T.StructField("gone", T.BooleanType())])
-    for rows in shards(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Matcher(rows, window))
+    whole = F.struct(*[F.col(c) for c in names]).alias("row")
+    found = occurrences(docs, benchmark, window, shard_bytes, keep=whole)
+    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
 
-        def strip(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for block in X.blocks(batches):
-                buf, offsets = X.buffer_of(block.column("text"))
-                low = X.LOWER[buf]
-                starts, ends, first = X.words(low, offsets, X.ALNUM)
-                hit = np.zeros(len(starts), bool)
-                found = held.value.find(X.word_hashes(low, starts, ends), first, hit)
-                texts, gone = block.column("text"), np.zeros(block.num_rows, bool)
-                if found:
-                    texts = texts.to_pylist()
-                    for d in found:
-                        a, b, raw = first[d], first[d + 1], buf[offsets[d] : offsets[d + 1]]
-                        gone[d] = hit[a:b].sum() > most_covered * (b - a)
-                        keep = np.ones(len(raw), bool)
-                        edges = np.flatnonzero(np.diff(np.r_[False, hit[a:b], False].astype(np.int8)))
-                        for x, y in zip(edges[::2], edges[1::2], strict=True):
-                            keep[starts[a + x] - offsets[d] : ends[a + y - 1] - offsets[d]] = False
-                        texts[d] = raw[keep].tobytes().decode("utf-8", "replace")
-                    texts = pa.array(texts, pa.string())
-                kept = pa.RecordBatch.from_arrays([block.column("row"), texts, pa.array(gone)], names=["row", "text", "gone"])
-                yield kept.filter(pa.array(~gone))
-
-        found = found.select("row", "text").mapInArrow(strip, schema)
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in X.blocks(batches):
+            buf, offsets = X.buffer_of(block.column("text"))
+            spans = block.column("spans").to_pylist()
+            texts, gone = block.column("text"), np.zeros(block.num_rows, bool)
+            if any(spans):
+                starts, ends, first = X.words(X.LOWER[buf], offsets, X.ALNUM)
+                texts = texts.to_pylist()
+                for d in [d for d, s in enumerate(spans) if s]:
+                    a, b, raw, edges = first[d], first[d + 1], buf[offsets[d] : offsets[d + 1]], spans[d]
+                    gone[d] = sum(edges[1::2]) - sum(edges[::2]) > most_covered * (b - a)
+                    kept = np.ones(len(raw), bool)
+                    for x, y in zip(edges[::2], edges[1::2], strict=True):
+                        kept[starts[a + x] - offsets[d] : ends[a + y - 1] - offsets[d]] = False
+                    texts[d] = raw[kept].tobytes().decode("utf-8", "replace")
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([block.column("row"), texts], names=["row", "text"]).filter(pa.array(~gone))
+
+    found = found.mapInArrow(strip, schema)
     changed = ~F.col("text").eqNullSafe(F.col("row.text"))
     back = {c: F.col(f"row.`{c}`") for c in names}
     back["text"] = F.col("text")

@@ -116,6 +116,17 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     assert "w115" not in kept[1].text and kept[9].text == "One two" and kept[4].text is None
 
 
+def test_cut_does_not_depend_on_shards(spark):
+    w = [f"w{i}" for i in range(200)]
+    say = lambda a, b: " ".join(w[a:b])
+    bench = spark.createDataFrame([(1, say(50, 62)), (2, say(56, 70)), (3, say(100, 140)), (4, say(145, 170)), (5, say(40, 45) + " " + say(75, 80))], "item_id bigint, text string")
+    # overlapping passages; two that cover 65 of 100 words; words that only meet after a cut
+    docs = spark.createDataFrame([(1, say(0, 90)), (2, say(100, 140) + " " + say(145, 170) + " " + say(0, 35)), (3, say(40, 45) + " " + say(50, 62) + " " + say(75, 95)), (4, None), (5, "")], "doc_id bigint, text string")
+    want = {1: say(0, 50) + "  " + say(70, 90), 3: say(40, 45) + "  " + say(75, 95), 4: None, 5: ""}
+    for size in (1, 10, 1 << 20):
+        assert {r.doc_id: r.text for r in decontaminate.cut(docs, bench, shard_bytes=size).collect()} == want
+
+
 def test_mix(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert all(r.taken <= 2 * r["size"] for r in rows) and len(rows) == odd.count()
