@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 from .common import discard, documents, stash
@@ -229,6 +230,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``; see the module for the rules."""
+    return _grouped(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """clusters() with the class of each row's text, cid, and its group, label; both are null without id or words."""
     spark = docs.sparkSession
     rows = stash(profile(docs, shingle), "profile")
     known = rows.where("cid is not null and doc_id is not null")
@@ -277,18 +283,18 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         labels = spark.createDataFrame([], "cid string, label string")
     groups = known.groupBy("cid").agg(F.min("doc_id").alias("least")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     joined = groups.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("label", "component_id")
-    linked = groups.join(joined, "label").select("cid", "component_id")
-    alone = groups.join(joined, "label", "left_anti").select("cid", F.col("least").alias("component_id"))
+    linked = groups.join(joined, "label").select("cid", "label", "component_id")
+    alone = groups.join(joined, "label", "left_anti").select("cid", "label", F.col("least").alias("component_id"))
     to = linked.unionByName(alone)
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")).join(to, "cid", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", "cid", "label", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without the near copies: of each group the row of the smallest id stays, once. An id that is on
-    rows of several texts stays while one of its texts does."""
-    found = stash(clusters(docs, shingle, percent).select(F.col("doc_id").alias("_id"), "kept"), "found")
+    """The rows of docs without the near copies: of each group the row of the smallest id stays, once. Where an id is on
+    several rows, each is judged by its own text; rows without words stay."""
+    found = stash(_grouped(docs, shingle, percent).select(F.col("doc_id").alias("_id"), F.col("cid").alias("_cid"), F.col("label").alias("_label"), "kept"), "found")
     ids = found.where("_id is not null").groupBy("_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     gone, several = ids.where("not stays").select("_id"), ids.where("stays and n > 1").select("_id")
     n_gone, n_several = gone.count(), several.count()
@@ -298,7 +304,21 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
         return rows
     several = F.broadcast(several) if n_several <= MOST_BROADCAST else several
     same = rows["doc_id"].cast("bigint") == several["_id"]
-    return rows.join(several, same, "left_anti").unionByName(rows.join(several, same, "left_semi").dropDuplicates(["doc_id"]))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    again = rows.join(several, same, "left_semi").select(whole, F.col("doc_id").cast("bigint").alias("_of"), F.col("text").cast("string").alias("text"))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in X.blocks(batches):
+            got = _class_ids(*X.shingle_sets(*X.buffer_of(block.column("text")), shingle))
+            yield pa.RecordBatch.from_arrays([block.column("_row"), block.column("_of"), pa.array(got, pa.string())], names=["_row", "_of", "_class"])
+
+    again = again.mapInArrow(classed, T.StructType([again.schema["_row"], again.schema["_of"], T.StructField("_class", T.StringType())]))
+    marks = found.where("kept and _cid is not null").join(several, "_id", "left_semi").select("_id", "_cid", "_label").distinct()
+    marks = F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks
+    copies = again.join(marks, (F.col("_of") == F.col("_id")) & (F.col("_class") == F.col("_cid")))
+    one = copies.groupBy("_id", "_label").agg(F.min_by("_row", F.struct("_class", F.xxhash64("_row"))).alias("_row"))
+    kept = again.where("_class is null").select("_row").unionByName(one.select("_row"))
+    return rows.join(several, same, "left_anti").unionByName(kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

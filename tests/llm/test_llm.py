@@ -62,6 +62,15 @@ def test_near_duplicates_on_odd_rows(odd, none):
     assert sorted(r.doc_id or 0 for r in neardup.survivors(odd).collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 11]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a + " tail"), (5, a), (7, c), (2, c), (7, b + " z"), (7, "own words here"), (5, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text) for r in neardup.survivors(docs).collect()))
+    assert [g for g in got if not g[1].startswith("a0 ")] == [(2, c), (5, ""), (5, b), (7, "own words here")]
+    assert [g[0] for g in got if g[1].startswith("a0 ")] == [0, 5]
+
+
 def test_repeats_on_odd_rows(odd, none):
     got = {r.doc_id: r for r in repeats.dedup(odd, with_text=True).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 200 and got[3].n_removed == 200 and got[3].kept == "tail"
