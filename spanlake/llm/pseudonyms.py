@@ -7,10 +7,14 @@ in a mixed-radix system that its format fixes, and that number is permuted by a
 range. Equal values so get equal pseudonyms in every document, different values different ones, and the owner of the key
 can invert them. Conjugating a step of one by the network makes the permutation free of fixed points, so no value stays.
 
+Digits of any script count; a pseudonym is written in the script of its value. Dates are read day first, and month first
+where only that is a date; the two kinds are permuted among themselves. Keys and local parts of any length are replaced
+whole, in blocks of BLOCK characters.
+
 Numbers that do not validate are left alone. Defined cases: null stays null and empty stays empty; rows of equal id are
 treated each; every place and every length that a format admits is tried, and of valid values that overlap those are
 replaced that together replace most characters, then the first, the longest and the kind in the order of KINDS. A phone
-number does not end inside a valid IPv4 address.
+number does not end inside a valid IPv4 address. A key has no default but in the registered query.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import datetime
 import hashlib
 import math
 import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +38,10 @@ from .common import documents
 
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone", "secret")
 ROUNDS = 8
-KEY = b"a key for tests; a production run passes its own"
+#: The key of the registered query, which is public; a production run passes its own.
+QUERY_KEY = b"a key for tests; a production run passes its own"
+#: Characters that are permuted together: the range of more would be too wide for a hash.
+BLOCK = 32
 
 
 class Permutation:
@@ -80,7 +88,9 @@ _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 
 
 def _permute(chars: str, key: bytes, tweak: str, back: bool, alphabet: str | None = None) -> str:
-    """Permute the characters of known alphabets, the others stay in place."""
+    """Permute the characters of known alphabets, block by block; the others stay in place."""
+    if len(chars) > BLOCK:
+        return "".join(_permute(chars[i : i + BLOCK], key, f"{tweak}:{len(chars)}:{i}", back, alphabet) for i in range(0, len(chars), BLOCK))
     spots = [(i, (alphabet, alphabet.index(c)) if alphabet else _RADIX[c]) for i, c in enumerate(chars) if (c in alphabet if alphabet else c in _RADIX)]
     n = math.prod(len(a) for _, (a, _) in spots)
     if n < 2:
@@ -121,9 +131,24 @@ def _code(phone: str) -> str:
     return re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", phone).group()
 
 
-def _date(value: str) -> datetime.date:
-    fields = [int(x) for x in re.split(r"[-/.]", value)]
-    return datetime.date(*(fields if value[:4].isdigit() else reversed(fields)))
+_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
+
+
+def _date(value: str) -> tuple[datetime.date, bool]:
+    """The date, and whether it can only be one with the month first."""
+    a, b, c = (int(x) for x in re.split(r"[-/.]", value))
+    if value[:4].isdigit():
+        return datetime.date(a, b, c), False
+    try:
+        return datetime.date(c, b, a), False
+    except ValueError:
+        return datetime.date(c, a, b), True
+
+
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """Days above the twelfth of a month, from the first day on: those that are read with the month first."""
+    return [i for i in range(_days()) if datetime.date.fromordinal(_FIRST_DAY + i).day > 12]
 
 
 def valid(kind: str, value: str) -> bool:
@@ -133,7 +158,7 @@ def valid(kind: str, value: str) -> bool:
         return all(int(p) <= 255 and (len(p) == 1 or p[0] != "0") for p in value.split("."))
     if kind == "date":
         try:
-            return 0 <= _date(value).toordinal() - datetime.date(1900, 1, 1).toordinal() < _days()
+            return 0 <= _date(value)[0].toordinal() - _FIRST_DAY < _days()
         except ValueError:
             return False
     if kind == "card":
@@ -146,7 +171,7 @@ def valid(kind: str, value: str) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value, or with ``back`` the value of a pseudonym; None where the value is not valid."""
     if not valid(kind, value):
         return None
@@ -162,9 +187,15 @@ def pseudonym(kind: str, value: str, key: bytes = KEY, back: bool = False) -> st
         p, x = Permutation(1 << 32, key, kind), int.from_bytes(bytes(map(int, value.split("."))), "big")
         return ".".join(map(str, (p.inverse(x) if back else p.forward(x)).to_bytes(4, "big")))
     if kind == "date":
-        x = _date(value).toordinal() - datetime.date(1900, 1, 1).toordinal()
+        day, month_first = _date(value)
+        x = day.toordinal() - _FIRST_DAY
+        if month_first:
+            late = _late_days()
+            p, x = Permutation(len(late), key, "late " + kind), bisect_left(late, x)
+            new = datetime.date.fromordinal(_FIRST_DAY + late[p.inverse(x) if back else p.forward(x)])
+            return value[2].join([f"{new.month:02}", f"{new.day:02}", f"{new.year:04}"])
         p = Permutation(_days(), key, kind)
-        new = datetime.date.fromordinal(datetime.date(1900, 1, 1).toordinal() + (p.inverse(x) if back else p.forward(x)))
+        new = datetime.date.fromordinal(_FIRST_DAY + (p.inverse(x) if back else p.forward(x)))
         made = [f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"]
         return value[4].join(made) if value[:4].isdigit() else value[2].join(reversed(made))
     chars = "".join(c for c in value if c.isalnum())
@@ -204,8 +235,9 @@ _FORM = {kind: re.compile(form) for kind, form in _FORMS.items()}
 _PLACE = re.compile("(?=" + "|".join([_FORMS["date"], *[form for kind, form in _FORMS.items() if kind != "date"]]) + ")")
 #: Formats of several lengths: the shortest, the longest, and what may not follow the end.
 _LENGTHS = {"iban": (12, 44, re.compile(r"[A-Za-z0-9]")), "card": (13, 37, re.compile(r"\d")), "phone": (6, 31, re.compile(r"\d"))}
-_AFTER = re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_ -]?key|access[_ -]?key|auth)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_-]{12,256})")
-_LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
+_AFTER = re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_ -]?key|access[_ -]?key|auth)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9+/_.~-]{12,}+)")
+_TRIGGERS = ("token", "secret", "passw", "key", "auth")
+_LOCAL = re.compile(r"[\w.+%-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 
 
@@ -227,12 +259,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
     found = []
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain and domain.group().rpartition(".")[2].isalpha():
-            found.append((local.start() + len(local.group()) - len(local.group().lstrip(".+%-")), domain.end(), "email"))
+        domain = _DOMAIN.match(text, at + 1)
+        if domain and domain.group().rpartition(".")[2].isalpha():
+            start = at
+            while start and _LOCAL.match(text[start - 1]):
+                start -= 1
+            start = at - len(text[start:at].lstrip(".+%-"))
+            if start < at:
+                found.append((start, domain.end(), "email"))
         at = text.find("@", at + 1)
     low = text.lower() if "=" in text or ":" in text else ""
-    if any(w in low for w in ("token", "secret", "passw", "key", "auth")):
+    if any(w in low for w in _TRIGGERS):
         found += [(m.start(1), m.end(1), "secret") for m in _AFTER.finditer(text)]
     found += [f for m in _PLACE.finditer(text) for f in _at(text, m.start()) if valid(f[2], text[f[0] : f[1]])]
     quads = sorted(f[:2] for f in found if f[2] == "ip")
@@ -264,24 +301,40 @@ def choose(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return chosen
 
 
-def hide(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, dict[str, int]]:
+_DIGIT, _OTHER_DIGIT = re.compile(r"\d"), re.compile(r"(?![0-9])\d")
+
+
+def _zero(c: str) -> int:
+    """The zero of the script of a digit: the ten of a script follow each other."""
+    return ord(c) - unicodedata.decimal(c)
+
+
+def _written_as(new: str, old: str) -> str:
+    """A new value in the digits of the old one's scripts, place by place; in those of its first where lengths differ."""
+    if old.isascii():
+        return new
+    if len(new) == len(old):
+        return "".join(chr(_zero(o) + int(c)) if c.isdecimal() and o.isdecimal() else c for c, o in zip(new, old, strict=True))
+    first = _OTHER_DIGIT.search(old)
+    return "".join(chr(_zero(first.group()) + int(c)) if c.isdecimal() else c for c in new) if first else new
+
+
+def hide(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind there were."""
     counts = dict.fromkeys(KINDS, 0)
-    if not text or not ("@" in text or _DIGIT.search(text)):
+    if not text or not ("@" in text or _DIGIT.search(text) or "=" in text or ":" in text):
         return text, counts
+    plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group())), text)
     out, upto = [], 0
-    for a, b, kind in choose(text, find(text)):
-        out += [text[upto:a], pseudonym(kind, text[a:b], key, back)]
+    for a, b, kind in choose(plain, find(plain)):
+        out += [text[upto:a], _written_as(pseudonym(kind, plain[a:b], key, back), text[a:b])]
         upto = b
         counts[kind] += 1
     out.append(text[upto:])
     return "".join(out), counts
 
 
-_DIGIT = re.compile(r"\d")
-
-
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_values and one count for each kind."""
     names = [f"n_{k}" for k in KINDS]
 
@@ -296,4 +349,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir))
+    return pseudonymise(documents(spark, sf_dir), QUERY_KEY)

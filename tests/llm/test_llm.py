@@ -206,17 +206,24 @@ def test_linear_predictor_with_partitions_and_escape():
     assert n[0] == 16 and end[0] == len(frame) and samples[0].tolist() == list(range(5, 21))
 
 
+KEY = b"test"
+
+
+def hide(text, back=False):
+    return pseudonyms.hide(text, KEY, back)
+
+
 def test_pseudonyms(odd, none):
     text = "mail ana.b7@x.org, card 4111 1111 1111 1111, not 4111111111111112, ip 10.0.0.1, on 2024-02-29, call +1 (212) 555-0100, ssn 123-45-6789, iban GB82 WEST 1234 5698 7654 32 token = \"abcdef0123456789\""
-    out, n = pseudonyms.hide(text)
+    out, n = hide(text)
     assert n == dict.fromkeys(pseudonyms.KINDS, 1) and "4111111111111112" in out
     for gone in ("ana.b7", "4111 1111", "10.0.0.1", "2024-02-29", "555-0100", "123-45-6789", "1234 5698", "abcdef0123456789"):
         assert gone not in out
-    assert pseudonyms.hide(out, back=True)[0] == text and pseudonyms.hide(text)[0] == out
+    assert hide(out, back=True)[0] == text and hide(text)[0] == out
     p = pseudonyms.Permutation(1000, b"k", "t")
     image = [p.forward(i) for i in range(1000)]
     assert sorted(image) == list(range(1000)) and all(p.inverse(y) == i != y for i, y in enumerate(image))
-    assert pseudonyms.pseudonymise(odd).where("doc_id = 4").first().text is None and pseudonyms.pseudonymise(none).count() == 0
+    assert pseudonyms.pseudonymise(odd, KEY).where("doc_id = 4").first().text is None and pseudonyms.pseudonymise(none, KEY).count() == 0
 
 
 def all_values(text):
@@ -231,8 +238,15 @@ def test_values_beside_numbers():
     gone = [("+1 (826) 555-4081 190.137.223.204", ["555-4081", "190.137.223.204"]), ("card 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]), ("4111111111111111 42", ["4111111111111111"]), ("7 4111111111111111", ["4111111111111111"]),
             ("ssn 123-45-6789 1234", ["123-45-6789"]), ("on 2024-02-29 12345", ["2024-02-29"]), ("ES91 2100 0418 4502 0005 1332 2024", ["ES91 2100 0418 4502 0005 1332"]), ("+1 8265 101.102.1.2", ["101.102.1.2"])]
     for text, values in gone:
-        out = pseudonyms.hide(text)[0]
-        assert len(values) <= sum(pseudonyms.hide(text)[1].values()) and not any(v in out for v in values), text
+        out = hide(text)[0]
+        assert len(values) <= sum(hide(text)[1].values()) and not any(v in out for v in values), text
+    gone = [("password = correcthorsebatterystaple", "correct", "secret"), ("card 4111 1111 1111 1111 123 cvv", "4111 1111", "card"), ("GB00 4111 1111 1111 1111", "4111 1111", "card"), ("on 12/31/1999 it", "12/31/1999", "date"),
+            ("token: " + "aB3" * 60 + ".x9y8.zz", "aB3aB3", "secret"), ("mail " + "a.b" * 50 + "@x.org", "a.ba.b", "email"), ("card ٤١١١ ١١١١ ١١١١ ١١١١", "١١١١ ١١١١", "card"), ("ip ١٠.٢٠.٣٠.٤٠", "٢٠.٣٠", "ip")]
+    for text, value, kind in gone:
+        out, n = hide(text)
+        assert n == {**dict.fromkeys(pseudonyms.KINDS, 0), kind: 1} and value not in out and hide(out, back=True)[0] == text, text
+    late = {pseudonyms.pseudonym("date", f"{m:02}/{d}/2001", KEY) for m in range(1, 13) for d in range(13, 29)}
+    assert len(late) == 12 * 16 and all(pseudonyms._date(x)[1] for x in late)
     values = ["+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "4111111111111111", "123-45-6789", "2024-02-29", "GB82 WEST 1234 5698 7654 32", "212-555-0100", "42", "1234", "12/27"]
     for a in values:
         for b in values:
