@@ -173,6 +173,36 @@ def test_shards_move_into_the_new_one_only(spark, none):
     assert sharding.shard(none, keep=tuple(none.columns)).columns[:2] == ["doc_id", "text"]
 
 
+def test_every_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(400).select(F.col("id").cast("string").alias("key")).coalesce(1)
+    for a in range(1, 51, 10):
+        rows = docs.select(*[sharding.place(F.col("key"), sharding.tree_of(n)).alias(str(n)) for n in range(a, a + 11)]).collect()
+        for n in range(a, a + 10):
+            assert all(r[str(n + 1)] in (r[str(n)], n) and 0 <= r[str(n)] < n for r in rows), n
+            assert any(r[str(n + 1)] == n for r in rows)
+
+
+def test_weights_and_closed_shards(spark):
+    docs = spark.range(6000).select(F.col("id").cast("string").alias("key"))
+    trees = {"even": sharding.tree_of(20), "drained": sharding.tree_of(20, {3: 0.0}), "heavy": sharding.tree_of(20, {17: 3.0})}
+    rows = docs.select(*[sharding.place(F.col("key"), t).alias(n) for n, t in trees.items()]).collect()
+    assert all(r.drained != 3 and (r.drained == r.even or r.even == 3) for r in rows)
+    heavy = sum(r.heavy == 17 for r in rows) / len(rows)
+    assert abs(heavy - 3 / 22) < 0.02 and all(abs(sum(r.even == s for r in rows) / len(rows) - 1 / 20) < 0.02 for s in range(20))
+    with pytest.raises(ValueError):
+        sharding.tree_of(2, {0: 0.0, 1: 0.0})
+
+
+def test_shards_of_odd_rows(odd):
+    rows = sharding.shard(odd, 3, keep=tuple(odd.columns)).collect()
+    assert len(rows) == odd.count() and {"in_size", "in_text"} & set(rows[0].asDict()) == {"in_size"}
+    null = next(r for r in rows if r.doc_id == 4)
+    assert null["size"] == 16 and null.text_crc32 is None and len({r.shard for r in rows if r.doc_id == 2}) == 1
+    for s in range(3):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own)))
+
+
 def test_flac_round_trip_and_checks(odd, none):
     rng = np.random.default_rng(2)
     blocks = [bytes(64), b"abc " * 700, rng.integers(0, 256, 3000).astype(np.uint8).tobytes(), bytes(range(256)) * 9]
