@@ -1,9 +1,9 @@
 """Language identification by compression.
 
-Each language has a raw-content dictionary of zstandard: normalised text of a bounded sample of its documents. A text is
-normalised in the same way (letters in lower case, one space between words), cut into pieces of PIECE bytes, and each
-piece is encoded with every language's dictionary. The language with the smallest total wins. Where the margin to the
-second is narrow, ``rejected`` is true; the best guess stays in lang_pred.
+Each language has a raw-content dictionary of zstandard: normalised text of a bounded sample of its documents, of each at
+most PER_DOCUMENT bytes. A text is normalised in the same way (letters and their marks in lower case, one space between
+words), cut into pieces of PIECE bytes, and each piece is encoded with every language's dictionary. The language with the
+smallest total wins. Where the margin to the second is narrow, ``rejected`` is true; the best guess stays in lang_pred.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any learned language all texts are;
 ties go to the language with more labelled documents; rows of equal id are predicted each.
@@ -11,11 +11,11 @@ ties go to the language with more labelled documents; rows of equal id are predi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +23,18 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import documents, remainder
 
-DOCS, DICTIONARY = 150, 96 << 10
+#: The sample: documents a language, bytes of a dictionary, and bytes that one document gives at most.
+DOCS, DICTIONARY, PER_DOCUMENT = 150, 96 << 10, 12 << 10
 PIECE, LEVEL = 4096, 6
-#: Texts below SHORT bytes gain little from far matches: they are encoded behind PREFIX bytes of the dictionary, whose
-#: letter statistics they then share, and what they add is counted.
-SHORT, SHORT_LEVEL, PREFIX = 512, 9, 8192
 #: Margins below this many bits a byte are rejected.
 MARGIN = 0.05
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def normalise(text: str | None) -> bytes:
-    """Runs of letters in lower case, separated by single spaces."""
-    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    """Runs of letters and marks in lower case, separated by single spaces; nothing where there is no letter."""
+    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text and _LETTER.search(text) else b""
 
 
 def dictionaries(docs: DataFrame, learn: Column, per_language: int = DOCS, size: int = DICTIONARY) -> dict[str, bytes]:
@@ -53,28 +51,24 @@ def dictionaries(docs: DataFrame, learn: Column, per_language: int = DOCS, size:
     for r in texts.toLocalIterator():
         have = out.setdefault(r.lang, [])
         if sum(map(len, have)) < size:
-            have.append(normalise(r.text)[: size // 8])  # several documents, not one long one
+            have.append(normalise(r.text)[: min(PER_DOCUMENT, size // 8)])  # several documents, not one long one
     return {k: b" ".join(out[k])[:size] for k in sorted(out, key=lambda k: (-counts[k], k)) if any(out[k])}
 
 
 class Encoder:
     def __init__(self, held: dict[str, bytes]):
         self.names = list(held)
-        self.long = [self._of(held[name], LEVEL) for name in self.names]
-        self.short = zstandard.ZstdCompressor(level=SHORT_LEVEL, write_checksum=False, write_content_size=False)
-        self.prefixes = [(p := held[name][:PREFIX], len(self.short.compress(p))) for name in self.names]
+        self.coders = [self._of(held[name]) for name in self.names]
 
     @staticmethod
-    def _of(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _of(content: bytes) -> zstandard.ZstdCompressor:
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(level=level)
+        known.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, body: bytes, piece: int = PIECE) -> list[int]:
         """Encoded bytes under each language, whole text."""
-        if len(body) < SHORT:
-            return [len(self.short.compress(p + body)) - n for p, n in self.prefixes]
-        return [sum(len(e.compress(body[i : i + piece])) for i in range(0, len(body), piece)) for e in self.long]
+        return [sum(len(e.compress(body[i : i + piece])) for i in range(0, len(body), piece)) for e in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool, float]:
         """Language, score from 0 to 1, whether the margin is narrow, and the margin in bits a byte."""

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontaminate, flac, language, mixing, neardup, pseudonyms, quality, queries, repeats, sharding, toxicity
@@ -299,6 +300,20 @@ def test_language(spark, odd, none):
     assert held and np.mean([got[i].lang_pred == want[i] for i in held]) > 0.9
     some = {r.doc_id: r for r in language.predict(odd, {"en": b"one two three", "de": b"eins zwei drei"}).collect()}
     assert some[4].lang_pred == some[6].lang_pred == "und" and some[9].lang_pred == "en"
+    assert language.normalise("½ 3²") == language.normalise("\u0301 7") == b"" and language.normalise("हिन्दी, É!") == "हिन्दी é".encode()
+    held = language.dictionaries(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+    def bytes_of(text, name):  # a plain loop with a fresh encoder for each piece
+        body, total = b" " + language.normalise(text) + b" ", 0
+        for i in range(0, len(body), language.PIECE):
+            known = zstandard.ZstdCompressionDict(held[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(level=language.LEVEL)
+            total += len(zstandard.ZstdCompressor(dict_data=known, write_checksum=False, write_content_size=False, write_dict_id=False).compress(body[i : i + language.PIECE]))
+        return total
+
+    for r in docs.where("doc_id % 5 = 0").collect():
+        best = min(held, key=lambda name: bytes_of(r.text, name)) if r.text and language.normalise(r.text) else "und"
+        assert got[r.doc_id].lang_pred == best
     assert language.predict(odd, {}).where("lang_pred <> 'und'").count() == 0 and language.dictionaries(none, F.lit(True)) == {}
 
 
