@@ -6,7 +6,7 @@ earlier points in that interval, which has a closed form over the binary digits
 made, without a sort or a shuffle. Each source's documents are put in a seeded random order, laid on a line of words,
 twice for two passes, and cut into blocks of equal words; block r of a source fills its slot of rank r. A source of few
 slots would be far off its target, as slots grow with the table; it gets its rounded target in words: its last block is
-cut, or blocks without a slot are added at the end.
+cut, or blocks without a slot are added at the end. The mix lists documents in the order of their first slots.
 
 Positions on a source's line are two-level sums (within hash buckets, then over bucket totals), so a source that holds
 most rows is still dealt over all tasks.
@@ -43,7 +43,12 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("bigint")
-    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _print().alias("print"))
+
+
+def _print() -> Column:
+    """Tells rows of equal id apart, so that a window never holds all of a frequent id."""
+    return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("null"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = PASSES) -> DataFrame:
@@ -120,7 +125,7 @@ def schedule(spark: SparkSession, shares: list[float], slots: int) -> DataFrame:
 
 def _ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The word at which each document begins on its source's line, in the seeded order."""
-    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "print").cast("binary")))
     rows = rows.withColumn("bucket", F.substring("key", 1, 3))
     within = Window.partitionBy("rank", "bucket").orderBy("key", *keys).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -131,7 +136,8 @@ def _ordered(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, and ``passes``: the words taken of each pass."""
+    """Per document: doc_id, size, source_size, target, taken, slot (the first that it fills), ``passes``, the words taken of
+    each pass, and ``slots``, the first slot of each; print goes with doc_id."""
     spark = docs.sparkSession
     sizes = stash(sized(docs), "sizes")
     planned = targets(sizes, weights, share).orderBy("rank").limit(MOST_SOURCES + 1).collect()
@@ -141,10 +147,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     block = max(1, min(BLOCK, int(total) // SLOTS))
     shares, n_slots = [r.target for r in planned], int(round(total / block))
     due, has = words_due(shares, n_slots, block)
-    slots = schedule(spark, shares, n_slots).select("rank", "block")
+    slots = schedule(spark, shares, n_slots)
     # blocks of small sources for which the schedule has no slot come after it; blocks it has too many are cut to no words
     more = [(i, int(has[i]), int(-(-due[i] // block)) - 1) for i in np.flatnonzero(due > has * block).tolist()]
-    slots = slots.unionByName(spark.createDataFrame(more, "rank int, a bigint, b bigint").select("rank", F.explode(F.sequence("a", "b")).alias("block")))
+    extra = spark.createDataFrame(more, "rank int, a bigint, b bigint").select("rank", F.explode(F.sequence("a", "b")).alias("block"))
+    slots = slots.unionByName(extra.select((F.lit(n_slots) + F.col("block")).cast("bigint").alias("slot"), "rank", "block"))
     kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("due", T.LongType())])
     known = F.broadcast(spark.createDataFrame([(r.source, r["rank"], r.source_size, r.target, n) for r, n in zip(planned, due.tolist(), strict=True)], kind).withColumnRenamed("source", "of"))
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
@@ -154,35 +161,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     pieces = passes.select("row", "rank", "pass", "a", F.least(F.col("a") + F.col("size"), "due").alias("b"), F.explode(F.expr(f"sequence(a div {block}, (least(a + size, due) - 1) div {block})")).alias("block"))
     words = F.least(F.col("b"), (F.col("block") + 1) * block) - F.greatest(F.col("a"), F.col("block") * block)
     pieces = pieces.select("row", "rank", "block", "pass", words.alias("words"))
-    taken = pieces.join(slots, ["rank", "block"]).groupBy("row").agg(F.sum("words").alias("taken"), *[F.sum(F.when(F.col("pass") == p, F.col("words")).otherwise(0)).alias(f"p{p}") for p in range(PASSES)])
+    of = lambda p, c: F.when(F.col("pass") == p, F.col(c))
+    sums = [F.coalesce(F.sum(of(p, "words")), F.lit(0)).alias(f"p{p}") for p in range(PASSES)] + [F.min(of(p, "slot")).alias(f"s{p}") for p in range(PASSES)]
+    taken = pieces.join(slots, ["rank", "block"]).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"), *sums)
     zero = F.lit(0).cast("bigint")
     out = rows.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.array(*[F.coalesce(f"p{p}", zero) for p in range(PASSES)]).alias("passes"))
+    lists = [F.array(*[F.coalesce(f"p{p}", zero) for p in range(PASSES)]).alias("passes"), F.array(*[F.col(f"s{p}") for p in range(PASSES)]).alias("slots")]
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "slot", *lists, "print")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """The mix as documents: a document is there once for each pass of which it fills at least half its words; pieces of a
-    document go with its larger part."""
-    times = F.aggregate("passes", F.lit(0), lambda n, p: n + F.when(p * 2 >= F.col("size"), 1).otherwise(0))
-    plan = mix(docs, weights, share).where("size > 0").select(F.col("doc_id").alias("_of"), F.col("size").alias("_long"), times.alias("_times"))
-    # rows of equal id and size are alike to the plan: their copies are dealt out among them
-    plan = plan.groupBy("_of", "_long").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), size.alias("_size"))
-    rows = rows.join(plan, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_long")))
-    turn = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.xxhash64("_row")))
-    single = rows.where("_rows = 1").select("_row", F.col("_times").alias("_n"))
-    several = rows.where("_rows > 1").select("_row", F.floor((F.col("_times") + F.col("_rows") - turn) / F.col("_rows")).alias("_n"))
-    rows = single.unionByName(several).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+    """The mix as documents, in the order of the schedule: a document is there once for each pass of which it fills at least
+    half its words, at the first slot of that pass; pieces of a document go with its larger part."""
+    filled = F.filter(F.arrays_zip("passes", "slots"), lambda p: p["passes"] * 2 >= F.col("size"))
+    plan = mix(docs, weights, share).where("size > 0").select(F.col("doc_id").alias("_of"), F.col("print").alias("_like"), F.transform(filled, lambda p: p["slots"]).alias("_slots"))
+    # rows of equal id and text are alike to the plan: their slots are dealt out among them
+    plan = plan.groupBy("_of", "_like").agg(F.sort_array(F.flatten(F.collect_list("_slots"))).alias("_slots"), F.count("*").alias("_rows")).where("size(_slots) > 0")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), _print().alias("_print"))
+    rows = rows.join(plan, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_print") == F.col("_like")))
+    turn = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.xxhash64("_row"))) - 1
+    single = rows.where("_rows = 1").select("_row", F.explode("_slots").alias("_slot"))
+    several = rows.where("_rows > 1").withColumn("_turn", turn)
+    several = several.select("_row", F.explode(F.filter("_slots", lambda x, i: i % F.col("_rows") == F.col("_turn"))).alias("_slot"))
+    rows = single.unionByName(several).orderBy("_slot")
     return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 SQL = r"""
-WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(text), 'null') AS print FROM documents),
 o AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM s GROUP BY source),
 w AS (SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * n AS cap, sum(n) OVER () * 1.5 AS total FROM o),
 l AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
@@ -193,11 +203,11 @@ k AS (SELECT sum(target) AS total, CAST(greatest(1, least(1024, CAST(floor(sum(t
 u AS (SELECT r, source, n, target, floor(sum(target) OVER (ORDER BY r) / k.total * 281474976710656) AS hi FROM t, k),
 x AS (SELECT i, CAST('0b' || reverse(lpad(bin(i), 48, '0')) AS BIGINT) AS p FROM (SELECT unnest(range(0, CAST(round_even(total / b, 0) AS BIGINT))) AS i FROM k)),
 y AS (SELECT i, coalesce(u.r, (SELECT max(r) FROM u)) AS r FROM x ASOF LEFT JOIN u ON x.p < u.hi),
-z AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS block FROM y),
+z AS (SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS block FROM y),
 d AS (SELECT s.doc_id, s.size, t.r, t.n, t.target, row_number() OVER () AS id,
-      coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+      coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || print), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT id, r, a + p * n AS a, a + p * n + size AS z, b FROM d, k, (SELECT unnest([0, 1]) AS p) WHERE size > 0),
 f AS (SELECT id, r, a, z, b, unnest(range(CAST(a // b AS BIGINT), CAST((z - 1) // b + 1 AS BIGINT))) AS block FROM e),
-g AS (SELECT id, sum(least(f.z, (f.block + 1) * b) - greatest(a, f.block * b)) AS taken FROM f JOIN z ON f.r = z.r AND f.block = z.block GROUP BY id)
-SELECT doc_id, size, n AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN g USING (id)
+g AS (SELECT id, sum(least(f.z, (f.block + 1) * b) - greatest(a, f.block * b)) AS taken, min(z.i) AS slot FROM f JOIN z ON f.r = z.r AND f.block = z.block GROUP BY id)
+SELECT doc_id, size, n AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, slot FROM d LEFT JOIN g USING (id)
 """

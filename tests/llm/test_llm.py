@@ -143,6 +143,11 @@ def test_mix(spark, odd, none):
     assert sum(r.taken for r in rows) == pytest.approx(1.5 * sum(r["size"] for r in rows), rel=0.02)
     assert mixing.mix(none).count() == 0
     assert mixing.mixed(odd).columns == odd.columns
+    lone = spark.createDataFrame([(i, f"w{i} " * 3, "only" if i % 4 else "other") for i in range(40)], "doc_id bigint, text string, source string")
+    firsts = sorted((s, r.doc_id) for r in mixing.mix(lone).collect() for s, n in zip(r.slots, r.passes, strict=True) if 2 * n >= r["size"])
+    assert len(firsts) > 40 and [r.doc_id for r in mixing.mixed(lone).collect()] == [i for _, i in firsts]
+    nulls = spark.range(30).select(F.lit(None).cast("string").alias("text"), F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    assert all(r["size"] == r.taken == 0 and r.slot is None for r in mixing.mix(nulls).collect()) and mixing.mixed(nulls).count() == 0
     i = np.arange(300)
     x, u = mixing._reverse(i), 1 << 46
     assert mixing._earlier(i, np.full(300, u)).tolist() == [int((x[:k] < u).sum()) for k in i]
