@@ -6,8 +6,10 @@ partitions and escapes. It checks the CRC-8 of each frame header, the CRC-16 of
 A seek table with a point for each frame gives the sample offset of every block; with it all frames of a batch are
 decoded side by side, one numpy step a sample. Streams without a full seek table are decoded frame after frame.
 
-Defined cases: a null or empty text is the padding alone; a broken checksum or a bad code raises ValueError; equal texts
-give equal bytes and features.
+Frames are coded and read in groups of GROUP, so that memory follows the text by a few bytes a byte, however long it is.
+
+Defined cases: a null or empty text is the padding alone; a broken checksum, a bad code or a stream that ends early raises
+ValueError; equal texts give equal bytes and features.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import documents
 
 BLOCK, RATE, PAD = 1024, 8000, 64
 _BATCH = 2 << 20
+#: Frames that are coded or read side by side.
+GROUP = 2048
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -88,6 +92,35 @@ def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     at = offsets[:-1][owner] + number * BLOCK
     n = np.minimum(BLOCK, offsets[1:][owner] - at)
+    frames: list[bytes] = []
+    for g in range(0, len(at), GROUP):
+        low, high = int(at[g]), int(at[min(g + GROUP, len(at)) - 1] + n[min(g + GROUP, len(at)) - 1])
+        frames += _frames(payload[low:high], at[g : g + GROUP] - low, n[g : g + GROUP], number[g : g + GROUP])
+    out, i = [], 0
+    signed = payload ^ np.uint8(0x80)
+    for d, m in enumerate(per.tolist()):
+        own = frames[i : i + m]
+        points, position = [], 0
+        for j, f in enumerate(own):
+            points.append((j * BLOCK).to_bytes(8, "big") + position.to_bytes(8, "big") + int(n[i + j]).to_bytes(2, "big"))
+            position += len(f)
+        total = int(sizes[d])
+        packed_info = RATE << 44 | 0 << 41 | 7 << 36 | total
+        info = BLOCK.to_bytes(2, "big") * 2 + bytes(6) + packed_info.to_bytes(8, "big") + hashlib.md5(signed[offsets[d] : offsets[d + 1]].tobytes()).digest()
+        out.append(b"".join([b"fLaC\x00" + len(info).to_bytes(3, "big") + info, *_tables(points), *own]))
+        i += m
+    return out
+
+
+def _tables(points: list[bytes]) -> list[bytes]:
+    """Seek tables of as many points as a block of metadata holds; the last block is marked."""
+    most = ((1 << 24) - 1) // 18
+    parts = [b"".join(points[i : i + most]) for i in range(0, max(1, len(points)), most)]
+    return [bytes([3 | 0x80 * (i == len(parts) - 1)]) + len(t).to_bytes(3, "big") + t for i, t in enumerate(parts)]
+
+
+def _frames(payload: np.ndarray, at: np.ndarray, n: np.ndarray, number: np.ndarray) -> list[bytes]:
+    """The frames of blocks that begin ``at`` and have n samples and a number in their stream."""
     samples = payload.astype(np.int32) - 128
     grid = np.arange(BLOCK)
     inside = grid < n[:, None]
@@ -150,22 +183,7 @@ def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     ends = np.cumsum([len(f) for f in frames]).astype(np.int64)
     joined = np.frombuffer(b"".join(frames), np.uint8)
     crcs = crc16(joined, np.r_[0, ends[:-1]] if len(ends) else ends, ends).tolist()
-    frames = [f + c.to_bytes(2, "big") for f, c in zip(frames, crcs, strict=True)]
-    out, i = [], 0
-    signed = (samples & 0xFF).astype(np.uint8)
-    for d, m in enumerate(per.tolist()):
-        own = frames[i : i + m]
-        points, position = [], 0
-        for j, f in enumerate(own):
-            points.append((j * BLOCK).to_bytes(8, "big") + position.to_bytes(8, "big") + int(n[i + j]).to_bytes(2, "big"))
-            position += len(f)
-        total = int(sizes[d])
-        packed_info = RATE << 44 | 0 << 41 | 7 << 36 | total
-        info = BLOCK.to_bytes(2, "big") * 2 + bytes(6) + packed_info.to_bytes(8, "big") + hashlib.md5(signed[offsets[d] : offsets[d + 1]].tobytes()).digest()
-        table = b"".join(points)
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(own))
-        i += m
-    return out
+    return [f + c.to_bytes(2, "big") for f, c in zip(frames, crcs, strict=True)]
 
 
 class Stream:
@@ -182,7 +200,7 @@ class Stream:
                 word = int.from_bytes(body[10:18], "big")
                 self.block, self.bits, self.channels, self.total, self.md5 = int.from_bytes(body[2:4], "big"), (word >> 36 & 31) + 1, (word >> 41 & 7) + 1, word & ((1 << 36) - 1), body[18:34]
             elif kind == 3:
-                self.points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
+                self.points += [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
             at += 4 + size
         self.start = at
         if self.channels != 1 or not 4 <= self.bits <= 8:
@@ -353,6 +371,13 @@ def decode_frames(data: bytes, starts: list[int], depth: list[int]) -> tuple[np.
 
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
     """Samples of each stream and its blocks: first sample and number of samples. Checksums are verified."""
+    try:
+        return _decode(streams)
+    except IndexError as e:
+        raise ValueError("a stream ends early") from e
+
+
+def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
     heads = [Stream(s) for s in streams]
     out: list[tuple[np.ndarray, list[tuple[int, int]]]] = [(np.zeros(0, np.int8), [])] * len(streams)
     starts, depth, whose, base = [], [], [], 0
@@ -363,12 +388,14 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]
             whose += [d] * len(h.points)
         base += len(s)
     if starts:
-        samples, n, _ = decode_frames(b"".join(streams), starts, depth)
+        data, parts = b"".join(streams), []
+        for g in range(0, len(starts), GROUP):
+            samples, n, _ = decode_frames(data, starts[g : g + GROUP], depth[g : g + GROUP])
+            parts += [row[:m].astype(np.int8) for row, m in zip(samples, n.tolist(), strict=True)]
         at = 0
         while at < len(whose):
             d, m = whose[at], len(heads[whose[at]].points)
-            parts = [samples[i, : n[i]] for i in range(at, at + m)]
-            out[d] = (np.concatenate(parts).astype(np.int8), [(p[0], p[2]) for p in heads[d].points])
+            out[d] = (np.concatenate(parts[at : at + m]), [(p[0], p[2]) for p in heads[d].points])
             at += m
     for d, (h, s) in enumerate(zip(heads, streams, strict=True)):
         if not out[d][1] and h.total:
@@ -390,15 +417,20 @@ def padded(buf: np.ndarray, offsets: np.ndarray, to: int = PAD) -> tuple[np.ndar
     full = np.maximum(-(-sizes // to), 1) * to
     edge = np.r_[0, np.cumsum(full)]
     out = np.zeros(int(edge[-1]), np.uint8)
-    out[np.arange(len(buf)) + np.repeat(edge[:-1] - offsets[:-1], sizes)] = buf
+    for a, z, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), edge[:-1].tolist(), strict=True):
+        out[to : to + z - a] = buf[a:z]
     return out, edge
 
 
 def describe(samples: np.ndarray, blocks_: list[tuple[int, int]]) -> str:
     """Blocks, peak, mean square and sign changes of a signal."""
-    x = samples.astype(np.int64)
-    turns = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"blocks={len(blocks_)};peak={int(np.abs(x).max(initial=0))};power={int((x * x).sum())};turns={turns}"
+    peak = power = turns = 0
+    for a in range(0, len(samples), 1 << 20):
+        x = samples[max(0, a - 1) : a + (1 << 20)].astype(np.int32)  # one sample of the part before, for its sign
+        turns += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        own = x[a > 0 :].astype(np.int64)
+        peak, power = max(peak, int(np.abs(own).max(initial=0))), power + int((own * own).sum())
+    return f"blocks={len(blocks_)};peak={peak};power={power};turns={turns}"
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -438,7 +470,7 @@ def digest(docs: DataFrame) -> DataFrame:
             buf, offsets = X.buffer_of(block.column("text"))
             stored, rows = encode(*padded(buf, offsets)), []
             for size, stream, (samples, parts) in zip(np.diff(offsets).tolist(), stored, decode(stored), strict=True):
-                back = (samples.astype(np.int16) + 128).astype(np.uint8).tobytes()
+                back = (samples.view(np.uint8) ^ np.uint8(0x80)).tobytes()
                 rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAD:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(samples, parts)))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *[pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
