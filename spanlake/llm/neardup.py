@@ -32,8 +32,11 @@ from .common import discard, documents, stash
 
 SHINGLE, PERCENT = 4, 80
 SIDE, WIDTH = 12, 3
-#: A list of ids of at most so many rows (of 8 bytes) may be broadcast.
-MOST_BROADCAST = 2_000_000
+#: A list of class ids and ids (some 64 bytes a row) of at most so many rows may be broadcast.
+MOST_BROADCAST = 1_000_000
+#: A value on more rows than HOT is looked up by broadcast; there are at most MOST_HOT of them, as the least number of
+#: rows grows with the table.
+HOT, MOST_HOT = 1_000, 100_000
 #: Members compared with one centre in one task.
 GROUP = 2_000
 #: Members in a block of a pool; members up to which a pool is compared as one, and not by its shared small keys.
@@ -97,29 +100,33 @@ def profile(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def small_keys(classes: DataFrame) -> DataFrame:
-    """(j, key, cid) for every small key that at least two classes have."""
-    small = classes.select("cid", F.posexplode("keys").alias("j", "key"))
+    """(j, key, cid, size) for every small key that at least two classes have."""
+    small = classes.select("cid", "size", F.posexplode("keys").alias("j", "key"))
     shared = small.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").select("j", "key")
     return small.join(shared, ["j", "key"])
 
 
 def buckets(small: DataFrame) -> DataFrame:
-    """(bucket, cid) for every table bucket that holds at least two classes."""
-    a = small.where(F.col("j") < SIDE).select("cid", F.struct("j", "key").alias("a"))
+    """(bucket, cid, size) for every table bucket that holds at least two classes."""
+    a = small.where(F.col("j") < SIDE).select("cid", "size", F.struct("j", "key").alias("a"))
     b = small.where(F.col("j") >= SIDE).select("cid", F.struct("j", "key").alias("b"))
-    a = a.groupBy("cid").agg(F.collect_list("a").alias("a"))  # at most SIDE each
+    a = a.groupBy("cid").agg(F.first("size").alias("size"), F.collect_list("a").alias("a"))  # at most SIDE each
     b = b.groupBy("cid").agg(F.collect_list("b").alias("b"))
-    pairs = a.join(b, "cid").select("cid", F.explode("a").alias("a"), "b").select("cid", "a", F.explode("b").alias("b"))
-    tables = pairs.select("cid", F.xxhash64("a.j", "a.key", "b.j", "b.key").alias("bucket"))
+    pairs = a.join(b, "cid").select("cid", "size", F.explode("a").alias("a"), "b").select("cid", "size", "a", F.explode("b").alias("b"))
+    tables = pairs.select("cid", "size", F.xxhash64("a.j", "a.key", "b.j", "b.key").alias("bucket"))
     full = tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return tables.join(full, "bucket").select("bucket", "cid")
+    return tables.join(full, "bucket").select("bucket", "cid", "size")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) whose full shingle sets are similar enough. The members y of a centre x are dealt out in groups
     of GROUP; each group gets the text of x once, and its rows stream past it."""
-    sizes = pairs.groupBy("x").agg(F.count("*").alias("m"))
-    dealt = pairs.join(sizes, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / GROUP))).select("x", "y", "part")
+    # only centres of more than one group need their size; there are few, so a frequent centre is in no shuffle by x alone
+    wide = pairs.groupBy("x").agg(F.count("*").alias("m")).where(F.col("m") > GROUP)
+    wide = stash(wide, "wide")
+    wide = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide
+    groups = F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1))
+    dealt = pairs.join(wide, "x", "left").withColumn("part", F.pmod(F.xxhash64("y"), groups)).select("x", "y", "part")
     member = dealt.join(texts.withColumnRenamed("cid", "y"), "y").select("x", "part", F.lit(1).alias("kind"), "y", "text")
     centre = dealt.select("x", "part").distinct().join(texts.withColumnRenamed("cid", "x"), "x").select("x", "part", F.lit(0).alias("kind"), F.col("x").alias("y"), "text")
     rows = centre.unionByName(member).repartition("x", "part").sortWithinPartitions("x", "part", "kind")
@@ -205,10 +212,24 @@ def pooled(groups: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     return rows.select(*order).mapInArrow(compare, "x string, y string")
 
 
+def _looked_up(rows: DataFrame, column: str, step: DataFrame, name: str) -> DataFrame:
+    """Rows with ``name``: w of the row of step whose v is in the column, or null. All rows of a frequent value would meet in
+    one task of a join; its row of step is broadcast instead."""
+    least = max(HOT, rows.count() // MOST_HOT)
+    often = rows.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = stash(step.join(often, step["v"] == often[column], "left_semi").select(F.col("v").alias(column), F.col("w").alias(name)), "hot")
+    to = step.select(F.col("v").alias(column), F.col("w").alias(name))
+    if not hot.limit(1).count():
+        return rows.join(to, column, "left")
+    found = rows.join(F.broadcast(hot), column, "left")
+    return found.where(F.col(name).isNotNull()).unionByName(found.where(F.col(name).isNull()).drop(name).join(to, column, "left"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, label): label is the same for all that links connect. In each round every vertex goes to the smallest of its
-    neighbours and itself, and links between what has come together vanish; at least half of the linked vertices go each
-    round, so the links left shrink fast and rounds grow with the logarithm of the input at most."""
+    neighbours and itself, and links between what has come together vanish. Class ids are hashes, so a vertex is the
+    smallest of its neighbours by chance: a chain of 3000 links takes 14 rounds. Only ids in the order of a chain, which
+    hashes are not, would take as many rounds as links."""
     edges = stash(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     labels: DataFrame | None = None
     while edges.limit(1).count():
@@ -217,10 +238,9 @@ def components(links: DataFrame) -> DataFrame:
         if labels is None:
             moved = stash(step.select(F.col("v").alias("cid"), F.col("w").alias("label")), "labels")
         else:
-            moved = stash(labels.join(step, labels["label"] == step["v"], "left").select("cid", F.coalesce("w", "label").alias("label")), "labels")
+            moved = stash(_looked_up(labels, "label", step, "w").select("cid", F.coalesce("w", "label").alias("label")), "labels")
             discard(labels)
-        to = [step.select(F.col("v").alias(c), F.col("w").alias(f"{c}2")) for c in "xy"]
-        rest = edges.join(to[0], "x").join(to[1], "y").where("x2 <> y2")
+        rest = _looked_up(_looked_up(edges, "x", step, "x2"), "y", step, "y2").where("x2 <> y2")
         rest = stash(rest.select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")).distinct(), "edges")
         discard(edges)
         discard(step)
@@ -255,17 +275,12 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 yield block.select(["cid", "text"]).filter(pa.array([a == b for a, b in zip(got, block.column("cid").to_pylist(), strict=True)], pa.bool_()))
 
         texts = stash(plain.join(chosen, "doc_id").select("cid", "text").mapInArrow(own, "cid string, text string").dropDuplicates(["cid"]), "texts")
-        sized = near.join(known.select("cid", F.col("n_shingles").alias("size")), "cid").groupBy("cid").agg(F.first("size").alias("size"))
-
-        def fitting(pairs: DataFrame) -> DataFrame:
-            """Sets of too different sizes cannot be similar enough."""
-            a, b = sized.select(F.col("cid").alias("x"), F.col("size").alias("sx")), sized.select(F.col("cid").alias("y"), F.col("size").alias("sy"))
-            fits = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-            return pairs.join(a, "x").join(b, "y").where(fits).select("x", "y")
-
-        centres = held.groupBy("bucket").agg(F.min("cid").alias("x"))
-        star = stash(held.join(centres, "bucket").where("x <> cid").select("x", F.col("cid").alias("y")).distinct(), "star")
-        links = stash(verify(fitting(star), texts, shingle, percent), "links")
+        # sets of too different sizes cannot be similar enough; star keeps the others too, as pools are what buckets connect
+        centres = held.groupBy("bucket").agg(F.min(F.struct("cid", "size")).alias("c"))
+        star = held.join(centres, "bucket").where("c.cid <> cid").select(F.col("c.cid").alias("x"), F.col("c.size").alias("sx"), F.col("cid").alias("y"), F.col("size").alias("sy"))
+        star = stash(star.distinct(), "star")
+        fitting = star.where(100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")).select("x", "y")
+        links = stash(verify(fitting, texts, shingle, percent), "links")
         labels = components(links)
         pools = components(star).select("cid", F.col("label").alias("pool")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         pools = stash(pools, "pools")

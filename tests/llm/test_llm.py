@@ -73,6 +73,63 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     assert [g[0] for g in got if g[1].startswith("a0 ")] == [0, 5]
 
 
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 10)
+    rng = np.random.default_rng(4)
+    names = [f"{x:032x}" for x in rng.integers(0, 1 << 62, 300)]
+    links = [(names[0], n) for n in names[1:120]] + [(names[i], names[i + 1]) for i in range(150, 200)] + [(names[5], names[160]), (names[210], names[211]), (names[211], names[210])]
+    got = {r.cid: r.label for r in neardup.components(spark.createDataFrame(links, "x string, y string")).collect()}
+    assert len(got) == 120 + 51 + 2 and len({got[n] for n in [*names[:120], *names[150:201]]}) == 1 and got[names[210]] == got[names[211]] != got[names[0]]
+
+
+def exact_links(texts, k, percent):
+    """Pairs of similar sets by their prefixes: every pair that is similar enough shares one of the rarest shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", w)
+        if w:
+            sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1)))
+    count = {}
+    for s in set(sets.values()):
+        for g in s:
+            count[g] = count.get(g, 0) + 1
+    index, links = {}, []
+    for i, s in sets.items():
+        first = sorted(s, key=lambda g: (count[g], g))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for g in first for j in index.get(g, ())}:
+            both = len(s & sets[j])
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                links.append((i, j, 100 * both / (len(s) + len(sets[j]) - both)))
+        for g in first:
+            index.setdefault(g, []).append(i)
+    return links
+
+
+def test_recall_of_near_duplicates(spark):
+    """Every exact link of the whole table at sf0.1, by band of similarity, joins its documents, and nothing else does."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    links = exact_links(texts, 4, 80)
+    got = {r.doc_id: r.component_id for r in neardup.query(spark, folder).collect()}
+    up = {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j, _ in links:
+        a, b = sorted((root(i), root(j)))
+        up[b] = a
+    bands = {low: [got[i] == got[j] for i, j, s in links if low <= s < low + 5 or low == 95 and s == 100] for low in (80, 85, 90, 95)}
+    assert all(len(v) and all(v) for v in bands.values()), {k: (len(v), sum(v)) for k, v in bands.items()}
+    assert got == {i: root(i) for i in texts}
+    print({k: len(v) for k, v in bands.items()})
+
+
 def test_repeats_on_odd_rows(odd, none):
     got = {r.doc_id: r for r in repeats.dedup(odd, with_text=True).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 200 and got[3].n_removed == 200 and got[3].kept == "tail"
