@@ -5,8 +5,9 @@ words that the items know, and only runs long enough to hold a window walk the a
 suffix that also occurs in an item. Where that length reaches the window, those words are hit. An item shorter than the
 window is a window by itself; its end state marks it.
 
-Items are collected in shards of a bounded number of bytes, and each shard is one automaton and one pass, so memory on
-the driver and the executors is bounded however large the benchmark is.
+Items are collected in shards of a bounded number of bytes. Each shard is one automaton, which is built of dictionaries and
+kept as arrays (some 40 bytes a word); PASS of them go through the texts together, so memory on the driver and the executors
+is bounded however large the benchmark is.
 
 Defined cases: a null or empty text has no words, is not contaminated and keeps its row; null items and items without
 words match nothing; repeated rows each get their result; items of equal id count once.
@@ -15,7 +16,9 @@ words match nothing; repeated rows each get their result; items of equal id coun
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,41 +30,69 @@ from . import text as X
 from .common import documents, table
 
 WINDOW = 10
-SHARD_BYTES = 64 << 20
+#: A shard takes some 70 bytes a byte while it is built, and about 6 after that.
+SHARD_BYTES, PASS = 2 << 20, 8
 
 
 class Automaton:
-    """Suffix automaton of several word-id sequences. ``items[v]``: the items that hold the strings of state v."""
+    """Suffix automaton of several word-id sequences, as arrays: the words that lead on from state v and where they lead
+    are ``word`` and ``to`` from ptr[v] to ptr[v + 1]. top[v] is the state of the last ``window`` words of the strings of v;
+    the items that hold them are in ``items`` from item_ptr[top] on. ``short`` are the states that end whole short items."""
 
-    def __init__(self, sequences: list[tuple[str, list[int]]], window: int):
+    def __init__(self, sequences: list[list[int]], window: int):
         self.window = window
-        self.go: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: dict[int, set[str]] = {}
-        self.shorts: dict[int, set[str]] = {}
-        for name, seq in sequences:
+        self._go: list[dict[int, int]] = [{}]
+        self._link, self._length = [-1], [0]
+        for seq in sequences:
             last = 0
             for w in seq:
                 last = self._extend(last, w)
-        for name, seq in sequences:  # states are final now: mark every prefix, and whole short items
-            v = 0
-            for w in seq:
-                v = self.go[v][w]
-                ends.setdefault(v, set()).add(name)
-            if seq and len(seq) < window:
-                self.shorts.setdefault(v, set()).add(name)
-        self.items: list[frozenset[str]] = [frozenset()] * len(self.link)
-        grown: list[set[str] | None] = [ends.get(v) for v in range(len(self.link))]
-        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            self.items[v] = frozenset(grown[v] or ())
+        self.ptr = np.zeros(len(self._go) + 1, np.int32)
+        np.cumsum([len(g) for g in self._go], out=self.ptr[1:])
+        self.word, self.to = np.zeros(self.ptr[-1], np.int32), np.zeros(self.ptr[-1], np.int32)
+        for v, g in enumerate(self._go):
+            for k, w in enumerate(sorted(g), int(self.ptr[v])):
+                self.word[k], self.to[k] = w, g[w]
+            self._go[v] = None
+        self.link, self.length = np.array(self._link, np.int32), np.array(self._length, np.int32)
+        del self._go, self._link, self._length
+        self.top = np.arange(len(self.link), dtype=np.int32)
+        for v in np.argsort(self.length, kind="stable")[1:].tolist():
             up = self.link[v]
-            if up > 0 and grown[v]:
-                grown[up] = (grown[up] or set()) | grown[v]
-        self.least = min((len(s) for _, s in sequences if s), default=1)
-        self.least = min(self.least, window)
+            if self.length[up] >= window:
+                self.top[v] = self.top[up]
+        held, short = set(), set()
+        step = self._stepper()
+        for i, seq in enumerate(sequences):  # states are final now: mark what each prefix ends with, and whole short items
+            v = 0
+            for n, w in enumerate(seq, 1):
+                v = step(v, w)
+                if n >= window:
+                    held.add((int(self.top[v]), i))
+            if 0 < len(seq) < window:
+                short.add((v, i))
+        self.item_ptr, self.items = self._listed(held)
+        self.short_ptr, self.short = self._listed(short)
+        self.least = min(window, min((len(s) for s in sequences if s), default=1))
+
+    def _listed(self, pairs: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Items by state, and where each state's begin."""
+        x = np.array(sorted(pairs), np.int32).reshape(-1, 2)
+        return np.searchsorted(x[:, 0], np.arange(len(self.link) + 1)).astype(np.int32), x[:, 1].copy()
+
+    def _stepper(self) -> Callable[[int, int], int]:
+        """A function of a state and a word: the next state, or -1."""
+        ptr, word, to = memoryview(self.ptr), memoryview(self.word), memoryview(self.to)
+
+        def step(v: int, w: int) -> int:
+            end = ptr[v + 1]
+            k = bisect_left(word, w, ptr[v], end)
+            return to[k] if k < end and word[k] == w else -1
+
+        return step
 
     def _extend(self, last: int, w: int) -> int:
-        go, link, length = self.go, self.link, self.length
+        go, link, length = self._go, self._link, self._length
         if w in go[last]:
             q = go[last][w]
             return q if length[q] == length[last] + 1 else self._split(last, w, q)
@@ -80,74 +111,81 @@ class Automaton:
 
     def _split(self, p: int, w: int, q: int) -> int:
         """A state of its own for the shorter strings of q."""
-        new = len(self.go)
-        self.go.append(dict(self.go[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
-        self.link[q] = new
-        while p >= 0 and self.go[p].get(w) == q:
-            self.go[p][w] = new
-            p = self.link[p]
+        new = len(self._go)
+        self._go.append(dict(self._go[q]))
+        self._link.append(self._link[q])
+        self._length.append(self._length[p] + 1)
+        self._link[q] = new
+        while p >= 0 and self._go[p].get(w) == q:
+            self._go[p][w] = new
+            p = self._link[p]
         return new
 
-    def walk(self, ids: list[int], hit: np.ndarray, at: int) -> set[str]:
+    def walk(self, ids: list[int], hit: np.ndarray, at: int) -> set[int]:
         """Mark the words of ids that lie in an occurrence of a window, from hit[at] on; the items that occur."""
-        go, link, length, window, found = self.go, self.link, self.length, self.window, set()
-        v = n = 0
-        upto = 0
+        step, link, length, top, window = self._stepper(), memoryview(self.link), memoryview(self.length), memoryview(self.top), self.window
+        states, shorts, found = set(), set(), set()
+        v = n = upto = 0
         for i, w in enumerate(ids):
-            while v and w not in go[v]:
+            to = step(v, w)
+            while to < 0 and v:
                 v = link[v]
                 n = length[v]
-            if w in go[v]:
-                v = go[v][w]
-                n += 1
+                to = step(v, w)
+            if to >= 0:
+                v, n = to, n + 1
             if n >= window:
                 hit[at + max(upto, i + 1 - n) : at + i + 1] = True
                 upto = i + 1
-                u = v
-                while length[link[u]] >= window:
-                    u = link[u]
-                found |= self.items[u]
-            if self.shorts:
+                states.add(top[v])
+            if len(self.short):
                 u, most = v, n
                 while u > 0:
-                    if u in self.shorts and length[u] <= most:
+                    if length[u] <= most and self.short_ptr[u] < self.short_ptr[u + 1]:
                         hit[at + i + 1 - length[u] : at + i + 1] = True
-                        found |= self.shorts[u]
+                        shorts.add(u)
                     u = link[u]
+        for u in states:
+            found.update(self.items[self.item_ptr[u] : self.item_ptr[u + 1]].tolist())
+        for u in shorts:
+            found.update(self.short[self.short_ptr[u] : self.short_ptr[u + 1]].tolist())
         return found
 
 
 class Matcher:
-    """Vocabulary and automaton of one shard of items."""
+    """Vocabulary, pairs of neighbouring words and automaton of one shard of items."""
 
     def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
+        self.names = [name for name, _ in rows]
         texts = pa.array([t for _, t in rows], pa.string())
         buf, offsets = X.buffer_of(texts)
         buf = X.LOWER[buf]
         starts, ends, first = X.words(buf, offsets, X.ALNUM)
         h = X.word_hashes(buf, starts, ends)
         self.vocabulary, ids = np.unique(h, return_inverse=True)
-        self.automaton = Automaton([(name, ids[a:b].tolist()) for (name, _), a, b in zip(rows, first, first[1:], strict=False)], window)
+        inside = X.whole(first, 2, len(ids) - 1)
+        self.pairs = np.unique((ids[:-1] * len(self.vocabulary) + ids[1:])[inside]) if len(ids) > 1 else np.zeros(0, np.int64)
+        self.automaton = Automaton([ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)], window)
 
     def find(self, h: np.ndarray, first: np.ndarray, hit: np.ndarray) -> dict[int, set[str]]:
-        """Mark hit words of a block of documents; the items that occur, by document."""
+        """Mark hit words of a block of documents; the items that occur, by document. Only runs of words whose neighbours
+        are neighbours in an item too walk the automaton."""
         out: dict[int, set[str]] = {}
         if not len(self.vocabulary) or not len(h):
             return out
         ids = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[ids] == h
-        edge = np.zeros(len(h) + 1, bool)
-        edge[first] = True
-        begins = known & (np.r_[True, ~known[:-1]] | edge[:-1])
-        finishes = known & (np.r_[~known[1:], True] | edge[1:])
-        a, b = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
+        joined = np.zeros(len(h) + 1, bool)  # joined[i]: word i goes with the one before it
+        both = np.flatnonzero(known[:-1] & known[1:] & X.whole(first, 2, len(h) - 1)) if len(h) > 1 else np.zeros(0, np.int64)
+        if len(both) and len(self.pairs):
+            pair = ids[both] * len(self.vocabulary) + ids[both + 1]
+            joined[both + 1] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        a, b = np.flatnonzero(known & ~joined[:-1]), np.flatnonzero(known & ~joined[1:]) + 1
         long = b - a >= self.automaton.least
         doc = np.searchsorted(first, a[long], "right") - 1
         for d, x, y in zip(doc.tolist(), a[long].tolist(), b[long].tolist(), strict=True):
             if found := self.automaton.walk(ids[x:y].tolist(), hit, x):
-                out.setdefault(d, set()).update(found)
+                out.setdefault(d, set()).update(self.names[i] for i in found)
         return out
 
 
@@ -175,17 +213,19 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
     )
     name = out.columns[0]
     schema = T.StructType([out.schema[0], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    for rows in shards(benchmark, shard_bytes):
-        held = spark.sparkContext.broadcast(Matcher(rows, window))
+    for together in batched((Matcher(rows, window) for rows in shards(benchmark, shard_bytes)), PASS):
+        held = spark.sparkContext.broadcast(together)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = held.value
             for block in X.blocks(batches):
                 buf, offsets = X.buffer_of(block.column("text"))
                 buf = X.LOWER[buf]
                 starts, ends, first = X.words(buf, offsets, X.ALNUM)
                 hit = np.zeros(len(starts), bool)
-                found = matcher.find(X.word_hashes(buf, starts, ends), first, hit)
+                h, found = X.word_hashes(buf, starts, ends), {}
+                for matcher in held.value:
+                    for d, names in matcher.find(h, first, hit).items():
+                        found.setdefault(d, set()).update(names)
                 spans, items = block.column("spans").to_pylist(), block.column("items").to_pylist()
                 for d, names in found.items():
                     a, b = first[d], first[d + 1]

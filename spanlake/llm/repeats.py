@@ -82,6 +82,12 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
+def _cuts(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of a sorted array, and where it begins and ends; as many as there are, whatever their range."""
+    edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else [0]
+    return [(int(part[a]), a, b) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _encode(values: np.ndarray, flags: np.ndarray) -> bytes:
     """Sorted values with 2 flag bits each, as the first value and differences of 3 bytes, or 4 where those are too wide. A
     longer difference is bridged by values without a flag, which match nothing but a block that is then found to be no
@@ -135,10 +141,8 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
             several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
             flags = np.logical_or.reduceat(block, at) + 2 * several
             h = h[at]
-            part = _part(h << shift, parts)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=[_encode(h[cuts[p] : cuts[p + 1]], flags[cuts[p] : cuts[p + 1]]) for p in full])
+            cuts = _cuts(_part(h << shift, parts))
+            yield _arrow("ilb", part=[p for p, _, _ in cuts], chunk=[c.id] * len(cuts), blob=[_encode(h[a:b], flags[a:b]) for _, a, b in cuts])
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         X.release()
@@ -164,9 +168,8 @@ def anchors(held: DataFrame, parts: int, bits: int, anchor: int) -> DataFrame:
         value, owner = value[live], owner[live]
         order = np.argsort(owner, kind="stable")
         value, owner = value[order], owner[order]
-        cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
-        full = [i for i in range(len(ids)) if cuts[i] < cuts[i + 1]]
-        yield _arrow("lb", chunk=[ids[i] for i in full], blob=[_encode(value[cuts[i] : cuts[i + 1]], np.zeros(cuts[i + 1] - cuts[i], np.uint8)) for i in full])
+        cuts = _cuts(owner)
+        yield _arrow("lb", chunk=[ids[i] for i, _, _ in cuts], blob=[_encode(value[a:b], np.zeros(b - a, np.uint8)) for _, a, b in cuts])
 
     sent = held.mapInArrow(scatter, "part int, chunk bigint, blob binary")
     return sent.groupBy("part").applyInArrow(meet, "chunk bigint, blob binary")
@@ -209,11 +212,9 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
             at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
             sent = np.empty(len(at), _SENT)
             sent["h"], sent["x"], sent["low"], sent["high"] = h[at], x[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-            cuts = np.searchsorted(_part(sent["h"], parts), np.arange(parts + 1))
-            full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            press = zstandard.ZstdCompressor(level=1)
-            packed = [press.compress(b"".join(np.ascontiguousarray(sent[n][cuts[p] : cuts[p + 1]]).tobytes() for n in _SENT.names)) for p in full]
-            yield _arrow("ilb", part=full, chunk=[c.id] * len(full), blob=packed)
+            cuts, press = _cuts(_part(sent["h"], parts)), zstandard.ZstdCompressor(level=1)
+            packed = [press.compress(b"".join(np.ascontiguousarray(sent[n][a:b]).tobytes() for n in _SENT.names)) for _, a, b in cuts]
+            yield _arrow("ilb", part=[p for p, _, _ in cuts], chunk=[c.id] * len(cuts), blob=packed)
 
     def meet(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         X.release()
@@ -238,11 +239,8 @@ def sources(held: DataFrame, found: DataFrame, parts: int, bits: int, window: in
         rows, owner, least = rows[live], owner[live], least[live]
         order = np.argsort(owner, kind="stable")
         h, least, owner = rows["h"][order], least[order], owner[order]
-        cuts = np.searchsorted(owner, np.arange(len(got) + 1))
-        full = [i for i in range(len(got)) if cuts[i] < cuts[i + 1]]
-        press = zstandard.ZstdCompressor(level=3)
-        packed = [press.compress(h[cuts[i] : cuts[i + 1]].tobytes() + least[cuts[i] : cuts[i + 1]].tobytes()) for i in full]
-        yield _arrow("lb", chunk=[ids[i] for i in full], blob=packed)
+        cuts, press = _cuts(owner), zstandard.ZstdCompressor(level=3)
+        yield _arrow("lb", chunk=[ids[i] for i, _, _ in cuts], blob=[press.compress(h[a:b].tobytes() + least[a:b].tobytes()) for _, a, b in cuts])
 
     sent = _with(held, found).mapInArrow(scatter, "part int, chunk bigint, blob binary")
     return sent.groupBy("part").applyInArrow(meet, "chunk bigint, blob binary")

@@ -175,6 +175,15 @@ def test_automaton_against_loops():
         assert (first[d + 1] - first[d], hit[first[d] : first[d + 1]].sum(), sorted(found.get(d, ()))) == brute(t, items, 6)
 
 
+def test_automata_are_small():
+    """Words in the order of a text, as arrays: some tens of bytes a word."""
+    rng = np.random.default_rng(5)
+    rows = [(str(i), " ".join(rng.choice([f"v{j}" for j in range(3000)], 60))) for i in range(800)]
+    m = decontaminate.Matcher(rows)
+    held = sum(v.nbytes for v in vars(m.automaton).values() if isinstance(v, np.ndarray)) + m.pairs.nbytes + m.vocabulary.nbytes
+    assert held < 120 * 800 * 60
+
+
 def test_decontamination_on_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100, 130))), (2, None), (3, "")], "item_id bigint, text string")
     got = {r.doc_id: r for r in decontaminate.report(decontaminate.occurrences(odd, bench, shard_bytes=10)).collect()}
