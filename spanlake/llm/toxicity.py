@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word (a run of letters, lower-cased) enters as the sum of a word vector, from a vocabulary of telling words, and of two
-character vectors, hashed from its first and its last four bytes. Two gated recurrent layers read a window forwards and
+A word (a run of letters, lower-cased) enters as the sum of a word vector, from a vocabulary of telling words, and of the
+vectors of all its characters, each with its neighbours: a byte, the one before and the one after it, hashed. Two gated recurrent layers read a window forwards and
 backwards; attention weighs the steps; one output scores the window. All windows of SPAN words, STRIDE apart, of the whole
 text are scored, and the largest decides. Labels are of documents, so training alternates: the network picks the windows
 of a document that look most toxic, and learns from those. A last logistic fit on document scores sets the threshold.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import text as X
 from .common import documents, remainder, table
 
-POSITIVE, NEGATIVE = 2000, 2500
+POSITIVE, NEGATIVE = 2500, 3500
 VOCABULARY, BUCKETS = 4096, 4096
 WIDTH, HIDDEN, SPAN, STRIDE = 12, 8, 48, 32
 EPOCHS, ROUNDS, BATCH, STEP = 4, 2, 512, 0.01
@@ -44,25 +44,43 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a block of documents: hashes, character buckets and the first word of each document."""
+    """The words of a block of documents: hashes, the buckets of their characters (those of word i from chars_of[i] on), and
+    the first word of each document."""
 
     hashes: np.ndarray
-    head: np.ndarray
-    tail: np.ndarray
+    chars: np.ndarray
+    chars_of: np.ndarray
     first: np.ndarray
 
+    def ragged(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The character buckets of some words, one after the other, and how many each has."""
+        n = self.chars_of[at + 1] - self.chars_of[at]
+        ends = np.cumsum(n)
+        return self.chars[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.chars_of[at] - (ends - n), n)], n
+
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     buf = lowered(buf)
     starts, ends, first = X.words(buf, offsets, _LETTER)
-    held, size = np.r_[buf, np.zeros(4, np.uint8)], ends - starts
-    head, tail = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for i in range(4):
-        has = size > i
-        head = head << np.uint64(8) | np.where(has, held[starts + i], 0).astype(np.uint64)
-        tail = tail << np.uint64(8) | np.where(has, held[np.maximum(ends - 1 - i, 0)], 0).astype(np.uint64)
-    bucket = lambda x, c: (X.mix64(x + np.uint64(c)) % np.uint64(BUCKETS)).astype(np.int32)
-    return Words(X.word_hashes(buf, starts, ends), bucket(head, 1), bucket(tail, 2), first)
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    place = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    size = ends - starts
+    at = np.r_[0, np.cumsum(size)]
+    own = buf[place].astype(np.uint32)
+    before, after = np.r_[np.uint32(0), own[:-1]], np.r_[own[1:], np.uint32(0)]
+    before[at[:-1]] = 0
+    after[at[1:] - 1] = 0
+    mixed = (before << np.uint32(16) | own << np.uint32(8) | after) * np.uint32(0x9E3779B1)
+    return Words(X.word_hashes(buf, starts, ends), (mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.uint16), at, first)
+
+
+def summed(table: np.ndarray, chars: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of each word's characters, over the root of their number."""
+    if not len(n):
+        return np.zeros((0, table.shape[1]), np.float32)
+    return np.add.reduceat(table[chars], np.cumsum(n) - n) / np.sqrt(n, dtype=np.float32)[:, None]
 
 
 def spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +110,7 @@ class Network:
         rng = np.random.default_rng(5)
         draw = lambda *s, by=0.3: (rng.normal(size=s) * by).astype(np.float32)
         p = self.p
-        p["word"], p["head"], p["tail"] = draw(len(self.vocabulary) + 1, WIDTH, by=0.05), draw(BUCKETS, WIDTH, by=0.02), draw(BUCKETS, WIDTH, by=0.02)
+        p["word"], p["char"] = draw(len(self.vocabulary) + 1, WIDTH, by=0.05), draw(BUCKETS, WIDTH, by=0.02)
         p["word"][0] = 0
         p["word"][1:, 0] = np.clip(telling, -2, 2)
         for d in "fb":
@@ -130,10 +148,14 @@ class Network:
         context = np.einsum("tn,tnh->nh", weight, states)
         return q, weight, context, context @ self.p["o"] + self.p["e"][0]
 
-    def _loss(self, ids: tuple[np.ndarray, ...], mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean logistic loss over a batch; ids: (steps, windows) of word, head and tail."""
+    def inputs(self, ids: np.ndarray, chars: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+        """(steps, windows, WIDTH) from word ids and the characters of the words in the same order."""
+        return self.p["word"][ids] + summed(self.p["char"], chars, n_chars).reshape(*ids.shape, WIDTH)
+
+    def _loss(self, ids: np.ndarray, chars: np.ndarray, n_chars: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean logistic loss over a batch; ids: (steps, windows), with the characters of each word."""
         p, n = self.p, HIDDEN
-        x = p["word"][ids[0]] + p["head"][ids[1]] + p["tail"][ids[2]]
+        x = self.inputs(ids, chars, n_chars)
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self.layer(x @ p[f"w{d}"] + p[f"c{d}"], mask, d, kept[d]) for d in "fb"], axis=2)
         q, weight, context, logit = self.pool(states, mask)
@@ -167,8 +189,9 @@ class Network:
             g[f"w{d}"] = np.einsum("tni,tnj->ij", x, dp)
             dx += dp @ w.T
         flat = np.where(mask[..., None], dx, 0).reshape(-1, WIDTH)
-        for name, i in zip(("word", "head", "tail"), ids, strict=True):
-            g[name] = np.stack([np.bincount(i.ravel(), flat[:, c], len(p[name])) for c in range(WIDTH)], axis=1).astype(np.float32)
+        spread = np.repeat(flat / np.sqrt(n_chars)[:, None], n_chars, axis=0)
+        for name, i, d in (("word", ids.ravel(), flat), ("char", chars, spread)):
+            g[name] = np.stack([np.bincount(i, d[:, c], len(p[name])) for c in range(WIDTH)], axis=1).astype(np.float32)
         g["word"][0] = 0
         return g
 
@@ -184,28 +207,27 @@ class Network:
                 at = a[some] + np.arange(SPAN)[:, None]
                 mask = at < b[some]
                 at = np.minimum(at, len(ids) - 1)
-                g = self._loss((ids[at], w.head[at], w.tail[at]), mask, y[some])
+                g = self._loss(ids[at], *w.ragged(at.ravel()), mask, y[some])
                 steps += 1
                 for k, d in g.items():
                     m, v = state[k]
                     m += 0.1 * (d - m)
                     v += 0.01 * (d * d - v)
-                    rate = STEP * (1 - epoch / (epochs + 1)) * (0.3 if k in ("head", "tail") else 1)
+                    rate = STEP * (1 - epoch / (epochs + 1)) * (0.3 if k == "char" else 1)
                     self.p[k] -= rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
 
     def windows(self, w: Words, a: np.ndarray, b: np.ndarray, most: int = 2048) -> np.ndarray:
         """Logits of the given windows. Inputs are projected once a word, not once a window."""
         p, ids, out = self.p, self.ids(w), np.empty(len(a), np.float32)
         both = np.concatenate([p["wf"], p["wb"]], axis=1)
-        tables = [p[k] @ both for k in ("word", "head", "tail")]
-        tables[0] = tables[0] + np.concatenate([p["cf"], p["cb"]])
+        of_word = p["word"] @ both + np.concatenate([p["cf"], p["cb"]])
         for i in range(0, len(a), most):
             low, high = int(a[i]), max(int(a[i]) + 1, int(b[i : i + most].max()))  # windows are in order of their words
             x = np.zeros((high - low, both.shape[1]), np.float32)
             if len(ids[low:high]):
-                x += tables[0][ids[low:high]]
-                x += tables[1][w.head[low:high]]
-                x += tables[2][w.tail[low:high]]
+                x += of_word[ids[low:high]]
+                bounds = w.chars_of[low : high + 1]
+                x += summed(p["char"], w.chars[bounds[0] : bounds[-1]], np.diff(bounds)) @ both
             at = a[i : i + most] + np.arange(SPAN)[:, None]
             mask = at < b[i : i + most]
             steps = max(1, int(mask.any(1).sum()))
@@ -243,11 +265,11 @@ def _telling(w: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at][best], odds[best]
 
 
-def train(texts: list[str | None], y: np.ndarray, weight: np.ndarray) -> Network:
+def train(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Network:
     """Fit on documents and 0/1 labels; weight: how many labelled documents each one stands for."""
     if len(np.unique(y)) < 2:
         return Network(np.zeros(0, np.uint64), prior=float(y.mean()) if len(y) else 0.0)
-    w = words_of(*X.buffer_of(pa.array(texts, pa.string())))
+    w = words_of(*X.buffer_of(texts))
     if not len(w.hashes):
         return Network(np.zeros(0, np.uint64), prior=float(np.average(y, weights=weight)))
     vocabulary, odds = _telling(w, y)
@@ -277,7 +299,7 @@ def train(texts: list[str | None], y: np.ndarray, weight: np.ndarray) -> Network
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
     """Texts, labels and weights of the documents to fit on."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -286,7 +308,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[list[str
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(53)), F.lit(1 << 30)) <= part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").cast("string").alias("text"), "y").toArrow().sort_by("_id")
     y = rows.column("y").to_numpy().astype(np.float64)
-    return rows.column("text").to_pylist(), y, np.where(y > 0, 1 / share[1], 1 / share[0])
+    return rows.column("text"), y, np.where(y > 0, 1 / share[1], 1 / share[0])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -426,23 +426,24 @@ def test_toxicity_gradients_and_learning(odd, none):
     rng = np.random.default_rng(1)
     say = lambda bad: " ".join([*rng.choice([f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)], 90), *(["vile", "scum"] * 2 if bad else [])])
     y = np.array([i % 3 == 0 for i in range(150)], float)
-    net = toxicity.train([say(v) for v in y], y, np.ones(150))
+    net = toxicity.train(pa.array([say(v) for v in y]), y, np.ones(150))
     buf, offsets = X.buffer_of(pa.array([say(True), say(False), say(True).upper(), None, ""]))
     s = net.score(buf, offsets)
     assert s[0] > 0.5 > s[1] and s[2] > 0.5 and ((s >= 0) & (s <= 1)).all()
-    ids = tuple(rng.integers(0, 20, (6, 4)) for _ in range(3))
+    ids, n_chars = rng.integers(0, 20, (6, 4)), rng.integers(1, 7, 24)
+    chars = rng.integers(0, toxicity.BUCKETS, n_chars.sum())
     mask, t = np.arange(6)[:, None] < np.array([6, 4, 1, 5]), np.array([1, 0, 1, 0], np.float32)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
 
     def loss():
         p = net.p
-        x = p["word"][ids[0]] + p["head"][ids[1]] + p["tail"][ids[2]]
+        x = net.inputs(ids, chars, n_chars)
         states = np.concatenate([net.layer(x @ p[f"w{d}"] + p[f"c{d}"], mask, d) for d in "fb"], axis=2)
         z = net.pool(states, mask)[3]
         return float(np.mean(np.logaddexp(0, z) - t * z))
 
-    g = net._loss(ids, mask, t)
-    for name, at in (("uf", (1, 2)), ("wb", (0, 20)), ("a", (3, 1)), ("v", (2,)), ("head", (int(ids[1][0, 0]), 1)), ("cb", (9,))):
+    g = net._loss(ids, chars, n_chars, mask, t)
+    for name, at in (("uf", (1, 2)), ("wb", (0, 20)), ("a", (3, 1)), ("v", (2,)), ("char", (int(chars[0]), 1)), ("cb", (9,))):
         old = net.p[name][at]
         net.p[name][at] = old + 1e-2
         up = loss()
@@ -450,8 +451,12 @@ def test_toxicity_gradients_and_learning(odd, none):
         down = loss()
         net.p[name][at] = old
         assert g[name][at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+    w = toxicity.words_of(*X.buffer_of(pa.array(["abX é", "q"])))
+    code = lambda a, b, c: (((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 20
+    want = [code(0, 97, 98), code(97, 98, 120), code(98, 120, 0), code(0, 0xC3, 0xA9), code(0xC3, 0xA9, 0), code(0, 113, 0)]
+    assert w.chars.tolist() == want and w.chars_of.tolist() == [0, 3, 5, 6] and w.ragged(np.array([2, 0]))[0].tolist() == [want[5], *want[:3]]
     assert toxicity.score(odd, net).count() == odd.count() and toxicity.score(none, net).count() == 0
-    assert toxicity.train([], np.zeros(0), np.zeros(0)).prior == 0.0
+    assert toxicity.train(pa.array([], pa.string()), np.zeros(0), np.zeros(0)).prior == 0.0
 
 
 def test_pipeline_runs(spark):
