@@ -76,6 +76,16 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(X.word_hashes(buf, starts, ends), (mixed >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.uint16), at, first)
 
 
+def all_words(texts: pa.Array | pa.ChunkedArray) -> Words:
+    """The words of all texts, found block by block, as finding them takes many times the memory of the words."""
+    parts = [words_of(*X.buffer_of(block.column("text"))) for block in X.blocks(iter(pa.table({"text": texts}).to_batches()))]
+    if not parts:
+        return words_of(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    after = lambda ends: np.cumsum([0, *ends[:-1]])
+    chars_of, first = after([p.chars_of[-1] for p in parts]), after([p.first[-1] for p in parts])
+    return Words(np.concatenate([p.hashes for p in parts]), np.concatenate([p.chars for p in parts]), np.concatenate([np.zeros(1, np.int64), *[p.chars_of[1:] + n for p, n in zip(parts, chars_of, strict=True)]]), np.concatenate([np.zeros(1, np.int64), *[p.first[1:] + n for p, n in zip(parts, first, strict=True)]]))
+
+
 def summed(table: np.ndarray, chars: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The sum of the vectors of each word's characters, over the root of their number."""
     if not len(n):
@@ -269,7 +279,7 @@ def train(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, weight: np.ndarray)
     """Fit on documents and 0/1 labels; weight: how many labelled documents each one stands for."""
     if len(np.unique(y)) < 2:
         return Network(np.zeros(0, np.uint64), prior=float(y.mean()) if len(y) else 0.0)
-    w = words_of(*X.buffer_of(texts))
+    w = all_words(texts)
     if not len(w.hashes):
         return Network(np.zeros(0, np.uint64), prior=float(np.average(y, weights=weight)))
     vocabulary, odds = _telling(w, y)

@@ -455,6 +455,9 @@ def test_toxicity_gradients_and_learning(odd, none):
     code = lambda a, b, c: (((a << 16 | b << 8 | c) * 0x9E3779B1) & 0xFFFFFFFF) >> 20
     want = [code(0, 97, 98), code(97, 98, 120), code(98, 120, 0), code(0, 0xC3, 0xA9), code(0xC3, 0xA9, 0), code(0, 113, 0)]
     assert w.chars.tolist() == want and w.chars_of.tolist() == [0, 3, 5, 6] and w.ragged(np.array([2, 0]))[0].tolist() == [want[5], *want[:3]]
+    many = pa.chunked_array([pa.array([say(True), None, "", "é"] * 900), pa.array(["abX é", "q"])])
+    a, b = toxicity.all_words(many), toxicity.words_of(*X.buffer_of(many))
+    assert all((getattr(a, k) == getattr(b, k)).all() for k in ("hashes", "chars", "chars_of", "first"))
     assert toxicity.score(odd, net).count() == odd.count() and toxicity.score(none, net).count() == 0
     assert toxicity.train(pa.array([], pa.string()), np.zeros(0), np.zeros(0)).prior == 0.0
 
