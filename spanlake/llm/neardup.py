@@ -38,7 +38,7 @@ MOST_BROADCAST = 1_000_000
 #: rows grows with the table.
 HOT, MOST_HOT = 1_000, 100_000
 #: Members compared with one centre in one task.
-GROUP = 2_000
+GROUP = 500
 #: Members in a block of a pool; members up to which a pool is compared as one, and not by its shared small keys.
 SQUARE, POOL = 512, 50_000
 #: Minhashes of the estimate before an exact comparison in a pool, and how many must agree: at similarity 0.8 fewer do
@@ -212,17 +212,22 @@ def pooled(groups: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent:
     return rows.select(*order).mapInArrow(compare, "x string, y string")
 
 
-def _looked_up(rows: DataFrame, column: str, step: DataFrame, name: str) -> DataFrame:
+def _frequent(counted: DataFrame, n: int) -> DataFrame | None:
+    """v and w of the rows (v, w, n) that are frequent among n; None where there are none."""
+    hot = stash(counted.where(F.col("n") > max(HOT, n // MOST_HOT)).select("v", "w"), "hot")
+    return hot if hot.limit(1).count() else None
+
+
+def _looked_up(rows: DataFrame, column: str, step: DataFrame, name: str, hot: DataFrame | None, spread: str) -> DataFrame:
     """Rows with ``name``: w of the row of step whose v is in the column, or null. All rows of a frequent value would meet in
-    one task of a join; its row of step is broadcast instead."""
-    least = max(HOT, rows.count() // MOST_HOT)
-    often = rows.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") > least)
-    hot = stash(step.join(often, step["v"] == often[column], "left_semi").select(F.col("v").alias(column), F.col("w").alias(name)), "hot")
-    to = step.select(F.col("v").alias(column), F.col("w").alias(name))
-    if not hot.limit(1).count():
-        return rows.join(to, column, "left")
-    found = rows.join(F.broadcast(hot), column, "left")
-    return found.where(F.col(name).isNotNull()).unionByName(found.where(F.col(name).isNull()).drop(name).join(to, column, "left"))
+    one task of a join: what step has for it is broadcast, and its rows are dealt by the column ``spread``."""
+    to = step.select(F.col("v").alias("_v"), F.col("w").alias(name))
+    if hot is None:
+        return rows.join(to, rows[column] == to["_v"], "left").drop("_v")
+    hot = F.broadcast(hot.select(F.col("v").alias("_h"), F.col("w").alias("_w")))
+    found = rows.join(hot, rows[column] == hot["_h"], "left").withColumn("_k", F.when(F.col("_h").isNull(), F.col(column)).otherwise(F.col(spread)))
+    found = found.join(to, F.col("_k") == F.col("_v"), "left")
+    return found.select(*rows.columns, F.when(F.col("_h").isNull(), F.col(name)).otherwise(F.col("_w")).alias(name))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,15 +237,18 @@ def components(links: DataFrame) -> DataFrame:
     hashes are not, would take as many rounds as links."""
     edges = stash(links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct(), "edges")
     labels: DataFrame | None = None
-    while edges.limit(1).count():
+    while n := edges.count():
         ends = edges.select(F.col("x").alias("v"), F.col("y").alias("u")).unionByName(edges.select(F.col("y").alias("v"), F.col("x").alias("u")))
-        step = stash(ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("w")), "step")
+        step = stash(ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("w"), F.count("*").alias("n")), "step")
         if labels is None:
             moved = stash(step.select(F.col("v").alias("cid"), F.col("w").alias("label")), "labels")
         else:
-            moved = stash(_looked_up(labels, "label", step, "w").select("cid", F.coalesce("w", "label").alias("label")), "labels")
+            often = labels.groupBy(F.col("label").alias("v")).agg(F.count("*").alias("n"))
+            hot = _frequent(often.join(step.select("v", "w"), "v"), labels.count())
+            moved = stash(_looked_up(labels, "label", step, "w", hot, "cid").select("cid", F.coalesce("w", "label").alias("label")), "labels")
             discard(labels)
-        rest = _looked_up(_looked_up(edges, "x", step, "x2"), "y", step, "y2").where("x2 <> y2")
+        hot = _frequent(step, 2 * n)
+        rest = _looked_up(_looked_up(edges, "x", step, "x2", hot, "y"), "y", step, "y2", hot, "x").where("x2 <> y2")
         rest = stash(rest.select(F.least("x2", "y2").alias("x"), F.greatest("x2", "y2").alias("y")).distinct(), "edges")
         discard(edges)
         discard(step)
@@ -297,10 +305,11 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     else:
         labels = spark.createDataFrame([], "cid string, label string")
     groups = known.groupBy("cid").agg(F.min("doc_id").alias("least")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    joined = groups.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("k")).where("k > 1").select("label", "component_id")
-    linked = groups.join(joined, "label").select("cid", "label", "component_id")
-    alone = groups.join(joined, "label", "left_anti").select("cid", "label", F.col("least").alias("component_id"))
-    to = linked.unionByName(alone)
+    groups = stash(groups, "groups")
+    least = groups.groupBy(F.col("label").alias("v")).agg(F.min("least").alias("w"), F.count("*").alias("n")).where("n > 1")
+    least = stash(least, "least")
+    to = _looked_up(groups, "label", least, "component_id", _frequent(least, groups.count()), "cid")
+    to = to.select("cid", "label", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")).join(to, "cid", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", "cid", "label", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
