@@ -34,17 +34,30 @@ MU, RHO = option("--mu", type=float, required=True, help="mutations a base and g
 DATA, OUT = option("spans", help="Parquet of contig_id, seq, span, a1, b1, nb1"), option("out")
 
 
-@command(option("vcf"), OUT, option("--mask", help="BED"), option("--missing-cutoff", type=int), option("--distinguished", default=None))
+@command(option("vcf"), OUT, option("population", nargs="+", help="name:sample,sample or name:@file; one or two"), option("--distinguished", nargs=2, help="samples of the two distinguished haplotypes"), option("--mask", help="BED"), option("--missing-cutoff", type=int), option("--length", type=int, help="of every contig"), option("--ignore-missing", action="store_true"), option("--drop-first-last", action="store_true"))
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Variant calls and a mask to span rows."""
+    """Variant calls and a mask to span rows; the first record of a position counts."""
     names = text.vcf_samples(spark, args.vcf)
-    who = args.distinguished or names[0]
-    if who not in names:
-        raise SystemExit(f"no sample {who}")
-    calls = text.genotypes(ingest.snps(text.read_variants(spark, args.vcf)), names)
-    sites = ingest.fold_monomorphic(ingest.project(calls, who))
+    populations = dict(text.sample_list(p, spark) for p in args.population)
+    asked = [s for samples in populations.values() for s in samples]
+    if not 1 <= len(populations) <= 2:
+        raise SystemExit("one or two populations are needed")
+    if (lost := sorted(set(asked) - set(names))) and not args.ignore_missing:
+        raise SystemExit(f"no samples {', '.join(lost)}; they can be left out with --ignore-missing")
+    pair = args.distinguished or [asked[0]] * 2
+    if set(pair) - set(names):
+        raise SystemExit("the distinguished samples are not there")
+    populations = {p: [s for s in samples if s in names] for p, samples in populations.items()}
+    roles = ingest.lineages(spark, populations, [(pair[0], 0), (pair[1], 1)])
+    variants = ingest.first_per_position(ingest.snps(text.read_variants(spark, args.vcf)).withColumn("_at", F.monotonically_increasing_id()), ["_at"])
+    calls = text.genotypes(variants, names, diploid=pair)
+    na = tuple(sum(s in populations[p] for s in pair) for p in populations)
+    sites = ingest.fold_monomorphic(ingest.project_roles(calls, roles, len(populations)), na)
+    lengths = text.declared_lengths(spark, args.vcf)
+    lengths = lengths.withColumn("length", F.lit(args.length).cast("bigint") if args.length else F.coalesce("length", F.raise_error(F.lit("no contig length; see --length")).cast("bigint")))
+    lengths = lengths.select("*", *[F.lit(2 * len(samples) - n).alias(f"n{i}") for i, (samples, n) in enumerate(zip(populations.values(), na, strict=True), 1)])
     mask = text.read_bed(spark, args.mask) if args.mask else None
-    found = ingest.gap_fill(ingest.events(sites, mask), ingest.contig_lengths(sites), args.missing_cutoff)
+    found = ingest.gap_fill(ingest.events(sites, mask), lengths, None if args.mask else args.missing_cutoff, args.drop_first_last)
     spans.compress(found).write.parquet(args.out)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import spans
+
 BUCKET = 64
 
 
@@ -15,9 +17,34 @@ def snps(variants: DataFrame) -> DataFrame:
     return variants.where((F.size("alts") <= 1) & (F.length("ref") == 1) & one)
 
 
+def lineages(spark: SparkSession, populations: dict[str, list], distinguished: list[tuple] | None = None) -> DataFrame:
+    """sid, hap, pop (from 1), dist: the role of each haplotype. The distinguished are two (sample, haplotype); by default
+    both haplotypes of the first sample."""
+    names = [sid for samples in populations.values() for sid in samples]
+    if len(names) != len(set(names)):
+        raise ValueError("a sample is named twice, or in two populations")
+    pair = [(names[0], 0), (names[0], 1)] if distinguished is None else distinguished
+    if len(set(pair)) != 2 or {sid for sid, _ in pair} - set(names):
+        raise ValueError("two distinguished haplotypes of listed samples are needed")
+    rows = [(sid, hap, pop, (sid, hap) in pair) for pop, samples in enumerate(populations.values(), 1) for sid in samples for hap in (0, 1)]
+    return spark.createDataFrame(rows, f"sid {'int' if isinstance(names[0], int) else 'string'}, hap int, pop int, dist boolean")
+
+
+def project_roles(calls: DataFrame, roles: DataFrame, populations: int = 1) -> DataFrame:
+    """Long genotypes to one row a site, three columns a population: derived alleles of its distinguished haplotypes (-1 if
+    one is missing, 0 if it has none), derived and called alleles of its others."""
+    alleles = calls.select("contig", "pos", "sid", F.posexplode(F.array("h0", "h1")).alias("hap", "allele"))
+    rows = alleles.join(F.broadcast(roles), ["sid", "hap"])  # a row for each sampled haplotype
+    out = []
+    for p in range(1, populations + 1):
+        own, other = (F.col("pop") == p) & F.col("dist"), (F.col("pop") == p) & ~F.col("dist")
+        lost = F.count_if(own & F.col("allele").isNull()) > 0
+        out += [F.when(lost, -1).otherwise(F.coalesce(F.sum(F.when(own, F.col("allele"))), F.lit(0))).cast("int").alias(f"a{p}"), F.coalesce(F.sum(F.when(other, F.col("allele"))), F.lit(0)).cast("int").alias(f"b{p}"), F.count_if(other & F.col("allele").isNotNull()).cast("int").alias(f"nb{p}")]
+    return rows.groupBy("contig", "pos").agg(*out)
+
+
 def project(calls: DataFrame, distinguished: int = 1) -> DataFrame:
-    """Long genotypes to one row a site: derived alleles of the distinguished sample (-1 if one is missing), derived and
-    called alleles of the others."""
+    """project_roles() for one population and both haplotypes of one sample, without a table of roles."""
     own = F.col("sid") == distinguished
     n = F.when(F.col("h0").isNull(), 0).otherwise(1) + F.when(F.col("h1").isNull(), 0).otherwise(1)
     d = F.coalesce("h0", F.lit(0)) + F.coalesce("h1", F.lit(0))
@@ -25,10 +52,9 @@ def project(calls: DataFrame, distinguished: int = 1) -> DataFrame:
     return sums.select("contig", "pos", F.when(F.col("na") == 2, F.col("da")).otherwise(-1).cast("int").alias("a1"), F.col("b1").cast("int").alias("b1"), F.col("nb1").cast("int").alias("nb1"))
 
 
-def fold_monomorphic(sites: DataFrame, na: int = 2) -> DataFrame:
+def fold_monomorphic(sites: DataFrame, na: tuple[int, ...] = (2,)) -> DataFrame:
     """Sites where all called alleles are derived count as sites without a derived one."""
-    derived = (F.col("a1") == na) & (F.col("b1") == F.col("nb1"))
-    return sites.withColumns({"a1": F.when(derived, 0).otherwise(F.col("a1")), "b1": F.when(derived, 0).otherwise(F.col("b1"))})
+    return spans.recode_monomorphic(sites, na)
 
 
 def outside(sites: DataFrame, mask: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -63,38 +89,44 @@ def missing_samples(asked: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def events(sites: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """Sites outside the mask and the mask's intervals, as (contig, a, b, a1, b1, nb1)."""
+    """Sites outside the mask and the mask's intervals, as (contig, a, b, masked) and the counts."""
+    names = spans.observation(sites)
     rows = sites if mask is None else outside(sites, mask)
-    out = rows.select("contig", (F.col("pos") - 1).alias("a"), F.col("pos").alias("b"), "a1", "b1", "nb1")
+    out = rows.select("contig", (F.col("pos") - 1).alias("a"), F.col("pos").alias("b"), F.lit(False).alias("masked"), *names)
     if mask is None:
         return out
-    gone = merged(mask).select("contig", F.col("m_start").alias("a"), F.col("m_end").alias("b"), F.lit(-1).alias("a1"), F.lit(0).alias("b1"), F.lit(0).alias("nb1"))
-    return out.unionByName(gone)
+    none = [F.lit(-1 if n.startswith("a") else 0).alias(n) for n in names]
+    return out.unionByName(merged(mask).select("contig", F.col("m_start").alias("a"), F.col("m_end").alias("b"), F.lit(True).alias("masked"), *none))
 
 
 def gap_fill(rows: DataFrame, lengths: DataFrame, cutoff: int | None = None, drop_first_last: bool = False) -> DataFrame:
-    """Non-segregating spans between events and up to the contig's length; those longer than the cutoff are missing.
-    ``lengths``: contig, length, n. With drop_first_last the first gap and the tail are not written."""
+    """Non-segregating spans between events and up to the contig's length. A gap before a site that is longer than the cutoff
+    is missing; gaps before masks and the tail are not. ``lengths``: contig, length, and n1 (n2) sampled haplotypes. With
+    drop_first_last what is written first (the first gap; a site at the first base) and the tail are left out."""
+    pops = spans.populations(rows)
+    names = spans.observation(rows)
     w = Window.partitionBy("contig").orderBy("a")
     known = rows.join(lengths, "contig").withColumn("b", F.least("b", "length")).where("a < b")
     before = F.lag("b").over(w)
     known = known.withColumn("p", F.coalesce(before, F.lit(0).cast("bigint"))).withColumn("first", before.isNull())
-    gap = F.struct(F.col("p").alias("at"), (F.col("a") - F.col("p")).alias("span"), F.lit(0).alias("a1"), F.lit(0).alias("b1"), F.col("n").alias("nb1"), F.col("first").alias("edge"))
-    own = F.struct(F.col("a").alias("at"), (F.col("b") - F.col("a")).alias("span"), "a1", "b1", "nb1", F.lit(False).alias("edge"))
-    tail = rows.groupBy("contig").agg(F.max("b").alias("p")).join(lengths, "contig")
-    tail = tail.select("contig", F.col("p").alias("at"), (F.col("length") - F.col("p")).alias("span"), F.lit(0).alias("a1"), F.lit(0).alias("b1"), F.col("n").alias("nb1"), F.lit(True).alias("edge"), F.lit(True).alias("quiet"))
-    out = known.select("contig", F.posexplode(F.array(gap, own)).alias("k", "x")).select("contig", "x.*", (F.col("k") == 0).alias("quiet")).unionByName(tail).where("span > 0")
+    gap_first = F.col("first") & (F.col("masked") | (F.col("a") > F.col("p")))
+    quiet = [x for p in pops for x in (F.lit(0).alias(f"a{p}"), F.lit(0).alias(f"b{p}"), F.col(f"n{p}").cast("int").alias(f"nb{p}"))]
+    gap = F.struct(F.col("p").alias("at"), (F.col("a") - F.col("p")).alias("span"), *quiet, gap_first.alias("edge"), (~F.col("masked")).alias("cut"))
+    own = F.struct(F.col("a").alias("at"), (F.col("b") - F.col("a")).alias("span"), *names, (F.col("first") & ~gap_first).alias("edge"), F.lit(False).alias("cut"))
+    tail = lengths.join(rows.groupBy("contig").agg(F.max("b").alias("last")), "contig", "left").withColumn("at", F.coalesce("last", F.lit(0).cast("bigint")))
+    tail = tail.select("contig", "at", (F.col("length") - F.col("at")).alias("span"), *quiet, F.lit(True).alias("edge"), F.lit(False).alias("cut"))
+    out = known.select("contig", F.inline(F.array(gap, own))).unionByName(tail).where("span > 0")
     if drop_first_last:
         out = out.where("not edge")
     if cutoff is not None:
-        long = F.col("quiet") & (F.col("span") > cutoff)
-        out = out.withColumns({"a1": F.when(long, -1).otherwise(F.col("a1")), "nb1": F.when(long, 0).otherwise(F.col("nb1"))})
-    return out.select(F.col("contig").alias("contig_id"), F.col("at").alias("seq"), "span", "a1", "b1", "nb1")
+        long = F.col("cut") & (F.col("span") > cutoff)
+        out = out.withColumns({n: F.when(long, -1 if n.startswith("a") else 0).otherwise(F.col(n)) for n in names})
+    return out.select(F.col("contig").alias("contig_id"), F.col("at").alias("seq"), "span", *names)
 
 
 def contig_lengths(sites: DataFrame, pad: int = 10) -> DataFrame:
-    """contig, length and the largest sample, where no header gives a length."""
-    return sites.groupBy("contig").agg((F.max("pos") + pad).alias("length"), F.max("nb1").alias("n"))
+    """contig, length and the largest sample, where neither a header nor a list of samples is there."""
+    return sites.groupBy("contig").agg((F.max("pos") + pad).alias("length"), *[F.max(f"nb{p}").alias(f"n{p}") for p in spans.populations(sites)])
 
 
 def track(calls: DataFrame, w: int) -> DataFrame:

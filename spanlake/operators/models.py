@@ -69,8 +69,23 @@ def hazard(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("hazard", F.coalesce(F.sum(area).over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
 
 
+#: Models of at most so many pieces, all together and each, are sent to the points.
+MOST_PIECES, MOST_OF_ONE = 100_000, 512
+
+
 def as_of(points: DataFrame, pieces: DataFrame, at: str = "t") -> DataFrame:
-    """Each point with the piece that holds it. Pieces and points meet in one ordered pass, not in a range join."""
+    """Each point with the piece that holds it, or null before the first. Pieces are few and go to the points as one sorted
+    array a model, so points are not shuffled; pieces beyond the bounds meet the points in one ordered pass."""
+    names = [c for c in pieces.columns if c != "model_id"]
+    sizes = pieces.groupBy("model_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("one")).first()
+    if (sizes["all"] or 0) > MOST_PIECES or (sizes["one"] or 0) > MOST_OF_ONE:
+        return _as_of_ordered(points, pieces, at)
+    held = pieces.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("t0", *[n for n in names if n != "t0"]))).alias("_pieces"))
+    found = points.join(F.broadcast(held), "model_id", "left").withColumn("_piece", F.try_element_at(F.filter("_pieces", lambda p: p["t0"] <= F.col(at)), F.lit(-1)))
+    return found.select("model_id", *[c for c in points.columns if c != "model_id"], *[F.col(f"_piece.{n}").alias(n) for n in names])
+
+
+def _as_of_ordered(points: DataFrame, pieces: DataFrame, at: str) -> DataFrame:
     names = [c for c in pieces.columns if c != "model_id"]
     point_names = [c for c in points.columns if c != "model_id"]
     a = pieces.select("model_id", F.col("t0").alias("_at"), F.lit(0).alias("_kind"), F.struct(*names).alias("_piece"), *[F.lit(None).cast(points.schema[c].dataType).alias(f"_p_{c}") for c in point_names])

@@ -78,28 +78,64 @@ def recode_nonseg(df: DataFrame, cutoff: int) -> DataFrame:
     return df.withColumns(new | {f"nb{p}": F.when(quiet, 0).otherwise(F.col(f"nb{p}")) for p in populations(df)})
 
 
-def recode_monomorphic(df: DataFrame, na: int = 2) -> DataFrame:
-    """Rows where every sampled allele is derived become rows without a derived allele."""
+def _derived(df: DataFrame, na: tuple[int, ...], missing_too: bool) -> Column:
+    """Rows in which all that was seen is derived, of pair and sample in every population."""
     pops = populations(df)
-    derived = (_sum([F.col(f"a{p}") for p in pops]) == na) & _all([F.col(f"b{p}") == F.col(f"nb{p}") for p in pops])
-    return df.withColumns({f"{x}{p}": F.when(derived, 0).otherwise(F.col(f"{x}{p}")) for p in pops for x in ("a", "b")})
+    pair = _all([F.col(f"a{p}") == n for p, n in zip(pops, na, strict=True)])
+    if missing_too:
+        pair = pair | _all([F.col(f"a{p}") == -1 for p in pops])
+    return pair & _all([F.col(f"b{p}") == F.col(f"nb{p}") for p in pops])
 
 
-def bad_rows(df: DataFrame, most: int = 2, strict: bool = True) -> DataFrame:
-    """Rows that break the rules: no bases, more derived than sampled, more than ``most`` in the pair. Without ``strict``
-    only unit rows are held to the last two."""
-    broken = reduce(lambda x, y: x | y, [(F.col(f"b{p}") > F.col(f"nb{p}")) | (F.col(f"a{p}") > most) for p in populations(df)])
-    return df.where((F.col("span") <= 0) | (broken if strict else (F.col("span") == 1) & broken))
+def recode_monomorphic(df: DataFrame, na: tuple[int, ...] = (2,)) -> DataFrame:
+    """Rows where every allele is derived become rows without a derived allele; na: the pair's alleles of each population."""
+    derived = _derived(df, na, False)
+    return df.withColumns({f"{x}{p}": F.when(derived, 0).otherwise(F.col(f"{x}{p}")) for p in populations(df) for x in ("a", "b")})
 
 
-def validate(df: DataFrame, most: int = 2, strict: bool = True) -> DataFrame:
-    """Zero the counts of all-derived rows, then fail on a bad row."""
+def _broken(df: DataFrame, na: tuple[int, ...], n: tuple[int, ...] | None, strict: bool) -> Column:
     pops = populations(df)
-    derived = _all([(F.col(f"a{p}") == most) & (F.col(f"b{p}") == F.col(f"nb{p}")) for p in pops])
-    out = df.withColumns({f"b{p}": F.when(derived, 0).otherwise(F.col(f"b{p}")) for p in pops})
-    broken = reduce(lambda x, y: x | y, [(F.col(f"b{p}") > F.col(f"nb{p}")) | (F.col(f"a{p}") > most) for p in pops])
-    broken = (F.col("span") <= 0) | (broken if strict else (F.col("span") == 1) & broken)
-    return out.withColumn("span", F.when(broken, F.raise_error(F.lit("invalid span row"))).otherwise(F.col("span")))
+    wrong = [(F.col(f"b{p}") > F.col(f"nb{p}")) | (F.col(f"a{p}") > most) for p, most in zip(pops, na, strict=True)]
+    wrong += [F.col(f"nb{p}") > most for p, most in zip(pops, n, strict=True)] if n else []
+    any_wrong = reduce(lambda x, y: x | y, wrong)
+    return (F.col("span") <= 0) | (any_wrong if strict else (F.col("span") == 1) & any_wrong)
+
+
+def bad_rows(df: DataFrame, na: tuple[int, ...] = (2,), n: tuple[int, ...] | None = None, strict: bool = True) -> DataFrame:
+    """Rows that break the rules: no bases, more derived than sampled, more than na in the pair, more sampled than n. Without
+    ``strict`` only unit rows are held to all but the first."""
+    return df.where(_broken(df, na, n, strict))
+
+
+def unfounded(df: DataFrame, na: tuple[int, ...] = (2,)) -> DataFrame:
+    """Rows whose sample is all derived, with a pair that is so too or missing, lose the sample's derived alleles."""
+    pops = populations(df)
+    seen = reduce(lambda x, y: x | y, [F.col(f"nb{p}") > 0 for p in pops])
+    derived = _derived(df, na, True) & seen
+    return df.withColumns({f"b{p}": F.when(derived, 0).otherwise(F.col(f"b{p}")) for p in pops})
+
+
+def validate(df: DataFrame, na: tuple[int, ...] = (2,), n: tuple[int, ...] | None = None, strict: bool = True) -> DataFrame:
+    """unfounded(), then fail on a bad row."""
+    out = unfounded(df, na)
+    return out.withColumn("span", F.when(_broken(out, na, n, strict), F.raise_error(F.lit("invalid span row"))).otherwise(F.col("span")))
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """The same table; fails at once where it is empty."""
+    if not df.limit(1).count():
+        raise ValueError(f"nothing is left: {what}")
+    return df
+
+
+def load_checks(df: DataFrame, headers: DataFrame) -> DataFrame:
+    """Contigs with rows, bases and whether what a data set must fulfil holds: at most two populations, two distinguished
+    lineages in all and at most two in each, as many columns as populations. headers: contig_id, pids, undist, dist."""
+    a = F.transform("dist", lambda x: F.size(x))
+    pops = headers.select(F.explode("pids").alias("pid")).agg(F.count_distinct("pid").alias("n_pops"))
+    fine = (F.size("dist") == F.size("undist")) & (F.size("dist") == len(populations(df))) & F.forall(a, lambda x: x.between(0, 2)) & (F.aggregate(a, F.lit(0), lambda x, y: x + y) == 2)
+    rows = lengths(df).join(headers, "contig_id", "left").join(F.broadcast(pops))  # one row
+    return rows.select("contig_id", "rows", "bases", F.coalesce(fine & (F.col("n_pops") <= 2), F.lit(False)).alias("ok"))
 
 
 def informative(df: DataFrame) -> Column:

@@ -4,6 +4,7 @@ Coefficients are small and made on the driver; ``pieces`` turns them into a tabl
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,35 +25,37 @@ def clamped(h: np.ndarray, delta: np.ndarray) -> np.ndarray:
 
 
 def monotone(h: np.ndarray, delta: np.ndarray) -> np.ndarray:
-    """Weighted harmonic means of the neighbouring secants, 0 at turns; three-point rule at the ends."""
+    """The rule of Fritsch and Butland: inside, the harmonic mean of the neighbouring secants, weighted by the intervals, and
+    0 where they differ in sign; at the ends, the slope of the parabola through the next three points, kept between 0 and
+    three times the first secant."""
     if len(h) == 1:
         return np.repeat(delta, 2)
 
-    def end(near: float, far: float, d1: float, d2: float) -> float:
-        slope = ((2 * near + far) * d1 - near * d2) / (near + far)
-        if slope * d1 <= 0:
-            return 0.0
-        return 3 * d1 if d1 * d2 <= 0 and abs(slope) > abs(3 * d1) else slope
+    def outer(i: int, j: int) -> float:
+        bounds = sorted((0.0, 3 * delta[i]))
+        return float(np.clip(delta[i] - h[i] * (delta[j] - delta[i]) / (h[i] + h[j]), *bounds))
 
-    left, right = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
-    same = delta[:-1] * delta[1:] > 0
-    safe = np.where(same, delta[:-1], 1), np.where(same, delta[1:], 1)
-    inner = np.where(same, (left + right) / (left / safe[0] + right / safe[1]), 0)
-    return np.r_[end(h[0], h[1], delta[0], delta[1]), inner, end(h[-1], h[-2], delta[-1], delta[-2])]
+    slopes = [outer(0, 1)]
+    for i in range(1, len(h)):
+        a, b = delta[i - 1], delta[i]
+        w = (h[i - 1] + 2 * h[i]) / (3 * (h[i - 1] + h[i]))  # weight of the secant before
+        slopes.append(a * b / (w * b + (1 - w) * a) if a * b > 0 else 0.0)
+    return np.array([*slopes, outer(-1, -2)])
 
 
 def local(h: np.ndarray, delta: np.ndarray) -> np.ndarray:
-    """Akima's rule: secants weighted by the change on the other side, two secants carried on beyond each end."""
+    """Akima's rule of 1970: a knot's slope is the mean of its two secants, each weighted by how much the secants on the
+    other side change, and their plain mean where neither side changes. Beyond the ends secants go on in equal steps."""
     if len(h) == 1:
         return np.repeat(delta, 2)
-    low, high = 2 * delta[0] - delta[1], 2 * delta[-1] - delta[-2]
-    m = np.r_[2 * low - delta[0], low, delta, high, 2 * high - delta[-1]]
-    change = np.abs(np.diff(m))
-    before, after = change[:-2], change[2:]
-    weight = before + after
-    live = weight > 1e-9 * max(weight.max(), 1e-300)
-    mixed = (after * m[1:-2] + before * m[2:-1]) / np.where(live, weight, 1)
-    return np.where(live, mixed, (m[1:-2] + m[2:-1]) / 2)
+    steps = np.array([1, 2])
+    m = np.r_[(delta[0] + steps * (delta[0] - delta[1]))[::-1], delta, delta[-1] + steps * (delta[-1] - delta[-2])]
+
+    def slope(a: float, b: float, c: float, d: float) -> float:
+        left, right = abs(d - c), abs(b - a)
+        return (b + c) / 2 if left == right == 0 else (left * b + right * c) / (left + right)
+
+    return np.array([slope(*m[i : i + 4]) for i in range(len(h) + 1)])
 
 
 KINDS = {"cubic": clamped, "pchip": monotone, "akima": local}
@@ -95,6 +98,47 @@ def fit(kind: str, x: list[float], y: list[float]) -> Spline:
     return Spline(xs, c)
 
 
+def basis(x: list[float], y: list[float]) -> Spline:
+    """The cubic of control points y over knots x, two more than there are: in each interval the values of the four basis
+    functions at four places, by the triangle of de Boor, give the cubic through them."""
+    xs = np.asarray(x, float)
+    t = np.r_[[xs[0]] * 3, xs, [xs[-1]] * 3]
+    if len(y) != len(xs) + 2:
+        raise ValueError("two control points more than knots are needed")
+    c = np.zeros((len(xs), 4))
+    for k in range(len(xs) - 1):
+        width, d = xs[k + 1] - xs[k], np.empty(4)
+        for i, u in enumerate(np.arange(4) / 3):
+            at, p = xs[k] + u * width, [float(v) for v in y[k : k + 4]]
+            for level in range(1, 4):
+                for j in range(3, level - 1, -1):
+                    low, high = t[k + j], t[k + j + 4 - level]
+                    share = (at - low) / (high - low)
+                    p[j] = (1 - share) * p[j - 1] + share * p[j]
+            d[i] = p[3]
+        c[k] = np.linalg.solve(np.vander(np.arange(4) / 3 * width, 4, increasing=True), d)
+    c[-1, 0] = y[-1]
+    return Spline(xs, c)
+
+
+def control_roughness(y: list[float]) -> float:
+    """Sum of the squared second differences of control points."""
+    return float(np.sum(np.diff(y, 2) ** 2))
+
+
+def aligned(a: Spline, b: Spline) -> tuple[Spline, Spline]:
+    """The same two curves with the knots of both."""
+    x = np.union1d(a.x, b.x)
+
+    def moved(s: Spline) -> Spline:
+        k = np.clip(np.searchsorted(s.x, x, "right") - 1, 0, None)
+        u, c = x - s.x[k], s.c[k]
+        taylor = [np.polynomial.polynomial.polyval(u, np.polynomial.polynomial.polyder(c.T, i), tensor=False) / math.factorial(i) for i in range(4)]
+        return Spline(x, np.stack(taylor, axis=1))
+
+    return moved(a), moved(b)
+
+
 def pieces(spark: SparkSession, splines: dict[str, Spline]) -> DataFrame:
     """model_id, t0, c0 to c3; a flat piece leads."""
     rows = [(m, -1e300, float(s.c[0, 0]), 0.0, 0.0, 0.0) for m, s in splines.items()]

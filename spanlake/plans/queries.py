@@ -51,9 +51,29 @@ SELECT contig_id, seq, CAST(k AS INT) AS part, CASE WHEN poly THEN 1 ELSE span E
 # recodes and filters
 on_spans("recode_nonseg", lambda df: spans.recode_nonseg(df, 30), "SELECT contig_id, seq, span, CASE WHEN span > 30 AND a1 = 0 AND b1 = 0 THEN -1 ELSE a1 END AS a1, b1, CASE WHEN span > 30 AND a1 = 0 AND b1 = 0 THEN 0 ELSE nb1 END AS nb1 FROM spans")
 on_spans("recode_monomorphic", spans.recode_monomorphic, "SELECT contig_id, seq, span, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE a1 END AS a1, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE b1 END AS b1, nb1 FROM spans")
-on_spans("validate_bad_rows", lambda df: spans.bad_rows(df, most=1), f"SELECT contig_id, seq, span, {OBS} FROM spans WHERE span <= 0 OR b1 > nb1 OR a1 > 1")
-on_spans("validate_bad_rows_lenient", lambda df: spans.bad_rows(df, most=1, strict=False), f"SELECT contig_id, seq, span, {OBS} FROM spans WHERE span <= 0 OR (span = 1 AND (b1 > nb1 OR a1 > 1))")
-on_spans("validate", spans.validate, "SELECT contig_id, seq, span, a1, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE b1 END AS b1, nb1 FROM spans")
+on_spans("validate_bad_rows", lambda df: spans.bad_rows(df, (1,)), f"SELECT contig_id, seq, span, {OBS} FROM spans WHERE span <= 0 OR b1 > nb1 OR a1 > 1")
+on_spans("validate_bad_rows_lenient", lambda df: spans.bad_rows(df, (1,), strict=False), f"SELECT contig_id, seq, span, {OBS} FROM spans WHERE span <= 0 OR (span = 1 AND (b1 > nb1 OR a1 > 1))")
+EDGE_SQL = """, edge AS (SELECT contig_id, seq, span, a1, CASE WHEN seq % 5 = 0 THEN nb1 ELSE b1 END AS b1, nb1 FROM spans),
+two AS (SELECT *, CAST(CASE WHEN a1 < 0 THEN -1 ELSE seq % 2 END AS INT) AS a2, CAST(CASE WHEN seq % 3 = 0 THEN 3 WHEN seq % 3 = 1 THEN 1 ELSE 0 END AS INT) AS b2, CAST(CASE WHEN seq % 3 = 2 THEN 0 ELSE 3 END AS INT) AS nb2 FROM edge)"""
+
+
+def _edge(df: DataFrame) -> DataFrame:
+    """Rows with samples that are all derived beside pairs of every kind."""
+    return df.withColumn("b1", F.when(F.col("seq") % 5 == 0, F.col("nb1")).otherwise(F.col("b1")))
+
+
+def _two(df: DataFrame) -> DataFrame:
+    """Two populations with one distinguished lineage each, so far as a1 is not 2."""
+    third = F.col("seq") % 3
+    return _edge(df).withColumns({"a2": F.when(F.col("a1") < 0, -1).otherwise((F.col("seq") % 2).cast("int")), "b2": F.when(third == 0, 3).when(third == 1, 1).otherwise(0), "nb2": F.when(third == 2, 0).otherwise(3)})
+
+
+on_spans("validate", lambda df: spans.validate(_edge(df), n=(4,)), f"{EDGE_SQL} SELECT contig_id, seq, span, a1, CASE WHEN a1 IN (2, -1) AND b1 = nb1 AND nb1 > 0 THEN 0 ELSE b1 END AS b1, nb1 FROM edge")
+on_spans("validate_two", lambda df: spans.unfounded(_two(df), (1, 1)), f"""{EDGE_SQL} SELECT contig_id, seq, span, a1, CASE WHEN z THEN 0 ELSE b1 END AS b1, nb1, a2, CASE WHEN z THEN 0 ELSE b2 END AS b2, nb2
+FROM (SELECT *, ((a1 = 1 AND a2 = 1) OR (a1 = -1 AND a2 = -1)) AND b1 = nb1 AND b2 = nb2 AND nb1 + nb2 > 0 AS z FROM two)""")
+on_spans("bad_rows_two", lambda df: spans.bad_rows(_two(df), (1, 1), (4, 2)), f"{EDGE_SQL} SELECT contig_id, seq, span, a1, b1, nb1, a2, b2, nb2 FROM two WHERE span <= 0 OR a1 > 1 OR a2 > 1 OR b1 > nb1 OR b2 > nb2 OR nb1 > 4 OR nb2 > 2")
+on_spans("recode_monomorphic_two", lambda df: spans.recode_monomorphic(_two(df), (1, 1)), f"""{EDGE_SQL} SELECT contig_id, seq, span, CASE WHEN z THEN 0 ELSE a1 END AS a1, CASE WHEN z THEN 0 ELSE b1 END AS b1, nb1, CASE WHEN z THEN 0 ELSE a2 END AS a2, CASE WHEN z THEN 0 ELSE b2 END AS b2, nb2
+FROM (SELECT *, a1 = 1 AND a2 = 1 AND b1 = nb1 AND b2 = nb2 AS z FROM two)""")
 REALIGN = lambda w: f""", cells AS (SELECT contig_id, seq, {OBS}, start, stop, unnest(range(start // {w}, (stop - 1) // {w} + 1)) AS win FROM placed),
 aligned AS (SELECT contig_id, seq, win, greatest(start, win * {w}) AS start, least(stop, (win + 1) * {w}) - greatest(start, win * {w}) AS span, {OBS} FROM cells)"""
 on_spans("drop_uninformative", lambda df: spans.drop_uninformative(spans.realign(df, 50), ("contig_id", "win")), f"{REALIGN(50)} SELECT a.* FROM aligned a SEMI JOIN (SELECT contig_id, win FROM aligned WHERE a1 > 0 OR b1 > 0) b ON a.contig_id = b.contig_id AND a.win = b.win")
@@ -115,24 +135,37 @@ on_calls("genotype_project", ingest.project, f"{SITES} SELECT * FROM sites")
 on_calls("fold_monomorphic", lambda c: ingest.fold_monomorphic(ingest.project(c)), f"{SITES} SELECT contig, pos, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE a1 END AS a1, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE b1 END AS b1, nb1 FROM sites")
 on_calls("mask_anti_join", lambda c, m: ingest.outside(ingest.project(c), m), f"{SITES} SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.contig = s.contig AND m_start <= pos - 1 AND pos - 1 < m_end)", mask=True)
 GAPS = lambda cutoff: f"""lens AS (SELECT contig, max(pos) + 10 AS length, max(nb1) AS n FROM sites GROUP BY 1),
-k AS (SELECT e.contig, a, least(b, length) AS b, a1, b1, nb1, n, length FROM ev e JOIN lens USING (contig) WHERE a < least(b, length)),
+k AS (SELECT e.contig, a, least(b, length) AS b, a1, b1, nb1, n, length, masked FROM ev e JOIN lens USING (contig) WHERE a < least(b, length)),
 p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY contig ORDER BY a), 0) AS p FROM k),
-filled AS (SELECT contig AS contig_id, p AS seq, a - p AS span, CASE WHEN a - p > {cutoff} THEN -1 ELSE 0 END AS a1, 0 AS b1, CASE WHEN a - p > {cutoff} THEN 0 ELSE n END AS nb1 FROM p WHERE a > p
+filled AS (SELECT contig AS contig_id, p AS seq, a - p AS span, CASE WHEN a - p > {cutoff} AND NOT masked THEN -1 ELSE 0 END AS a1, 0 AS b1, CASE WHEN a - p > {cutoff} AND NOT masked THEN 0 ELSE n END AS nb1 FROM p WHERE a > p
   UNION ALL SELECT contig, a, b - a, a1, b1, nb1 FROM p
-  UNION ALL SELECT contig, max(b), any_value(length) - max(b), CASE WHEN any_value(length) - max(b) > {cutoff} THEN -1 ELSE 0 END, 0, CASE WHEN any_value(length) - max(b) > {cutoff} THEN 0 ELSE any_value(n) END FROM k GROUP BY contig HAVING any_value(length) > max(b))"""
-EVENTS = "ev AS (SELECT contig, pos - 1 AS a, pos AS b, a1, b1, nb1 FROM sites)"
+  UNION ALL SELECT contig, max(b), any_value(length) - max(b), 0, 0, any_value(n) FROM k GROUP BY contig HAVING any_value(length) > max(b))"""
+EVENTS = "ev AS (SELECT contig, pos - 1 AS a, pos AS b, false AS masked, a1, b1, nb1 FROM sites)"
 on_calls("gap_fill", lambda c: ingest.gap_fill(ingest.events(s := ingest.project(c)), ingest.contig_lengths(s), 5), f"{SITES}, {EVENTS}, {GAPS(5)} SELECT * FROM filled")
 MASKED = """mm AS (SELECT *, max(m_end) OVER (PARTITION BY contig ORDER BY m_start, m_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM mask),
 mg AS (SELECT *, sum(CASE WHEN pe >= m_start THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY m_start, m_end) AS g FROM mm),
 mi AS (SELECT contig, min(m_start) AS a, max(m_end) AS b FROM mg GROUP BY contig, g),
-ev AS (SELECT contig, pos - 1 AS a, pos AS b, a1, b1, nb1 FROM sites s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.contig = s.contig AND m_start <= pos - 1 AND pos - 1 < m_end)
-  UNION ALL SELECT contig, a, b, -1, 0, 0 FROM mi)"""
+ev AS (SELECT contig, pos - 1 AS a, pos AS b, false AS masked, a1, b1, nb1 FROM sites s WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.contig = s.contig AND m_start <= pos - 1 AND pos - 1 < m_end)
+  UNION ALL SELECT contig, a, b, true, -1, 0, 0 FROM mi)"""
 on_calls("vcf_to_spans", lambda c, m: spans.compress(ingest.gap_fill(ingest.events(s := ingest.fold_monomorphic(ingest.project(c)), m), ingest.contig_lengths(s), 40)), f"""{SITES.replace('sites AS', 'sites0 AS')}, sites AS (SELECT contig, pos, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE a1 END AS a1, CASE WHEN a1 = 2 AND b1 = nb1 THEN 0 ELSE b1 END AS b1, nb1 FROM sites0), {MASKED}, {GAPS(40)},
 l AS (SELECT *, lag([a1, b1, nb1]) OVER (PARTITION BY contig_id ORDER BY seq) IS NOT DISTINCT FROM [a1, b1, nb1] AS same FROM filled), i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY contig_id ORDER BY seq) AS g FROM l)
 SELECT contig_id, min(seq) AS seq, CAST(sum(span) AS BIGINT) AS span, a1, b1, nb1 FROM i GROUP BY contig_id, g, a1, b1, nb1""", mask=True)
 on_calls("merged_mask", lambda c, m: ingest.merged(m), f", {MASKED.split('ev AS')[0].rstrip().rstrip(',')} SELECT contig, a AS m_start, b AS m_end FROM mi", mask=True)
 on_calls("first_record_per_pos", lambda c: ingest.first_per_position(c, ["sid"]), "SELECT * FROM geno QUALIFY row_number() OVER (PARTITION BY contig, pos ORDER BY sid) = 1")
-on_calls("duplicate_samples", lambda c: ingest.duplicates(c, ["contig", "sid"]), "SELECT contig, sid, count(*) AS n FROM geno GROUP BY 1, 2 HAVING count(*) > 1")
+on_calls("duplicate_samples", lambda c: ingest.duplicates((s := c.select("sid").distinct()).union(s.where("sid % 3 = 1")), ["sid"]), "SELECT sid, count(*) AS n FROM (SELECT DISTINCT sid FROM geno UNION ALL (SELECT DISTINCT sid FROM geno WHERE sid % 3 = 1)) GROUP BY 1 HAVING count(*) > 1")
+_roles = lambda c: ingest.lineages(c.sparkSession, {"p": [1, 2, 3], "q": [4, 5, 6, 7]}, [(2, 0), (5, 1)])
+TWO_SITES = """, hap AS (SELECT contig, pos, sid, 0 AS hap, h0 AS x FROM geno UNION ALL SELECT contig, pos, sid, 1, h1 FROM geno),
+role AS (SELECT *, CASE WHEN sid <= 3 THEN 1 ELSE 2 END AS pop, (sid = 2 AND hap = 0) OR (sid = 5 AND hap = 1) AS dist FROM hap),
+sites2 AS (SELECT contig, pos, CAST(CASE WHEN count(*) FILTER (pop = 1 AND dist AND x IS NULL) > 0 THEN -1 ELSE coalesce(sum(x) FILTER (pop = 1 AND dist), 0) END AS INT) AS a1, CAST(coalesce(sum(x) FILTER (pop = 1 AND NOT dist), 0) AS INT) AS b1, CAST(count(x) FILTER (pop = 1 AND NOT dist) AS INT) AS nb1,
+  CAST(CASE WHEN count(*) FILTER (pop = 2 AND dist AND x IS NULL) > 0 THEN -1 ELSE coalesce(sum(x) FILTER (pop = 2 AND dist), 0) END AS INT) AS a2, CAST(coalesce(sum(x) FILTER (pop = 2 AND NOT dist), 0) AS INT) AS b2, CAST(count(x) FILTER (pop = 2 AND NOT dist) AS INT) AS nb2 FROM role GROUP BY 1, 2)"""
+on_calls("project_two", lambda c: ingest.project_roles(c, _roles(c), 2), f"{TWO_SITES} SELECT * FROM sites2")
+on_calls("vcf_to_spans_two", lambda c, m: spans.compress(ingest.gap_fill(ingest.events(s := ingest.fold_monomorphic(ingest.project_roles(c, _roles(c), 2), (1, 1)), m), ingest.contig_lengths(s))).groupBy("contig_id", "a1", "b1", "nb1", "a2", "b2", "nb2").agg(F.sum("span").alias("bases"), F.count("*").alias("runs")), f"""{TWO_SITES}, sites AS (SELECT contig, pos, CASE WHEN z THEN 0 ELSE a1 END AS a1, CASE WHEN z THEN 0 ELSE b1 END AS b1, nb1, CASE WHEN z THEN 0 ELSE a2 END AS a2, CASE WHEN z THEN 0 ELSE b2 END AS b2, nb2 FROM (SELECT *, a1 = 1 AND a2 = 1 AND b1 = nb1 AND b2 = nb2 AS z FROM sites2)),
+lens AS (SELECT contig, max(pos) + 10 AS length, max(nb1) AS n1, max(nb2) AS n2 FROM sites GROUP BY 1),
+{MASKED.split('ev AS')[0].rstrip().rstrip(',')},
+base AS (SELECT contig, unnest(range(0, length)) AS i, n1, n2 FROM lens),
+seen AS (SELECT base.contig, i, CASE WHEN m.contig IS NOT NULL THEN -1 ELSE coalesce(s.a1, 0) END AS a1, CASE WHEN m.contig IS NOT NULL THEN 0 ELSE coalesce(s.b1, 0) END AS b1, CASE WHEN m.contig IS NOT NULL THEN 0 ELSE coalesce(s.nb1, n1) END AS nb1, CASE WHEN m.contig IS NOT NULL THEN -1 ELSE coalesce(s.a2, 0) END AS a2, CASE WHEN m.contig IS NOT NULL THEN 0 ELSE coalesce(s.b2, 0) END AS b2, CASE WHEN m.contig IS NOT NULL THEN 0 ELSE coalesce(s.nb2, n2) END AS nb2
+  FROM base LEFT JOIN sites s ON s.contig = base.contig AND s.pos = i + 1 LEFT JOIN mi m ON m.contig = base.contig AND m.a <= i AND i < m.b)
+SELECT contig AS contig_id, a1, b1, nb1, a2, b2, nb2, count(*) AS bases, count(*) FILTER (new) AS runs FROM (SELECT *, lag([a1, b1, nb1, a2, b2, nb2]) OVER (PARTITION BY contig ORDER BY i) IS DISTINCT FROM [a1, b1, nb1, a2, b2, nb2] AS new FROM seen) GROUP BY ALL""", mask=True)
 on_calls("missing_samples", lambda c: ingest.missing_samples(c.sparkSession.range(12).select(F.col("id").cast("int").alias("sid")), c.select("sid").distinct()), "SELECT CAST(i AS INT) AS sid FROM range(12) AS t(i) WHERE i NOT IN (SELECT sid FROM geno)")
 # spectra
 D = ", d AS (SELECT contig, pos, CAST(sum(coalesce(h0, 0) + coalesce(h1, 0)) AS BIGINT) AS d, CAST(sum((h0 IS NOT NULL)::INT + (h1 IS NOT NULL)::INT) AS BIGINT) AS n FROM geno GROUP BY 1, 2)"

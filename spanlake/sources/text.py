@@ -19,8 +19,12 @@ _ROW = (1 << 33) - 1
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session; where none is set, as in tests, in a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spanlake-")
+    """A new path in the shared folder of the session; where none is set, as in tests, in a temporary one, if all runs on one
+    machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="spanlake-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -72,11 +76,13 @@ def write_spans(spans: DataFrame, path: str, header: DataFrame | None = None, la
     rows.select("contig_id", "value").write.partitionBy("contig_id").option("compression", codec).text(path)
 
 
-def sample_list(text: str) -> tuple[str, list[str]]:
-    """``population:a,b,c``."""
+def sample_list(text: str, spark: SparkSession | None = None) -> tuple[str, list[str]]:
+    """``population:a,b,c``, or ``population:@file`` with a name on each line."""
     population, _, names = text.partition(":")
     if not population or not names:
-        raise ValueError("samples are given as population:name,name")
+        raise ValueError("samples are given as population:name,name or population:@file")
+    if names.startswith("@") and spark is not None:  # a list of samples, not data
+        return population, [r.value.strip() for r in spark.read.text(names[1:]).where("trim(value) <> ''").collect()]
     return population, names.split(",")
 
 
@@ -96,10 +102,14 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), alts.alias("alts"), calls.alias("calls"))
 
 
-def genotypes(variants: DataFrame, samples: list[str]) -> DataFrame:
-    """contig, pos, sid, h0, h1: 1 for any allele that is not the reference's, null for a missing one."""
+def genotypes(variants: DataFrame, samples: list[str], diploid: list[str] | None = None) -> DataFrame:
+    """contig, pos, sid, h0, h1: 1 for any allele that is not the reference's, null for a missing one. A call of other than
+    two alleles fails for a sample of ``diploid``."""
     rows = variants.select("contig", "pos", F.posexplode("calls").alias("_i", "_g")).withColumn("_h", F.split("_g", r"[|/]"))
     named = F.element_at(F.array(*map(F.lit, samples)), F.col("_i") + 1)
+    if diploid:
+        wrong = named.isin(diploid) & (F.size("_h") != 2)
+        rows = rows.withColumn("_h", F.when(wrong, F.raise_error(F.format_string("no diploid call at %s:%d", "contig", "pos"))).otherwise(F.col("_h")))
     allele = lambda k: F.when(F.get("_h", F.lit(k)) == ".", None).otherwise((F.get("_h", F.lit(k)) != "0").cast("int"))
     return rows.select("contig", "pos", named.alias("sid"), allele(0).alias("h0"), allele(1).alias("h1"))
 
@@ -126,4 +136,5 @@ def write_vcf(calls: DataFrame, path: str, samples: list, lengths: DataFrame) ->
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """contig, m_start, m_end (half open); further columns are not read."""
-    return spark.read.csv(path, sep="\t", comment="#", schema="contig string, m_start bigint, m_end bigint")
+    rows = spark.read.csv(path, sep="\t", comment="#", schema="contig string, m_start bigint, m_end bigint")
+    return rows.where("m_end is not null and not (contig rlike '^(track|browser)\\\\b')")

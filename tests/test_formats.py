@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.__main__ import main
-from spanlake.operators import spans
+from spanlake.operators import spans, splines
 from spanlake.plans.stages import Stages
 from spanlake.sources import formats
 from spanlake.streaming import runs
@@ -98,7 +98,49 @@ def test_convert(spark, tmp_path):
     head = ["##fileformat=VCFv4.2", "##contig=<ID=c,length=60>", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "s1", "s2"])]
     rows = ["\t".join(["c", str(p), ".", "A", "C", ".", ".", ".", "GT", x, y]) for p, x, y in ((10, "0/1", "0/0"), (30, "0|0", "1|1"), (45, "./.", "0/1"))]
     (tmp_path / "v.vcf").write_text("\n".join(head + rows) + "\n")
-    main(["convert", str(tmp_path / "v.vcf"), str(tmp_path / "o")], spark)
-    got = spark.read.parquet(str(tmp_path / "o")).orderBy("seq").collect()
-    seen = [(r.span, r.a1, r.b1, r.nb1) for r in got]
-    assert seen[:6] == [(9, 0, 0, 2), (1, 1, 0, 2), (19, 0, 0, 2), (1, 0, 2, 2), (14, 0, 0, 2), (1, -1, 1, 2)]
+    main(["convert", str(tmp_path / "v.vcf"), str(tmp_path / "o"), "p:s1,s2"], spark)
+    read = lambda n, *names: [tuple(r[x] for x in ("span", *(names or ("a1", "b1", "nb1")))) for r in spark.read.parquet(str(tmp_path / n)).orderBy("seq").collect()]
+    assert read("o") == [(9, 0, 0, 2), (1, 1, 0, 2), (19, 0, 0, 2), (1, 0, 2, 2), (14, 0, 0, 2), (1, -1, 1, 2), (15, 0, 0, 2)]
+    # the first record of a position counts; two populations; haploid calls and unknown samples are refused
+    more = rows[:2] + ["\t".join(["c", "30", ".", "A", "G", ".", ".", ".", "GT", "1|1", "1|1"])] + rows[2:]
+    (tmp_path / "w.vcf").write_text("\n".join(head + more) + "\n")
+    (tmp_path / "names").write_text("s2\n")
+    main(["convert", str(tmp_path / "w.vcf"), str(tmp_path / "o2"), "p:s1", f"q:@{tmp_path / 'names'}", "--distinguished", "s1", "s2", "--drop-first-last"], spark)
+    assert read("o2", "a1", "b1", "nb1", "a2", "b2", "nb2") == [(1, 0, 1, 1, 0, 0, 1), (19, 0, 0, 1, 0, 0, 1), (1, 0, 0, 1, 1, 1, 1), (14, 0, 0, 1, 0, 0, 1), (1, -1, 0, 0, 1, 0, 1)]
+    (tmp_path / "h.vcf").write_text("\n".join([*head, "\t".join(["c", "3", ".", "A", "C", ".", ".", ".", "GT", "1", "0/1"])]) + "\n")
+    with pytest.raises(Exception, match="no diploid call at c:3"):
+        main(["convert", str(tmp_path / "h.vcf"), str(tmp_path / "o3"), "p:s1,s2"], spark)
+    with pytest.raises(SystemExit):
+        main(["convert", str(tmp_path / "v.vcf"), str(tmp_path / "o4"), "p:s1,nobody"], spark)
+    main(["convert", str(tmp_path / "v.vcf"), str(tmp_path / "o5"), "p:s1,nobody", "--ignore-missing", "--length", "50"], spark)
+    assert read("o5")[-1] == (5, 0, 0, 0)
+
+
+def test_spline_rules_by_their_definitions():
+    h, line = np.array([1.0, 2.0, 0.5]), np.array([3.0, 3.0, 3.0])
+    for rule in (splines.monotone, splines.local):
+        assert np.allclose(rule(h, line), 3.0)  # a line stays a line
+    assert splines.monotone(h, np.array([1.0, -1.0, 2.0]))[1:3].tolist() == [0.0, 0.0]
+    x = np.array([0.0, 1.0, 3.0, 3.5, 5.0])
+    for y in (np.array([0.0, 0.1, 4.0, 4.01, 9.0]), np.array([5.0, 1.0, 0.9, 0.2, 0.0])):
+        v = splines.fit("pchip", x, y)(np.linspace(0, 5, 400))
+        assert (np.diff(v) * np.sign(y[-1] - y[0]) >= -1e-12).all()  # monotone data, monotone curve
+    bump = splines.fit("akima", np.arange(9.0), np.array([0, 0, 0, 0, 1, 0, 0, 0, 0.0]))
+    assert np.allclose(bump(np.r_[np.linspace(0, 2, 9), np.linspace(6, 8, 9)]), 0)  # an outlier stays local
+    parabola = splines.fit("akima", np.arange(6.0), np.arange(6.0) ** 2)
+    assert np.allclose(parabola(np.linspace(0, 5, 51)), np.linspace(0, 5, 51) ** 2)
+
+
+def test_basis_splines_and_common_knots():
+    x = [0.0, 0.5, 2.0, 3.0]
+    assert np.allclose(splines.basis(x, [2.0] * 6)(np.linspace(0, 3, 31)), 2)  # the basis sums to 1
+    t = np.r_[[0.0] * 3, x, [3.0] * 3]
+    line = [t[i + 1 : i + 4].mean() for i in range(6)]  # control points of the identity
+    assert np.allclose(splines.basis(x, line)(np.linspace(0, 3, 31)), np.linspace(0, 3, 31))
+    curve = splines.basis(x, [1.0, 3.0, -1.0, 0.5, 2.0, 1.0])
+    for k in (1, 2):  # twice differentiable at inner knots
+        d = [np.polynomial.polynomial.polyder(curve.c[k - 1], i) for i in range(3)]
+        assert np.allclose([np.polynomial.polynomial.polyval(x[k] - x[k - 1], q) for q in d], [curve.c[k, 0], curve.c[k, 1], 2 * curve.c[k, 2]])
+    a, b = splines.aligned(curve, splines.fit("akima", [0.0, 1.0, 3.0], [1.0, 2.0, 0.0]))
+    at = np.linspace(0, 3, 31)
+    assert a.x.tolist() == b.x.tolist() == [0.0, 0.5, 1.0, 2.0, 3.0] and np.allclose(a(at), curve(at))

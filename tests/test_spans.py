@@ -69,11 +69,82 @@ def test_quantiles_at_plotting_position(spark):
 def test_masks_and_gaps_cover_the_contig(spark):
     sites = spark.createDataFrame([("c", 3, 1, 0, 4), ("c", 8, 0, 1, 4)], "contig string, pos bigint, a1 int, b1 int, nb1 int")
     mask = spark.createDataFrame([("c", 6, 9), ("c", 5, 7)], "contig string, m_start bigint, m_end bigint")
-    lengths = spark.createDataFrame([("c", 12, 4)], "contig string, length bigint, n int")
+    lengths = spark.createDataFrame([("c", 12, 4)], "contig string, length bigint, n1 int")
     got = ingest.gap_fill(ingest.events(sites, mask), lengths).orderBy("seq").collect()
     assert [(r.seq, r.span, r.a1) for r in got] == [(0, 2, 0), (2, 1, 1), (3, 2, 0), (5, 4, -1), (9, 3, 0)]
 
 
+def written(events, length, quiet, cutoff, skip):
+    """What a writer gives that goes over the events in order: (span, counts)."""
+    out, last, first = [], 0, True
+
+    def write(span, counts):
+        nonlocal first
+        if not (first and skip) and span > 0:
+            out.append((span, counts))
+        first = False
+
+    missing = tuple(-1 if i % 3 == 0 else 0 for i in range(len(quiet)))
+    for a, b, counts in events:
+        if counts is None:
+            write(a - last, quiet)
+            write(b - a, missing)
+        else:
+            if a > last:
+                write(a - last, missing if cutoff is not None and a - last > cutoff else quiet)
+            write(1, counts)
+        last = b
+    if not skip:
+        write(length - last, quiet)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gaps_against_a_writer(spark, seed):
+    rng = np.random.default_rng(seed)
+    cuts = np.sort(rng.choice(np.arange(1, 90), 8, replace=False)).tolist()
+    mask = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    positions = sorted({1 if seed == 1 else 50, *rng.choice(np.arange(1, 100), 9).tolist()})
+    sites = [(p, tuple(int(x) for x in (rng.integers(-1, 2), rng.integers(0, 3), 4, rng.integers(0, 2), rng.integers(0, 2), 3))) for p in positions]
+    left = [(p - 1, p, c) for p, c in sites if not any(a <= p - 1 < b for a, b in mask)]
+    events = sorted([*left, *[(a, b, None) for a, b in mask]], key=lambda e: e[0])
+    names = ["a1", "b1", "nb1", "a2", "b2", "nb2"]
+    table = spark.createDataFrame([("c", p, *c) for p, c in sites], "contig string, pos bigint, " + ", ".join(f"{n} int" for n in names))
+    masks = spark.createDataFrame([("c", a, b) for a, b in mask], "contig string, m_start bigint, m_end bigint")
+    lengths = spark.createDataFrame([("c", 120, 4, 3), ("empty", 7, 4, 3)], "contig string, length bigint, n1 int, n2 int")
+    for cutoff in (None, 5):
+        for skip in (False, True):
+            rows = ingest.gap_fill(ingest.events(table, masks), lengths, cutoff, skip).orderBy("contig_id", "seq").collect()
+            got = [(r.span, tuple(r[n] for n in names)) for r in rows if r.contig_id == "c"]
+            assert got == written(events, 120, (0, 0, 4, 0, 0, 3), cutoff, skip), (cutoff, skip)
+            assert [r.span for r in rows if r.contig_id == "empty"] == ([] if skip else [7])
+
+
+def test_validation_against_a_loop(spark):
+    """Two populations; edge rows and random ones."""
+    rng = np.random.default_rng(6)
+    rows = [(1, -1, 4, 4, -1, 3, 3), (1, 1, 4, 4, 1, 3, 3), (1, -1, 0, 0, -1, 0, 0), (1, 1, 0, 5, 1, 0, 0), (5, 1, 5, 4, 0, 0, 0), (0, 0, 0, 4, 0, 0, 3), (1, 2, 0, 4, 0, 0, 3), (1, -1, 4, 4, 1, 3, 3)]
+    rows += [tuple(int(x) for x in (rng.integers(0, 4), rng.integers(-1, 3), rng.integers(0, 5), rng.integers(0, 5), rng.integers(-1, 3), rng.integers(0, 4), rng.integers(0, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "contig_id bigint, seq bigint, span int, a1 int, b1 int, nb1 int, a2 int, b2 int, nb2 int")
+
+    def zeroed(r):
+        s, a1, b1, n1, a2, b2, n2 = r
+        pair = (a1, a2) == (1, 1) or (a1, a2) == (-1, -1)
+        return (s, a1, 0, n1, a2, 0, n2) if pair and b1 == n1 and b2 == n2 and max(n1, n2) > 0 else r
+
+    got = [tuple(r)[2:] for r in spans.unfounded(df, (1, 1)).orderBy("seq").collect()]
+    assert got == [zeroed(r) for r in rows]
+    for strict in (True, False):
+        bad = lambda r: r[0] <= 0 or (strict or r[0] == 1) and (r[1] > 1 or r[4] > 1 or r[2] > r[3] or r[5] > r[6] or r[3] > 4 or r[6] > 3)
+        assert {r.seq for r in spans.bad_rows(df, (1, 1), (4, 3), strict).collect()} == {i for i, r in enumerate(rows) if bad(r)}
+    fine = df.where("seq in (0, 1, 2)")
+    assert [r.b1 for r in spans.validate(fine, (1, 1), (4, 3)).orderBy("seq").collect()] == [0, 0, 0]
+    with pytest.raises(Exception, match="invalid span row"):
+        spans.validate(df, (1, 1)).collect()
+    with pytest.raises(ValueError):
+        spans.required(df.where("false"), "rows")
+
+
 def test_runs_equal_unit_rows():
     steps = demography.Steps(np.array([0.0, 0.5]), np.array([1.0, 0.4]))
     keys = [(-1, 0, 0), (0, 0, 4), (1, 0, 4)]
@@ -105,6 +176,7 @@ def test_demographic_kernels():
     for i in range(1, 40):
         term = term @ rate / i
         q = q + term
+    assert np.allclose(got, q)
     assert np.allclose(demography.transition(steps, states, 0.1).sum(1), 1)
 
 
