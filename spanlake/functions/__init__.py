@@ -71,17 +71,33 @@ def erfc(x: Column) -> Column:
     return 1 - erf(x)
 
 
+def _lifted(x: Column) -> Column:
+    """x moved up by whole steps to 8 at least."""
+    return x + F.greatest(F.lit(0.0), F.ceil(8 - x).cast("double"))
+
+
 def lgamma(x: Column) -> Column:
     """ln of the gamma function for x > 0: the recurrence up to 8, then Stirling's series."""
-    low = F.lit(0.0)
-    y = x
-    for _ in range(8):
-        low = low + F.when(y < 8, F.log(y)).otherwise(0.0)
-        y = F.when(y < 8, y + 1).otherwise(y)
+    low, y = F.lit(0.0), _lifted(x)
+    for i in range(8):
+        low = low + F.when(x + i < 8, F.log(x + i)).otherwise(0.0)
     series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     return series - low
 
 
+def lbeta(x: Column, y: Column) -> Column:
+    """ln of the beta function for positive numbers."""
+    return lgamma(x) + lgamma(y) - lgamma(x + y)
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of lgamma for x > 0: the recurrence up to 8, then its series."""
+    low, y = F.lit(0.0), _lifted(x)
+    for i in range(8):
+        low = low + F.when(x + i < 8, 1 / (x + i)).otherwise(0.0)
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - low
+
+
 def gamma(x: Column) -> Column:
     return F.exp(lgamma(x))
 

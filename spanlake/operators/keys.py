@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,46 @@ def folded(keys: DataFrame, na: int = 2) -> DataFrame:
     return keys.withColumns({"fa": F.when(F.col("a1") < 0, F.col("a1")).otherwise(na - F.col("a1")), "fb": F.col("nb1") - F.col("b1")})
 
 
+def folded_inside(keys: DataFrame, na: tuple[int, ...] = (2,)) -> DataFrame:
+    """The other rule of exchange: a pair that is seen is exchanged, a sample only if some but not all of it is derived."""
+    out = {}
+    for p, n in enumerate(na, 1):
+        a, b, nb = F.col(f"a{p}"), F.col(f"b{p}"), F.col(f"nb{p}")
+        out |= {f"fa{p}": F.when(a >= 0, n - a).otherwise(a), f"fb{p}": F.when((b > 0) & (b < nb), nb - b).otherwise(b)}
+    return keys.withColumns(out)
+
+
+def sampled(keys: DataFrame) -> DataFrame:
+    """n: the undistinguished lineages that a key sees, over all populations."""
+    columns = [c for c in keys.columns if c.startswith("nb")]
+    return keys.withColumn("n", reduce(lambda x, y: x + y, [F.col(c) for c in columns]))
+
+
+def most_sampled(df: DataFrame) -> DataFrame:
+    """The largest sample, and the values that the pair takes, of each population."""
+    pops = [c[1:] for c in df.columns if c[0] == "a" and c[1:].isdigit()]
+    aggregates = [x for p in pops for x in (F.max(f"nb{p}").alias(f"n{p}"), F.array_sort(F.collect_set(f"a{p}")).alias(f"values{p}"))]
+    return df.agg(*aggregates)
+
+
+def cross(keys: DataFrame, n: tuple[int, ...], na: tuple[int, ...]) -> DataFrame:
+    """Keys of several populations as mixtures of full keys: the bins of each population (every value of a missing pair,
+    hypergeometric weights of its sample) in all combinations, with the product of their weights."""
+    out = keys
+    for p, (size, pair) in enumerate(zip(n, na, strict=True), 1):
+        own = keys.select(*[F.col(f"{x}{p}").alias(f"{x}1") for x in ("a", "b", "nb")]).distinct()
+        bins = marginalise(own, size).withColumn("to", F.explode(F.when(F.col("a1") < 0, F.sequence(F.lit(0), F.lit(pair))).otherwise(F.array("a1"))))
+        bins = bins.select(*[F.col(f"{x}1").alias(f"{x}{p}") for x in ("a", "b", "nb")], F.col("to").alias(f"to_a{p}"), F.col("full").alias(f"to_b{p}"), F.col("weight").alias(f"_w{p}"))
+        out = out.join(bins, [f"{x}{p}" for x in ("a", "b", "nb")])
+    weight = reduce(lambda x, y: x * y, [F.col(f"_w{p}") for p in range(1, len(n) + 1)])
+    return out.withColumn("weight", weight).drop(*[f"_w{p}" for p in range(1, len(n) + 1)])
+
+
+def for_population(df: DataFrame, p: int) -> DataFrame:
+    """The span rows of one population of several, as rows of one."""
+    return df.select("contig_id", "seq", "span", *[F.col(f"{x}{p}").alias(f"{x}1") for x in ("a", "b", "nb")])
+
+
 def expand_missing(keys: DataFrame, na: int = 2) -> DataFrame:
     """A missing pair stands for every number of derived alleles."""
     all_ = F.when(F.col("a1") < 0, F.sequence(F.lit(0), F.lit(na))).otherwise(F.array("a1"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanlake.plans import queries
+from spanlake.plans import more as queries
 
 SF = "/root/testdata/sf0.001"
 
