@@ -5,13 +5,17 @@ power of its key's step matrix, by an eigendecomposition, so spans are never exp
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import positions
+
 Key = tuple[int, int, int]
 
 
@@ -40,69 +44,181 @@ def _power_sums(d: np.ndarray, s: int) -> np.ndarray:
     return np.where(close, s * ((d[:, None] + d[None, :]) / 2) ** (s - 1), (ds[:, None] - ds[None, :]) / np.where(close, 1, gap))
 
 
-def forward_backward(rows: list[tuple[int, Key]], model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood, posterior mass of each row (n x M, rows sum to their spans), expected transitions, and the posterior
-    of the state before the first base."""
-    m, t = len(model.pi), model.transition
-    alphas, scales, a = [model.pi], [], model.pi
-    for s, key in rows:
+def _steps(rows: list[tuple[int, Key]], model: Model) -> tuple[list[int], list[tuple[int, Key]], list[np.ndarray], np.ndarray]:
+    """For each row the number of its (span, key); those pairs; the scaled step matrix of each, and the logs of the scales."""
+    number: dict[tuple[int, Key], int] = {}
+    which = [number.setdefault(r, len(number)) for r in rows]
+    matrices, scales = [], []
+    for s, key in number:
         d, p, inv, top = model.eigen(key)
-        x = (p @ ((d / top) ** s * (inv @ a))).real
+        matrices.append(((p * (d / top) ** s) @ inv).real)
+        scales.append(s * np.log(top))
+    return which, list(number), matrices, np.array(scales)
+
+
+def forward_backward(rows: list[tuple[int, Key]], model: Model, start: np.ndarray | None = None, finish: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, posterior mass of each row (n x M, rows sum to their spans), expected transitions, and the posterior
+    of the state before the first base. For a block within a sequence, ``start`` is the forward vector before it and
+    ``finish`` the backward vector after it.
+
+    Vectors go from row to row by real matrices, one for each (span, key); what a row adds is made for all rows of a
+    (span, key) together."""
+    m, t, n = len(model.pi), model.transition, len(rows)
+    which, pairs, matrices, scales = _steps(rows, model)
+    alphas, betas, loglik = np.empty((n + 1, m)), np.empty((n + 1, m)), float(scales[which].sum()) if n else 0.0
+    alphas[0] = a = model.pi if start is None else start
+    for i, w in enumerate(which):
+        x = matrices[w] @ a
         c = x.sum()
-        scales.append(np.log(c) + s * np.log(top))
+        loglik += np.log(c)
         a = np.maximum(x / c, 0)
-        alphas.append(a)
-    gamma, xi, b = np.zeros((len(rows), m)), np.zeros((m, m)), np.ones(m)
-    for i in range(len(rows) - 1, -1, -1):
-        s, key = rows[i]
-        e = model.emission[key]
-        d, p, inv, top = model.eigen(key)
-        dn = d / top
-        inner = (inv @ np.outer(alphas[i], b) @ p) * _power_sums(dn, s)
-        raw = (p @ inner @ inv).real  # sum over steps of alpha_before beta_after', in scaled units
-        moves = t * (raw * e[None, :] / top)
-        total = moves.sum()
-        xi += np.maximum(moves, 0) * (s / total)
-        gamma[i] = np.maximum(moves.sum(0), 0) * (s / total)
-        b = (inv.T @ (dn**s * (p.T @ b))).real
+        alphas[i + 1] = a
+    betas[n] = b = np.ones(m) if finish is None else finish
+    turned = [x.T.copy() for x in matrices]
+    for i in range(n - 1, -1, -1):
+        b = turned[which[i]] @ b
         b = np.maximum(b / b.max(), 0)
-    first = alphas[0] * b
-    return float(np.sum(scales)), gamma, xi, first / first.sum()
-
-
-def posterior(spans: DataFrame, model: Model) -> DataFrame:
-    """contig_id, seq, start, span and gamma, the state probabilities of each run."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        rows = [(int(s), (a, b, n)) for s, a, b, n in pdf[["span", "a1", "b1", "nb1"]].itertuples(index=False)]
-        gamma = forward_backward(rows, model)[1]
-        gamma = gamma / gamma.sum(1, keepdims=True)
-        start = pdf["span"].cumsum() - pdf["span"]
-        return pd.DataFrame({"contig_id": pdf["contig_id"], "seq": pdf["seq"], "start": start.astype("int64"), "span": pdf["span"].astype("int64"), "gamma": list(gamma)})
-
-    return spans.groupBy("contig_id").applyInPandas(run, "contig_id bigint, seq bigint, start bigint, span bigint, gamma array<double>")
-
-
-def statistics(spans: DataFrame, model: Model) -> DataFrame:
-    """Sufficient statistics of each contig in long form: kind (loglik, first, gamma, xi), key, i, j, value."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keys = list(pdf[["a1", "b1", "nb1"]].itertuples(index=False, name=None))
-        rows = [(int(s), k) for s, k in zip(pdf["span"], keys, strict=True)]
-        ll, gamma, xi, first = forward_backward(rows, model)
-        out = [("loglik", "", 0, 0, ll)] + [("first", "", i, 0, v) for i, v in enumerate(first)]
-        sums: dict[Key, np.ndarray] = {}
-        for k, g in zip(keys, gamma, strict=True):
-            sums[k] = sums.get(k, 0) + g
-        out += [("gamma", ",".join(map(str, k)), i, 0, v) for k, g in sums.items() for i, v in enumerate(g)]
+        betas[i] = b
+    gamma, xi, at = np.zeros((n, m)), np.zeros((m, m)), np.array(which, int)
+    for w, (s, key) in enumerate(pairs):
+        d, p, inv, top = model.eigen(key)
+        dn, mine = d / top, np.flatnonzero(at == w)
+        sums, scaled = _power_sums(dn, s), t * model.emission[key][None, :] / top
+        for some in np.array_split(mine, -(-len(mine) // 4096)):
+            inner = (alphas[some] @ inv.T)[:, :, None] * (betas[some + 1] @ p)[:, None, :] * sums
+            moves = (p @ inner @ inv).real * scaled  # sum over steps of alpha_before beta_after', in scaled units
+            moves *= (s / moves.sum((1, 2)))[:, None, None]
+            moves = np.maximum(moves, 0)
+            xi += moves.sum(0)
+            gamma[some] = moves.sum(1)
+    first = alphas[0] * betas[0]
+    return loglik, gamma, xi, first / first.sum()
+
+
+#: Contigs of more rows are cut into blocks of so many, which are worked on side by side.
+BLOCK = 16_384
+_SPAN = ["contig_id", "seq", "span", "a1", "b1", "nb1"]
+
+
+def _rows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, Key]]]:
+    pdf = pdf.sort_values("seq")
+    return pdf, list(zip(pdf["span"].astype(int).tolist(), zip(*[pdf[c].astype(int).tolist() for c in ("a1", "b1", "nb1")], strict=True), strict=True))
+
+
+def _blocks(spans: DataFrame, size: int) -> DataFrame:
+    """Rows with ``block``, which grows along a contig: ranges of (contig_id, seq) cut every ``size`` rows, written once as
+    both passes must see the same ones. No task holds a contig."""
+    from ..sources.text import scratch
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, contig, n = TaskContext.get().partitionId(), None, 0
+        for pdf in batches:
+            block = np.empty(len(pdf), np.int64)
+            for i, c in enumerate(pdf["contig_id"].tolist()):
+                n = n + 1 if c == contig else 0
+                contig = c
+                block[i] = part << 32 | n // size
+            yield pdf.assign(block=block)
+
+    path = scratch(spans.sparkSession, "blocks")
+    ordered = spans.selectExpr("CAST(contig_id AS BIGINT) AS contig_id", "CAST(seq AS BIGINT) AS seq", "CAST(span AS BIGINT) AS span", *[f"CAST({c} AS INT) AS {c}" for c in _SPAN[3:]])
+    ordered = ordered.repartitionByRange("contig_id", "seq").sortWithinPartitions("contig_id", "seq")
+    schema = "contig_id bigint, seq bigint, span bigint, a1 int, b1 int, nb1 int, block bigint"
+    ordered.mapInPandas(cut, schema).write.parquet(path)
+    return spans.sparkSession.read.schema(schema).parquet(path)
+
+
+def _edges(blocks: DataFrame, model: Model) -> DataFrame:
+    """contig_id, block, loglik, start, finish: the forward vector before each block and the backward vector after it. A block
+    is one matrix; only these meet, contig by contig."""
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        sorted_, rows = _rows_of(pdf)
+        which, _, matrices, scales = _steps(rows, model)
+        whole, scale = np.eye(len(model.pi)), float(scales[which].sum())
+        for w in which:
+            whole = matrices[w] @ whole
+            top = whole.max()
+            whole, scale = whole / top, scale + np.log(top)
+        return pd.DataFrame({"contig_id": sorted_["contig_id"].iloc[:1], "block": sorted_["block"].iloc[:1], "matrix": [whole.ravel().tolist()], "scale": [scale]})
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        matrices = [np.array(x).reshape(len(model.pi), -1) for x in pdf["matrix"]]
+        a, b, starts, finishes, loglik = model.pi, np.ones(len(model.pi)), [], [], []
+        for x, scale in zip(matrices, pdf["scale"], strict=True):
+            starts.append(a)
+            a = np.maximum(x @ a, 0)
+            loglik.append(scale + np.log(a.sum()))
+            a = a / a.sum()
+        for x in reversed(matrices):
+            finishes.append(b)
+            b = np.maximum(x.T @ b, 0)
+            b = b / b.max()
+        return pd.DataFrame({"contig_id": pdf["contig_id"], "block": pdf["block"], "loglik": loglik, "start": starts, "finish": finishes[::-1]})
+
+    products = blocks.groupBy("contig_id", "block").applyInPandas(product, "contig_id bigint, block bigint, matrix array<double>, scale double")
+    return products.groupBy("contig_id").applyInPandas(scan, "contig_id bigint, block bigint, loglik double, start array<double>, finish array<double>")
+
+
+def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple, bool], pd.DataFrame], schema: str, size: int) -> DataFrame:
+    """``use`` of each contig's, or block's, rows with what forward_backward gives, and whether a contig begins there."""
+    most = spans.groupBy("contig_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= size:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, rows = _rows_of(pdf)
+            return use(pdf, forward_backward(rows, model), True)
+
+        return spans.select(*_SPAN).groupBy("contig_id").applyInPandas(whole, schema)
+    blocks = _blocks(spans, size)
+    edges = _edges(blocks, model)
+    first = edges.groupBy("contig_id").agg(F.min("block").alias("block")).withColumn("first", F.lit(True))
+    edges = edges.drop("loglik").join(first, ["contig_id", "block"], "left")
+
+    def part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pdf, rows = _rows_of(left)
+        return use(pdf, forward_backward(rows, model, np.array(right["start"].iloc[0]), np.array(right["finish"].iloc[0])), right["first"].iloc[0] is True or right["first"].iloc[0] == True)  # noqa: E712
+
+    return blocks.groupBy("contig_id", "block").cogroup(edges.groupBy("contig_id", "block")).applyInPandas(part, schema)
+
+
+def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+    """contig_id, seq, span and gamma, the state probabilities of each run; start, where spans have it."""
+    placed = positions(spans)
+
+    def run(pdf: pd.DataFrame, found: tuple, _: bool) -> pd.DataFrame:
+        gamma = found[1] / found[1].sum(1, keepdims=True)
+        return pd.DataFrame({"contig_id": pdf["contig_id"], "seq": pdf["seq"], "span": pdf["span"].astype("int64"), "gamma": list(gamma)})
+
+    found = _applied(spans, model, run, "contig_id bigint, seq bigint, span bigint, gamma array<double>", size)
+    return found.join(placed.select("contig_id", "seq", "start"), ["contig_id", "seq"]).select("contig_id", "seq", "start", "span", "gamma")
+
+
+def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+    """contig_id and loglik."""
+    stats = statistics(spans, model, size).where("kind = 'loglik'")
+    return stats.groupBy("contig_id").agg(F.sum("value").alias("loglik"))
+
+
+def statistics(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+    """Sufficient statistics of each contig in long form: kind (loglik, first, gamma, xi), key, i, j, value; of each block
+    of it, where a contig is cut."""
+
+    def run(pdf: pd.DataFrame, found: tuple, begins: bool) -> pd.DataFrame:
+        ll, gamma, xi, first = found
+        out = [("loglik", "", 0, 0, ll)] + ([("first", "", i, 0, v) for i, v in enumerate(first)] if begins else [])
+        keys = pdf["a1"].astype(str) + "," + pdf["b1"].astype(str) + "," + pdf["nb1"].astype(str)
+        names, which = np.unique(keys.to_numpy(str), return_inverse=True)
+        sums = np.zeros((len(names), gamma.shape[1]))
+        np.add.at(sums, which, gamma)
+        out += [("gamma", str(k), i, 0, v) for k, g in zip(names, sums, strict=True) for i, v in enumerate(g)]
         out += [("xi", "", i, j, xi[i, j]) for i in range(len(xi)) for j in range(len(xi))]
         frame = pd.DataFrame(out, columns=["kind", "key", "i", "j", "value"])
         frame.insert(0, "contig_id", pdf["contig_id"].iloc[0])
         return frame
 
-    return spans.groupBy("contig_id").applyInPandas(run, "contig_id bigint, kind string, key string, i int, j int, value double")
+    return _applied(spans, model, run, "contig_id bigint, kind string, key string, i int, j int, value double", size)
 
 
 def reduced(stats: DataFrame) -> DataFrame:

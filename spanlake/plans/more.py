@@ -130,3 +130,49 @@ SCALARS = {
 _digits = {"digamma": 3, "erf": 6}
 on_spans("scalar_functions", lambda df: df.select("span").distinct().select("span", *[(e if n == "isinf" else F.round(e, _digits.get(n, 6))).alias(n) for n, (make, _) in SCALARS.items() for e in [make(F.col("span") / 16.0)]]),
          ", v AS (SELECT DISTINCT span, span / 16.0::DOUBLE AS x FROM spans) SELECT span, " + ", ".join(f"({q}) AS \"{n}\"" if n == "isinf" else f"round(CAST({q} AS DOUBLE), {_digits.get(n, 6)}) AS \"{n}\"" for n, (_, q) in SCALARS.items()) + " FROM v")
+
+
+# inference: the forward pass base by base, from the model's numbers
+def _forward(model) -> str:
+    """Log likelihood of each contig: a reduction over its bases that carries the scaled forward vector."""
+    known = list(model.emission)
+    vector = lambda x: "[" + ", ".join(repr(float(v)) for v in x) + "]"
+    into = "[" + ", ".join(vector(c) for c in model.transition.T) + "]"
+    seen = "[" + ", ".join(vector(model.emission[k]) for k in known) + "]"
+    named = ", ".join(f"({i}, {a}, {b}, {n})" for i, (a, b, n) in enumerate(known, 1))
+    return f"""WITH {SPANS_SQL}, known AS (SELECT * FROM (VALUES {named}) AS v(k, a1, b1, nb1)),
+bases AS (SELECT contig_id, seq, k, unnest(range(span)) AS u FROM spans JOIN known USING (a1, b1, nb1)),
+chains AS (SELECT contig_id, list({{'k': k, 'v': {vector(model.pi)}, 'll': 0.0::DOUBLE}} ORDER BY seq, u) AS xs FROM bases GROUP BY 1)
+SELECT contig_id, round(list_reduce(list_prepend({{'k': 0, 'v': {vector(model.pi)}, 'll': 0.0::DOUBLE}}, xs), lambda x, y:
+  list_transform([list_transform(range(1, {len(model.pi) + 1}), lambda j: list_extract(list_extract({seen}, y.k), j) * list_dot_product(x.v, list_extract({into}, j)))],
+    lambda r: {{'k': y.k, 'v': list_transform(r, lambda z: z / list_sum(r)), 'll': x.ll + ln(list_sum(r))}})[1]).ll, 6) AS loglik FROM chains"""
+
+
+SQL["hmm_loglik"] = _forward(base._pair_model(None))
+SQL["sample_loglik"] = _forward(base.sample_model([(a, b, n) for a in (-1, 0, 1, 2) for n in (0, 4) for b in range(n + 1)]))
+
+
+def _posterior(model) -> str:
+    """post: the state probabilities at each base of a contig, by a recursion from either end."""
+    known, m = list(model.emission), len(model.pi)
+    vector = lambda x: "[" + ", ".join(repr(float(v)) for v in x) + "]"
+    rows = lambda xs: "[" + ", ".join(map(vector, xs)) + "]"
+    named = ", ".join(f"({i}, {a}, {b}, {n})" for i, (a, b, n) in enumerate(known, 1))
+    norm = lambda x: f"list_transform([{x}], lambda r: list_transform(r, lambda z: z / list_sum(r)))[1]"
+    ahead = f"list_transform(range(1, {m + 1}), lambda j: list_extract(list_extract({rows(model.emission[k] for k in known)}, b.k), j) * list_dot_product(v, list_extract({rows(model.transition.T)}, j)))"
+    back = f"list_transform(range(1, {m + 1}), lambda i: list_dot_product(list_transform(range(1, {m + 1}), lambda j: list_extract(list_extract({rows(model.emission[k] for k in known)}, b.k), j) * w[j]), list_extract({rows(model.transition)}, i)))"
+    return f"""WITH RECURSIVE {SPANS_SQL}, known AS (SELECT * FROM (VALUES {named}) AS v(k, a1, b1, nb1)),
+units AS (SELECT contig_id, seq, k, unnest(range(span)) AS u FROM spans JOIN known USING (a1, b1, nb1)),
+bases AS MATERIALIZED (SELECT contig_id, seq, k, row_number() OVER (PARTITION BY contig_id ORDER BY seq, u) AS t FROM units), ends AS (SELECT contig_id, max(t) AS n FROM bases GROUP BY 1),
+f(contig_id, t, v) AS (SELECT contig_id, CAST(0 AS BIGINT), {vector(model.pi)} FROM ends UNION ALL SELECT b.contig_id, b.t, {norm(ahead)} FROM f JOIN bases b ON b.contig_id = f.contig_id AND b.t = f.t + 1),
+g(contig_id, t, w) AS (SELECT contig_id, n, list_transform(range({m}), lambda i: 1.0::DOUBLE) FROM ends UNION ALL SELECT b.contig_id, b.t - 1, {norm(back)} FROM g JOIN bases b ON b.contig_id = g.contig_id AND b.t = g.t),
+post AS (SELECT b.contig_id, b.seq, b.k, b.t, unnest(range({m})) AS m, unnest(list_transform(range(1, {m + 1}), lambda j: v[j] * w[j] / list_dot_product(v, w))) AS p FROM bases b JOIN f USING (contig_id, t) JOIN g USING (contig_id, t))"""
+
+
+POSTERIOR = _posterior(base._pair_model(None))
+SQL["gamma_sums"] = f"{POSTERIOR} SELECT a1 || ',' || b1 || ',' || nb1 AS key, CAST(m AS INT) AS i, round(sum(p), 6) AS mass FROM post JOIN known USING (k) GROUP BY ALL"
+SQL["occupancy_perplexity"] = f"""{POSTERIOR}, o AS (SELECT CAST(m AS INT) AS state, sum(p) / (SELECT sum(p) FROM post) AS occupancy FROM post GROUP BY 1)
+SELECT state, round(occupancy, 6) AS occupancy, round((SELECT exp(-sum(occupancy * ln(occupancy))) FROM o), 6) AS perplexity FROM o"""
+SQL["hmm_posterior"] = f"""{POSTERIOR}, l AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY contig_id, m ORDER BY t) = k THEN 0 ELSE 1 END AS new FROM post),
+r AS (SELECT *, sum(new) OVER (PARTITION BY contig_id, m ORDER BY t) AS run FROM l)
+SELECT contig_id, min(seq) AS seq, min(t) - 1 AS start, count(*) AS span, CAST(m AS INT) AS m, round(avg(p), 6) AS p FROM r GROUP BY contig_id, m, run"""

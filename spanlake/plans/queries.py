@@ -247,7 +247,7 @@ on_calls("vcf_text_roundtrip", _vcf_text, f"{SITES} SELECT * FROM sites")
 
 
 # inference; no SQL counterpart but for the weaker check of rows
-def _pair_model(spark_df: DataFrame):
+def _pair_model(_: DataFrame | None):
     from ..operators import demography as dm
 
     known = [(a, b, n) for a in (-1, 0, 1, 2) for n in (0, 4) for b in range(n + 1)]
@@ -261,10 +261,17 @@ def _stats(df: DataFrame) -> DataFrame:
     return hmm.statistics(spans.compress(df), _pair_model(df))
 
 
+def hmm_loglik(df: DataFrame) -> DataFrame:
+    from ..operators import hmm
+
+    return hmm.logliks(spans.compress(df), _pair_model(df))
+
+
 def _posterior(df: DataFrame) -> DataFrame:
     from ..operators import hmm
 
-    return hmm.posterior(spans.compress(df), _pair_model(df)).select("contig_id", "seq", "start", "span", F.transform("gamma", lambda x: F.round(x, 6)).alias("gamma"))
+    found = hmm.posterior(spans.compress(df), _pair_model(df))
+    return rounded(found.select("contig_id", "seq", "start", "span", F.posexplode("gamma").alias("m", "p")), "p")
 
 
 def _perplexity(df: DataFrame) -> DataFrame:
@@ -273,17 +280,20 @@ def _perplexity(df: DataFrame) -> DataFrame:
     return rounded(hmm.perplexity(_stats(df)), "occupancy", "perplexity")
 
 
-on_spans("hmm_loglik", lambda df: rounded(_stats(df).where("kind = 'loglik'").select("contig_id", F.col("value").alias("loglik")), "loglik"))
+on_spans("hmm_loglik", lambda df: rounded(hmm_loglik(df), "loglik"))
 on_spans("hmm_posterior", _posterior)
 on_spans("gamma_sums", lambda df: rounded(_stats(df).where("kind = 'gamma'").groupBy("key", "i").agg(F.sum("value").alias("mass")), "mass"))
 on_spans("occupancy_perplexity", _perplexity)
 
 
 def _sample_model(df: DataFrame):
+    return sample_model([(r.a1, r.b1, r.nb1) for r in keys.distinct(df).collect()])  # at most a few for each number of samples
+
+
+def sample_model(known: list[tuple[int, int, int]]):
     from ..operators import conditioned
     from ..operators import demography as dm
 
-    known = [(r.a1, r.b1, r.nb1) for r in keys.distinct(df).collect()]  # at most a few for each number of samples
     steps = dm.Steps(dm.np.array([0.0, 0.2, 1.0]), dm.np.array([1.0, 0.3, 2.0]))
     return conditioned.sample_model(steps, steps.balanced(8), 0.05, 0.02, known)
 
@@ -291,8 +301,7 @@ def _sample_model(df: DataFrame):
 def _sample_loglik(df: DataFrame) -> DataFrame:
     from ..operators import hmm
 
-    stats = hmm.statistics(spans.compress(df), _sample_model(df))
-    return rounded(stats.where("kind = 'loglik'").select("contig_id", F.col("value").alias("loglik")), "loglik")
+    return rounded(hmm.logliks(spans.compress(df), _sample_model(df)), "loglik")
 
 
 def _spectra(spark: SparkSession) -> DataFrame:

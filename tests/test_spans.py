@@ -163,6 +163,21 @@ def test_runs_equal_unit_rows():
     assert l1 == pytest.approx(loglik)
 
 
+def test_blocks_of_a_contig_give_the_same(spark):
+    steps = demography.Steps(np.array([0.0, 0.5]), np.array([1.0, 0.4]))
+    rng = np.random.default_rng(2)
+    keys = [(-1, 0, 0), (0, 0, 4), (1, 0, 4)]
+    model = demography.pair_model(steps, steps.balanced(5), 0.1, 0.05, keys)
+    rows = [(c, i, int(rng.integers(1, 40)), *keys[rng.integers(0, 3)]) for c, n in ((1, 300), (2, 7), (3, 41)) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    one, many = hmm.reduced(hmm.statistics(df, model)), hmm.reduced(hmm.statistics(df, model, 20))
+    a, b = ({(r.kind, r.key, r.i, r.j): r.value for r in x.collect()} for x in (one, many))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-8) for k in a)
+    a, b = ({(r.contig_id, r.seq): (r.start, r.gamma) for r in hmm.posterior(df, model, n).collect()} for n in (1000, 20))
+    assert a.keys() == b.keys() and len(a) == len(rows)
+    assert all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
+
+
 def test_demographic_kernels():
     steps = demography.Steps(np.array([0.0]), np.array([1.0]))
     assert steps.hazard(2.0) == 2.0 and steps.inverse(2.0) == 2.0
