@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import conditioned, demography, hmm, ingest, models, sampling, spans
+from .operators import conditioned, demography, hmm, ingest, measures, models, sampling, spans, splines
+from .operators import simulate as simulator
 from .sources import formats, text
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[tuple, dict]]]] = {}
@@ -70,40 +71,116 @@ def chunk(spark: SparkSession, args: argparse.Namespace) -> None:
     cut.write.parquet(args.out)
 
 
-def _fit(data, args: argparse.Namespace, penalty: float) -> tuple:
+def _prepared(data, args: argparse.Namespace, n: int):
+    """The chain before a fit: thinned, binned, recoded, compressed; contigs that tell nothing go."""
+    rows = spans.thin(data, args.thinning or spans.default_thinning(n)).withColumn("seq", F.col("start")).drop("start")
+    binned = spans.recode_monomorphic(spans.bin_observations(rows, args.bin)) if args.bin > 1 else rows
+    return spans.required(spans.drop_uninformative(spans.compress(spans.validate(spans.recode_monomorphic(binned)))), "no contig has a derived allele")
+
+
+def _states(data, args: argparse.Namespace, u: dict, start: float) -> list[float]:
+    """Hidden states at the quantiles of the pair's meeting times as windows show them, each within a factor of 3 of those of
+    a constant size; where rates do not differ, even shares of a constant size."""
+    w = args.rate_window or max(1, round(2 / (u["theta"] * start)))  # a few mutations a window
+    try:
+        many = 2 * args.knots
+        found = measures.meeting_quantiles(spans.mutation_rates(data, w), many, u["theta"], w)
+        even = -start * np.log1p(-np.geomspace(0.01, 0.99, many))  # windows without a mutation say little: not far from a constant size
+        states = [0.0, *np.unique(np.clip(found, even / 3, even * 3)).tolist(), np.inf]
+    except ValueError:
+        states = demography.Steps(np.zeros(1), np.array([start])).balanced(2 * args.knots)
+    return states
+
+
+SPLINES = (*splines.KINDS, "piecewise", "bspline")
+
+
+def _curve(kind: str, knots: list[float], last: float):
+    """Steps of the values at the knots, how many values there are, and their roughness."""
+    fine = [0.0, *np.geomspace(max(knots[0], 1e-4) / 2, last, 24).tolist()]
+    if kind == "bspline":
+        make = lambda y: splines.basis(knots, y)
+        return lambda y: demography.Steps(*map(np.array, splines.steps(make(y), fine))), len(knots) + 2, splines.control_roughness
+    if kind == "piecewise":
+        return lambda y: demography.Steps(np.array([0.0, *knots[1:]]), np.exp(y)), len(knots), demography.roughness
+    return lambda y: demography.Steps(*map(np.array, splines.steps(splines.fit(kind, knots, y), fine))), len(knots), lambda y: splines.fit(kind, knots, y).roughness()
+
+
+def _fit(spark, data, args: argparse.Namespace, penalty: float, folder: str | None = None) -> tuple:
+    """A fit, written round by round to ``folder`` where there is one, and taken up from there."""
+    data = spans.validate(spans.compress(data))
     u = models.units(args.mu, args.r)
-    knots = [0.0, *np.geomspace(0.02, 4.0, args.knots - 1).tolist()]
-    states = demography.Steps(np.zeros(1), np.ones(1)).balanced(2 * args.knots + 1)
-    found, history = demography.estimate(data, knots, states, u["theta"], u["rho"], args.em_iterations, penalty, build=conditioned.sample_model)
-    return found, history, states, u
+    n = data.agg(F.max("nb1")).first()[0] or 0
+    size = (spans.watterson(data).first()["theta"] or u["theta"]) / u["theta"]
+    states = _states(data, args, u, size)
+    knots = states[1:-1:2]
+    curve, many, rough = _curve(args.spline, knots, states[-2] * 2)
+    start, rho = None, u["rho"] * args.bin
+    if folder:
+        start = _resumed(spark, folder)
+    start = start or demography.Fit(np.full(many, np.log(size)), u["theta"] * args.bin, rho, [])
 
+    def keep(message: str, state: dict) -> None:
+        if folder and message in ("post M-step", "optimization finished"):
+            fit = state["fit"]
+            line = json.dumps({"round": len(fit.history), "y": fit.y.tolist(), "theta": fit.theta, "rho": fit.rho, "loglik": fit.history, "done": fit.done}, sort_keys=True)
+            spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(folder)
 
-FIT = (option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20))
+    found, history = demography.estimate(_prepared(data, args, n), knots, states, start.theta, rho, args.em_iterations, penalty, keep, conditioned.sample_model, start, args.r is None, args.multi, curve, rough)
+    return found, history, states, {**u, "rho": start.rho / args.bin, "knots": knots, "values": start.y}
+
+
+def _resumed(spark: SparkSession, folder: str):
+    """The last round that was written, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rounds = [json.loads(r.value) for r in spark.read.text(folder).collect()]  # a line a round
+    if not rounds:
+        return None
+    got = max(rounds, key=lambda r: (r["round"], r["done"]))
+    return demography.Fit(np.array(got["y"]), got["theta"], got["rho"], got["loglik"], got["done"])
+
+
+FIT = (option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20), option("--bin", type=int, default=100, help="bases a bin"), option("--thinning", type=int), option("--rate-window", type=int), option("--spline", choices=SPLINES, default="piecewise"), option("--multi", action="store_true", help="move all knots together"))
+
+
+def _json(found: demography.Steps, history: list[float], states: list[float], u: dict, kind: str) -> str:
+    model = {"class": "steps", "spline_class": kind, "N0": u["n0"], "knots": found.t.tolist(), "y": np.log(found.a).tolist(), "control": {"knots": list(u["knots"]), "y": list(map(float, u["values"]))}}
+    return json.dumps({"theta": u["theta"], "rho": u["rho"], "hidden_states": [x if np.isfinite(x) else "inf" for x in states], "model": model, "loglik": history}, sort_keys=True)
 
 
 @command(DATA, OUT, MU, RHO, *FIT, option("--penalty", type=float, default=0.0))
 def estimate(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Fit a step model; writes one JSON line."""
-    found, history, states, u = _fit(spark.read.parquet(args.spans), args, args.penalty)
-    model = {"class": "steps", "N0": u["n0"], "knots": found.t.tolist(), "y": np.log(found.a).tolist()}
-    line = json.dumps({**{k: u[k] for k in ("theta", "rho")}, "hidden_states": [x if np.isfinite(x) else "inf" for x in states], "model": model, "loglik": history}, sort_keys=True)
-    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(args.out)
+    """Fit a model; writes one JSON line. Rounds are kept in ``out``-rounds, and a run that was ended goes on from the last."""
+    found, history, states, u = _fit(spark, spark.read.parquet(args.spans), args, args.penalty, args.out + "-rounds")
+    spark.createDataFrame([(_json(found, history, states, u, args.spline),)], "value string").coalesce(1).write.text(args.out)
 
 
 @command(DATA, OUT, MU, RHO, *FIT, option("--folds", type=int, default=2), option("--penalties", type=float, nargs="+", default=[0.0, 1.0, 100.0]))
 def cv(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Log likelihood of each left-out fold under each penalty."""
+    """Log likelihood of each left-out fold under each penalty, in ``out``/scores, and the best model of each fold in
+    ``out``/best. Folds that are there already are not fitted again."""
     data = spark.read.parquet(args.spans)
     dealt = data.join(sampling.folds(data.select("contig_id").distinct(), args.folds), "contig_id")
-    out = []
     for fold in range(args.folds):
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{args.out}/best/fold={fold}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            continue
+        train, test = dealt.where(F.col("fold") != fold).drop("fold"), dealt.where(F.col("fold") == fold).drop("fold")
+        tested = spans.compress(spans.validate(test))
+        n = tested.agg(F.max("nb1")).first()[0] or 0
+        tested = _prepared(tested, args, n)
+        known = [tuple(r) for r in tested.select("a1", "b1", "nb1").distinct().collect()]
+        scores = []
         for penalty in args.penalties:
-            train, test = dealt.where(F.col("fold") != fold).drop("fold"), dealt.where(F.col("fold") == fold).drop("fold")
-            found, _, states, u = _fit(train, args, penalty)
-            known = [tuple(r) for r in test.select("a1", "b1", "nb1").distinct().collect()]
-            stats = hmm.reduced(hmm.statistics(test, conditioned.sample_model(found, states, u["theta"], u["rho"], known)))
-            out.append((fold, float(penalty), float(stats.where("kind = 'loglik'").first()["value"])))
-    spark.createDataFrame(out, "fold int, penalty double, loglik double").write.parquet(args.out)
+            found, history, states, u = _fit(spark, train, args, penalty)
+            model = conditioned.sample_model(found, states, u["theta"] * args.bin, u["rho"] * args.bin, known)
+            loglik = float(hmm.logliks(tested, model).agg(F.sum("loglik")).first()[0])
+            scores.append((fold, float(penalty), loglik, _json(found, history, states, u, args.spline)))
+        spark.createDataFrame([s[:3] for s in scores], "fold int, penalty double, loglik double").coalesce(1).write.mode("overwrite").parquet(f"{args.out}/scores/fold={fold}")
+        best = max(scores, key=lambda s: (s[2], -s[1]))
+        spark.createDataFrame([(best[1], best[2], best[3])], "penalty double, loglik double, model string").coalesce(1).write.mode("overwrite").parquet(f"{args.out}/best/fold={fold}")
 
 
 def _load(spark: SparkSession, path: str) -> tuple[demography.Steps, list[float], dict]:
@@ -118,7 +195,17 @@ def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
     model, states, got = _load(spark, args.model)
     data = spark.read.parquet(args.spans)
     known = [tuple(r) for r in data.select("a1", "b1", "nb1").distinct().collect()]
-    hmm.posterior(data, conditioned.sample_model(model, states, got["theta"], got["rho"], known)).write.parquet(args.out)
+    found = hmm.posterior(data, conditioned.sample_model(model, states, got["theta"], got["rho"], known))
+    found.withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
+
+
+@command(OUT, option("--history", choices=("constant", "human", "sawtooth"), default="constant"), option("--contigs", type=int, default=4), option("--length", type=int, default=1_000_000), option("--theta", type=float, default=1e-3), option("--rho", type=float, default=1e-3), option("--seed", type=int, default=0))
+def simulate(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Variant calls of one diploid sample under a built-in history, as text."""
+    times, sizes = ([0.0], [1.0]) if args.history == "constant" else models.stepped(getattr(models, args.history)())
+    sites = simulator.pairs(spark, demography.Steps(np.array(times), np.array(sizes)), args.contigs, args.length, args.theta, args.rho, args.seed)
+    lengths = spark.range(args.contigs).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(args.length).cast("bigint").alias("length"))
+    text.write_vcf(simulator.genotypes(sites), args.out, ["s"], lengths)
 
 
 @command(option("models", nargs="+"), OUT, option("--generation", type=float, default=1.0, help="years a generation"))

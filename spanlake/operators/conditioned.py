@@ -18,6 +18,10 @@ from . import demography as dm
 from . import hmm
 
 
+#: In units of the slowest rate.
+FAR = 50.0
+
+
 class _Binomials:
     """Logarithms of binomials up to ``most``; minus infinity outside their range."""
 
@@ -74,7 +78,10 @@ class _Chain:
         return np_, ny, ng
 
     def move(self, masses: tuple, du: float) -> tuple[tuple, tuple]:
-        """Masses after du, and their integrals over it."""
+        """Masses after du, and their integrals over it. After FAR all that moves has moved, to one part in e**FAR."""
+        if du > FAR:
+            masses, totals = self.move(masses, FAR)
+            return masses, tuple(t + (du - FAR) * x for t, x in zip(totals, masses, strict=True))
         totals = tuple(np.zeros_like(x) for x in masses)
         parts = max(1, math.ceil(self.most * du / 32))
         rate = self.most * du / parts
@@ -148,6 +155,12 @@ def spectra(model: dm.Steps, states: list[float], n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _held(t: tuple[float, ...], a: tuple[float, ...], states: tuple[float, ...], n: int) -> np.ndarray:
+    """spectra() of models seen lately: a change of rates alone does not make them anew."""
+    return spectra(dm.Steps(np.array(t), np.array(a)), list(states), n)
+
+
 def marginal(spectrum: np.ndarray, folded: bool = False) -> np.ndarray:
     """The spectrum of all n + 2 samples from that of one state, k = 1 on; folded: k with its complement."""
     n = spectrum.shape[1] - 1
@@ -190,7 +203,9 @@ def bins(key: hmm.Key, n: int, error: float = 0.5) -> dict[tuple[int, int], floa
 def emissions(model: dm.Steps, states: list[float], theta: float, keys: list[hmm.Key], n: int, error: float = 0.5, alpha: float = 1.0) -> dict[hmm.Key, np.ndarray]:
     """Probabilities of each key by state: 1 if all is missing, the pair's parity if only it is seen, else from the spectra."""
     pair = dm.pair_emission(model, states, theta, alpha)
-    table = with_mutation(spectra(model, states, n), theta)
+    if all(key[2] == 0 for key in keys):
+        return {key: np.ones(len(states) - 1) if key[0] < 0 else pair[key[0] % 2] for key in keys}
+    table = with_mutation(_held(tuple(model.t.tolist()), tuple(model.a.tolist()), tuple(states), n), theta)
     out = {}
     for key in keys:
         if key[2] == 0:

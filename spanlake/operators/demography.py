@@ -137,36 +137,133 @@ def golden(f: Callable[[float], float], a: float, b: float, steps: int = 24) ->
     return (a + b) / 2
 
 
+def minimise(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 25, step: float = 1e-4, tolerance: float = 1e-7) -> np.ndarray:
+    """Minimum between bounds by a quasi-Newton method: gradients by central differences, an inverse Hessian that is updated
+    from their changes, coordinates at a bound held there, and a line search by halves."""
+    x = np.clip(x, low, high)
+
+    def slope(at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
+        for i in range(len(at)):
+            up, down = at.copy(), at.copy()
+            up[i], down[i] = min(at[i] + step, high[i]), max(at[i] - step, low[i])
+            out[i] = (f(up) - f(down)) / (up[i] - down[i])
+        return out
+
+    value, g, h = f(x), slope(x), np.eye(len(x))
+    for turn in range(rounds):
+        free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
+        if not free.any():
+            break
+        inner = np.outer(free, free)
+        d = -np.where(inner, h, 0) @ g
+        if d @ g >= 0:
+            h, d = np.eye(len(x)), -np.where(free, g, 0)
+        if not turn:
+            d = d / max(1.0, float(np.abs(d).max()))
+        t = 1.0
+        while t > 1e-8:
+            to = np.clip(x + t * d, low, high)
+            if (new := f(to)) < value + 1e-4 * float(g @ (to - x)):
+                break
+            t /= 2
+        else:
+            break
+        g2 = slope(to)
+        s, y = to - x, g2 - g
+        if s @ y > 1e-12:
+            r = 1 / (s @ y)
+            left = np.eye(len(x)) - r * np.outer(s, y)
+            h = left @ h @ left.T + r * np.outer(s, s)
+        gain, x, value, g = value - new, to, new, g2
+        if gain < tolerance * (1 + abs(value)):
+            break
+    return x
+
+
 def roughness(y: np.ndarray) -> float:
     return float(np.sum(np.diff(y, 2) ** 2))
 
 
-def estimate(spans: DataFrame, knots: list[float], states: list[float], theta: float, rho: float, rounds: int = 3, penalty: float = 0.0, on: Callable[[str, dict], None] | None = None, build: Callable[..., hmm.Model] = pair_model) -> tuple[Steps, list[float]]:
-    """EM on the distinguished pair, or with ``build`` = conditioned.sample_model on all samples: each round is one distributed E-step and a driver M-step over one knot at a time, last
-    first, of the log sizes. Returns the model and the log likelihoods; stops when the relative gain is small."""
+#: Bounds of log sizes, and of the recombination rate around its start.
+LOW, HIGH, RATES = math.log(1e-4), math.log(1e4), (1e-2, 1e2)
+
+
+@dataclass
+class Fit:
+    """What an EM run has reached: log sizes, rates, log likelihoods so far, and whether it has ended."""
+
+    y: np.ndarray
+    theta: float
+    rho: float
+    history: list[float]
+    done: bool = False
+
+
+def estimate(
+    spans: DataFrame,
+    knots: list[float],
+    states: list[float],
+    theta: float,
+    rho: float,
+    rounds: int = 3,
+    penalty: float = 0.0,
+    on: Callable[[str, dict], None] | None = None,
+    build: Callable[..., hmm.Model] = pair_model,
+    start: Fit | None = None,
+    learn_rho: bool = False,
+    together: bool = False,
+    curve: Callable[[np.ndarray], Steps] | None = None,
+    rough: Callable[[np.ndarray], float] = roughness,
+) -> tuple[Steps, list[float]]:
+    """EM on the distinguished pair, or with ``build`` = conditioned.sample_model on all samples. A round is one distributed
+    E-step and a driver M-step: first all log sizes move together, then the recombination rate if it is learned, then one
+    knot at a time, last first, or all ``together`` by minimise(). The penalty is on ``rough``, in units of the size of the
+    first expectation. ``curve`` makes steps of the values at the knots; by default they are the steps. ``on`` is told what
+    happens, with a Fit that ``start`` takes to go on from. Ends when the relative gain is small."""
     spans = spans.select("contig_id", "seq", "span", "a1", "b1", "nb1").persist()
     keys = [(r.a1, r.b1, r.nb1) for r in spans.select("a1", "b1", "nb1").distinct().collect()]  # few: counts of one sample
-    y, history = np.zeros(len(knots)), []
+    fit = start or Fit(np.zeros(len(knots)), theta, rho, [])
+    steps = curve or (lambda y: Steps(np.array(knots), np.exp(y)))
     tell = on or (lambda message, state: None)
-    tell("begin", {"y": y})
-    for i in range(rounds):
-        model = build(Steps(np.array(knots), np.exp(y)), states, theta, rho, keys)
-        tell("pre E-step", {"round": i})
+    say = lambda message, **more: tell(message, {"round": len(fit.history), "fit": fit, "y": fit.y, **more})
+    say("begin")
+    while not fit.done and len(fit.history) < rounds:
+        model = build(steps(fit.y), states, fit.theta, fit.rho, keys)
+        say("pre E-step")
         stats = hmm.reduced(hmm.statistics(spans, model)).collect()  # keys times states
-        history.append(sum(r["value"] for r in stats if r["kind"] == "loglik"))
-        tell("post E-step", {"round": i, "loglik": history[-1]})
-        if i and 0 <= (history[-2] - history[-1]) / history[-2] < 1e-4:
+        fit.history.append(sum(r["value"] for r in stats if r["kind"] == "loglik"))
+        say("post E-step", loglik=fit.history[-1])
+        if len(fit.history) > 1 and 0 <= (fit.history[-2] - fit.history[-1]) / fit.history[-2] < 1e-4:
+            fit.done = True
+            say("converged")
             break
+        scale = max(1.0, abs(hmm.expectation(model.pi, model.transition, model.emission, stats)))
+
+        def cost(y: np.ndarray, rate: float, stats: list = stats, scale: float = scale) -> float:
+            m = build(steps(y), states, fit.theta, rate, keys)
+            return -hmm.expectation(m.pi, m.transition, m.emission, stats) / scale + penalty / scale * rough(y)
+
+        say("pre M-step")
+        fit.y = np.clip(fit.y + golden(lambda v: cost(fit.y + v, fit.rho), -1.0, 1.0, 12), LOW, HIGH)
+        if learn_rho:
+            fit.rho = math.exp(golden(lambda v: cost(fit.y, math.exp(v)), math.log(rho * RATES[0]), math.log(rho * RATES[1])))
+        if together:
+            fit.y = minimise(lambda y: cost(y, fit.rho), fit.y, np.full(len(fit.y), LOW), np.full(len(fit.y), HIGH), 8)
+        else:
+            for k in range(len(fit.y) - 1, -1, -1):
+                at = lambda v, k=k: cost(np.r_[fit.y[:k], v, fit.y[k + 1 :]], fit.rho)
+                fit.y[k] = golden(at, max(fit.y[k] - 3, LOW), min(fit.y[k] + 3, HIGH))
+        say("post M-step")
+    spans.unpersist()
+    fit.done = True
+    say("optimization finished")
+    return steps(fit.y), fit.history
 
-        def cost(v: float, k: int, y: np.ndarray = y, stats: list = stats) -> float:
-            z = y.copy()
-            z[k] = v
-            m = build(Steps(np.array(knots), np.exp(z)), states, theta, rho, keys)
-            return -hmm.expectation(m.pi, m.transition, m.emission, stats) + penalty * roughness(z)
 
-        for k in range(len(knots) - 1, -1, -1):
-            y[k] = golden(lambda v, k=k: cost(v, k), max(y[k] - 3, math.log(1e-4)), min(y[k] + 3, math.log(1e4)))
-        tell("post M-step", {"round": i, "y": y.copy()})
-    spans.unpersist()
-    tell("optimization finished", {"y": y})
-    return Steps(np.array(knots), np.exp(y)), history
+def matched(curve: Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]], size: int, target: Steps, last: float, points: int = 400) -> np.ndarray:
+    """Values with which a curve of log sizes that is linear in them comes closest, in squares, to a step model up to a time."""
+    at = np.linspace(0, last, points, endpoint=False)
+    columns = np.stack([curve(np.eye(size)[i])(at) for i in range(size)], axis=1)
+    want = np.log(target.a[np.searchsorted(target.t, at, "right") - 1])
+    return np.linalg.lstsq(columns, want, rcond=None)[0]

@@ -100,6 +100,10 @@ BLOCK = 16_384
 _SPAN = ["contig_id", "seq", "span", "a1", "b1", "nb1"]
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["contig_id"].dataType.simpleString()
+
+
 def _rows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, Key]]]:
     pdf = pdf.sort_values("seq")
     return pdf, list(zip(pdf["span"].astype(int).tolist(), zip(*[pdf[c].astype(int).tolist() for c in ("a1", "b1", "nb1")], strict=True), strict=True))
@@ -121,9 +125,9 @@ def _blocks(spans: DataFrame, size: int) -> DataFrame:
             yield pdf.assign(block=block)
 
     path = scratch(spans.sparkSession, "blocks")
-    ordered = spans.selectExpr("CAST(contig_id AS BIGINT) AS contig_id", "CAST(seq AS BIGINT) AS seq", "CAST(span AS BIGINT) AS span", *[f"CAST({c} AS INT) AS {c}" for c in _SPAN[3:]])
+    ordered = spans.selectExpr("contig_id", "CAST(seq AS BIGINT) AS seq", "CAST(span AS BIGINT) AS span", *[f"CAST({c} AS INT) AS {c}" for c in _SPAN[3:]])
     ordered = ordered.repartitionByRange("contig_id", "seq").sortWithinPartitions("contig_id", "seq")
-    schema = "contig_id bigint, seq bigint, span bigint, a1 int, b1 int, nb1 int, block bigint"
+    schema = f"contig_id {_kind(spans)}, seq bigint, span bigint, a1 int, b1 int, nb1 int, block bigint"
     ordered.mapInPandas(cut, schema).write.parquet(path)
     return spans.sparkSession.read.schema(schema).parquet(path)
 
@@ -157,8 +161,8 @@ def _edges(blocks: DataFrame, model: Model) -> DataFrame:
             b = b / b.max()
         return pd.DataFrame({"contig_id": pdf["contig_id"], "block": pdf["block"], "loglik": loglik, "start": starts, "finish": finishes[::-1]})
 
-    products = blocks.groupBy("contig_id", "block").applyInPandas(product, "contig_id bigint, block bigint, matrix array<double>, scale double")
-    return products.groupBy("contig_id").applyInPandas(scan, "contig_id bigint, block bigint, loglik double, start array<double>, finish array<double>")
+    products = blocks.groupBy("contig_id", "block").applyInPandas(product, f"contig_id {_kind(blocks)}, block bigint, matrix array<double>, scale double")
+    return products.groupBy("contig_id").applyInPandas(scan, f"contig_id {_kind(blocks)}, block bigint, loglik double, start array<double>, finish array<double>")
 
 
 def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple, bool], pd.DataFrame], schema: str, size: int) -> DataFrame:
@@ -191,7 +195,7 @@ def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
         gamma = found[1] / found[1].sum(1, keepdims=True)
         return pd.DataFrame({"contig_id": pdf["contig_id"], "seq": pdf["seq"], "span": pdf["span"].astype("int64"), "gamma": list(gamma)})
 
-    found = _applied(spans, model, run, "contig_id bigint, seq bigint, span bigint, gamma array<double>", size)
+    found = _applied(spans, model, run, f"contig_id {_kind(spans)}, seq bigint, span bigint, gamma array<double>", size)
     return found.join(placed.select("contig_id", "seq", "start"), ["contig_id", "seq"]).select("contig_id", "seq", "start", "span", "gamma")
 
 
@@ -218,7 +222,7 @@ def statistics(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
         frame.insert(0, "contig_id", pdf["contig_id"].iloc[0])
         return frame
 
-    return _applied(spans, model, run, "contig_id bigint, kind string, key string, i int, j int, value double", size)
+    return _applied(spans, model, run, f"contig_id {_kind(spans)}, kind string, key string, i int, j int, value double", size)
 
 
 def reduced(stats: DataFrame) -> DataFrame:
