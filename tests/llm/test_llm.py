@@ -462,8 +462,109 @@ def test_toxicity_gradients_and_learning(odd, none):
     assert toxicity.train(pa.array([], pa.string()), np.zeros(0), np.zeros(0)).prior == 0.0
 
 
-def test_pipeline_runs(spark):
+def test_quality_against_plain_loops(spark):
+    """Each text alone, its tables looked up one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    got = {r.doc_id: r for r in quality.query(spark, SF).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        x = quality.features(*X.buffer_of(pa.array([r.text], pa.string())))[0]
+        total = model.base + sum(t[sum(c <= v for c in cut)] for cut, t, v in zip(model.cuts, model.tables, x, strict=True))
+        total += sum(t[sum(c <= x[i] for c in model.coarse[i])][sum(c <= x[j] for c in model.coarse[j])] for i, j, t in model.pairs)
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-total))) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def mix_by_loops(rows):
+    """Documents as often as the mix has them, for tables of few words, whose slots hold one word: (id, text, source)."""
+    words = {(i, t): len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s))
+    size = {s: sum(words[i, t] for i, t, z in rows if z == s) for s in names}
+    weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(size.values())
+    target, open_ = {}, set(names)
+    while True:  # shares above twice the size go back
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[z] for z in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * size[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        open_ -= over
+    target |= share
+    ends, at = [], 0.0
+    for s in names:
+        at += target[s]
+        ends.append(int(at / sum(target.values()) * 2.0**48))
+    ends[-1] = 1 << 48
+    slots = [0] * len(names)
+    for i in range(round(sum(target.values()))):
+        point = int(f"{i:048b}"[::-1], 2)
+        slots[next(k for k, e in enumerate(ends) if point < e)] += 1
+    out = []
+    for k, s in enumerate(names):
+        due, at = round(target[s]) if target[s] < 1024 else slots[k], 0
+        own = [(i, t) for i, t, z in rows if z == s]
+        own.sort(key=lambda r: hashlib.md5(f"mix-1:{r[0]}:{'null' if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest())
+        for _ in range(2):
+            for r in own:
+                n = words[r]
+                if n and 2 * max(0, min(n, due - at)) >= n:
+                    out.append(r[0])
+                at += n
+    return sorted(out)
+
+
+def test_pipeline_stages_against_loops(spark):
+    """Each stage on its own input, against plain loops over all rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    given, names = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        rows = [(r.doc_id, r.text, r.source) for r in given.collect()]
+        out = stage(spark, given, SF)
+        out = corpus_pipeline.stash(out, f"test-{name}") if name != "sharding" else out
+        got = out.collect()
+        if name == "quality":
+            model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            want = sorted(i for i, t, _ in rows if model.score(quality.features(*X.buffer_of(pa.array([t], pa.string()))))[0] >= 0.5)
+            assert sorted(r.doc_id for r in got) == want and 100 < len(want) < len(rows)
+        elif name == "near_duplicates":
+            group = {i: i for i, _, _ in rows}
+            for i, j, _ in exact_links({i: t for i, t, _ in rows}, 5, 80):
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if v == b else v for k, v in group.items()}
+            assert sorted(r.doc_id for r in got) == sorted(set(group.values())) and len(got) < len(rows)
+        elif name == "decontamination":
+            items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            found = {i: brute(t, items) for i, t, _ in rows}
+            assert sorted(r.doc_id for r in got) == sorted(i for i, (n, hit, _) in found.items() if 2 * hit <= n)
+            assert {r.doc_id for r in got if r.text != dict((i, t) for i, t, _ in rows)[r.doc_id]} == {r.doc_id for r in got if found[r.doc_id][1]}
+            assert all(brute(r.text, items)[1] == 0 and r.n_chars == len(r.text) for r in got)
+        elif name == "mixing":
+            assert sorted(r.doc_id for r in got) == mix_by_loops(rows)
+        else:
+            draw = lambda key, child, w: -np.log((int(hashlib.md5(f"{key}|{child}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)) / w
+            for r in got:
+                region = min(range(5), key=lambda g: draw(r.doc_id, f"region{g}", 8))
+                rack = min((2 * region, 2 * region + 1), key=lambda k: draw(r.doc_id, f"rack{k}", 4))
+                assert r.shard == min(range(4 * rack, 4 * rack + 4), key=lambda s: draw(r.doc_id, f"shard{s}", 1)) and r.grown_shard in (r.shard, 40)
+            assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+            assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(40))
+        assert out.columns[: len(names)] == names
+        given = out
+
+
+def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 100 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    bench = "item_id bigint, text string"
+    for name, table, items in (("empty", none, []), ("odd", odd, [(1, " ".join(f"w{i}" for i in range(100, 130))), (2, None)])):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(items, bench).write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert (len(got) > 0) == (name == "odd") and all("w115" not in (r.text or "") for r in got)
