@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from . import spans
 
-BUCKET = 64
+#: Widths of cells as powers of 2; intervals of one width, each in two cells at most, that may be broadcast.
+LEVELS, MOST_CELLS = (6, 10, 14, 18, 22, 26), 500_000
 
 
 def snps(variants: DataFrame) -> DataFrame:
@@ -57,13 +58,21 @@ def fold_monomorphic(sites: DataFrame, na: tuple[int, ...] = (2,)) -> DataFrame:
     return spans.recode_monomorphic(sites, na)
 
 
-def outside(sites: DataFrame, mask: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Sites in no mask interval. Intervals are dealt to the buckets of positions that they touch, so the range test is
-    the rest of an equi-join and not a nested loop."""
-    cells = mask.select(F.col("contig").alias("_c"), "m_start", "m_end", F.explode(F.expr(f"sequence(m_start div {bucket}, (m_end - 1) div {bucket})")).alias("_b"))
-    at = F.col("pos") - 1
-    on = (F.col("contig") == F.col("_c")) & (F.expr(f"(pos - 1) div {bucket}") == F.col("_b")) & (F.col("m_start") <= at) & (at < F.col("m_end"))
-    return sites.join(cells, on, "left_anti")
+def outside(sites: DataFrame, mask: DataFrame) -> DataFrame:
+    """Sites in no mask interval. Intervals are dealt by their length to cells of LEVELS widths, so that one touches a few
+    cells and, where they do not overlap, a cell holds a few; sites go past the cells of each width that there is. The range
+    test is the rest of an equi-join, and cells are broadcast where they are few."""
+    length = F.col("m_end") - F.col("m_start")
+    level = F.coalesce(*[F.when(length <= (1 << n), F.lit(n)) for n in LEVELS], F.lit(LEVELS[-1]))
+    dealt = mask.where(length > 0).select(F.col("contig").alias("_c"), "m_start", "m_end", level.alias("_l"))
+    counts = {r["_l"]: r["n"] for r in dealt.groupBy("_l").agg(F.count("*").alias("n"), F.sum(length).alias("b")).collect()}  # a row a width
+    for n in sorted(counts):
+        cells = dealt.where(F.col("_l") == n).withColumn("_b", F.explode(F.expr(f"sequence(shiftright(m_start, {n}), shiftright(m_end - 1, {n}))")))
+        cells = F.broadcast(cells) if counts[n] <= MOST_CELLS and n < LEVELS[-1] else cells
+        at = F.col("pos") - 1
+        on = (F.col("contig") == F.col("_c")) & (F.shiftright(at, n) == F.col("_b")) & (F.col("m_start") <= at) & (at < F.col("m_end"))
+        sites = sites.join(cells, on, "left_anti")
+    return sites
 
 
 def merged(mask: DataFrame) -> DataFrame:

@@ -145,6 +145,17 @@ def test_validation_against_a_loop(spark):
         spans.required(df.where("false"), "rows")
 
 
+def test_masks_of_all_lengths(spark):
+    rng = np.random.default_rng(9)
+    lengths = [1, 3, 64, 65, 1000, 5000, 70_000, 3_000_000]
+    mask = [("c" if i % 2 else "d", int(a), int(a) + n) for i, (a, n) in enumerate(zip(rng.integers(0, 20_000_000, 24), lengths * 3, strict=True))]
+    edges = [(c, p) for c, a, b in mask for p in (a, a + 1, b, b + 1) if p > 0]
+    sites = sorted({*edges, *[("c", int(p)) for p in rng.integers(1, 20_000_000, 300)]})
+    df = spark.createDataFrame([(c, p, 0, 0, 4) for c, p in sites], "contig string, pos bigint, a1 int, b1 int, nb1 int")
+    got = {(r.contig, r.pos) for r in ingest.outside(df, spark.createDataFrame(mask, "contig string, m_start bigint, m_end bigint")).collect()}
+    assert got == {(c, p) for c, p in sites if not any(m == c and a <= p - 1 < b for m, a, b in mask)}
+
+
 def test_runs_equal_unit_rows():
     steps = demography.Steps(np.array([0.0, 0.5]), np.array([1.0, 0.4]))
     keys = [(-1, 0, 0), (0, 0, 4), (1, 0, 4)]
