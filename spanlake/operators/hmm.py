@@ -27,6 +27,7 @@ class Model:
     transition: np.ndarray
     emission: dict[Key, np.ndarray]
     _eigen: dict[Key, tuple] = field(default_factory=dict)
+    _step: dict[tuple[int, Key], tuple[np.ndarray, float]] = field(default_factory=dict)
 
     def eigen(self, key: Key) -> tuple:
         """Eigenvalues and vectors of diag(e) T', with complex pairs kept."""
@@ -36,6 +37,16 @@ class Model:
         return self._eigen[key]
 
 
+    def step(self, span: int, key: Key) -> tuple[np.ndarray, float]:
+        """The scaled matrix of a run and the log of its scale; those met before are kept, up to a bound."""
+        if (span, key) not in self._step:
+            if len(self._step) >= 50_000:
+                self._step.clear()
+            d, p, inv, top = self.eigen(key)
+            self._step[span, key] = ((p * (d / top) ** span) @ inv).real, span * float(np.log(top))
+        return self._step[span, key]
+
+
 def _power_sums(d: np.ndarray, s: int) -> np.ndarray:
     """sum over i + j = s - 1 of d_a**i d_b**j."""
     ds = d**s
@@ -48,12 +59,8 @@ def _steps(rows: list[tuple[int, Key]], model: Model) -> tuple[list[int], list[t
     """For each row the number of its (span, key); those pairs; the scaled step matrix of each, and the logs of the scales."""
     number: dict[tuple[int, Key], int] = {}
     which = [number.setdefault(r, len(number)) for r in rows]
-    matrices, scales = [], []
-    for s, key in number:
-        d, p, inv, top = model.eigen(key)
-        matrices.append(((p * (d / top) ** s) @ inv).real)
-        scales.append(s * np.log(top))
-    return which, list(number), matrices, np.array(scales)
+    found = [model.step(*r) for r in number]
+    return which, list(number), [m for m, _ in found], np.array([x for _, x in found])
 
 
 def forward_backward(rows: list[tuple[int, Key]], model: Model, start: np.ndarray | None = None, finish: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,9 +207,24 @@ def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
 
 
 def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
-    """contig_id and loglik."""
-    stats = statistics(spans, model, size).where("kind = 'loglik'")
-    return stats.groupBy("contig_id").agg(F.sum("value").alias("loglik"))
+    """contig_id and loglik, by forward passes only; from the blocks' matrices where a contig is cut."""
+    kind = f"contig_id {_kind(spans)}, loglik double"
+    if (spans.groupBy("contig_id").count().agg(F.max("count")).first()[0] or 0) > size:
+        blocks = _edges(_blocks(spans, size), model)
+        return blocks.groupBy("contig_id").agg(F.sum("loglik").alias("loglik"))
+
+    def forward(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rows = _rows_of(pdf)
+        which, _, matrices, scales = _steps(rows, model)
+        a, loglik = model.pi, float(scales[which].sum())
+        for w in which:
+            x = matrices[w] @ a
+            c = x.sum()
+            loglik += np.log(c)
+            a = np.maximum(x / c, 0)
+        return pd.DataFrame({"contig_id": pdf["contig_id"].iloc[:1], "loglik": [loglik]})
+
+    return spans.select(*_SPAN).groupBy("contig_id").applyInPandas(forward, kind)
 
 
 def statistics(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:

@@ -112,19 +112,21 @@ def gap_fill(rows: DataFrame, lengths: DataFrame, cutoff: int | None = None, dro
     """Non-segregating spans between events and up to the contig's length. A gap before a site that is longer than the cutoff
     is missing; gaps before masks and the tail are not. ``lengths``: contig, length, and n1 (n2) sampled haplotypes. With
     drop_first_last what is written first (the first gap; a site at the first base) and the tail are left out."""
-    pops = spans.populations(rows)
-    names = spans.observation(rows)
-    w = Window.partitionBy("contig").orderBy("a")
-    known = rows.join(lengths, "contig").withColumn("b", F.least("b", "length")).where("a < b")
+    pops, names = spans.populations(rows), spans.observation(rows)
+    sizes = [f"n{p}" for p in pops]
+    # the end of a contig is a row too, and its gap is the tail: all comes from one pass over the events
+    ends = lengths.select("contig", F.col("length").alias("a"), F.col("length").alias("b"), F.lit(False).alias("masked"), *[F.lit(0).alias(n) for n in names], *sizes, F.lit(True).alias("end"))
+    both = rows.select("contig", "a", "b", "masked", *names, *[F.lit(None).cast("int").alias(n) for n in sizes], F.lit(False).alias("end")).unionByName(ends)
+    contig, w = Window.partitionBy("contig"), Window.partitionBy("contig").orderBy("a")
+    known = both.withColumns({"length": F.max(F.when(F.col("end"), F.col("a"))).over(contig), **{n: F.max(n).over(contig) for n in sizes}})
+    known = known.withColumn("b", F.least("b", "length")).where("end or a < b")
     before = F.lag("b").over(w)
     known = known.withColumn("p", F.coalesce(before, F.lit(0).cast("bigint"))).withColumn("first", before.isNull())
     gap_first = F.col("first") & (F.col("masked") | (F.col("a") > F.col("p")))
     quiet = [x for p in pops for x in (F.lit(0).alias(f"a{p}"), F.lit(0).alias(f"b{p}"), F.col(f"n{p}").cast("int").alias(f"nb{p}"))]
-    gap = F.struct(F.col("p").alias("at"), (F.col("a") - F.col("p")).alias("span"), *quiet, gap_first.alias("edge"), (~F.col("masked")).alias("cut"))
+    gap = F.struct(F.col("p").alias("at"), (F.col("a") - F.col("p")).alias("span"), *quiet, (gap_first | F.col("end")).alias("edge"), (~(F.col("masked") | F.col("end"))).alias("cut"))
     own = F.struct(F.col("a").alias("at"), (F.col("b") - F.col("a")).alias("span"), *names, (F.col("first") & ~gap_first).alias("edge"), F.lit(False).alias("cut"))
-    tail = lengths.join(rows.groupBy("contig").agg(F.max("b").alias("last")), "contig", "left").withColumn("at", F.coalesce("last", F.lit(0).cast("bigint")))
-    tail = tail.select("contig", "at", (F.col("length") - F.col("at")).alias("span"), *quiet, F.lit(True).alias("edge"), F.lit(False).alias("cut"))
-    out = known.select("contig", F.inline(F.array(gap, own))).unionByName(tail).where("span > 0")
+    out = known.select("contig", F.inline(F.array(gap, own))).where("span > 0")
     if drop_first_last:
         out = out.where("not edge")
     if cutoff is not None:

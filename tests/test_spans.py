@@ -184,6 +184,8 @@ def test_blocks_of_a_contig_give_the_same(spark):
     one, many = hmm.reduced(hmm.statistics(df, model)), hmm.reduced(hmm.statistics(df, model, 20))
     a, b = ({(r.kind, r.key, r.i, r.j): r.value for r in x.collect()} for x in (one, many))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-8) for k in a)
+    a, b = ({r.contig_id: r.loglik for r in hmm.logliks(df, model, n).collect()} for n in (1000, 20))
+    assert a == pytest.approx(b) and sum(a.values()) == pytest.approx(one.where("kind = 'loglik'").first()["value"])
     a, b = ({(r.contig_id, r.seq): (r.start, r.gamma) for r in hmm.posterior(df, model, n).collect()} for n in (1000, 20))
     assert a.keys() == b.keys() and len(a) == len(rows)
     assert all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
