@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import ingest, keys, measures, models, panels, sampling, spans
+from ..operators import conditioned, ingest, keys, measures, models, moran, panels, sampling, spans
+from ..operators import demography as dm
 from ..sources import formats
 from ..sources.adapters import GENO_SQL, SPANS_SQL
 from ..sources.adapters import spans as span_table
@@ -176,3 +177,25 @@ SELECT state, round(occupancy, 6) AS occupancy, round((SELECT exp(-sum(occupancy
 SQL["hmm_posterior"] = f"""{POSTERIOR}, l AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY contig_id, m ORDER BY t) = k THEN 0 ELSE 1 END AS new FROM post),
 r AS (SELECT *, sum(new) OVER (PARTITION BY contig_id, m ORDER BY t) AS run FROM l)
 SELECT contig_id, min(seq) AS seq, min(t) - 1 AS start, count(*) AS span, CAST(m AS INT) AS m, round(avg(p), 6) AS p FROM r GROUP BY contig_id, m, run"""
+
+
+# conditioned spectra of a constant size, by their closed forms
+def _constant(s: SparkSession) -> DataFrame:
+    steps = dm.Steps(dm.np.zeros(1), dm.np.ones(1))
+    rows = [(n, k, float(v)) for n in (3, 8) for k, v in enumerate(conditioned.marginal(conditioned.spectra(steps, [0.0, math.inf], n)[0]), 1)]
+    return rounded(s.createDataFrame(rows, "n int, k int, length double"), "length")
+
+
+def _pair_rows(s: SparkSession) -> DataFrame:
+    steps, states = dm.Steps(dm.np.zeros(1), dm.np.ones(1)), [0.0, 0.5, 1.0, 2.0, math.inf]
+    rows = [(n, m, float(x)) for n in (0, 2, 10) for m, x in enumerate(conditioned.spectra(steps, states, n)[:, 1].sum(1))]
+    return rounded(s.createDataFrame(rows, "n int, m int, mass double"), "mass")
+
+
+on_spark("constant_spectrum", _constant, "SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(2.0 / k, 6) AS length FROM (SELECT unnest([3, 8]) AS n), range(1, 11) AS t(k) WHERE k < n + 2")
+on_spark("pair_branches", _pair_rows, """SELECT CAST(n AS INT) AS n, m, round(2 * CASE WHEN b IS NULL THEN a + 1 ELSE (a * exp(-a) - b * exp(-b)) / (exp(-a) - exp(-b)) + 1 END, 6) AS mass
+FROM (SELECT unnest([0, 2, 10]) AS n), (VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE), (1, 0.5, 1.0), (2, 1.0, 2.0), (3, 2.0, NULL)) AS v(m, a, b)""")
+on_spark("meeting_times", lambda s: rounded(s.createDataFrame([(m, float(t)) for m, t in enumerate(dm.meeting_times(dm.Steps(dm.np.array([0.0, 1.0]), dm.np.array([1.0, 2.0])), [0.0, 0.5, 1.0, 3.0, math.inf]))], "m int, t double"), "t"),
+         """SELECT m, round(CASE WHEN b IS NULL THEN a + size ELSE (a * exp(-a / size) - b * exp(-b / size)) / (exp(-a / size) - exp(-b / size)) + size END, 6) AS t FROM (VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE), (1, 0.5, 1.0, 1.0), (2, 1.0, 3.0, 2.0), (3, 3.0, NULL, 2.0)) AS v(m, a, b, size)""")
+on_spark("moran_eigenvalues", lambda s: s.createDataFrame([(p, i, float(x)) for p in (0, 1, 2) for i, x in enumerate(moran.eigensystem(7, p)[0])], "pair int, i int, value double"),
+         "SELECT CAST(pair AS INT) AS pair, CAST(k - 2 AS INT) AS i, CAST(1 - k * (k - 1) / 2 AS DOUBLE) AS value FROM range(0, 3) AS p(pair), range(2, 10) AS t(k)")
