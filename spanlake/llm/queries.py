@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, language, mixing, neardup, pseudonyms, quality, repeats, sharding, toxicity
+from . import audit, decontaminate, flac, language, mixing, neardup, pseudonyms, quality, repeats, sharding, topk, toxicity
 
 QUERIES = {
     "op1_language": language.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_flac": flac.query,
     "op9_repeats": repeats.query,
     "op10_near_duplicates": neardup.query,
+    "op12_topk": topk.query,
+    "op13_filter_audit": audit.query,
 }
 SQL = {
     "op3_mix_sources": mixing.SQL,
@@ -22,4 +24,6 @@ SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op9_repeats": repeats.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op12_topk": topk.SQL,
+    "op13_filter_audit": audit.SQL,
 }
