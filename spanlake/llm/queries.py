@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, flac, language, mixing, neardup, pseudonyms, quality, repeats, sharding, topk, toxicity
+from . import audit, collocations, decontaminate, flac, language, mixing, neardup, pseudonyms, quality, repeats, sharding, topk, toxicity
 
 QUERIES = {
     "op1_language": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_flac": flac.query,
     "op9_repeats": repeats.query,
     "op10_near_duplicates": neardup.query,
+    "op11_collocations": collocations.query,
     "op12_topk": topk.query,
     "op13_filter_audit": audit.query,
 }
@@ -24,6 +25,7 @@ SQL = {
     "op7_decontaminate": decontaminate.SQL,
     "op9_repeats": repeats.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op11_collocations": collocations.SQL,
     "op12_topk": topk.SQL,
     "op13_filter_audit": audit.SQL,
 }

@@ -8,6 +8,7 @@ polynomial over random byte values, and n-grams of words are hashed from the wor
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -119,7 +122,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes; segment by segment, so that memory does not follow the buffer."""
+    """64-bit hash of each word's bytes, for features, not for identity; segment by segment, so that memory does not follow the buffer."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -135,6 +138,28 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(out)
 
 
+def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash that may stand for a word: its blocks of 8 bytes go one by one through a keyed bijection, and words
+    above LONG bytes through BLAKE2. (Sums of powers, as in word_hashes, collide for whole families of regular words.)"""
+    lengths = (ends - starts).astype(np.int64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(max(0, len(padded) - 7), "<u8", padded.data, 0, (1,))
+    out = mix64(lengths.astype(np.uint64) + np.uint64(_GOLDEN))
+    at = np.arange(len(starts))
+    for i, c in enumerate(constants(LONG // 8, 41)):
+        if i:
+            at = at[lengths[at] > 8 * i]
+        if not len(at):
+            break
+        block, left = eight[starts[at] + 8 * i], lengths[at] - 8 * i
+        cut = left < 8
+        block[cut] &= (np.uint64(1) << (8 * left[cut]).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix64((out[at] ^ block) + c)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def ngrams(hashes: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Hash of the k words from each position on; the last k - 1 positions have none."""
     n = len(hashes) - k + 1
