@@ -161,7 +161,7 @@ class Matcher:
         buf, offsets = X.buffer_of(texts)
         buf = X.LOWER[buf]
         starts, ends, first = X.words(buf, offsets, X.ALNUM)
-        h = X.word_hashes(buf, starts, ends)
+        h = X.word_keys(buf, starts, ends)
         self.vocabulary, ids = np.unique(h, return_inverse=True)
         inside = X.whole(first, 2, len(ids) - 1)
         self.pairs = np.unique((ids[:-1] * len(self.vocabulary) + ids[1:])[inside]) if len(ids) > 1 else np.zeros(0, np.int64)
@@ -222,7 +222,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
                 buf = X.LOWER[buf]
                 starts, ends, first = X.words(buf, offsets, X.ALNUM)
                 hit = np.zeros(len(starts), bool)
-                h, found = X.word_hashes(buf, starts, ends), {}
+                h, found = X.word_keys(buf, starts, ends), {}
                 for matcher in held.value:
                     for d, names in matcher.find(h, first, hit).items():
                         found.setdefault(d, set()).update(names)

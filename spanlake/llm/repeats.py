@@ -36,8 +36,7 @@ WINDOW, ANCHOR = 13, 7
 CHUNK = 2 << 20
 #: Words whose probes make one part.
 PART_WORDS = 1_000_000
-_NO_ID = np.iinfo(np.int64).max
-_CHUNK = "chunk bigint, ids binary, bounds binary, n_words bigint, body binary"
+_CHUNK = "chunk bigint, ids binary, void binary, bounds binary, n_words bigint, body binary"
 
 
 def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -47,9 +46,9 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         press, base = zstandard.ZstdCompressor(level=9), TaskContext.get().partitionId() << 32
         for k, block in enumerate(X.blocks(batches, most=size)):
             buf, offsets = X.buffer_of(block.column("text"))
-            ids = block.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, void = block.column("doc_id").fill_null(0).to_numpy(), block.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             n = len(X.words(buf, offsets, X.SPACED)[0])
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([base + k], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "bounds": pa.array([offsets.tobytes()], pa.binary()), "n_words": pa.array([n], pa.int64()), "body": pa.array([press.compress(buf.tobytes())], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([base + k], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "void": pa.array([void.tobytes()], pa.binary()), "bounds": pa.array([offsets.tobytes()], pa.binary()), "n_words": pa.array([n], pa.int64()), "body": pa.array([press.compress(buf.tobytes())], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, _CHUNK)
 
@@ -57,18 +56,18 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
 class Chunk:
     def __init__(self, row: dict):
         self.id = row["chunk"]
-        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.ids, self.void = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["void"], bool)
         self.offsets = np.frombuffer(row["bounds"], np.int64)
         self.buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.offsets[-1]))), np.uint8)
         self.starts, self.ends, self.first = X.words(self.buf, self.offsets, X.SPACED)
-        self.hashes = X.word_hashes(self.buf, self.starts, self.ends)
+        self.hashes = X.word_keys(self.buf, self.starts, self.ends)
         self.doc = X.owners(self.first)
 
     def windows(self, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-word windows and whether each lies within one document that has an id."""
         h = X.ngrams(self.hashes, k, seed)
         ok = X.whole(self.first, k, len(h))
-        return h, ok & (self.ids[self.doc[: len(h)]] != _NO_ID)
+        return h, ok & ~self.void[self.doc[: len(h)]]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -278,7 +277,7 @@ def removals(held: DataFrame, found: DataFrame, window: int, with_text: bool = F
                     texts.append(b" ".join([bytes(whole[s:e]) for s, e in zip(c.starts[keep].tolist(), c.ends[keep].tolist(), strict=True)]))
                 else:
                     texts.append(b" ".join(raw.tobytes().split()))
-            ids = pa.array(c.ids, mask=c.ids == _NO_ID)
+            ids = pa.array(c.ids, mask=c.void)
             columns = [ids, pa.array(n.astype(np.int64)), pa.array(lost), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:

@@ -190,7 +190,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     bounds. A document of fewer words has its whole sequence as its one shingle; one without words has none."""
     buf = LOWER[buf]
     starts, ends, first = words(buf, offsets, SPACED)
-    h = word_hashes(buf, starts, ends)
+    h = word_keys(buf, starts, ends)
     grams = ngrams(h, k, 11)
     ok = whole(first, k, len(grams))
     doc, grams = owners(first)[: len(grams)][ok], grams[ok]

@@ -170,7 +170,7 @@ def test_automaton_against_loops():
     buf = X.LOWER[buf]
     starts, ends, first = X.words(buf, offsets, X.ALNUM)
     hit = np.zeros(len(starts), bool)
-    found = m.find(X.word_hashes(buf, starts, ends), first, hit)
+    found = m.find(X.word_keys(buf, starts, ends), first, hit)
     for d, t in enumerate(docs):
         assert (first[d + 1] - first[d], hit[first[d] : first[d + 1]].sum(), sorted(found.get(d, ()))) == brute(t, items, 6)
 
@@ -568,3 +568,35 @@ def test_pipeline_on_odd_tables(spark, odd, none, tmp_path):
         spark.createDataFrame(items, bench).write.parquet(f"{folder}/benchmark.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert (len(got) > 0) == (name == "odd") and all("w115" not in (r.text or "") for r in got)
+
+
+def test_regular_words_do_not_collide(spark):
+    """Thue-Morse words and their complements are equal to any sum of powers modulo 2^64."""
+    tail = " ".join(f"t{i}" for i in range(12))
+    for size in (1024, 2048, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(size)]
+        pair = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        buf = np.frombuffer("".join(pair).encode(), np.uint8)
+        assert len(set(X.word_keys(buf, np.array([0, size]), np.array([size, 2 * size])).tolist())) == 2
+        docs = spark.createDataFrame([(i, f"{w} {tail}") for i, w in enumerate(pair)], "doc_id bigint, text string")
+        assert {r.n_removed for r in repeats.dedup(docs).collect()} == {0}
+        short = spark.createDataFrame([(i, w) for i, w in enumerate(pair)], "doc_id bigint, text string")
+        assert [r.kept for r in neardup.clusters(short).collect()] == [True, True]
+        items = spark.createDataFrame([("x", pair[0])], "item_id string, text string")
+        assert {r.doc_id: r.n_hit for r in decontaminate.report(short, items).collect()} == {0: 1, 1: 0}
+
+
+def test_word_keys_against_loops():
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 80), 200, 5000] for _ in range(4)]
+    buf, ends = np.frombuffer(b" ".join(words), np.uint8), np.cumsum([len(w) + 1 for w in words]) - 1
+    got = X.word_keys(buf, ends - [len(w) for w in words], ends)
+    alone = [X.word_keys(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert got.tolist() == [int(x) for x in alone] and len(set(got.tolist())) == len(set(words))
+
+
+def test_largest_doc_id(spark):
+    w = " ".join(f"w{i}" for i in range(30))
+    top = (1 << 63) - 1
+    got = {r.doc_id: r.n_removed for r in repeats.dedup(spark.createDataFrame([(top, w), (3, w), (None, w)], "doc_id bigint, text string")).collect()}
+    assert got == {top: 30, 3: 0, None: got[None]}
