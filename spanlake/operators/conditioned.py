@@ -113,19 +113,20 @@ class _Chain:
         return ty, tg
 
 
-def spectra(model: dm.Steps, states: list[float], n: int) -> np.ndarray:
+def spectra(model: dm.Steps, states: list[float], n: int, until: float = math.inf) -> np.ndarray:
     """Expected branch lengths (state, 0..2 of the pair, 0..n others) above which a mutation would be seen so, given that the
-    pair meets in the state's interval. A state in which no meeting is possible has zeros."""
+    pair meets in the state's interval. A state in which no meeting is possible has zeros. With ``until`` only what lies
+    before that time counts, but of all samples' common ancestor too, up to then."""
     single, apart, late, joint = shapes(n)
     chain, m = _Chain(n), len(states) - 1
-    cuts = sorted({*model.t.tolist(), *states})
+    cuts = sorted({*model.t.tolist(), *states, until})
     size = {a: float(model.a[int(np.searchsorted(model.t, a, "right")) - 1]) for a in cuts[:-1]}
     out = np.zeros((m, 3, n + 1))
     p, seen = np.zeros(n + 1), np.zeros(n + 1)  # seen: time at each number of blocks up to the start of the state
     p[n] = 1.0
     none = np.zeros((n + 1, n + 1))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > states[0]:
+        if b > min(states[0], until):
             break
         (p, _, _), (t, _, _) = chain.move((p, np.zeros(n + 1), none), (b - a) / size[a])
         seen = seen + t * size[a]
@@ -139,6 +140,8 @@ def spectra(model: dm.Steps, states: list[float], n: int) -> np.ndarray:
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b <= low:
                 continue
+            if a >= until:
+                break
             inside, s = a < high, size[a]
             if math.isinf(b):
                 ty, tg = chain.rest(y if inside else np.zeros(n + 1), g)
@@ -152,6 +155,8 @@ def spectra(model: dm.Steps, states: list[float], n: int) -> np.ndarray:
         out[i, 1] = before @ single
         out[i, 0] = before @ apart + np.einsum("ok,okb->b", since, late)
         out[i, 2] = np.einsum("ok,okb->b", since, joint)
+        if not math.isinf(until):
+            out[i, 2, n] += since[:, 0].sum()
     return out
 
 
@@ -175,10 +180,11 @@ def marginal(spectrum: np.ndarray, folded: bool = False) -> np.ndarray:
 
 def with_mutation(spectrum: np.ndarray, theta: float, floor: float = 1e-10) -> np.ndarray:
     """Probabilities of what is seen at a base: one mutation falls on the branches in proportion to their lengths."""
-    length = spectrum.sum((1, 2), keepdims=True)
-    p = spectrum * np.where(length > 0, -np.expm1(-theta * length) / np.where(length > 0, length, 1), 0)
-    p[:, 0, 0] = 1 - p.sum((1, 2)) + p[:, 0, 0]
-    return np.maximum(p, floor)
+    flat = spectrum.reshape(len(spectrum), -1)
+    length = flat.sum(1, keepdims=True)
+    p = flat * np.where(length > 0, -np.expm1(-theta * length) / np.where(length > 0, length, 1), 0)
+    p[:, 0] = 1 - p.sum(1) + p[:, 0]
+    return np.maximum(p, floor).reshape(spectrum.shape)
 
 
 def bins(key: hmm.Key, n: int, error: float = 0.5) -> dict[tuple[int, int], float]:

@@ -39,7 +39,7 @@ class Steps:
         for p, q in zip(cuts, cuts[1:], strict=False):
             size = self.a[int(np.searchsorted(self.t, p, "right")) - 1]
             step = 1.0 if math.isinf(q) else -math.expm1(-rate * (q - p) / size)
-            total += math.exp(-rate * self.hazard(p)) * step * size / rate
+            total += math.exp(-rate * self.hazard(p)) * (q - p if math.isinf(size) else step * size / rate)  # nobody meets at an infinite size
         return total
 
     def balanced(self, m: int) -> list[float]:

@@ -11,14 +11,15 @@ from fractions import Fraction
 import numpy as np
 
 
-def rates(n: int, pair: int | None = None) -> list[list[Fraction]]:
+def rates(n: int, pair: int | None = None, of: int = 2) -> list[list[Fraction]]:
+    """``pair`` of the ``of`` distinguished lineages carry the allele; None: there are no distinguished lineages."""
     out = [[Fraction(0)] * (n + 1) for _ in range(n + 1)]
     for i in range(n + 1):
         both = Fraction(i * (n - i), 2)
         if i < n:
             out[i][i + 1] = both + (pair or 0) * (n - i)
         if i:
-            out[i][i - 1] = both + ((2 - pair) * i if pair is not None else 0)
+            out[i][i - 1] = both + ((of - pair) * i if pair is not None else 0)
         out[i][i] = -sum(out[i])
     return out
 
@@ -72,3 +73,18 @@ def after(n: int, t: float, pair: int | None = None) -> np.ndarray:
     """Transition probabilities after time t."""
     d, u, inverse = eigensystem(n, pair)
     return (u * np.exp(d * t)) @ inverse
+
+
+def grown(q: np.ndarray, t: float) -> np.ndarray:
+    """exp(q t) of a matrix with no negative number off its diagonal: a sum of positive terms over a short time, squared."""
+    top = float(-q.diagonal().min()) or 1.0
+    halves = max(0, int(np.ceil(np.log2(max(top * t, 1e-300)))))
+    x, step = top * t / 2**halves, np.eye(len(q)) + q / top
+    term = np.eye(len(q)) * np.exp(-x)
+    out = term.copy()
+    for k in range(1, 24):
+        term = term @ step * (x / k)
+        out += term
+    for _ in range(halves):
+        out = out @ out
+    return out
