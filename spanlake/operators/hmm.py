@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .spans import positions
 
-Key = tuple[int, int, int]
+#: Of one population (a, b, nb), of two (a, b, nb, a, b, nb).
+Key = tuple[int, ...]
 
 
 @dataclass
@@ -55,24 +57,35 @@ def _power_sums(d: np.ndarray, s: int) -> np.ndarray:
     return np.where(close, s * ((d[:, None] + d[None, :]) / 2) ** (s - 1), (ds[:, None] - ds[None, :]) / np.where(close, 1, gap))
 
 
-def _steps(rows: list[tuple[int, Key]], model: Model) -> tuple[list[int], list[tuple[int, Key]], list[np.ndarray], np.ndarray]:
-    """For each row the number of its (span, key); those pairs; the scaled step matrix of each, and the logs of the scales."""
+class Runs(NamedTuple):
+    """Rows in order: the number of each one's (span, key), and those pairs."""
+
+    which: np.ndarray
+    pairs: list[tuple[int, Key]]
+
+
+def runs(rows: list[tuple[int, Key]]) -> Runs:
     number: dict[tuple[int, Key], int] = {}
-    which = [number.setdefault(r, len(number)) for r in rows]
-    found = [model.step(*r) for r in number]
-    return which, list(number), [m for m, _ in found], np.array([x for _, x in found])
+    return Runs(np.array([number.setdefault(r, len(number)) for r in rows], int), list(number))
+
+
+def _steps(rows: Runs, model: Model) -> tuple[list[int], list[np.ndarray], float]:
+    """The number of each row's (span, key), the scaled step matrix of each, and the log of all scales together."""
+    found = [model.step(*r) for r in rows.pairs]
+    return rows.which.tolist(), [m for m, _ in found], float(np.array([x for _, x in found])[rows.which].sum()) if len(rows.which) else 0.0
 
 
-def forward_backward(rows: list[tuple[int, Key]], model: Model, start: np.ndarray | None = None, finish: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(rows: Runs | list[tuple[int, Key]], model: Model, start: np.ndarray | None = None, finish: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Log likelihood, posterior mass of each row (n x M, rows sum to their spans), expected transitions, and the posterior
     of the state before the first base. For a block within a sequence, ``start`` is the forward vector before it and
     ``finish`` the backward vector after it.
 
     Vectors go from row to row by real matrices, one for each (span, key); what a row adds is made for all rows of a
     (span, key) together."""
-    m, t, n = len(model.pi), model.transition, len(rows)
-    which, pairs, matrices, scales = _steps(rows, model)
-    alphas, betas, loglik = np.empty((n + 1, m)), np.empty((n + 1, m)), float(scales[which].sum()) if n else 0.0
+    rows = rows if isinstance(rows, Runs) else runs(rows)
+    m, t, n = len(model.pi), model.transition, len(rows.which)
+    which, matrices, loglik = _steps(rows, model)
+    alphas, betas = np.empty((n + 1, m)), np.empty((n + 1, m))
     alphas[0] = a = model.pi if start is None else start
     for i, w in enumerate(which):
         x = matrices[w] @ a
@@ -86,8 +99,8 @@ def forward_backward(rows: list[tuple[int, Key]], model: Model, start: np.ndarra
         b = turned[which[i]] @ b
         b = np.maximum(b / b.max(), 0)
         betas[i] = b
-    gamma, xi, at = np.zeros((n, m)), np.zeros((m, m)), np.array(which, int)
-    for w, (s, key) in enumerate(pairs):
+    gamma, xi, at = np.zeros((n, m)), np.zeros((m, m)), rows.which
+    for w, (s, key) in enumerate(rows.pairs):
         d, p, inv, top = model.eigen(key)
         dn, mine = d / top, np.flatnonzero(at == w)
         sums, scaled = _power_sums(dn, s), t * model.emission[key][None, :] / top
@@ -104,16 +117,26 @@ def forward_backward(rows: list[tuple[int, Key]], model: Model, start: np.ndarra
 
 #: Contigs of more rows are cut into blocks of so many, which are worked on side by side.
 BLOCK = 16_384
-_SPAN = ["contig_id", "seq", "span", "a1", "b1", "nb1"]
+
+
+def key_columns(rows: DataFrame) -> list[str]:
+    """The columns of the key, of one population or of two."""
+    return [c for c in ("a1", "b1", "nb1", "a2", "b2", "nb2") if c in rows.columns]
+
+
+def _kept(rows: DataFrame) -> list[str]:
+    return ["contig_id", "seq", "span", *key_columns(rows), *(["start"] if "start" in rows.columns else [])]
 
 
 def _kind(rows: DataFrame) -> str:
     return rows.schema["contig_id"].dataType.simpleString()
 
 
-def _rows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, Key]]]:
+def _rows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Runs]:
     pdf = pdf.sort_values("seq")
-    return pdf, list(zip(pdf["span"].astype(int).tolist(), zip(*[pdf[c].astype(int).tolist() for c in ("a1", "b1", "nb1")], strict=True), strict=True))
+    names = ["span", *[c for c in pdf.columns if c[0] in "abn" and c[-1].isdigit()]]
+    pairs, which = np.unique(pdf[names].to_numpy(np.int64), axis=0, return_inverse=True)
+    return pdf, Runs(which.reshape(-1), [(r[0], tuple(r[1:])) for r in pairs.tolist()])
 
 
 def _blocks(spans: DataFrame, size: int) -> DataFrame:
@@ -124,17 +147,22 @@ def _blocks(spans: DataFrame, size: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, contig, n = TaskContext.get().partitionId(), None, 0
         for pdf in batches:
-            block = np.empty(len(pdf), np.int64)
-            for i, c in enumerate(pdf["contig_id"].tolist()):
-                n = n + 1 if c == contig else 0
-                contig = c
-                block[i] = part << 32 | n // size
-            yield pdf.assign(block=block)
+            names = pdf["contig_id"].to_numpy()
+            if not len(names):
+                continue
+            first = np.r_[True, names[1:] != names[:-1]]
+            at = np.arange(len(names))
+            within = at - np.maximum.accumulate(np.where(first, at, 0))
+            if names[0] == contig:
+                within[np.maximum.accumulate(np.where(first, at, 0)) == 0] += n
+            contig, n = names[-1], within[-1] + 1
+            yield pdf.assign(block=part << 32 | within // size)
 
     path = scratch(spans.sparkSession, "blocks")
-    ordered = spans.selectExpr("contig_id", "CAST(seq AS BIGINT) AS seq", "CAST(span AS BIGINT) AS span", *[f"CAST({c} AS INT) AS {c}" for c in _SPAN[3:]])
+    columns = [f"{c} {'int' if c in key_columns(spans) else 'bigint'}" for c in _kept(spans)[1:]]
+    ordered = spans.selectExpr("contig_id", *[f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in columns])
     ordered = ordered.repartitionByRange("contig_id", "seq").sortWithinPartitions("contig_id", "seq")
-    schema = f"contig_id {_kind(spans)}, seq bigint, span bigint, a1 int, b1 int, nb1 int, block bigint"
+    schema = f"contig_id {_kind(spans)}, {', '.join(columns)}, block bigint"
     ordered.mapInPandas(cut, schema).write.parquet(path)
     return spans.sparkSession.read.schema(schema).parquet(path)
 
@@ -145,8 +173,8 @@ def _edges(blocks: DataFrame, model: Model) -> DataFrame:
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         sorted_, rows = _rows_of(pdf)
-        which, _, matrices, scales = _steps(rows, model)
-        whole, scale = np.eye(len(model.pi)), float(scales[which].sum())
+        which, matrices, scale = _steps(rows, model)
+        whole = np.eye(len(model.pi))
         for w in which:
             whole = matrices[w] @ whole
             top = whole.max()
@@ -181,7 +209,7 @@ def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple,
             pdf, rows = _rows_of(pdf)
             return use(pdf, forward_backward(rows, model), True)
 
-        return spans.select(*_SPAN).groupBy("contig_id").applyInPandas(whole, schema)
+        return spans.select(*_kept(spans)).groupBy("contig_id").applyInPandas(whole, schema)
     blocks = _blocks(spans, size)
     edges = _edges(blocks, model)
     first = edges.groupBy("contig_id").agg(F.min("block").alias("block")).withColumn("first", F.lit(True))
@@ -195,15 +223,13 @@ def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple,
 
 
 def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
-    """contig_id, seq, span and gamma, the state probabilities of each run; start, where spans have it."""
-    placed = positions(spans)
+    """contig_id, seq, start, span and gamma, the state probabilities of each run."""
 
     def run(pdf: pd.DataFrame, found: tuple, _: bool) -> pd.DataFrame:
         gamma = found[1] / found[1].sum(1, keepdims=True)
-        return pd.DataFrame({"contig_id": pdf["contig_id"], "seq": pdf["seq"], "span": pdf["span"].astype("int64"), "gamma": list(gamma)})
+        return pd.DataFrame({**{c: pdf[c] for c in ("contig_id", "seq")}, **{c: pdf[c].astype("int64") for c in ("start", "span")}, "gamma": list(gamma)})
 
-    found = _applied(spans, model, run, f"contig_id {_kind(spans)}, seq bigint, span bigint, gamma array<double>", size)
-    return found.join(placed.select("contig_id", "seq", "start"), ["contig_id", "seq"]).select("contig_id", "seq", "start", "span", "gamma")
+    return _applied(positions(spans), model, run, f"contig_id {_kind(spans)}, seq bigint, start bigint, span bigint, gamma array<double>", size)
 
 
 def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
@@ -215,8 +241,8 @@ def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
 
     def forward(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, rows = _rows_of(pdf)
-        which, _, matrices, scales = _steps(rows, model)
-        a, loglik = model.pi, float(scales[which].sum())
+        which, matrices, loglik = _steps(rows, model)
+        a = model.pi
         for w in which:
             x = matrices[w] @ a
             c = x.sum()
@@ -224,21 +250,21 @@ def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
             a = np.maximum(x / c, 0)
         return pd.DataFrame({"contig_id": pdf["contig_id"].iloc[:1], "loglik": [loglik]})
 
-    return spans.select(*_SPAN).groupBy("contig_id").applyInPandas(forward, kind)
+    return spans.select(*_kept(spans)).groupBy("contig_id").applyInPandas(forward, kind)
 
 
 def statistics(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
     """Sufficient statistics of each contig in long form: kind (loglik, first, gamma, xi), key, i, j, value; of each block
     of it, where a contig is cut."""
+    columns = key_columns(spans)
 
     def run(pdf: pd.DataFrame, found: tuple, begins: bool) -> pd.DataFrame:
         ll, gamma, xi, first = found
         out = [("loglik", "", 0, 0, ll)] + ([("first", "", i, 0, v) for i, v in enumerate(first)] if begins else [])
-        keys = pdf["a1"].astype(str) + "," + pdf["b1"].astype(str) + "," + pdf["nb1"].astype(str)
-        names, which = np.unique(keys.to_numpy(str), return_inverse=True)
+        names, which = np.unique(pdf[columns].to_numpy(np.int64), axis=0, return_inverse=True)
         sums = np.zeros((len(names), gamma.shape[1]))
-        np.add.at(sums, which, gamma)
-        out += [("gamma", str(k), i, 0, v) for k, g in zip(names, sums, strict=True) for i, v in enumerate(g)]
+        np.add.at(sums, which.reshape(-1), gamma)
+        out += [("gamma", ",".join(map(str, k)), i, 0, v) for k, g in zip(names.tolist(), sums, strict=True) for i, v in enumerate(g)]
         out += [("xi", "", i, j, xi[i, j]) for i in range(len(xi)) for j in range(len(xi))]
         frame = pd.DataFrame(out, columns=["kind", "key", "i", "j", "value"])
         frame.insert(0, "contig_id", pdf["contig_id"].iloc[0])
