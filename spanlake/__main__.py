@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import conditioned, demography, hmm, ingest, measures, models, sampling, spans, splines
+from .operators import conditioned, demography, hmm, ingest, joint, measures, models, sampling, spans, split, splines
 from .operators import simulate as simulator
 from .sources import formats, text
 
@@ -25,7 +25,7 @@ def command(*options: tuple[tuple, dict]) -> Callable:
     """Register a function of (spark, arguments) as the command of its name."""
 
     def register(f: Callable) -> Callable:
-        COMMANDS[f.__name__] = f, list(options)
+        COMMANDS[f.__name__.rstrip("_")] = f, list(options)
         return f
 
     return register
@@ -118,16 +118,17 @@ def _fit(spark, data, args: argparse.Namespace, penalty: float, folder: str | No
     start, rho = None, u["rho"] * args.bin
     if folder:
         start = _resumed(spark, folder)
+    learn = tuple(dict.fromkeys([*(["rho"] if args.r is None else []), *args.learn]))
     start = start or demography.Fit(np.full(many, np.log(size)), u["theta"] * args.bin, rho, [])
 
     def keep(message: str, state: dict) -> None:
         if folder and message in ("post M-step", "optimization finished"):
             fit = state["fit"]
-            line = json.dumps({"round": len(fit.history), "y": fit.y.tolist(), "theta": fit.theta, "rho": fit.rho, "loglik": fit.history, "done": fit.done}, sort_keys=True)
+            line = json.dumps({"round": len(fit.history), "y": fit.y.tolist(), "theta": fit.theta, "rho": fit.rho, "alpha": fit.alpha, "loglik": fit.history, "done": fit.done}, sort_keys=True)
             spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(folder)
 
-    found, history = demography.estimate(_prepared(data, args, n), knots, states, start.theta, rho, args.em_iterations, penalty, keep, conditioned.sample_model, start, args.r is None, args.multi, curve, rough)
-    return found, history, states, {**u, "rho": start.rho / args.bin, "knots": knots, "values": start.y}
+    found, history = demography.estimate(_prepared(data, args, n), knots, states, u["theta"] * args.bin, rho, args.em_iterations, penalty, keep, None, start, learn, args.multi, curve, rough, conditioned.sample_parts)
+    return found, history, states, {**u, "theta": start.theta / args.bin, "alpha": start.alpha, "rho": start.rho / args.bin, "knots": knots, "values": start.y}
 
 
 def _resumed(spark: SparkSession, folder: str):
@@ -139,15 +140,15 @@ def _resumed(spark: SparkSession, folder: str):
     if not rounds:
         return None
     got = max(rounds, key=lambda r: (r["round"], r["done"]))
-    return demography.Fit(np.array(got["y"]), got["theta"], got["rho"], got["loglik"], got["done"])
+    return demography.Fit(np.array(got["y"]), got["theta"], got["rho"], got["loglik"], got["done"], got.get("alpha", 1.0))
 
 
-FIT = (option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20), option("--bin", type=int, default=100, help="bases a bin"), option("--thinning", type=int), option("--rate-window", type=int), option("--spline", choices=SPLINES, default="piecewise"), option("--multi", action="store_true", help="move all knots together"))
+FIT = (option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20), option("--bin", type=int, default=100, help="bases a bin"), option("--thinning", type=int), option("--rate-window", type=int), option("--spline", choices=SPLINES, default="piecewise"), option("--multi", action="store_true", help="move all knots together"), option("--learn", nargs="*", default=[], choices=tuple(demography.LEARNED), help="rates that are fitted too; the recombination rate always is where --r is not given"))
 
 
 def _json(found: demography.Steps, history: list[float], states: list[float], u: dict, kind: str) -> str:
     model = {"class": "steps", "spline_class": kind, "N0": u["n0"], "knots": found.t.tolist(), "y": np.log(found.a).tolist(), "control": {"knots": list(u["knots"]), "y": list(map(float, u["values"]))}}
-    return json.dumps({"theta": u["theta"], "rho": u["rho"], "hidden_states": [x if np.isfinite(x) else "inf" for x in states], "model": model, "loglik": history}, sort_keys=True)
+    return json.dumps({"theta": u["theta"], "rho": u["rho"], "alpha": u["alpha"], "hidden_states": [x if np.isfinite(x) else "inf" for x in states], "model": model, "loglik": history}, sort_keys=True)
 
 
 @command(DATA, OUT, MU, RHO, *FIT, option("--penalty", type=float, default=0.0))
@@ -183,20 +184,65 @@ def cv(spark: SparkSession, args: argparse.Namespace) -> None:
         spark.createDataFrame([(best[1], best[2], best[3])], "penalty double, loglik double, model string").coalesce(1).write.mode("overwrite").parquet(f"{args.out}/best/fold={fold}")
 
 
-def _load(spark: SparkSession, path: str) -> tuple[demography.Steps, list[float], dict]:
+#: How the model of a file is read, by its class.
+CLASSES: dict[str, Callable[[dict], object]] = {
+    "steps": lambda m: demography.Steps(np.array(m["knots"], float), np.exp(m["y"])),
+    "two": lambda m: (CLASSES[m["model1"]["class"]](m["model1"]), CLASSES[m["model2"]["class"]](m["model2"]), float(m["split"])),
+}
+
+
+def _load(spark: SparkSession, path: str) -> tuple:
+    """The model of a file (two models and their split, where it is of two populations), hidden states, and the file."""
     got = json.loads(spark.read.text(path).first()["value"])
-    model = demography.Steps(np.array(got["model"]["knots"]), np.exp(got["model"]["y"]))
-    return model, [float(x) for x in got["hidden_states"]], got
+    if got["model"].get("class") not in CLASSES:
+        raise SystemExit(f"{path}: no model of a known class ({', '.join(CLASSES)})")
+    return CLASSES[got["model"]["class"]](got["model"]), [float(x) for x in got["hidden_states"]], got
+
+
+def _pair_of(data) -> tuple[int, int]:
+    """Lineages of the pair in each population: a pair that is in one of two populations never shows an allele of it in the other."""
+    most = data.agg(F.max("a1"), F.max("a2")).first()
+    return (1, 1) if (most[1] or 0) > 0 else (2, 0)
+
+
+@command(DATA, OUT, option("model1"), option("model2"), option("--pair", choices=("together", "apart"), help="default: as the rows show"), option("--second", help="Parquet of one-population rows of the second population"), option("--max-split", type=float, help="default: the last knot but one of the second model"), option("--polarization-error", type=float, default=0.5), option("--hold-sizes", action="store_true"))
+def split_(spark: SparkSession, args: argparse.Namespace) -> None:
+    """When two populations split, given a model of each; writes one JSON line with both models. Points of the profile are
+    kept in ``out``-rounds."""
+    (one, states, a), (two, _, b) = _load(spark, args.model1), _load(spark, args.model2)
+    theta, rho = a["theta"], a["rho"]
+    if not np.isclose(theta, b["theta"], rtol=1e-6):
+        raise SystemExit("the two models were fitted with different mutation rates")
+    data = spark.read.parquet(args.spans)
+    if "a2" not in data.columns:
+        raise SystemExit("these rows are of one population: they do not say when two split")
+    kind = {"together": split.TOGETHER, "apart": split.APART, None: None}[args.pair] or _pair_of(data)
+    sets = [split.counted(data, kind)]
+    if args.second:
+        sets.append(split.counted(spark.read.parquet(args.second), split.SECOND))
+    most = args.max_split or float(two.t[-2] if len(two.t) > 2 else 2.0)
+    found = split.fit(sets, one, two, theta, most, args.polarization_error, not args.hold_sizes)
+    side = lambda got, model: {**got["model"], "knots": model.t.tolist(), "y": np.log(model.a * found.scale).tolist()}
+    model = {"class": "two", "model1": side(a, one), "model2": side(b, two), "split": found.split}
+    spark.createDataFrame(found.tried, "split double, scale double, loglik double").coalesce(1).write.mode("overwrite").parquet(args.out + "-rounds")
+    line = json.dumps({"theta": theta, "rho": rho, "alpha": 1.0, "hidden_states": [x if np.isfinite(x) else "inf" for x in states], "model": model, "loglik": [found.loglik]}, sort_keys=True)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(args.out)
 
 
 @command(DATA, OUT, option("model"))
 def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
-    """State probabilities of every run under a fitted model."""
+    """State probabilities of every run under a fitted model, of one population or of two."""
     model, states, got = _load(spark, args.model)
     data = spark.read.parquet(args.spans)
-    known = [tuple(r) for r in data.select("a1", "b1", "nb1").distinct().collect()]
-    found = hmm.posterior(data, conditioned.sample_model(model, states, got["theta"], got["rho"], known))
-    found.withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
+    known = [tuple(r) for r in data.select(*hmm.key_columns(data)).distinct().collect()]
+    alpha = got.get("alpha", 1.0)
+    if "a2" in data.columns and isinstance(model, tuple):
+        hidden = joint.model_of(*model, states, got["theta"], got["rho"], known, _pair_of(data), alpha=alpha)
+    elif "a2" in data.columns or isinstance(model, tuple):
+        raise SystemExit("rows of two populations need a model of two, as split writes it, and rows of one a model of one")
+    else:
+        hidden = conditioned.sample_model(model, states, got["theta"], got["rho"], known, alpha=alpha)
+    hmm.posterior(data, hidden).withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
 
 
 @command(OUT, option("--history", choices=("constant", "human", "sawtooth"), default="constant"), option("--contigs", type=int, default=4), option("--length", type=int, default=1_000_000), option("--theta", type=float, default=1e-3), option("--rho", type=float, default=1e-3), option("--seed", type=int, default=0))
@@ -215,6 +261,8 @@ def plot(spark: SparkSession, args: argparse.Namespace) -> None:
     for i, path in enumerate(args.models):
         model, _, got = _load(spark, path)
         n0 = got["model"]["N0"]
+        if isinstance(model, tuple):
+            raise SystemExit("plot takes models of one population")
         rows += [(path, float(t * 2 * n0 * args.generation), float(a * n0), "step", i) for t, a in zip(model.t, model.a, strict=True)]
     formats.write_curves(spark.createDataFrame(rows, "label string, x double, y double, plot_type string, plot_num int"), args.out)
 

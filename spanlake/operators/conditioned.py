@@ -221,7 +221,27 @@ def emissions(model: dm.Steps, states: list[float], theta: float, keys: list[hmm
     return out
 
 
-def sample_model(model: dm.Steps, states: list[float], theta: float, rho: float, keys: list[hmm.Key], n: int | None = None, error: float = 0.5) -> hmm.Model:
+def sample_model(model: dm.Steps, states: list[float], theta: float, rho: float, keys: list[hmm.Key], n: int | None = None, error: float = 0.5, alpha: float = 1.0) -> hmm.Model:
     """The hidden Markov model of spans with n others (default: the most that a key has)."""
     n = max((k[2] for k in keys), default=0) if n is None else n
-    return hmm.Model(dm.initial(model, states), dm.transition(model, states, rho), emissions(model, states, theta, keys, n, error))
+    return hmm.Model(dm.initial(model, states), dm.transition(model, states, rho), emissions(model, states, theta, keys, n, error, alpha))
+
+
+def sample_parts(states: list[float], keys: list[hmm.Key], n: int | None = None, error: float = 0.5) -> dm.Parts:
+    """Parts of the model of spans with n others: spectra are kept while only rates change, transitions while theta does."""
+    n = max((k[2] for k in keys), default=0) if n is None else n
+    mixes = {k: bins(k, n, error) for k in keys if k[2]}
+
+    def emission(p: dm.Parts) -> dict[hmm.Key, np.ndarray]:
+        pair = p.get("pair")
+        table = p.get("table") if mixes else None
+        return {k: sum(w * table[:, a, b] for (a, b), w in mixes[k].items()) if k in mixes else np.ones(len(states) - 1) if k[0] < 0 else pair[k[0] % 2] for k in keys}
+
+    return dm.Parts(states, keys, {
+        "pi": lambda p: dm.initial(p.model, states),
+        "transition": lambda p: dm.transition(p.model, states, p.now["rho"]),
+        "pair": lambda p: dm.pair_emission(p.model, states, p.now["theta"], p.now["alpha"]),
+        "spectra": lambda p: spectra(p.model, states, n),
+        "table": lambda p: with_mutation(p.get("spectra"), p.now["theta"]),
+        "emission": emission,
+    })

@@ -137,6 +137,40 @@ def golden(f: Callable[[float], float], a: float, b: float, steps: int = 24) ->
     return (a + b) / 2
 
 
+def bounded(f: Callable[[float], float], a: float, b: float, tolerance: float = 1e-5, most: int = 60) -> float:
+    """Minimum of a function of one variable between bounds: a parabola through the three best points where that step falls
+    well inside and shrinks, else a golden section."""
+    ratio = (3 - math.sqrt(5)) / 2
+    x = w = v = a + ratio * (b - a)
+    fx = fw = fv = f(x)
+    last = before = b - a
+    for _ in range(most):
+        middle, near = (a + b) / 2, tolerance * (abs(x) + 1e-3)
+        if abs(x - middle) <= 2 * near - (b - a) / 2:
+            break
+        up = (x - v) * (fx - fw)
+        down = (x - w) * (fx - fv)
+        over = 2 * (up - down)
+        step = ((x - w) * down - (x - v) * up) / over if over else math.inf
+        if abs(step) < abs(before) / 2 and a + near < x + step < b - near:
+            before, last = last, step
+        else:
+            before = (b if x < middle else a) - x
+            last = ratio * before
+        u = x + (last if abs(last) >= near else math.copysign(near, last))
+        fu = f(u)
+        if fu <= fx:
+            a, b = (x, b) if u >= x else (a, x)
+            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
+        else:
+            a, b = (u, b) if u < x else (a, u)
+            if fu <= fw or w == x:
+                v, fv, w, fw = w, fw, u, fu
+            elif fu <= fv or v in (x, w):
+                v, fv = u, fu
+    return x
+
+
 def minimise(f: Callable[[np.ndarray], float], x: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 25, step: float = 1e-4, tolerance: float = 1e-7) -> np.ndarray:
     """Minimum between bounds by a quasi-Newton method: gradients by central differences, an inverse Hessian that is updated
     from their changes, coordinates at a bound held there, and a line search by halves."""
@@ -185,8 +219,9 @@ def roughness(y: np.ndarray) -> float:
     return float(np.sum(np.diff(y, 2) ** 2))
 
 
-#: Bounds of log sizes, and of the recombination rate around its start.
-LOW, HIGH, RATES = math.log(1e-4), math.log(1e4), (1e-2, 1e2)
+#: Bounds of log sizes; of each rate, as factors of its start; of alpha as it is.
+LOW, HIGH = math.log(1e-4), math.log(1e4)
+LEARNED: dict[str, tuple[float, float]] = {"rho": (1e-2, 1e2), "theta": (1e-2, 1e2), "alpha": (1e-2, 1e2)}
 
 
 @dataclass
@@ -198,6 +233,80 @@ class Fit:
     rho: float
     history: list[float]
     done: bool = False
+    alpha: float = 1.0
+
+
+class Parts:
+    """The parts of a hidden Markov model by what they depend on: a part is made anew only if one of its inputs has changed.
+    ``made`` counts how often each was."""
+
+    NEEDS = {"pi": ("sizes",), "transition": ("sizes", "rho"), "pair": ("sizes", "theta", "alpha"), "spectra": ("sizes",), "table": ("sizes", "theta"), "emission": ("sizes", "theta", "alpha")}
+
+    def __init__(self, states: list[float], keys: list[hmm.Key], make: dict[str, Callable[..., object]], most: int = 4) -> None:
+        self.states, self.keys, self.make, self.most = states, keys, make, most
+        self.held: dict[str, dict] = {name: {} for name in make}
+        self.made = dict.fromkeys(make, 0)
+        self.now: dict[str, object] = {}
+
+    def at(self, model: Steps, theta: float, rho: float, alpha: float) -> "Parts":
+        self.now = {"sizes": (tuple(model.t.tolist()), tuple(model.a.tolist())), "theta": theta, "rho": rho, "alpha": alpha}
+        self.model = model
+        return self
+
+    def get(self, name: str) -> object:
+        held, key = self.held[name], tuple(self.now[x] for x in self.NEEDS[name])
+        if key not in held:
+            while len(held) >= self.most:
+                held.pop(next(iter(held)))
+            held[key] = self.make[name](self)
+            self.made[name] += 1
+        return held[key]
+
+    def hidden(self) -> hmm.Model:
+        return hmm.Model(self.get("pi"), self.get("transition"), self.get("emission"))
+
+
+def pair_parts(states: list[float], keys: list[hmm.Key]) -> Parts:
+    """Parts of the model of the distinguished pair alone."""
+    return Parts(states, keys, {
+        "pi": lambda p: initial(p.model, states),
+        "transition": lambda p: transition(p.model, states, p.now["rho"]),
+        "pair": lambda p: pair_emission(p.model, states, p.now["theta"], p.now["alpha"]),
+        "emission": lambda p: {k: np.ones(len(states) - 1) if k[0] < 0 else p.get("pair")[k[0] % 2] for k in keys},
+    })
+
+
+def as_parts(build: Callable[..., hmm.Model]) -> Callable[[list[float], list[hmm.Key]], Parts]:
+    """A function that builds a whole model (pi, transition and emissions together) as parts that all depend on everything."""
+
+    class Whole(Parts):
+        NEEDS = dict.fromkeys(("pi", "transition", "emission", "whole"), ("sizes", "theta", "rho", "alpha"))
+
+    def parts(states: list[float], keys: list[hmm.Key]) -> Parts:
+        return Whole(states, keys, {
+            "whole": lambda p: build(p.model, states, p.now["theta"], p.now["rho"], keys),
+            "pi": lambda p: p.get("whole").pi, "transition": lambda p: p.get("whole").transition, "emission": lambda p: p.get("whole").emission,
+        })
+
+    return parts
+
+
+class Expectation:
+    """The expected complete log likelihood of reduced statistics under a model; the statistics are turned into arrays once."""
+
+    def __init__(self, stats: list, m: int) -> None:
+        self.first, self.xi, self.gamma = np.zeros(m), np.zeros((m, m)), {}
+        for r in stats:
+            if r["kind"] == "first":
+                self.first[r["i"]] += r["value"]
+            elif r["kind"] == "xi":
+                self.xi[r["i"], r["j"]] += r["value"]
+            elif r["kind"] == "gamma":
+                self.gamma.setdefault(tuple(map(int, r["key"].split(","))), np.zeros(m))[r["i"]] += r["value"]
+
+    def __call__(self, model: hmm.Model) -> float:
+        log = lambda x: np.log(np.maximum(x, 1e-20))
+        return float(self.first @ log(model.pi) + (self.xi * log(model.transition)).sum() + sum(g @ log(model.emission[k]) for k, g in self.gamma.items()))
 
 
 def estimate(
@@ -209,27 +318,34 @@ def estimate(
     rounds: int = 3,
     penalty: float = 0.0,
     on: Callable[[str, dict], None] | None = None,
-    build: Callable[..., hmm.Model] = pair_model,
+    build: Callable[..., hmm.Model] | None = None,
     start: Fit | None = None,
-    learn_rho: bool = False,
+    learn: tuple[str, ...] = (),
     together: bool = False,
     curve: Callable[[np.ndarray], Steps] | None = None,
     rough: Callable[[np.ndarray], float] = roughness,
+    parts: Callable[[list[float], list[hmm.Key]], Parts] = pair_parts,
 ) -> tuple[Steps, list[float]]:
-    """EM on the distinguished pair, or with ``build`` = conditioned.sample_model on all samples. A round is one distributed
-    E-step and a driver M-step: first all log sizes move together, then the recombination rate if it is learned, then one
-    knot at a time, last first, or all ``together`` by minimise(). The penalty is on ``rough``, in units of the size of the
-    first expectation. ``curve`` makes steps of the values at the knots; by default they are the steps. ``on`` is told what
-    happens, with a Fit that ``start`` takes to go on from. Ends when the relative gain is small."""
-    spans = spans.select("contig_id", "seq", "span", "a1", "b1", "nb1").persist()
-    keys = [(r.a1, r.b1, r.nb1) for r in spans.select("a1", "b1", "nb1").distinct().collect()]  # few: counts of one sample
+    """EM on the distinguished pair, or with ``parts`` = conditioned.sample_parts on all samples; ``build`` makes a whole model
+    instead. A round is one distributed E-step and a driver M-step: first all log sizes move together, then each rate of
+    ``learn`` (names of LEARNED), then one knot at a time, last first, or all ``together`` by minimise(). The penalty is on
+    ``rough``, in units of the size of the first expectation. ``on`` is told what happens, with a Fit that ``start`` takes to
+    go on from: begin; pre, post E-step; pre M-step; post minimize of each parameter; post mini M-step of each knot; post
+    M-step; converged; optimization finished. Ends when the relative gain is small."""
+    if set(learn) - set(LEARNED):
+        raise ValueError(f"what can be learned: {', '.join(LEARNED)}")
+    spans = spans.select("contig_id", "seq", "span", *hmm.key_columns(spans)).persist()
+    keys = [tuple(r) for r in spans.select(*hmm.key_columns(spans)).distinct().collect()]  # few: counts of one sample
     fit = start or Fit(np.zeros(len(knots)), theta, rho, [])
     steps = curve or (lambda y: Steps(np.array(knots), np.exp(y)))
+    held = (as_parts(build) if build else parts)(states, keys)
     tell = on or (lambda message, state: None)
-    say = lambda message, **more: tell(message, {"round": len(fit.history), "fit": fit, "y": fit.y, **more})
+    say = lambda message, **more: tell(message, {"round": len(fit.history), "fit": fit, "y": fit.y, "made": dict(held.made), **more})
+    at = lambda y, **rates: held.at(steps(y), *(rates.get(n, getattr(fit, n)) for n in ("theta", "rho", "alpha"))).hidden()
+    bounds = {n: (math.log(low * (1 if n == "alpha" else {"theta": theta, "rho": rho}[n])), math.log(high * (1 if n == "alpha" else {"theta": theta, "rho": rho}[n]))) for n, (low, high) in LEARNED.items()}
     say("begin")
     while not fit.done and len(fit.history) < rounds:
-        model = build(steps(fit.y), states, fit.theta, fit.rho, keys)
+        model = at(fit.y)
         say("pre E-step")
         stats = hmm.reduced(hmm.statistics(spans, model)).collect()  # keys times states
         fit.history.append(sum(r["value"] for r in stats if r["kind"] == "loglik"))
@@ -238,22 +354,25 @@ def estimate(
             fit.done = True
             say("converged")
             break
-        scale = max(1.0, abs(hmm.expectation(model.pi, model.transition, model.emission, stats)))
+        expect = Expectation(stats, len(model.pi))
+        scale = max(1.0, abs(expect(model)))
 
-        def cost(y: np.ndarray, rate: float, stats: list = stats, scale: float = scale) -> float:
-            m = build(steps(y), states, fit.theta, rate, keys)
-            return -hmm.expectation(m.pi, m.transition, m.emission, stats) / scale + penalty / scale * rough(y)
+        def cost(y: np.ndarray, expect: Expectation = expect, scale: float = scale, **rates: float) -> float:
+            return -expect(at(y, **rates)) / scale + penalty / scale * rough(y)
 
         say("pre M-step")
-        fit.y = np.clip(fit.y + golden(lambda v: cost(fit.y + v, fit.rho), -1.0, 1.0, 12), LOW, HIGH)
-        if learn_rho:
-            fit.rho = math.exp(golden(lambda v: cost(fit.y, math.exp(v)), math.log(rho * RATES[0]), math.log(rho * RATES[1])))
+        fit.y = np.clip(fit.y + bounded(lambda v: cost(fit.y + v), -1.0, 1.0, 1e-3), LOW, HIGH)
+        say("post minimize", parameter="scale")
+        for name in learn:
+            setattr(fit, name, math.exp(bounded(lambda v, name=name: cost(fit.y, **{name: math.exp(v)}), *bounds[name], 1e-4)))
+            say("post minimize", parameter=name)
         if together:
-            fit.y = minimise(lambda y: cost(y, fit.rho), fit.y, np.full(len(fit.y), LOW), np.full(len(fit.y), HIGH), 8)
+            fit.y = minimise(cost, fit.y, np.full(len(fit.y), LOW), np.full(len(fit.y), HIGH), 8)
         else:
             for k in range(len(fit.y) - 1, -1, -1):
-                at = lambda v, k=k: cost(np.r_[fit.y[:k], v, fit.y[k + 1 :]], fit.rho)
-                fit.y[k] = golden(at, max(fit.y[k] - 3, LOW), min(fit.y[k] + 3, HIGH))
+                moved = lambda v, k=k: cost(np.r_[fit.y[:k], v, fit.y[k + 1 :]])
+                fit.y[k] = bounded(moved, max(fit.y[k] - 3, LOW), min(fit.y[k] + 3, HIGH), 1e-3)
+                say("post mini M-step", knot=k)
         say("post M-step")
     spans.unpersist()
     fit.done = True
