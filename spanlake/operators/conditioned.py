@@ -13,6 +13,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from . import demography as dm
 from . import hmm
@@ -160,6 +161,12 @@ def spectra(model: dm.Steps, states: list[float], n: int, until: float = math.in
     return out
 
 
+def over_models(pieces: DataFrame, states: list[float], n: int) -> DataFrame:
+    """model_id, m, a, b, length: the spectra of every model of a table."""
+    rows = lambda model: [(m, a, b, float(x)) for (m, a, b), x in np.ndenumerate(spectra(model, states, n))]
+    return dm.per_model(pieces, rows, "m int, a int, b int, length double")
+
+
 @lru_cache(maxsize=64)
 def _held(t: tuple[float, ...], a: tuple[float, ...], states: tuple[float, ...], n: int) -> np.ndarray:
     """spectra() of models seen lately: a change of rates alone does not make them anew."""

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import hmm
@@ -47,6 +48,18 @@ class Steps:
         return [0.0, *[self.inverse(-math.log1p(-i / m)) for i in range(1, m)], math.inf]
 
 
+def per_model(pieces: DataFrame, values: Callable[[Steps], list[tuple]], schema: str) -> DataFrame:
+    """Rows that a function makes of each model of a table (model_id, t0, size); a task has one model's pieces at a time."""
+    kind = pieces.schema["model_id"].dataType.simpleString()
+    names = ["model_id", *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t0")
+        return pd.DataFrame([(key[0], *r) for r in values(Steps(pdf["t0"].to_numpy(float), pdf["size"].to_numpy(float)))], columns=names)
+
+    return pieces.select("model_id", "t0", "size").groupBy("model_id").applyInPandas(run, f"model_id {kind}, {schema}")
+
+
 def initial(model: Steps, states: list[float], floor: float = 1e-20) -> np.ndarray:
     s = np.array([math.exp(-model.hazard(h)) for h in states])
     p = np.maximum(s[:-1] - s[1:], floor)

@@ -13,10 +13,14 @@ What lies before the split are the spectra of each population up to then."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import product
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import conditioned, moran
 from . import demography as dm
@@ -199,3 +203,31 @@ def model_of(model1: dm.Steps, model2: dm.Steps, split: float, states: list[floa
     n = n or reduce(lambda x, k: (max(x[0], k[2]), max(x[1], k[5])), keys, (0, 0))
     met = model1 if na == (2, 0) else apart(model1, split)
     return hmm.Model(dm.initial(met, states), dm.transition(met, states, rho), emissions(model1, model2, split, states, theta, keys, n, na, error, alpha))
+
+
+def over_models(pieces: DataFrame, states: list[float], n: tuple[int, int], na: tuple[int, int] = (2, 0)) -> DataFrame:
+    """model_id, m, a1, b1, a2, b2, length of every pair of models of a table (model_id, population 1 or 2, t0, size, split)."""
+    kind = pieces.schema["model_id"].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t0")
+        one, two = (dm.Steps(x["t0"].to_numpy(float), x["size"].to_numpy(float)) for x in (pdf[pdf["population"] == p] for p in (1, 2)))
+        found = spectra(one, two, float(pdf["split"].iloc[0]), states, n, na)
+        return pd.DataFrame([(key[0], *at, float(x)) for at, x in np.ndenumerate(found)], columns=["model_id", "m", "a1", "b1", "a2", "b2", "length"])
+
+    rows = pieces.select("model_id", "population", "t0", "size", "split")
+    return rows.groupBy("model_id").applyInPandas(run, f"model_id {kind}, m int, a1 int, b1 int, a2 int, b2 int, length double")
+
+
+def key_table(keys: DataFrame, model1: dm.Steps, model2: dm.Steps, split: float, states: list[float], theta: float, n: tuple[int, int], na: tuple[int, int] = (2, 0), error: float = 0.5) -> DataFrame:
+    """Probability p of each distinct key of a table in each state m."""
+    columns = hmm.key_columns(keys)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known = [tuple(r) for r in pdf.to_numpy(int).tolist()]
+            found = emissions(model1, model2, split, states, theta, known, n, na, error)
+            yield pd.DataFrame([(*k, m, float(p)) for k in known for m, p in enumerate(found[k])], columns=[*columns, "m", "p"])
+
+    distinct = keys.select(*[F.col(c).cast("int").alias(c) for c in columns]).distinct()
+    return distinct.mapInPandas(look, ", ".join(f"{c} int" for c in columns) + ", m int, p double")

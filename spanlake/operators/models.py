@@ -157,6 +157,24 @@ def units(mu: float, r: float | None = None, n0: float | None = None) -> dict[st
     return {"n0": n0, "theta": 2 * n0 * mu, "rho": 2 * n0 * r if r else 2 * n0 * mu}
 
 
+def with_units(rows: DataFrame) -> DataFrame:
+    """The same for columns mu and r, of which r may be null or 0."""
+    n0 = 5e-5 / F.col("mu")
+    r = F.coalesce(F.nullif("r", F.lit(0.0)), F.col("mu"))
+    return rows.withColumns({"n0": n0, "theta": 2 * n0 * F.col("mu"), "rho": 2 * n0 * r})
+
+
+def growing(name: str, pieces: list[tuple[float, float, float, float]]) -> list[tuple[str, int, float, float, float, float]]:
+    """Rows (model_id, piece, t0, t1, size0, size1) of a history of exponential pieces, the last without an end."""
+    return [(name, i, t0, t1, a, b) for i, (t0, t1, a, b) in enumerate(pieces)]
+
+
+def size_at(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The size at each point (model_id, t) of a history of exponential pieces; null beyond its last."""
+    inside = as_of(points, pieces).withColumn("share", (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
+    return inside.withColumn("size", F.when(F.col("t") < F.col("t1"), F.col("size0") * F.pow(F.col("size1") / F.col("size0"), F.col("share")))).drop("share")
+
+
 def to_json(pieces: DataFrame) -> DataFrame:
     rows = pieces.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("t0", "size"))).alias("p"))
     return rows.select("model_id", F.to_json(F.struct(F.transform("p", lambda x: x["t0"]).alias("knots"), F.transform("p", lambda x: x["size"]).alias("y"))).alias("model"))

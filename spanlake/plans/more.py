@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import conditioned, ingest, keys, measures, models, moran, panels, sampling, spans
-from ..operators import demography as dm
+from ..operators import ingest, keys, measures, panels, sampling, spans
 from ..sources import formats
 from ..sources.adapters import GENO_SQL, SPANS_SQL
 from ..sources.adapters import spans as span_table
 from . import queries as base
-from .queries import EDGE_SQL, LF, PIECES, QUERIES, SITES, SQL, _pieces, _two, on_calls, on_spans, on_spark, rounded
+from .queries import EDGE_SQL, LF, QUERIES, SITES, SQL, _two, on_calls, on_spans, rounded
 
 UNIFORM = lambda seed, *names: f"(CAST('0x' || substr(md5('{seed}:' || " + " || ':' || ".join(f"CAST({n} AS VARCHAR)" for n in names) + "), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0"
 
@@ -83,42 +82,6 @@ _scores = lambda df: df.groupBy((F.col("contig_id") % 4).alias("fold"), (F.col("
 on_spans("cv_best_penalty", lambda df: measures.best_penalty(_scores(df)), ", s AS (SELECT contig_id % 4 AS fold, CAST(seq % 3 AS DOUBLE) AS penalty, CAST(sum(span % 11) AS DOUBLE) AS loglik FROM spans GROUP BY ALL) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY loglik DESC, penalty) = 1")
 on_spans("states_not_ascending", lambda df: measures.not_ascending(df.select(F.col("contig_id").alias("model_id"), F.col("seq").alias("m"), F.col("span").cast("double").alias("t"))), "SELECT * FROM (SELECT contig_id AS model_id, seq AS m, CAST(span AS DOUBLE) AS t, lag(CAST(span AS DOUBLE)) OVER (PARTITION BY contig_id ORDER BY seq) AS before FROM spans) WHERE t <= before")
 
-# models
-HAZ = lambda t, name: f"{name} AS (SELECT model_id, hazard + ({t} - t0) / size AS r FROM hz WHERE t0 <= {t} AND (t1 IS NULL OR {t} < t1))"
-on_spark("random_times", lambda s: rounded(measures.random_times(_pieces(s), 0.05, 1.5, 200, 9), "t"), f"""WITH {PIECES}, {HAZ(0.05, 'lo')}, {HAZ(1.5, 'hi')}, d AS (SELECT i AS draw, {UNIFORM(9, 'i')} AS u FROM range(200) AS t(i)),
-y AS (SELECT lo.model_id, draw, lo.r - ln(1 - u * (1 - exp(lo.r - hi.r))) AS y FROM lo JOIN hi USING (model_id), d)
-SELECT y.model_id, draw, round(t0 + (y - hazard) * size, 6) AS t FROM y ASOF JOIN hz ON y.model_id = hz.model_id AND y.y >= hz.hazard""")
-CUTS = "k AS (SELECT unnest([0.2, 0.5, 1.5]) AS t)"
-on_spark("model_with_knots", lambda s: measures.with_knots(_pieces(s), [0.5, 0.2, 1.5]), f"""WITH {PIECES}, {CUTS}, u AS (SELECT model_id, t0, size FROM pieces UNION SELECT model_id, CAST(t AS DOUBLE), size FROM pieces, k WHERE t > t0 AND (t1 IS NULL OR t < t1))
-SELECT model_id, CAST(row_number() OVER w - 1 AS INT) AS piece, t0, lead(t0) OVER w AS t1, size FROM u WINDOW w AS (PARTITION BY model_id ORDER BY t0)""")
-on_spark("models_and_offsets", lambda s: measures.offset(_pieces(s), s.createDataFrame([(1, 0.5), (2, 0.25)], "number int, offset double")), f"""WITH {PIECES}, n AS (SELECT model_id, CAST(row_number() OVER (ORDER BY model_id) - 1 AS INT) AS number FROM (SELECT DISTINCT model_id FROM pieces)),
-o AS (SELECT * FROM (VALUES (1, 0.5::DOUBLE), (2, 0.25::DOUBLE)) AS v(number, "offset")), b AS (SELECT coalesce(n.number, o.number) AS number, model_id, coalesce(o.offset, 0) AS "offset" FROM n FULL JOIN o USING (number))
-SELECT number, b.model_id, "offset", t0 + "offset" AS x, size FROM b LEFT JOIN pieces p ON b.model_id = p.model_id""")
-on_spark("truncated_model", lambda s: models.truncate(_pieces(s), 0.4), f"WITH {PIECES} SELECT model_id, piece, t0, lead(t0) OVER (PARTITION BY model_id ORDER BY t0) AS t1, size FROM pieces WHERE t0 < 0.4")
-on_spark("clipped_model", lambda s: models.clip(_pieces(s), 0.4, 1.6), f"WITH {PIECES} SELECT model_id, piece, t0, t1, least(greatest(size, 0.4), 1.6) AS size FROM pieces")
-on_spark("demography_events", lambda s: models.demography(_pieces(s), 1e4), f"WITH {PIECES} SELECT model_id, t0 * 20000 AS generation, size * 10000 AS size FROM pieces")
-on_spark("step_plot", lambda s: models.step_plot(_pieces(s), 1e4), f"WITH {PIECES} SELECT model_id AS label, t0 * 20000 AS x, size * 10000 AS y, 'step' AS plot_type, CAST(dense_rank() OVER (ORDER BY model_id) - 1 AS INT) AS plot_num FROM pieces")
-
-
-def _units(s: SparkSession) -> DataFrame:
-    rows = [(mu, r, *models.units(mu, r).values()) for mu, r in ((1.25e-8, 1e-9), (1e-8, 0.0))]
-    return rounded(s.createDataFrame(rows, "mu double, r double, n0 double, theta double, rho double"), "n0", "theta", "rho")
-
-
-on_spark("scaled_units", _units, "SELECT mu, r, round(5e-5 / mu, 6) AS n0, round(1e-4, 6) AS theta, round(CASE WHEN r > 0 THEN 1e-4 / mu * r ELSE 1e-4 END, 6) AS rho FROM (VALUES (1.25e-8::DOUBLE, 1e-9::DOUBLE), (1e-8::DOUBLE, 0::DOUBLE)) AS v(mu, r)")
-
-
-def _histories(s: SparkSession) -> DataFrame:
-    rows = [(name, i, *map(float, p)) for name, h in (("human", models.human()), ("sawtooth", models.sawtooth())) for i, p in enumerate(h)]
-    return rounded(s.createDataFrame(rows, "model string, piece int, t0 double, t1 double, size0 double, size1 double"), "t0", "t1", "size0", "size1")
-
-
-on_spark("built_in_histories", _histories, """WITH RECURSIVE h AS (SELECT * FROM (VALUES (0, 0.0, 10000.0, 10.0, 1.0), (1, 10000.0, 70000.0, 0.5, 0.5), (2, 70000.0, 200000.0, 1.0, 1.0), (3, 200000.0, 200001.0, 4.0, 4.0)) AS v(piece, y0, y1, a, b)),
-e AS (SELECT * FROM (VALUES (0, 0.0, 0.000582262, 0.0), (1, 0.000582262, 0.00232905, 1318.18), (2, 0.00232905, 0.00931919, -329.546), (3, 0.00931919, 0.0372648, 82.3865), (4, 0.0372648, 0.149059, -20.5966), (5, 0.149059, 0.596236, 5.14916)) AS v(piece, g0, g1, rate)),
-r(piece, g0, g1, a, b) AS (SELECT piece, CAST(g0 AS DOUBLE), CAST(g1 AS DOUBLE), CAST(5 AS DOUBLE), CAST(5 AS DOUBLE) FROM e WHERE piece = 0 UNION ALL SELECT e.piece, e.g0, e.g1, r.b, r.b * exp(-rate * (e.g1 - e.g0)) FROM r JOIN e ON e.piece = r.piece + 1)
-SELECT 'human' AS model, piece, round(y0 / 20000 / 29, 6) AS t0, round(y1 / 20000 / 29, 6) AS t1, CAST(a AS DOUBLE) AS size0, CAST(b AS DOUBLE) AS size1 FROM h
-UNION ALL SELECT 'sawtooth', piece, round(2 * g0, 6), round(2 * g1, 6), round(a, 6), round(b, 6) FROM r UNION ALL SELECT 'sawtooth', 6, round(2 * g1, 6), round(2 * g1 + 0.2, 6), round(b, 6), round(g1, 6) FROM r WHERE piece = 5""")
-
 # scalar functions over the spans
 SCALARS = {
     "trunc": (lambda x: fn.trunc(-x) + 0.0, "trunc(-x) + 0.0"), "csch": (lambda x: fn.csch(x), "1 / sinh(x)"), "sech": (lambda x: fn.sech(x), "1 / cosh(x)"), "coth": (lambda x: fn.coth(x), "1 / tanh(x)"), "acot": (lambda x: fn.acot(x), "atan(1 / x)"),
@@ -134,15 +97,16 @@ on_spans("scalar_functions", lambda df: df.select("span").distinct().select("spa
 
 
 # inference: the forward pass base by base, from the model's numbers
-def _forward(model) -> str:
+def _forward(model, ctes: str = "", source: str = "spans") -> str:
     """Log likelihood of each contig: a reduction over its bases that carries the scaled forward vector."""
     known = list(model.emission)
     vector = lambda x: "[" + ", ".join(repr(float(v)) for v in x) + "]"
     into = "[" + ", ".join(vector(c) for c in model.transition.T) + "]"
     seen = "[" + ", ".join(vector(model.emission[k]) for k in known) + "]"
-    named = ", ".join(f"({i}, {a}, {b}, {n})" for i, (a, b, n) in enumerate(known, 1))
-    return f"""WITH {SPANS_SQL}, known AS (SELECT * FROM (VALUES {named}) AS v(k, a1, b1, nb1)),
-bases AS (SELECT contig_id, seq, k, unnest(range(span)) AS u FROM spans JOIN known USING (a1, b1, nb1)),
+    columns = ", ".join(("a1", "b1", "nb1", "a2", "b2", "nb2")[: len(known[0])])
+    named = ", ".join(f"({i}, {', '.join(map(str, k))})" for i, k in enumerate(known, 1))
+    return f"""WITH {SPANS_SQL}{ctes}, known AS (SELECT * FROM (VALUES {named}) AS v(k, {columns})),
+bases AS (SELECT contig_id, seq, k, unnest(range(span)) AS u FROM {source} JOIN known USING ({columns})),
 chains AS (SELECT contig_id, list({{'k': k, 'v': {vector(model.pi)}, 'll': 0.0::DOUBLE}} ORDER BY seq, u) AS xs FROM bases GROUP BY 1)
 SELECT contig_id, round(list_reduce(list_prepend({{'k': 0, 'v': {vector(model.pi)}, 'll': 0.0::DOUBLE}}, xs), lambda x, y:
   list_transform([list_transform(range(1, {len(model.pi) + 1}), lambda j: list_extract(list_extract({seen}, y.k), j) * list_dot_product(x.v, list_extract({into}, j)))],
@@ -177,25 +141,3 @@ SELECT state, round(occupancy, 6) AS occupancy, round((SELECT exp(-sum(occupancy
 SQL["hmm_posterior"] = f"""{POSTERIOR}, l AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY contig_id, m ORDER BY t) = k THEN 0 ELSE 1 END AS new FROM post),
 r AS (SELECT *, sum(new) OVER (PARTITION BY contig_id, m ORDER BY t) AS run FROM l)
 SELECT contig_id, min(seq) AS seq, min(t) - 1 AS start, count(*) AS span, CAST(m AS INT) AS m, round(avg(p), 6) AS p FROM r GROUP BY contig_id, m, run"""
-
-
-# conditioned spectra of a constant size, by their closed forms
-def _constant(s: SparkSession) -> DataFrame:
-    steps = dm.Steps(dm.np.zeros(1), dm.np.ones(1))
-    rows = [(n, k, float(v)) for n in (3, 8) for k, v in enumerate(conditioned.marginal(conditioned.spectra(steps, [0.0, math.inf], n)[0]), 1)]
-    return rounded(s.createDataFrame(rows, "n int, k int, length double"), "length")
-
-
-def _pair_rows(s: SparkSession) -> DataFrame:
-    steps, states = dm.Steps(dm.np.zeros(1), dm.np.ones(1)), [0.0, 0.5, 1.0, 2.0, math.inf]
-    rows = [(n, m, float(x)) for n in (0, 2, 10) for m, x in enumerate(conditioned.spectra(steps, states, n)[:, 1].sum(1))]
-    return rounded(s.createDataFrame(rows, "n int, m int, mass double"), "mass")
-
-
-on_spark("constant_spectrum", _constant, "SELECT CAST(n AS INT) AS n, CAST(k AS INT) AS k, round(2.0 / k, 6) AS length FROM (SELECT unnest([3, 8]) AS n), range(1, 11) AS t(k) WHERE k < n + 2")
-on_spark("pair_branches", _pair_rows, """SELECT CAST(n AS INT) AS n, m, round(2 * CASE WHEN b IS NULL THEN a + 1 ELSE (a * exp(-a) - b * exp(-b)) / (exp(-a) - exp(-b)) + 1 END, 6) AS mass
-FROM (SELECT unnest([0, 2, 10]) AS n), (VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE), (1, 0.5, 1.0), (2, 1.0, 2.0), (3, 2.0, NULL)) AS v(m, a, b)""")
-on_spark("meeting_times", lambda s: rounded(s.createDataFrame([(m, float(t)) for m, t in enumerate(dm.meeting_times(dm.Steps(dm.np.array([0.0, 1.0]), dm.np.array([1.0, 2.0])), [0.0, 0.5, 1.0, 3.0, math.inf]))], "m int, t double"), "t"),
-         """SELECT m, round(CASE WHEN b IS NULL THEN a + size ELSE (a * exp(-a / size) - b * exp(-b / size)) / (exp(-a / size) - exp(-b / size)) + size END, 6) AS t FROM (VALUES (0, 0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE), (1, 0.5, 1.0, 1.0), (2, 1.0, 3.0, 2.0), (3, 3.0, NULL, 2.0)) AS v(m, a, b, size)""")
-on_spark("moran_eigenvalues", lambda s: s.createDataFrame([(p, i, float(x)) for p in (0, 1, 2) for i, x in enumerate(moran.eigensystem(7, p)[0])], "pair int, i int, value double"),
-         "SELECT CAST(pair AS INT) AS pair, CAST(k - 2 AS INT) AS i, CAST(1 - k * (k - 1) / 2 AS DOUBLE) AS value FROM range(0, 3) AS p(pair), range(2, 10) AS t(k)")

@@ -28,11 +28,6 @@ def on_calls(name: str, run: Callable[..., DataFrame], sql: str | None = None, m
         SQL[name] = f"WITH {GENO_SQL}, {MASK_SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
 
 
-def on_spark(name: str, run: Callable[[SparkSession], DataFrame], sql: str) -> None:
-    QUERIES[name] = lambda s, d: run(s)
-    SQL[name] = sql
-
-
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -205,21 +200,7 @@ on_calls("undist_except", lambda c: c.select("sid").distinct().select("sid", F.e
 on_spans("kfold_assign", lambda df: sampling.folds(df.select("contig_id").distinct(), 4), "SELECT contig_id, CAST(ntile(4) OVER (ORDER BY contig_id) - 1 AS INT) AS fold FROM (SELECT DISTINCT contig_id FROM spans)")
 on_spans("train_complement", lambda df: df.join(sampling.folds(df.select("contig_id").distinct(), 4).where("fold <> 1"), "contig_id").groupBy("fold").agg(F.count("*").alias("rows"), F.sum("span").alias("bases")), ", f AS (SELECT contig_id, CAST(ntile(4) OVER (ORDER BY contig_id) - 1 AS INT) AS fold FROM (SELECT DISTINCT contig_id FROM spans)) SELECT fold, count(*) AS rows, CAST(sum(span) AS BIGINT) AS bases FROM spans JOIN f USING (contig_id) WHERE fold <> 1 GROUP BY 1")
 on_spans("bootstrap_chunks", lambda df: sampling.bootstrap(df.select("contig_id").distinct(), 100, 7), ", n AS (SELECT contig_id, row_number() OVER (ORDER BY contig_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT contig_id FROM spans)) SELECT i AS draw, contig_id FROM range(100) AS t(i) JOIN n ON k = CAST('0x' || substr(md5('7:' || CAST(i AS VARCHAR)), 1, 12) AS BIGINT) % n")
-# models
-MODELS = {"a": ([0.0, 0.1, 0.5, 2.0], [1.0, 0.5, 2.0, 1.0]), "b": ([0.0, 0.3, 1.0], [2.0, 0.25, 1.5])}
-_rows = [(m, i, t, ts[i + 1] if i + 1 < len(ts) else None, s) for m, (ts, sz) in MODELS.items() for i, (t, s) in enumerate(zip(ts, sz, strict=True))]
-PIECES = "pieces AS (SELECT model_id, CAST(piece AS INT) AS piece, CAST(t0 AS DOUBLE) AS t0, CAST(t1 AS DOUBLE) AS t1, CAST(size AS DOUBLE) AS size FROM (VALUES " + ", ".join(f"('{m}', {i}, {t}, {'NULL' if e is None else e}, {z})" for m, i, t, e, z in _rows) + ") AS v(model_id, piece, t0, t1, size)), hz AS (SELECT *, coalesce(sum((t1 - t0) / size) OVER (PARTITION BY model_id ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hazard FROM pieces)"
-_pieces = lambda s: models.table(s, MODELS)
-on_spark("cumulative_hazard", lambda s: rounded(models.hazard(_pieces(s)), "hazard"), f"WITH {PIECES} SELECT model_id, piece, t0, t1, size, round(hazard, 6) AS hazard FROM hz")
-QUERIES["hazard_asof"] = lambda s, d: rounded(models.hazard_at(span_table(s, d).select(F.when(F.col("contig_id") % 2 == 0, "a").otherwise("b").alias("model_id"), "seq", (F.col("span") / 16).alias("t")), _pieces(s)).select("model_id", "seq", "t", "r"), "r")
-SQL["hazard_asof"] = f"WITH {SPANS_SQL}, {PIECES}, p AS (SELECT CASE WHEN contig_id % 2 = 0 THEN 'a' ELSE 'b' END AS model_id, seq, span / 16 AS t FROM spans) SELECT p.model_id, seq, t, round(hazard + (t - t0) / size, 6) AS r FROM p ASOF JOIN hz ON p.model_id = hz.model_id AND p.t >= hz.t0"
-on_spark("hazard_inverse", lambda s: rounded(models.time_of(s.range(40).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("model_id"), (F.col("id") / 8).alias("y")), _pieces(s)).select("model_id", "y", "t"), "t"), f"WITH {PIECES}, p AS (SELECT CASE WHEN i % 2 = 0 THEN 'a' ELSE 'b' END AS model_id, i / 8 AS y FROM range(40) AS t(i)) SELECT p.model_id, y, round(t0 + (y - hazard) * size, 6) AS t FROM p ASOF JOIN hz ON p.model_id = hz.model_id AND p.y >= hz.hazard")
-on_spark("initial_distribution", lambda s: rounded(models.initial(s.range(8).select(F.lit("a").alias("model_id"), F.col("id").alias("m"), (F.col("id") / 4).alias("t")), _pieces(s)), "p"), f"WITH {PIECES}, p AS (SELECT 'a' AS model_id, i AS m, i / 4 AS t FROM range(8) AS t(i)), s AS (SELECT p.model_id, m, t, exp(-(hazard + (t - t0) / size)) AS s FROM p ASOF JOIN hz ON p.model_id = hz.model_id AND p.t >= hz.t0), q AS (SELECT *, greatest(s - coalesce(lead(s) OVER (ORDER BY t), 0), 1e-20) AS p FROM s) SELECT model_id, m, t, round(p / sum(p) OVER (), 6) AS p FROM q")
-on_spark("stepfun_average", lambda s: rounded(models.aggregate(_pieces(s)), "size"), f"WITH {PIECES}, k AS (SELECT DISTINCT t0 AS t FROM pieces), p AS (SELECT model_id, t FROM k, (SELECT DISTINCT model_id FROM pieces)) SELECT t, round(avg(size), 6) AS size, count(*) AS models FROM p ASOF JOIN hz ON p.model_id = hz.model_id AND p.t >= hz.t0 GROUP BY t")
-on_spark("splice_models", lambda s: models.splice(_pieces(s).where("model_id = 'b'").withColumn("model_id", F.lit("c")), _pieces(s).where("model_id = 'a'").withColumn("model_id", F.lit("c")), 0.4).select("model_id", "piece", "t0", "t1", "size"), f"WITH {PIECES}, u AS (SELECT t0, size FROM pieces WHERE model_id = 'b' AND t0 < 0.4 UNION ALL SELECT greatest(t0, 0.4), size FROM pieces WHERE model_id = 'a' AND (t1 IS NULL OR t1 > 0.4)) SELECT 'c' AS model_id, CAST(row_number() OVER (ORDER BY t0) - 1 AS INT) AS piece, t0, lead(t0) OVER (ORDER BY t0) AS t1, size FROM u")
-on_spark("shift_model", lambda s: rounded(models.shift(_pieces(s), 0.2), "t0", "t1"), f"WITH {PIECES}, u AS (SELECT model_id, greatest(t0, 0.2) - 0.2 AS t0, size FROM pieces WHERE t1 IS NULL OR t1 > 0.2) SELECT model_id, CAST(row_number() OVER w - 1 AS INT) AS piece, round(t0, 6) AS t0, round(lead(t0) OVER w, 6) AS t1, size FROM u WINDOW w AS (PARTITION BY model_id ORDER BY t0)")
-on_spark("reduced_emission", lambda s: rounded(models.reduced_emission(s.range(9).select(F.col("id").alias("m"), F.when(F.col("id") < 8, (F.col("id") + 1) / 4).alias("t")), 0.05, 2.0), "even", "odd"), "SELECT i AS m, round(coalesce(exp(-0.2 * t), 1e-20), 6) AS even, round(coalesce(1 - exp(-0.2 * t), 1e-20), 6) AS odd FROM (SELECT i, CASE WHEN i < 8 THEN (i + 1) / 4 END AS t FROM range(9) AS r(i))")
-on_spark("model_json_roundtrip", lambda s: models.from_json(models.to_json(_pieces(s))), f"WITH {PIECES} SELECT * FROM pieces")
+# splines
 SPLINES = {kind: splines.fit(kind, [0.0, 0.25, 0.75, 1.5, 2.0], [0.5, 1.0, 0.75, 0.875, 2.0]) for kind in ("cubic", "pchip", "akima", "piecewise")}
 _curves = ", ".join(f"('{m}', {t!r}::DOUBLE, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in c) + ")" for m, s in SPLINES.items() for t, c in zip(s.x.tolist(), s.c.tolist(), strict=True))
 _kind = lambda: F.element_at(F.array(*map(F.lit, SPLINES)), (F.col("contig_id") % 4 + 1).cast("int"))
@@ -304,19 +285,4 @@ def _sample_loglik(df: DataFrame) -> DataFrame:
     return rounded(hmm.logliks(spans.compress(df), _sample_model(df)), "loglik")
 
 
-def _spectra(spark: SparkSession) -> DataFrame:
-    """Conditioned spectra of the built-in histories with 8 other samples, as rows."""
-    from ..operators import conditioned
-    from ..operators import demography as dm
-
-    rows = []
-    for name, history in (("human", models.human()), ("sawtooth", models.sawtooth())):
-        times, sizes = models.stepped(history)
-        steps = dm.Steps(dm.np.array(times), dm.np.array(sizes))
-        found = conditioned.spectra(steps, steps.balanced(6), 8)
-        rows += [(name, m, a, b, float(found[m, a, b])) for m in range(6) for a in range(3) for b in range(9)]
-    return rounded(spark.createDataFrame(rows, "model_id string, m int, a int, b int, length double"), "length")
-
-
 on_spans("sample_loglik", _sample_loglik)
-QUERIES["conditioned_spectra"] = lambda s, d: _spectra(s)
