@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import conditioned, demography, hmm, ingest, joint, measures, models, sampling, spans, split, splines
 from .operators import simulate as simulator
-from .sources import formats, text
+from .sources import chunks, formats, indexed, text
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[tuple, dict]]]] = {}
 
@@ -35,9 +35,11 @@ MU, RHO = option("--mu", type=float, required=True, help="mutations a base and g
 DATA, OUT = option("spans", help="Parquet of contig_id, seq, span, a1, b1, nb1"), option("out")
 
 
-@command(option("vcf"), OUT, option("population", nargs="+", help="name:sample,sample or name:@file; one or two"), option("--distinguished", nargs=2, help="samples of the two distinguished haplotypes"), option("--mask", help="BED"), option("--missing-cutoff", type=int), option("--length", type=int, help="of every contig"), option("--ignore-missing", action="store_true"), option("--drop-first-last", action="store_true"))
+@command(option("vcf"), OUT, option("population", nargs="+", help="name:sample,sample or name:@file; one or two"), option("--distinguished", nargs=2, help="samples of the two distinguished haplotypes"), option("--mask", help="BED"), option("--missing-cutoff", type=int), option("--contig", help="only this one; of an indexed file, only its part is read"), option("--length", type=int, help="of every contig"), option("--ignore-missing", action="store_true"), option("--drop-first-last", action="store_true"))
 def convert(spark: SparkSession, args: argparse.Namespace) -> None:
     """Variant calls and a mask to span rows; the first record of a position counts."""
+    if args.mask and args.missing_cutoff is not None:
+        raise SystemExit("--mask says what is missing; --missing-cutoff guesses it: give one of them")
     names = text.vcf_samples(spark, args.vcf)
     populations = dict(text.sample_list(p, spark) for p in args.population)
     asked = [s for samples in populations.values() for s in samples]
@@ -50,7 +52,7 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
         raise SystemExit("the distinguished samples are not there")
     populations = {p: [s for s in samples if s in names] for p, samples in populations.items()}
     roles = ingest.lineages(spark, populations, [(pair[0], 0), (pair[1], 1)])
-    variants = ingest.first_per_position(ingest.snps(text.read_variants(spark, args.vcf)).withColumn("_at", F.monotonically_increasing_id()), ["_at"])
+    variants = ingest.first_per_position(ingest.snps(text.read_variants(spark, args.vcf, args.contig)).withColumn("_at", F.monotonically_increasing_id()), ["_at"])
     calls = text.genotypes(variants, names, diploid=pair)
     na = tuple(sum(s in populations[p] for s in pair) for p in populations)
     sites = ingest.fold_monomorphic(ingest.project_roles(calls, roles, len(populations)), na)
@@ -58,17 +60,32 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
     lengths = lengths.withColumn("length", F.lit(args.length).cast("bigint") if args.length else F.coalesce("length", F.raise_error(F.lit("no contig length; see --length")).cast("bigint")))
     lengths = lengths.select("*", *[F.lit(2 * len(samples) - n).alias(f"n{i}") for i, (samples, n) in enumerate(zip(populations.values(), na, strict=True), 1)])
     mask = text.read_bed(spark, args.mask) if args.mask else None
-    found = ingest.gap_fill(ingest.events(sites, mask), lengths, None if args.mask else args.missing_cutoff, args.drop_first_last)
+    if args.contig:
+        lengths = lengths.where(F.col("contig") == args.contig)
+        mask = mask.where(F.col("contig") == args.contig) if mask else None
+    found = ingest.gap_fill(ingest.events(sites, mask), lengths, args.missing_cutoff, args.drop_first_last)
     spans.compress(found).write.parquet(args.out)
 
 
-@command(DATA, OUT, option("--size", type=int, default=5_000_000), option("--draws", type=int), option("--seed", type=int, default=0))
+@command(option("vcf"), option("--range", type=int, default=indexed.RANGE, help="bytes that are read together"))
+def index(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Where each contig lies in a file of variant calls, kept beside it: later scans of one contig read its part only."""
+    indexed.index(spark, args.vcf, size=args.range)
+
+
+@command(DATA, OUT, option("--size", type=int, default=5_000_000), option("--draws", type=int), option("--seed", type=int, default=0), option("--text", help="a file of span rows: write text files, with its header, in place of Parquet"))
 def chunk(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Chunks of equal size, drawn with replacement where asked."""
-    cut = spans.chunk(spark.read.parquet(args.spans), args.size).withColumn("chunk", F.concat_ws(":", "contig_id", "win"))
+    """Chunks of equal size, drawn with replacement where asked; as Parquet, or a text file each."""
+    cut = spans.chunk(spark.read.parquet(args.spans), args.size)
+    rows = chunks.numbered(cut, ["contig_id", "win"])
     if args.draws:
-        cut = cut.join(sampling.bootstrap(cut.select("chunk").distinct(), args.draws, args.seed, "chunk"), "chunk")
-    cut.write.parquet(args.out)
+        drawn = sampling.bootstrap(rows.select("chunk").distinct(), args.draws, args.seed, "chunk")
+        rows = rows.join(drawn, "chunk").drop("chunk").withColumnRenamed("draw", "chunk")
+    if args.text:
+        header = spark.read.text(args.text).where(F.col("value").startswith("#")).first()
+        chunks.write_chunks(rows, args.out, header.value if header else "")
+    else:
+        rows.write.partitionBy("chunk").parquet(args.out)
 
 
 def _prepared(data, args: argparse.Namespace, n: int):

@@ -28,6 +28,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def expand(spark: SparkSession, arguments: list[str]) -> list[str]:
     """Paths; ``@file`` stands for the paths that the file lists. Each path is named once, in any order."""
     plain = {a for a in arguments if not a.startswith("@")}
@@ -93,10 +98,20 @@ def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     return line.value.split("\t")[9:]
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    """contig, pos, ref, alts and the genotypes of the samples in order, as text; filters on contig reach the scan's rows."""
+def read_variants(spark: SparkSession, path: str, contig: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """contig, pos, ref, alts and the genotypes of the samples in order, as text; of one contig, from position ``low`` to
+    ``high``, where asked: then only its part of an indexed file is read."""
     cells = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(cells.alias("f"))
+    asked = [F.col(c) == v if c == "contig" else F.col(c) >= v if v is low else F.col(c) <= v for c, v in (("contig", contig), ("pos", low), ("pos", high)) if v is not None]
+    table = f"{path.rstrip('/')}.ranges"
+    if asked and exists(spark, table):
+        from . import indexed
+
+        rows = reduce(DataFrame.where, asked, indexed.lines(spark, path)).select(cells.alias("f"))
+    else:
+        rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(cells.alias("f"))
+        rows = rows.select("f", F.col("f")[0].alias("contig"), F.col("f")[1].cast("bigint").alias("pos"))
+        rows = reduce(DataFrame.where, asked, rows).select("f")
     alts = F.when(F.col("f")[4] == ".", F.array().cast("array<string>")).otherwise(F.split(F.col("f")[4], ","))
     calls = F.transform(F.slice("f", F.lit(10), F.greatest(F.size("f") - 9, F.lit(0))), lambda x: F.split(x, ":")[0])
     return rows.select(F.col("f")[0].alias("contig"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), alts.alias("alts"), calls.alias("calls"))
