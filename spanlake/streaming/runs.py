@@ -1,38 +1,75 @@
-"""Run-length compression of a stream of span rows."""
+"""Run-length compression of a stream of span rows.
+
+The state of a contig is its last run. A different observation closes it at once; where none follows, a timer does: when the
+watermark has passed the time of the run's last row by ``idle``, the contig is taken to have ended. Rows of a contig come in
+order of their times; rows behind the watermark are dropped by Spark, as in any stateful query."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 COLUMNS = ["contig_id", "seq", "span", "a1", "b1", "nb1"]
-ROW = "contig_id bigint, seq bigint, span bigint, a1 int, b1 int, nb1 int"
-
-
-def compress(rows: DataFrame) -> DataFrame:
-    """Merged runs of each contig, given out as soon as a different observation follows. A row with span 0 or less is
-    dropped and closes the run before it: the last run of a contig needs one. Rows of a contig come in order from batch to
-    batch; within a batch they are put in order. The state of a contig is one row."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else None
-        pdf = pd.concat(list(batches))
-        out = []
-        for seq, span, *ob in pdf.sort_values("seq")[COLUMNS[1:]].itertuples(index=False, name=None):
-            if span > 0 and held and held[2:] == tuple(ob):
-                held = (held[0], held[1] + span, *ob)
-                continue
-            if held:
-                out.append((key[0], *held))
-            held = (seq, span, *ob) if span > 0 else None
-        if held:
-            state.update(tuple(map(int, held)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    names = [f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in ROW.split(", ")]
-    return rows.selectExpr(*names).groupBy("contig_id").applyInPandasWithState(step, ROW, ROW.split(", ", 1)[1], "append", GroupStateTimeout.NoTimeout)
+_HELD = "seq long, span long, a1 long, b1 long, nb1 long, due long"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Runs(StatefulProcessor):
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", _HELD)
+
+    def _frame(self, key: tuple, runs: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r[:5]) for r in runs], columns=COLUMNS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        if key[0] is None or not len(pdf):  # rows without a contig move the watermark only
+            return
+        pdf = pdf[pdf["span"] > 0].sort_values("seq")
+        before = self.held.get() if self.held.exists() else None
+        found = pdf[COLUMNS[1:]].to_numpy(np.int64)
+        if before is not None:
+            found = np.vstack([np.array(before[:5], np.int64), found])
+        if not len(found):
+            return
+        new = np.flatnonzero(np.r_[True, (found[1:, 2:] != found[:-1, 2:]).any(1)])
+        merged = found[new]
+        merged[:, 1] = np.add.reduceat(found[:, 1], new)
+        due = int(pdf["time"].max()) + self.idle if len(pdf) else int(before[5])
+        if before is not None and int(before[5]) != due:
+            self.handle.deleteTimer(int(before[5]))
+        self.held.update((*merged[-1].tolist(), due))
+        self.handle.registerTimer(due)
+        yield self._frame(key, [tuple(r) for r in merged[:-1].tolist()])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            last = self.held.get()
+            self.held.clear()
+            yield self._frame(key, [tuple(map(int, last[:5]))])
+
+    def close(self) -> None:
+        pass
+
+
+def compress(rows: DataFrame, time: str = "ts", delay: str = "0 seconds", idle: str = "10 minutes") -> DataFrame:
+    """Merged runs of each contig, given out as soon as a different observation follows or the contig has been idle. ``time``
+    is the column of event times; rows whose contig is null only let time go on. Needs the RocksDB state store, which is set
+    where the session has not chosen one."""
+    spark, name = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, _STORE)
+    kind = rows.schema["contig_id"].dataType.simpleString()
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    cells = [F.col(c).cast("long" if c in ("seq", "span") else "int").alias(c) for c in COLUMNS[1:]]
+    timed = rows.withWatermark(time, delay).select("contig_id", *cells, time, F.unix_millis(time).alias("time"))
+    schema = f"contig_id {kind}, seq long, span long, a1 int, b1 int, nb1 int"
+    return timed.groupBy("contig_id").transformWithStateInPandas(_Runs(wait), schema, "Append", "EventTime")

@@ -8,6 +8,7 @@ from spanlake.__main__ import main
 from spanlake.operators import spans, splines
 from spanlake.plans.stages import Stages
 from spanlake.sources import formats
+from spanlake.functions import tables
 from spanlake.streaming import runs
 
 SPANS = "contig_id bigint, seq bigint, span int, a1 int, b1 int, nb1 int"
@@ -67,17 +68,33 @@ def test_stages(spark):
 
 
 def test_streamed_runs(spark, tmp_path):
-    df = _spans(spark).withColumns({"b1": F.lit(0)})
-    closing = df.groupBy("contig_id").agg(F.lit(99).cast("bigint").alias("seq"), F.lit(0).alias("span"), *[F.lit(0).alias(c) for c in ("a1", "b1", "nb1")])
-    parts = [df.where("seq < 15"), df.where("seq >= 15").unionByName(closing)]
-    query = None
-    for i, part in enumerate(parts):
+    """Each part of the rows is one run of the query, which is started anew from its checkpoint; no contig has a closing row."""
+    df = _spans(spark).withColumn("b1", F.lit(0))
+    timed = df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 60 + 86_400))
+    later = timed.limit(1).select(F.lit(None).cast(timed.schema["contig_id"].dataType).alias("contig_id"), *[c for c in df.columns if c != "contig_id"], F.timestamp_seconds(F.lit(1_000_000)).alias("ts"))
+    for part in (timed.where("seq < 8"), timed.where("seq >= 8 and seq < 15"), timed.where("seq >= 15"), later.select(timed.columns)):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query = runs.compress(spark.readStream.schema(SPANS).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        rows = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+        query = runs.compress(rows, idle="2 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
         query.awaitTermination(120)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {tuple(r) for r in spans.compress(df).select(*runs.COLUMNS).collect()}
-    assert got == want
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(tuple(r) for r in spans.compress(df).select(*runs.COLUMNS).collect())
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    df = _spans(spark).withColumn("note", F.lit("x"))
+    df.createOrReplaceTempView("rows_of_spans")
+    call = lambda name, n: spark.sql(f"SELECT * FROM {name}(TABLE(rows_of_spans) PARTITION BY contig_id ORDER BY (seq), {n})")
+    key = lambda d: sorted(tuple(r[c] for c in sorted(d.columns)) for r in d.collect())
+    for n in (1, 3, 10):
+        assert key(call("thin", n)) == key(spans.thin(df, n))
+        assert key(call("realign", n)) == key(spans.realign(df, n))
+        assert key(call("break_long", n)) == key(spans.break_long(df, n))
+    with pytest.raises(Exception, match="above 0"):
+        call("thin", 0).collect()
+    with pytest.raises(Exception, match="misses"):
+        spark.sql("SELECT * FROM thin(TABLE(SELECT 1 AS seq) PARTITION BY seq ORDER BY (seq), 2)").collect()
 
 
 def test_commands(spark, tmp_path):

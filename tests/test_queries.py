@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanlake.plans import model_tables as queries
+from spanlake.plans import scans as queries
 
 SF = "/root/testdata/sf0.001"
 
