@@ -1,7 +1,11 @@
 """Operators on span tables: contig_id, seq, span and a, b, nb for each population (a1, b1, nb1, a2, ...).
 
 Every stateful rule is arithmetic on the running position, so each operator is one window over (contig_id, seq) and narrow
-steps after it. Rows are split at boundaries, never expanded to bases."""
+steps after it. Rows are split at boundaries, never expanded to bases.
+
+A window over a contig is one task. Where contigs are long, operators take ``width``: rows are worked on in blocks of that
+many numbers of seq (so of at most as many rows), each block is summed up in one row, and a contig's window runs over these
+rows only."""
 
 from __future__ import annotations
 
@@ -35,27 +39,56 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, columns)
 
 
-def positions(df: DataFrame) -> DataFrame:
+#: A width for long contigs.
+WIDTH = 1 << 20
+
+
+def running(df: DataFrame, value: Column, name: str, width: int | None = None) -> DataFrame:
+    """The sum of a value up to each row of its contig."""
+    if not width:
+        return df.withColumn(name, F.sum(value).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["contig_id", "_block"]
+    rows = df.withColumns({"_value": value, "_block": F.expr(f"seq div {width}")})
+    ahead = Window.partitionBy("contig_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.sum("_value").alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    within = F.sum("_value").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_within", within).join(sums, keys)
+    return rows.withColumn(name, F.col("_ahead") + F.col("_within")).select(*df.columns, name)
+
+
+def positions(df: DataFrame, width: int | None = None) -> DataFrame:
     """start and stop of each row, from 0, half open."""
-    stop = F.sum("span").over(ordered().rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("span"))
+    return running(df, F.col("span"), "stop", width).withColumn("start", F.col("stop") - F.col("span"))
 
 
 def lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("contig_id").agg(F.sum("span").alias("bases"), F.count("*").alias("rows"))
 
 
-def islands(df: DataFrame, same: list[str]) -> DataFrame:
+def islands(df: DataFrame, same: list[str], width: int | None = None) -> DataFrame:
     """island: the number of changes of ``same`` up to each row of a contig."""
     key = F.struct(*same)
-    changed = F.when(F.lag(key).over(ordered()).eqNullSafe(key), 0).otherwise(1)
-    return df.withColumn("island", F.sum(changed).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def compress(df: DataFrame) -> DataFrame:
+    if not width:
+        changed = F.when(F.lag(key).over(ordered()).eqNullSafe(key), 0).otherwise(1)
+        return df.withColumn("island", F.sum(changed).over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["contig_id", "_block"]
+    inside = Window.partitionBy(*keys).orderBy("seq")
+    rows = df.withColumn("_block", F.expr(f"seq div {width}")).withColumn("_key", key)
+    changed = F.when(F.lag("_key").over(inside).isNull() | F.lag("_key").over(inside).eqNullSafe(F.col("_key")), 0).otherwise(1)
+    rows = rows.withColumn("_new", changed).withColumn("_within", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = rows.groupBy(*keys).agg(F.sum("_new").alias("_n"), F.min_by("_key", "seq").alias("_first"), F.max_by("_key", "seq").alias("_last"))
+    blocks = Window.partitionBy("contig_id").orderBy("_block")
+    edge = F.when(F.lag("_last").over(blocks).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    sums = sums.withColumn("_edge", edge)
+    ahead = F.sum(F.col("_n") + F.col("_edge")).over(blocks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    rows = rows.join(sums.select(*keys, ahead.alias("_ahead")), keys)
+    return rows.withColumn("island", F.col("_ahead") + F.col("_within")).select(*df.columns, "island")
+
+
+def compress(df: DataFrame, width: int | None = None) -> DataFrame:
     """Merge neighbours of equal observation; rows without bases go first, and do not part equal neighbours."""
     names = observation(df)
-    grouped = islands(df.where("span > 0"), names).groupBy("contig_id", "island", *names)
+    grouped = islands(df.where("span > 0"), names, width).groupBy("contig_id", "island", *names)
     return grouped.agg(F.min("seq").alias("seq"), F.sum("span").alias("span")).select("contig_id", "seq", "span", *names)
 
 
@@ -169,12 +202,12 @@ def head(df: DataFrame, n: int = 10) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(ordered())).where(F.col("_n") <= n).drop("_n")
 
 
-def thin(df: DataFrame, k: int) -> DataFrame:
+def thin(df: DataFrame, k: int, width: int | None = None) -> DataFrame:
     """Full observations at every k-th base only; elsewhere the undistinguished sample is dropped. Rows of a homozygous
     derived pair give an empty observation everywhere."""
     pops = populations(df)
     both = _sum([F.col(f"a{p}") for p in pops]) == 2
-    rows = positions(df).withColumn("i", F.explode(F.expr(f"sequence(0L, stop div {k} - start div {k})")))
+    rows = positions(df, width).withColumn("i", F.explode(F.expr(f"sequence(0L, stop div {k} - start div {k})")))
     mark, last = F.expr(f"(start div {k} + i) * {k}"), F.expr(f"i = stop div {k} - start div {k}")
     a = F.when(F.col("i") == 0, F.col("start")).otherwise(mark)
     b = F.when(last, F.col("stop")).otherwise(mark + (k - 1))
@@ -189,26 +222,26 @@ def default_thinning(n: int) -> int:
     return int(500 * math.log(2 + n))
 
 
-def realign(df: DataFrame, w: int) -> DataFrame:
+def realign(df: DataFrame, w: int, width: int | None = None) -> DataFrame:
     """Split rows at every multiple of w; win is the number of the window."""
-    rows = positions(df).withColumn("win", F.explode(F.expr(f"sequence(start div {w}, (stop - 1) div {w})")))
+    rows = positions(df, width).withColumn("win", F.explode(F.expr(f"sequence(start div {w}, (stop - 1) div {w})")))
     a, b = F.greatest("start", F.col("win") * w), F.least("stop", (F.col("win") + 1) * w)
     return rows.select("contig_id", "seq", "win", a.alias("start"), (b - a).alias("span"), *observation(df))
 
 
-def chunk(df: DataFrame, w: int) -> DataFrame:
+def chunk(df: DataFrame, w: int, width: int | None = None) -> DataFrame:
     """Blocks of exactly w bases; a short tail goes."""
-    rows = realign(df, w)
+    rows = realign(df, w, width)
     full = F.sum("span").over(Window.partitionBy("contig_id", "win")) == w
     return rows.withColumn("_full", full).where("_full").drop("_full")
 
 
-def break_long(df: DataFrame, cutoff: int) -> DataFrame:
+def break_long(df: DataFrame, cutoff: int, width: int | None = None) -> DataFrame:
     """Split contigs at missing runs of ``cutoff`` bases or more, which go; each piece, an empty one too, begins with one
     missing base."""
     names = observation(df)
     long = (F.col("span") >= cutoff) & _all([(F.col(f"a{p}") == -1) & (F.col(f"nb{p}") == 0) for p in populations(df)])
-    rows = df.withColumn("long", long.cast("int")).withColumn("piece", F.sum("long").over(ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(df.withColumn("long", long.cast("int")), F.col("long"), "piece", width)
     pieces = rows.groupBy("contig_id").agg(F.sum("long").alias("n")).select("contig_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))).alias("piece"))
     return rows.where("long = 0").select("contig_id", "piece", "seq", "span", *names).unionByName(_missing(pieces, names))
 

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..operators import ingest, spans
+from ..operators import density, ingest, spans
 from ..sources import chunks, indexed, text
 from ..streaming import runs
 from .model_tables import QUERIES, SQL
-from .queries import OBS, REALIGN, RUNS, SITES, on_calls, on_spans
+from .queries import COUNTS, OBS, REALIGN, RUNS, SITES, on_calls, on_spans
 
 __all__ = ["QUERIES", "SQL"]
 
+WIDE = 0.05
+
 
 def _contig_of_file(calls: DataFrame) -> DataFrame:
     spark, path = calls.sparkSession, text.scratch(calls.sparkSession, "calls")
@@ -76,3 +78,31 @@ def _streamed(df: DataFrame) -> DataFrame:
 
 
 on_spans("streamed_runs", _streamed, f"{RUNS} SELECT * FROM runs")
+
+
+# long contigs: rows in blocks of seq, a row a block in the contigs' windows
+for _name, _run in (
+    ("span_positions", lambda df: spans.positions(df, 500)), ("rle_compress", lambda df: spans.compress(df, 500)), ("thin", lambda df: spans.thin(df, 10, 500)),
+    ("realign", lambda df: spans.realign(df, 50, 500)), ("chunk_exact", lambda df: spans.chunk(df, 500, 500)), ("break_long_spans", lambda df: spans.break_long(df, 30, 500)),
+):
+    on_spans(f"{_name}_blocks", _run)
+    SQL[f"{_name}_blocks"] = SQL[_name]
+
+# densities of window rates
+_shares = lambda df: spans.mutation_rates(df, 50).select((F.col("rate") / 50).alias("x"))
+SHARES = "x AS (SELECT mut / nm AS x FROM counts WHERE nm * 2 > 50)"
+KERNEL = f"exp(CASE WHEN y > 0 THEN CASE WHEN x > 0 THEN y / {WIDE} * ln(x) ELSE -1e300 END ELSE 0 END + CASE WHEN y < 1 THEN CASE WHEN x < 1 THEN (1 - y) / {WIDE} * ln(1 - x) ELSE -1e300 END ELSE 0 END - lgamma(1 + y / {WIDE}) - lgamma(1 + (1 - y) / {WIDE}) + lgamma(2 + 1 / {WIDE}))"
+DENSE = lambda n: f"{COUNTS(50)}, {SHARES}, g AS (SELECT CAST(i AS DOUBLE) / {n} AS y FROM range({n + 1}) AS t(i)), d AS (SELECT y, avg({KERNEL}) AS density FROM x, g GROUP BY 1)"
+on_spans("rate_density", lambda df: density.density(_shares(df), "x", [i / 40 for i in range(41)], WIDE).withColumn("density", F.round("density", 6)), f"{DENSE(40)} SELECT y, round(density, 6) AS density FROM d")
+PROBABILITIES = [0.1, 0.5, 0.9]
+
+
+def _rate_quantiles(df: DataFrame) -> DataFrame:
+    found = density.quantiles(_shares(df), "x", PROBABILITIES, WIDE, 100)
+    return df.sparkSession.createDataFrame([(p, round(q, 6)) for p, q in zip(PROBABILITIES, found, strict=True)], "p double, q double")
+
+
+on_spans("rate_density_quantiles", _rate_quantiles, f"""{DENSE(100)},
+a AS (SELECT y, coalesce(sum(s) OVER (ORDER BY y), 0) AS area FROM (SELECT y, (density + lag(density) OVER (ORDER BY y)) / 2 AS s FROM d)),
+n AS (SELECT y, area / max(area) OVER () AS area FROM a), l AS (SELECT y, area, lag(y) OVER (ORDER BY y) AS y0, lag(area) OVER (ORDER BY y) AS a0 FROM n)
+SELECT p, round(y0 + (y - y0) * (p - a0) / (area - a0), 6) AS q FROM l, (SELECT unnest({PROBABILITIES})::DOUBLE AS p) WHERE a0 < p AND p <= area""")

@@ -1,5 +1,7 @@
 """Worked cases of the span operators, and slow per-base loops beside them."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +222,28 @@ def test_scalar_functions(spark):
     r = spark.range(1).select(fn.erf(F.lit(0.5)).alias("e"), fn.erfc(F.lit(3.0)).alias("c"), fn.lgamma(F.lit(4.5)).alias("g"), fn.trunc(F.lit(-2.7)).alias("t")).first()
     assert r.e == pytest.approx(0.5204998778, abs=1e-9) and r.c == pytest.approx(2.209049699858544e-05, rel=1e-6)
     assert r.g == pytest.approx(2.453736570842443, abs=1e-9) and r.t == -2
+
+
+def test_blocks_equal_the_windows_of_a_contig(spark):
+    rng = random.Random(3)
+    rows = [(c, i * 3, rng.randrange(1, 40), rng.choice([-1, 0, 0, 1, 2]), 0, rng.choice([0, 4])) for c in range(3) for i in range(400 if c else 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    key = lambda d: sorted(tuple(r[c] for c in sorted(d.columns)) for r in d.collect())
+    for run in (spans.positions, spans.compress, lambda d, width=None: spans.thin(d, 7, width), lambda d, width=None: spans.realign(d, 50, width), lambda d, width=None: spans.chunk(d, 100, width), lambda d, width=None: spans.break_long(d, 20, width)):
+        want = key(run(df))
+        for width in (10, 100, 5000):
+            assert key(run(df, width=width)) == want
+    assert spans.positions(df.where("false"), 10).count() == 0
+
+
+def test_a_long_contig_is_many_tasks(spark):
+    df = spark.range(400_000).selectExpr("'c' AS contig_id", "id AS seq", "CAST(1 + id % 5 AS INT) AS span", "CAST(id % 3 = 0 AS INT) AS a1", "0 AS b1", "4 AS nb1")
+    spread = lambda d: d.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(spread(spans.positions(df))) == 1
+        assert len(spread(spans.positions(df, 25_000))) == 4  # all partitions of the session
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    last = spans.positions(df, 25_000).agg(F.max("stop")).first()[0]
+    assert last == df.agg(F.sum("span")).first()[0]
