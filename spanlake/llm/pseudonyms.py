@@ -11,6 +11,9 @@ Digits of any script count; a pseudonym is written in the script of its value. D
 where only that is a date; the two kinds are permuted among themselves. Keys and local parts of any length are replaced
 whole, in blocks of BLOCK characters.
 
+Letters of any script are permuted within their block and category. A value without a letter or digit to permute stays, and
+is not counted. Keys of more than 64 bytes are hashed to 64.
+
 Numbers that do not validate are left alone. Defined cases: null stays null and empty stays empty; rows of equal id are
 treated each; every place and every length that a format admits is tried, and of valid values that overlap those are
 replaced that together replace most characters, then the first, the longest and the kind in the order of KINDS. A phone
@@ -48,12 +51,12 @@ class Permutation:
     """Keyed permutation of range(n) by an unbalanced Feistel network on a grid that covers it, walked until inside."""
 
     def __init__(self, n: int, key: bytes, tweak: str):
-        self.n, self.key, self.tweak = n, key, tweak.encode()
+        self.n, self.key, self.tweak = n, key if len(key) <= 64 else hashlib.blake2b(key).digest(), tweak.encode()
         self.a = max(1, math.isqrt(n - 1) + 1)
         self.b = -(-n // self.a)
 
     def _f(self, i: int, x: int) -> int:
-        return int.from_bytes(hashlib.blake2b(b"%d:%d:%d:%s" % (self.n, i, x, self.tweak), key=self.key[:64], digest_size=max(16, self.n.bit_length() // 8 + 9)).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(b"%d:%d:%d:%s" % (self.n, i, x, self.tweak), key=self.key, digest_size=max(16, self.n.bit_length() // 8 + 9)).digest(), "big")
 
     def _once(self, x: int) -> int:
         left, right = divmod(x, self.b)
@@ -87,11 +90,26 @@ _RADIX = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 
 
+@lru_cache(maxsize=1 << 16)
+def _radix(c: str) -> tuple[str, int] | None:
+    """The alphabet of a character and its place in it. Letters, marks and numbers of other scripts have for an alphabet
+    those of their own 256 code points that are of their category; what has none stays in place."""
+    if c in _RADIX:
+        return _RADIX[c]
+    kind = unicodedata.category(c)
+    if c.isascii() or kind[0] not in "LMN":
+        return None
+    low = ord(c) & ~0xFF
+    same = "".join(x for x in map(chr, range(low, low + 256)) if x not in _RADIX and unicodedata.category(x) == kind)
+    return (same, same.index(c)) if len(same) > 1 else None
+
+
 def _permute(chars: str, key: bytes, tweak: str, back: bool, alphabet: str | None = None) -> str:
-    """Permute the characters of known alphabets, block by block; the others stay in place."""
+    """Permute the characters that have an alphabet, block by block; the others stay in place."""
     if len(chars) > BLOCK:
         return "".join(_permute(chars[i : i + BLOCK], key, f"{tweak}:{len(chars)}:{i}", back, alphabet) for i in range(0, len(chars), BLOCK))
-    spots = [(i, (alphabet, alphabet.index(c)) if alphabet else _RADIX[c]) for i, c in enumerate(chars) if (c in alphabet if alphabet else c in _RADIX)]
+    of = (lambda c: (alphabet, alphabet.index(c)) if c in alphabet else None) if alphabet else _radix
+    spots = [(i, r) for i, c in enumerate(chars) if (r := of(c))]
     n = math.prod(len(a) for _, (a, _) in spots)
     if n < 2:
         return chars
@@ -327,9 +345,10 @@ def hide(text: str | None, key: bytes, back: bool = False) -> tuple[str | None,
     plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m.group())), text)
     out, upto = [], 0
     for a, b, kind in choose(plain, find(plain)):
-        out += [text[upto:a], _written_as(pseudonym(kind, plain[a:b], key, back), text[a:b])]
+        new = _written_as(pseudonym(kind, plain[a:b], key, back), text[a:b])
+        out += [text[upto:a], new]
         upto = b
-        counts[kind] += 1
+        counts[kind] += new != text[a:b]
     out.append(text[upto:])
     return "".join(out), counts
 
