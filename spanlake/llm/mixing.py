@@ -4,9 +4,9 @@ The mix is a row of slots of BLOCK words. Slot i has the van der Corput point of
 interval of one source on the line of cumulative targets. The rank of a slot among those of its source is the number of
 earlier points in that interval, which has a closed form over the binary digits of i, so slots are ranked where they are
 made, without a sort or a shuffle. Each source's documents are put in a seeded random order, laid on a line of words,
-twice for two passes, and cut into blocks of equal words; block r of a source fills its slot of rank r. A source of few
-slots would be far off its target, as slots grow with the table; it gets its rounded target in words: its last block is
-cut, or blocks without a slot are added at the end. The mix lists documents in the order of their first slots.
+twice for two passes, and cut into blocks of equal words; block r of a source fills its slot of rank r. The schedule has
+a few slots more or fewer than a source's target: each source gives its rounded target in words, its last block is cut, and
+blocks without a slot follow at the end. The mix lists documents in the order of their first slots.
 
 Positions on a source's line are two-level sums (within hash buckets, then over bucket totals), so a source that holds
 most rows is still dealt over all tasks.
@@ -32,8 +32,6 @@ WEIGHTS = (5, 2, 1)
 PASSES = 2
 #: Words in a slot are at most BLOCK, and fewer while the mix has fewer than SLOTS of them.
 BLOCK, SLOTS = 1024, 1 << 18
-#: A source with a target of fewer slots gets its words exactly; the others are off by a few slots.
-FEW = 1024
 #: Weights are a setting of the driver's; more sources than this are refused.
 MOST_SOURCES = 1_000_000
 BITS = 48
@@ -98,14 +96,12 @@ def _bounds(shares: list[float]) -> np.ndarray:
     return bounds
 
 
-def words_due(shares: list[float], slots: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words that each source gives to the mix, and its slots in the schedule. Where the target is below FEW slots, the
-    words are the target, rounded, whatever the schedule has; else they fill the slots."""
+def words_due(shares: list[float], slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that each source gives to the mix, its target rounded, and its slots in the schedule."""
     bounds = _bounds(shares)
     ends = np.full(len(bounds), slots, np.int64)
     has = _earlier(ends, bounds) - _earlier(ends, np.r_[0, bounds[:-1]]) if len(bounds) else ends
-    target = np.asarray(shares, np.float64)
-    return np.where(target < FEW * block, np.rint(target).astype(np.int64), has * block), has
+    return np.rint(np.asarray(shares, np.float64)).astype(np.int64), has
 
 
 def schedule(spark: SparkSession, shares: list[float], slots: int) -> DataFrame:
@@ -146,9 +142,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     total = sum(r.target for r in planned)
     block = max(1, min(BLOCK, int(total) // SLOTS))
     shares, n_slots = [r.target for r in planned], int(round(total / block))
-    due, has = words_due(shares, n_slots, block)
+    due, has = words_due(shares, n_slots)
     slots = schedule(spark, shares, n_slots)
-    # blocks of small sources for which the schedule has no slot come after it; blocks it has too many are cut to no words
+    # blocks for which the schedule has no slot come after it; slots it has too many stay empty
     more = [(i, int(has[i]), int(-(-due[i] // block)) - 1) for i in np.flatnonzero(due > has * block).tolist()]
     extra = spark.createDataFrame(more, "rank int, a bigint, b bigint").select("rank", F.explode(F.sequence("a", "b")).alias("block"))
     slots = slots.unionByName(extra.select((F.lit(n_slots) + F.col("block")).cast("bigint").alias("slot"), "rank", "block"))
@@ -170,8 +166,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5)
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), "slot", *lists, "print")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """The mix as documents, in the order of the schedule: a document is there once for each pass of which it fills at least
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, ordered: bool = True) -> DataFrame:
+    """The mix as documents, ``ordered`` by the schedule, which sorts them all: a document is there once for each pass of which it fills at least
     half its words, at the first slot of that pass; pieces of a document go with its larger part."""
     filled = F.filter(F.arrays_zip("passes", "slots"), lambda p: p["passes"] * 2 >= F.col("size"))
     plan = mix(docs, weights, share).where("size > 0").select(F.col("doc_id").alias("_of"), F.col("print").alias("_like"), F.transform(filled, lambda p: p["slots"]).alias("_slots"))
@@ -183,7 +179,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     single = rows.where("_rows = 1").select("_row", F.explode("_slots").alias("_slot"))
     several = rows.where("_rows > 1").withColumn("_turn", turn)
     several = several.select("_row", F.explode(F.filter("_slots", lambda x, i: i % F.col("_rows") == F.col("_turn"))).alias("_slot"))
-    rows = single.unionByName(several).orderBy("_slot")
+    rows = single.unionByName(several)
+    rows = rows.orderBy("_slot") if ordered else rows
     return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -206,8 +203,9 @@ y AS (SELECT i, coalesce(u.r, (SELECT max(r) FROM u)) AS r FROM x ASOF LEFT JOIN
 z AS (SELECT r, i, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS block FROM y),
 d AS (SELECT s.doc_id, s.size, t.r, t.n, t.target, row_number() OVER () AS id,
       coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || print), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT id, r, a + p * n AS a, a + p * n + size AS z, b FROM d, k, (SELECT unnest([0, 1]) AS p) WHERE size > 0),
+e0 AS (SELECT id, r, a + p * n AS a, a + p * n + size AS z, b, CAST(round_even(target, 0) AS BIGINT) AS due FROM d, k, (SELECT unnest([0, 1]) AS p) WHERE size > 0),
+e AS (SELECT id, r, a, least(z, due) AS z, b FROM e0 WHERE a < due), slots AS (SELECT count(*) AS n FROM x),
 f AS (SELECT id, r, a, z, b, unnest(range(CAST(a // b AS BIGINT), CAST((z - 1) // b + 1 AS BIGINT))) AS block FROM e),
-g AS (SELECT id, sum(least(f.z, (f.block + 1) * b) - greatest(a, f.block * b)) AS taken, min(z.i) AS slot FROM f JOIN z ON f.r = z.r AND f.block = z.block GROUP BY id)
+g AS (SELECT id, sum(least(f.z, (f.block + 1) * b) - greatest(a, f.block * b)) AS taken, min(coalesce(z.i, slots.n + f.block)) AS slot FROM f CROSS JOIN slots LEFT JOIN z ON f.r = z.r AND f.block = z.block GROUP BY id)
 SELECT doc_id, size, n AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, slot FROM d LEFT JOIN g USING (id)
 """
