@@ -187,12 +187,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = SAMPLE) -> DataFrame:
-    """text and y (0/1) of at most about ``most`` labelled rows, by hash of the id; the ids are joined as a small table."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
+    """text and y (0/1) of at most about ``most`` labelled rows, by hash of the id; the ids are joined as a small table. An id
+    that several rows or labels have counts once: its least text, its highest label."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("_id", F.lit(41)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").cast("string").alias("text"), "y")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Gam:
