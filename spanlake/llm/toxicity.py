@@ -6,7 +6,7 @@ backwards; attention weighs the steps; one output scores the window. All windows
 text are scored, and the largest decides. Labels are of documents, so training alternates: the network picks the windows
 of a document that look most toxic, and learns from those. A last logistic fit on document scores sets the threshold.
 
-The fit uses a bounded sample: at most about POSITIVE and NEGATIVE labelled documents, chosen by hash. Defined cases: a
+The fit uses a bounded sample: at most about POSITIVE and NEGATIVE labelled documents and BYTES of text, chosen by hash. Defined cases: a
 null text, or one without letters, gets the score of an empty window; without both classes every score is the mean label,
 or 0; rows of equal id are scored each; null labels are not learned from.
 """
@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 from .common import documents, remainder, table
 
 POSITIVE, NEGATIVE = 2500, 3500
+#: Bytes of their texts that the driver holds.
+BYTES = 48 << 20
 VOCABULARY, BUCKETS = 4096, 4096
 WIDTH, HIDDEN, SPAN, STRIDE = 12, 8, 48, 32
 EPOCHS, ROUNDS, BATCH, STEP = 4, 2, 512, 0.01
@@ -309,14 +312,29 @@ def train(texts: pa.Array | pa.ChunkedArray, y: np.ndarray, weight: np.ndarray)
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
-    """Texts, labels and weights of the documents to fit on."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"))
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, budget: int = BYTES) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """Texts, labels and weights of the documents to fit on. An id that several rows or labels have counts once: its least
+    text, its highest label. Of the documents chosen those of the least hashes are fetched whose texts together have at most
+    ``budget`` bytes; a weight says how many labelled ids one stands for."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, m / max(1, counts.get(k, 0))) for k, m in ((0, NEGATIVE), (1, POSITIVE))}
     part = F.when(F.col("y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
-    chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(53)), F.lit(1 << 30)) <= part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").cast("string").alias("text"), "y").toArrow().sort_by("_id")
+    hashed = F.pmod(F.xxhash64("_id", F.lit(53)), F.lit(1 << 30))
+    chosen = known.where(hashed <= part)
+    text = F.col("text").cast("string").alias("text")
+    joined = lambda ids: docs.select("doc_id", text).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    sizes = joined(chosen).groupBy("_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).join(chosen, "_id").orderBy(hashed / part, "_id")
+    taken, held = [], 0
+    for r in sizes.collect():  # a row a chosen document, without its text
+        held += r.bytes
+        if held > budget and taken:
+            break
+        taken.append((r["_id"],))
+    few = docs.sparkSession.createDataFrame(taken, T.StructType([known.schema["_id"]]))
+    fetched = chosen.join(F.broadcast(few), "_id")
+    rows = joined(fetched).groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow().sort_by("_id")
     y = rows.column("y").to_numpy().astype(np.float64)
     return rows.column("text"), y, np.where(y > 0, 1 / share[1], 1 / share[0])
 

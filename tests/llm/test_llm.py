@@ -221,10 +221,10 @@ def test_mix(spark, odd, none):
 
 
 def test_small_sources_get_their_words_in_large_mixes(spark, monkeypatch):
-    assert mixing.words_due([], 0, 1)[0].tolist() == []
+    assert mixing.words_due([], 0)[0].tolist() == []
     shares = [3e9, 300.0, 4e9, 1000.4, 3000.0, 5e8]
     total = sum(shares)
-    due, has = mixing.words_due(shares, int(round(total / 1024)), 1024)
+    due, has = mixing.words_due(shares, int(round(total / 1024)))
     assert due.tolist()[1:5:2] + [due.tolist()[4]] == [300, 1000, 3000] and has.sum() == round(total / 1024)
     assert all(abs(n - t) <= max(0.5, 0.005 * t) for n, t in zip(due.tolist(), shares, strict=True))
     monkeypatch.setattr(mixing, "SLOTS", 64)  # slots of many words on a small table
@@ -600,3 +600,29 @@ def test_largest_doc_id(spark):
     top = (1 << 63) - 1
     got = {r.doc_id: r.n_removed for r in repeats.dedup(spark.createDataFrame([(top, w), (3, w), (None, w)], "doc_id bigint, text string")).collect()}
     assert got == {top: 30, 3: 0, None: got[None]}
+
+
+def test_addresses_of_many_scripts():
+    locals_ = ["иван", "王小明", "łş", "елена.petrova", "Łukasz.Śliwa", "αλέξης", "דוד", "محمد", "たろう", "김철수", "ณัฐ", "ðþ", "x" * 90 + "ж" * 90]
+    key = b"k" * 100
+    for name in locals_:
+        text = f"write to {name}@example.com now"
+        new, counts = pseudonyms.hide(text, key)
+        assert counts["email"] == 1 and new != text, name
+        old, other = name.split("."), new.removeprefix("write to ").removesuffix("@example.com now").split(".")
+        assert len(old) == len(other) and not any(a in new for a in old if len(a) > 1)
+        assert pseudonyms.hide(new, key, back=True)[0] == text
+    assert pseudonyms.hide("to _@example.com now", key) == ("to _@example.com now", dict.fromkeys(pseudonyms.KINDS, 0))
+    assert pseudonyms.hide("иван@example.com", key)[0] != pseudonyms.hide("иван@example.com", b"k" * 101)[0]
+
+
+def test_a_repeated_id_counts_once_in_samples(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "other words here"), (3, None)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 0), (3, 0, 1)], "doc_id bigint, quality int, toxic int")
+    rows = sorted(map(tuple, quality.labelled(docs, labels, "quality", F.lit(True), 100).collect()))
+    assert rows == [(1, "some words 0", 1), (2, "other words here", 0), (3, None, 0)]
+    texts, y, _ = toxicity.sample(docs, labels, F.lit(True))
+    assert texts.to_pylist() == ["some words 0", "other words here", None] and y.tolist() == [1, 0, 1]
+    texts, _, _ = toxicity.sample(docs, labels, F.lit(True), budget=1)
+    assert len(texts) == 1
