@@ -2,7 +2,9 @@
 
 A stream is mono with 4 to 8 bits a sample as the format has them; the query stores bytes as 8-bit samples (byte - 128).
 The decoder reads constant, verbatim, fixed-predictor and linear-predictor subframes and both kinds of Rice coding with
-partitions and escapes. It checks the CRC-8 of each frame header, the CRC-16 of each frame and the MD5 of all samples.
+partitions and escapes. It checks the CRC-8 of each frame header, that a frame has the number its place in the stream asks for, the CRC-16 of each
+frame and the MD5 of all samples. The encoder takes for each frame the shortest of these but for escapes: fixed predictors of
+orders 0 to 2, a linear one of TAPS taps, one Rice partition or PARTS.
 A seek table with a point for each frame gives the sample offset of every block; with it all frames of a batch are
 decoded side by side, one numpy step a sample. Streams without a full seek table are decoded frame after frame.
 
@@ -31,6 +33,9 @@ BLOCK, RATE, PAD = 1024, 8000, 64
 _BATCH = 2 << 20
 #: Frames that are coded or read side by side.
 GROUP = 2048
+#: Taps of the linear predictor and their bits; Rice partitions of a frame.
+TAPS, PRECISION, PARTS = 4, 12, 8
+LINEAR = 9
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -119,33 +124,75 @@ def _tables(points: list[bytes]) -> list[bytes]:
     return [bytes([3 | 0x80 * (i == len(parts) - 1)]) + len(t).to_bytes(3, "big") + t for i, t in enumerate(parts)]
 
 
+def _predictors(wave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised taps of a linear predictor of TAPS for each row, and their shift: autocorrelation and Levinson's recursion."""
+    x = wave.astype(np.float32)
+    auto = np.stack([np.einsum("ij,ij->i", x[:, lag:], x[:, : x.shape[1] - lag], dtype=np.float64) for lag in range(TAPS + 1)], axis=1)
+    taps, error = np.zeros((len(x), TAPS)), np.maximum(auto[:, 0] * (1 + 1e-9), 1e-9)
+    for i in range(TAPS):
+        k = (auto[:, i + 1] - (taps[:, :i] * auto[:, i:0:-1]).sum(1)) / error
+        before = taps[:, :i].copy()
+        taps[:, i] = k
+        taps[:, :i] = before - k[:, None] * before[:, ::-1]
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = np.abs(taps).max(1, initial=0)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(np.maximum(most, 1e-9))), 0, 14).astype(np.int64)
+    top = 1 << (PRECISION - 1)
+    return np.clip(np.rint(taps * (1 << shift)[:, None]), -top, top - 1).astype(np.int32), shift
+
+
+def _rice(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A good Rice parameter for codes of a sum."""
+    return np.clip(np.floor(np.log2(np.maximum(total / np.maximum(count, 1) * 0.6931, 1e-9) + 1e-9)), 0, 14).astype(np.int32)
+
+
 def _frames(payload: np.ndarray, at: np.ndarray, n: np.ndarray, number: np.ndarray) -> list[bytes]:
-    """The frames of blocks that begin ``at`` and have n samples and a number in their stream."""
+    """The frames of blocks that begin ``at`` and have n samples and a number in their stream: constant, verbatim, or coded
+    with the shortest of three fixed predictors and a linear one, in one Rice partition or PARTS."""
     samples = payload.astype(np.int32) - 128
-    grid = np.arange(BLOCK)
+    grid = np.arange(BLOCK, dtype=np.int32)
     inside = grid < n[:, None]
     wave = np.where(inside, samples[np.minimum(at[:, None] + grid, max(0, len(samples) - 1))], 0) if len(samples) else np.zeros((0, BLOCK), np.int32)
-    best, choice = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
-    codes, kept = np.zeros_like(wave), np.zeros(len(n), np.int64)
+    constant = ((wave == wave[:, :1]) | ~inside).all(1)
+    best, choice = np.full(len(n), np.inf), np.zeros(len(n), np.int64)  # choice: the order of a fixed predictor, or LINEAR
+    codes, kept = np.zeros_like(wave), np.zeros(len(n), np.int32)
+    taps, shift = _predictors(wave)
     residual = wave.copy()
-    for order in range(4):  # fixed predictors: differences of rising order
-        if order:
+    for option in (0, 1, 2, LINEAR):
+        order = TAPS if option == LINEAR else option
+        if option == LINEAR:
+            guess = np.zeros_like(wave)
+            for j in range(TAPS):
+                guess[:, TAPS:] += taps[:, j : j + 1] * wave[:, TAPS - 1 - j : BLOCK - 1 - j]
+            residual = wave - (guess >> shift[:, None].astype(np.int32))
+        elif order:
             residual[:, order:] = residual[:, order:] - residual[:, order - 1 : -1]
-        u = (residual << 1) ^ (residual >> 31)
-        live = inside & (grid >= order)
-        u *= live
-        total, count = u.sum(1, dtype=np.int64), np.maximum(n - order, 1)
-        k = np.clip(np.floor(np.log2(np.maximum(total / count * 0.6931, 1e-9) + 1e-9)), 0, 14).astype(np.int64)
-        bits = (u >> k[:, None].astype(np.int32)).sum(1, dtype=np.int64) + count * (1 + k) + 8 + 8 * order + 10
+            residual[:, :order] = 0
+        u = ((residual << 1) ^ (residual >> 31)) * (inside & (grid >= order))
+        count = np.maximum(n - order, 1)
+        k = _rice(u.sum(1, dtype=np.int64), count)
+        bits = (u >> k[:, None]).sum(1, dtype=np.int64) + count * (1 + k) + 18 + 8 * order + (9 + PRECISION * TAPS if option == LINEAR else 0)
         better = (bits < best) & (n > order)
-        best, choice, kept = np.where(better, bits, best), np.where(better, order, choice), np.where(better, k, kept)
+        best, choice, kept = np.where(better, bits, best), np.where(better, option, choice), np.where(better, k, kept)
         codes[better] = u[better]
-        if order == 0:
-            same = (wave == wave[:, :1]) | ~inside
-            constant = same.all(1)
-        residual[:, :order] = 0
-        if order < 3:
-            residual = np.where(grid >= order, residual, 0)
+    order, linear = np.where(choice == LINEAR, TAPS, choice), choice == LINEAR
+    # PARTS partitions of equal size, each with its own parameter, where that is shorter
+    size = np.where(n % PARTS == 0, n // PARTS, 0)
+    ends = np.minimum(size[:, None] * np.arange(1, PARTS + 1), BLOCK) - 1
+    sums = np.diff(np.take_along_axis(np.cumsum(codes, 1, dtype=np.int32), np.maximum(ends, 0), 1), axis=1, prepend=0)
+    count = size[:, None] - np.where(np.arange(PARTS) == 0, order[:, None], 0)
+    ks = _rice(sums, count)
+    steps = np.diff(ks, axis=1, prepend=0)
+    each = np.zeros_like(codes)
+    rows = np.arange(len(n))
+    for i in range(PARTS):
+        each[rows, np.minimum(size * i, BLOCK - 1)] += steps[:, i]
+    each = np.cumsum(each, axis=1, dtype=np.int32)
+    live = inside & (grid >= order[:, None])
+    split = (codes >> each).sum(1, dtype=np.int64) + (count * (1 + ks)).sum(1) + 4 * PARTS + 14 + 8 * order + np.where(linear, 9 + PRECISION * TAPS, 0)
+    several = (size > order) & (split < best)
+    best = np.where(several, split, best)
+    each = np.where(several[:, None], each, kept[:, None])
     plain = ~constant & (best >= 8 + 8 * n)
     rice = ~constant & ~plain
     bits = np.where(constant, 16, np.where(plain, 8 + 8 * n, best)).astype(np.int64)
@@ -153,22 +200,32 @@ def _frames(payload: np.ndarray, at: np.ndarray, n: np.ndarray, number: np.ndarr
     edge = np.r_[0, np.cumsum(body)]
     stream = np.zeros(int(edge[-1]) * 8, np.uint8)
     base = edge[:-1] * 8
-    kind = np.where(constant, 0, np.where(plain, 2, 16 + 2 * choice))
+    kind = np.where(constant, 0, np.where(plain, 2, np.where(linear, 64 + 2 * (TAPS - 1), 16 + 2 * order)))
     stream[(base[:, None] + np.arange(8))] = _bits(kind, 8)
-    for i in range(3):  # warm-up samples, or the constant
-        has = np.flatnonzero((rice & (choice > i)) | (constant & (i == 0)))
+    for i in range(TAPS):  # warm-up samples, or the constant
+        has = np.flatnonzero((rice & (order > i)) | (constant & (i == 0)))
         stream[(base[has, None] + 8 + 8 * i + np.arange(8))] = _bits(wave[has, i] & 0xFF, 8)
+    start = base + 8 + 8 * order
+    has = np.flatnonzero(rice & linear)
+    stream[(start[has, None] + np.arange(4))] = _bits(np.full(len(has), PRECISION - 1), 4)
+    stream[(start[has, None] + 4 + np.arange(5))] = _bits(shift[has], 5)
+    for j in range(TAPS):
+        stream[(start[has, None] + 9 + PRECISION * j + np.arange(PRECISION))] = _bits(taps[has, j] & ((1 << PRECISION) - 1), PRECISION)
+    start = start + np.where(linear, 9 + PRECISION * TAPS, 0)
     has = np.flatnonzero(rice)
-    start = base + 8 + 8 * choice
-    stream[(start[has, None] + 6 + np.arange(4))] = _bits(kept[has], 4)
-    live = inside & (grid >= choice[:, None]) & rice[:, None]
+    stream[(start[has, None] + 2 + np.arange(4))] = _bits(np.where(several[has], PARTS.bit_length() - 1, 0), 4)
+    live &= rice[:, None]
     counts = live.sum(1)
-    u, k = codes[live], np.repeat(kept, counts).astype(np.int32)
+    first = (grid == order[:, None]) | (several[:, None] & (grid % np.maximum(size, 1)[:, None] == 0))
+    u, k, head = codes[live], each[live], np.where(first[live], 4, 0)
     q = u >> k
-    length = (q + 1 + k).astype(np.int64)
+    length = (q + 1 + k + head).astype(np.int64)
     run = np.cumsum(length)
     run0 = np.r_[0, run][np.cumsum(counts) - counts]
-    stop = np.repeat(start + 10 - run0, counts) + (run - length) + q
+    place = np.repeat(start + 6 - run0, counts) + (run - length)
+    opens = np.flatnonzero(head)
+    stream[(place[opens, None] + np.arange(4))] = _bits(k[opens], 4)
+    stop = place + head + q
     stream[stop] = 1
     for j in range(int(k.max(initial=0))):
         has = k > j
@@ -236,11 +293,14 @@ def _frame_head(data: bytes, at: int) -> tuple[int, int, int]:
 _crc8_of = lru_cache(maxsize=1 << 16)(crc8)
 
 
-def decode_frames(data: bytes, starts: list[int], depth: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_frames(data: bytes, starts: list[int], depth: list[int], firsts: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Samples of frames that begin at the given bytes, as rows; their lengths; and the byte where each ends. One step of
-    the loops is one sample of every frame."""
+    the loops is one sample of every frame. ``firsts``: the sample each should begin with, and its stream's block size."""
     lanes = len(starts)
     heads = [_frame_head(data, s) for s in starts]
+    for s, (_, _, number), (first, block) in zip(starts, heads, firsts or [], strict=False):
+        if number * (1 if data[s + 1] & 1 else block) != first:
+            raise ValueError("a frame is not the one that its place is for")
     n = np.array([h[1] for h in heads], np.int64)
     longest = int(n.max(initial=0))
     buf = np.frombuffer(data + bytes(16), np.uint8)
@@ -354,12 +414,18 @@ def decode_frames(data: bytes, starts: list[int], depth: list[int]) -> tuple[np.
                     head = np.diff(warm[:i], n=i - 1, axis=0)[-1:]
                     x = np.cumsum(np.concatenate([head, x]), axis=0, dtype=np.int32)
                 out[c:, lane[here]] = x[c:] if c else x
-        for i, l in enumerate(lane.tolist()):
-            if kind[l] == 3:
-                c, s, column = taps[l], int(shift[l]), out[:, l].tolist()
-                for t in range(len(c), int(n[l])):
-                    column[t] = int(residual[t, i]) + (sum(x * column[t - 1 - j] for j, x in enumerate(c)) >> s)
-                out[:, l] = column
+        for c in np.unique(o[kind[lane] == 3]).tolist():  # linear predictors of c taps side by side, a sample at a step
+            here = np.flatnonzero((kind[lane] == 3) & (o == c))
+            column, rest, s = out[:, lane[here]], residual[:, here], shift[lane[here]].astype(np.int32)
+            weights, one = np.array([taps[i] for i in lane[here].tolist()], np.int32).T.copy(), np.empty(len(here), np.int32)
+            for t in range(c, longest):
+                guess = column[t - 1] * weights[0]
+                for j in range(1, c):
+                    np.multiply(column[t - 1 - j], weights[j], out=one)
+                    guess += one
+                guess >>= s
+                np.add(rest[t], guess, out=column[t])
+            out[:, lane[here]] = column
     if wasted.any():
         out <<= wasted.astype(np.int32)
     end = (pos + 7) >> 3
@@ -380,17 +446,18 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]
 def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
     heads = [Stream(s) for s in streams]
     out: list[tuple[np.ndarray, list[tuple[int, int]]]] = [(np.zeros(0, np.int8), [])] * len(streams)
-    starts, depth, whose, base = [], [], [], 0
+    starts, depth, whose, firsts, base = [], [], [], [], 0
     for d, (h, s) in enumerate(zip(heads, streams, strict=True)):
         if sum(p[2] for p in h.points) == h.total and h.points:
             starts += [base + h.start + p[1] for p in h.points]
             depth += [h.bits] * len(h.points)
             whose += [d] * len(h.points)
+            firsts += [(p[0], h.block) for p in h.points]
         base += len(s)
     if starts:
         data, parts = b"".join(streams), []
         for g in range(0, len(starts), GROUP):
-            samples, n, _ = decode_frames(data, starts[g : g + GROUP], depth[g : g + GROUP])
+            samples, n, _ = decode_frames(data, starts[g : g + GROUP], depth[g : g + GROUP], firsts[g : g + GROUP])
             parts += [row[:m].astype(np.int8) for row, m in zip(samples, n.tolist(), strict=True)]
         at = 0
         while at < len(whose):
@@ -401,7 +468,7 @@ def _decode(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int]
         if not out[d][1] and h.total:
             at, parts, blocks_, done = h.start, [], [], 0
             while done < h.total:
-                samples, n, end = decode_frames(s, [at], [h.bits])
+                samples, n, end = decode_frames(s, [at], [h.bits], [(done, h.block)])
                 parts.append(samples[0, : n[0]])
                 blocks_.append((done, int(n[0])))
                 done, at = done + int(n[0]), int(end[0])

@@ -626,3 +626,34 @@ def test_a_repeated_id_counts_once_in_samples(spark):
     assert texts.to_pylist() == ["some words 0", "other words here", None] and y.tolist() == [1, 0, 1]
     texts, _, _ = toxicity.sample(docs, labels, F.lit(True), budget=1)
     assert len(texts) == 1
+
+
+def test_flac_frames_of_all_kinds(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect() if r.text]
+    rng = np.random.default_rng(1)
+    raw = [t.encode() for t in texts] + [bytes(5000), bytes(rng.integers(0, 256, 9000, dtype=np.uint8)), b"a" * 2048 + b"b", bytes([0, 255] * 3000)]
+    raw += [(np.sin(np.arange(20_000) / w) * 100 + 128).astype(np.uint8).tobytes() for w in (3, 9, 70)] + [(128 + 100 * (np.arange(6000) // 128 % 2) * rng.standard_normal(6000)).clip(0, 255).astype(np.uint8).tobytes()]
+    buf, edge = flac.padded(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    streams, kinds, parts = flac.encode(buf, edge), set(), set()
+    for (samples, _), a, z in zip(flac.decode(streams), edge, edge[1:], strict=False):
+        assert ((samples.astype(np.int16) + 128).astype(np.uint8) == buf[a:z]).all()
+    for stream in streams:
+        h = flac.Stream(stream)
+        for _, at, n in h.points:
+            sub, _, _ = flac._frame_head(stream, h.start + at)
+            kind = stream[sub] >> 1 & 63
+            kinds.add(kind)
+            if kind >= 8:
+                bit = sub * 8 + 8 + 8 * (kind - 8 if kind < 32 else flac.TAPS) + (0 if kind < 32 else 9 + flac.PRECISION * flac.TAPS)
+                parts.add(int.from_bytes(stream[bit >> 3 : (bit >> 3) + 2], "big") >> (16 - (bit & 7) - 6) & 15)
+    assert kinds == {0, 1, 8, 9, 10, 31 + flac.TAPS} and parts == {0, 3}
+
+
+def test_a_frame_must_be_the_one_its_seek_point_says():
+    buf, edge = flac.padded(np.frombuffer(b"The quick brown fox. " * 200, np.uint8), np.array([0, 4200]))
+    stream = bytearray(flac.encode(buf, edge)[0])
+    h = flac.Stream(bytes(stream))
+    at = h.start - 18 * len(h.points)
+    stream[at + 8 : at + 16], stream[at + 26 : at + 34] = stream[at + 26 : at + 34], stream[at + 8 : at + 16]
+    with pytest.raises(ValueError, match="not the one"):
+        flac.decode([bytes(stream)])
