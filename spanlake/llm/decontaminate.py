@@ -6,8 +6,8 @@ suffix that also occurs in an item. Where that length reaches the window, those
 window is a window by itself; its end state marks it.
 
 Items are collected in shards of a bounded number of bytes. Each shard is one automaton, which is built of dictionaries and
-kept as arrays (some 40 bytes a word); PASS of them go through the texts together, so memory on the driver and the executors
-is bounded however large the benchmark is.
+kept as arrays (some 40 bytes a word); PASS of them go through the texts together. Where there are more, each pass is a job
+that writes what it finds, so memory on the driver and the executors is bounded however large the benchmark is.
 
 Defined cases: a null or empty text has no words, is not contaminated and keeps its row; null items and items without
 words match nothing; repeated rows each get their result; items of equal id count once.
@@ -18,16 +18,18 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import batched
+from functools import reduce
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .common import documents, table
+from .common import documents, stash, table
 
 WINDOW = 10
 #: A shard takes some 70 bytes a byte while it is built, and about 6 after that.
@@ -203,41 +205,67 @@ def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[tuple
         yield rows
 
 
+def _scanned(rows: DataFrame, held: Broadcast[tuple]) -> DataFrame:
+    """Rows with ``spans`` and ``items`` of what the matchers find in their text; the other column is the first."""
+    name = rows.columns[0]
+    schema = T.StructType([rows.schema[0], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in X.blocks(batches):
+            buf, offsets = X.buffer_of(block.column("text"))
+            buf = X.LOWER[buf]
+            starts, ends, first = X.words(buf, offsets, X.ALNUM)
+            hit = np.zeros(len(starts), bool)
+            h, found = X.word_keys(buf, starts, ends), {}
+            for matcher in held.value:
+                for d, names in matcher.find(h, first, hit).items():
+                    found.setdefault(d, set()).update(names)
+            spans, items = [[]] * block.num_rows, [[]] * block.num_rows
+            for d, names in found.items():
+                edges = np.flatnonzero(np.diff(np.r_[False, hit[first[d] : first[d + 1]], False].astype(np.int8)))
+                spans[d], items[d] = edges.tolist(), sorted(names)
+            yield pa.RecordBatch.from_arrays([block.column(name), block.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[name, "text", "spans", "items"])
+
+    return rows.select(name, "text").mapInArrow(scan, schema)
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One list of maximal runs and one of items, from those of several passes."""
+    for batch in batches:
+        spans, items = [], []
+        for lists, names in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            runs: list[int] = []
+            for a, b in sorted(x for one in lists for x in zip(one[::2], one[1::2], strict=True)):
+                if runs and a <= runs[-1]:
+                    runs[-1] = max(runs[-1], b)
+                else:
+                    runs += [a, b]
+            spans.append(runs)
+            items.append(sorted({x for one in names for x in one}))
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["_row", "spans", "items"])
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: Column | None = None) -> DataFrame:
     """Documents with ``spans`` (first word, end word, ... of maximal hit runs) and ``items`` (ids that occur); the first
-    column is doc_id, or ``keep``."""
+    column is doc_id, or ``keep``. A benchmark of more than one pass is scanned pass by pass: what one finds is written, its
+    automata go, and the findings of all are put together by row."""
     spark = docs.sparkSession
     keep = F.col("doc_id").cast("bigint").alias("doc_id") if keep is None else keep
-    out = docs.select(keep, F.col("text").cast("string").alias("text")).withColumns(
-        {"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")}
-    )
-    name = out.columns[0]
-    schema = T.StructType([out.schema[0], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    for together in batched((Matcher(rows, window) for rows in shards(benchmark, shard_bytes)), PASS):
+    rows = docs.select(keep, F.col("text").cast("string").alias("text"))
+    passes = batched((Matcher(rows, window) for rows in shards(benchmark, shard_bytes)), PASS)
+    first, second = next(passes, ()), next(passes, None)
+    if second is None:
+        return _scanned(rows, spark.sparkContext.broadcast(first))
+    base, found = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "texts"), []
+    for together in chain((first, second), passes):
         held = spark.sparkContext.broadcast(together)
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for block in X.blocks(batches):
-                buf, offsets = X.buffer_of(block.column("text"))
-                buf = X.LOWER[buf]
-                starts, ends, first = X.words(buf, offsets, X.ALNUM)
-                hit = np.zeros(len(starts), bool)
-                h, found = X.word_keys(buf, starts, ends), {}
-                for matcher in held.value:
-                    for d, names in matcher.find(h, first, hit).items():
-                        found.setdefault(d, set()).update(names)
-                spans, items = block.column("spans").to_pylist(), block.column("items").to_pylist()
-                for d, names in found.items():
-                    a, b = first[d], first[d + 1]
-                    own = hit[a:b].copy()
-                    for x, y in zip(spans[d][::2], spans[d][1::2], strict=True):
-                        own[x:y] = True
-                    edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
-                    spans[d], items[d] = edges.tolist(), sorted({*items[d], *names})
-                yield pa.RecordBatch.from_arrays([block.column(name), block.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[name, "text", "spans", "items"])
-
-        out = out.mapInArrow(scan, schema)
-    return out
+        found.append(stash(_scanned(base.select("_row", "text"), held).where("size(spans) > 0").drop("text"), "hits"))
+        held.destroy()
+        del together
+    lists = reduce(DataFrame.unionByName, found).groupBy("_row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a list a pass
+    merged = lists.mapInArrow(_joined_runs, "_row bigint, spans array<bigint>, items array<string>")
+    none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("spans", "array<bigint>"), ("items", "array<string>"))]
+    return base.join(merged, "_row", "left").select(rows.columns[0], "text", *none)
 
 
 def report(found: DataFrame) -> DataFrame:

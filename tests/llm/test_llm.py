@@ -583,7 +583,7 @@ def test_regular_words_do_not_collide(spark):
         short = spark.createDataFrame([(i, w) for i, w in enumerate(pair)], "doc_id bigint, text string")
         assert [r.kept for r in neardup.clusters(short).collect()] == [True, True]
         items = spark.createDataFrame([("x", pair[0])], "item_id string, text string")
-        assert {r.doc_id: r.n_hit for r in decontaminate.report(short, items).collect()} == {0: 1, 1: 0}
+        assert {r.doc_id: r.n_hit for r in decontaminate.report(decontaminate.occurrences(short, items)).collect()} == {0: 1, 1: 0}
 
 
 def test_word_keys_against_loops():
@@ -657,3 +657,16 @@ def test_a_frame_must_be_the_one_its_seek_point_says():
     stream[at + 8 : at + 16], stream[at + 26 : at + 34] = stream[at + 26 : at + 34], stream[at + 8 : at + 16]
     with pytest.raises(ValueError, match="not the one"):
         flac.decode([bytes(stream)])
+
+
+def test_passes_of_a_large_benchmark(spark, odd, monkeypatch):
+    """Many shards: each pass is a stage of its own with one Python node, and the result is that of one automaton."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    one = key(decontaminate.report(decontaminate.occurrences(docs, items))), key(decontaminate.cut(docs, items)), key(decontaminate.report(decontaminate.occurrences(odd, items)))
+    monkeypatch.setattr(decontaminate, "PASS", 2)
+    found = decontaminate.occurrences(docs, items, shard_bytes=3000)
+    assert key(decontaminate.report(found)) == one[0] and found._jdf.queryExecution().toString().count("MapInArrow") <= 4 * 2
+    assert key(decontaminate.cut(docs, items, shard_bytes=3000)) == one[1]
+    assert key(decontaminate.report(decontaminate.occurrences(odd, items, shard_bytes=3000))) == one[2]
