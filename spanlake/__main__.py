@@ -144,7 +144,7 @@ def _fit(spark, data, args: argparse.Namespace, penalty: float, folder: str | No
             line = json.dumps({"round": len(fit.history), "y": fit.y.tolist(), "theta": fit.theta, "rho": fit.rho, "alpha": fit.alpha, "loglik": fit.history, "done": fit.done}, sort_keys=True)
             spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(folder)
 
-    found, history = demography.estimate(_prepared(data, args, n), knots, states, u["theta"] * args.bin, rho, args.em_iterations, penalty, keep, None, start, learn, args.multi, curve, rough, conditioned.sample_parts)
+    found, history = demography.estimate(_prepared(data, args, n), knots, states, u["theta"] * args.bin, rho, args.em_iterations, penalty, keep, None, start, learn, args.multi, curve, rough, conditioned.sample_parts, args.block_rows)
     return found, history, states, {**u, "theta": start.theta / args.bin, "alpha": start.alpha, "rho": start.rho / args.bin, "knots": knots, "values": start.y}
 
 
@@ -160,7 +160,8 @@ def _resumed(spark: SparkSession, folder: str):
     return demography.Fit(np.array(got["y"]), got["theta"], got["rho"], got["loglik"], got["done"], got.get("alpha", 1.0))
 
 
-FIT = (option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20), option("--bin", type=int, default=100, help="bases a bin"), option("--thinning", type=int), option("--rate-window", type=int), option("--spline", choices=SPLINES, default="piecewise"), option("--multi", action="store_true", help="move all knots together"), option("--learn", nargs="*", default=[], choices=tuple(demography.LEARNED), help="rates that are fitted too; the recombination rate always is where --r is not given"))
+BLOCKS = option("--block-rows", type=int, help="work on long contigs in blocks of so many rows, side by side")
+FIT = (BLOCKS, option("--knots", type=int, default=8), option("--em-iterations", type=int, default=20), option("--bin", type=int, default=100, help="bases a bin"), option("--thinning", type=int), option("--rate-window", type=int), option("--spline", choices=SPLINES, default="piecewise"), option("--multi", action="store_true", help="move all knots together"), option("--learn", nargs="*", default=[], choices=tuple(demography.LEARNED), help="rates that are fitted too; the recombination rate always is where --r is not given"))
 
 
 def _json(found: demography.Steps, history: list[float], states: list[float], u: dict, kind: str) -> str:
@@ -194,7 +195,7 @@ def cv(spark: SparkSession, args: argparse.Namespace) -> None:
         for penalty in args.penalties:
             found, history, states, u = _fit(spark, train, args, penalty)
             model = conditioned.sample_model(found, states, u["theta"] * args.bin, u["rho"] * args.bin, known)
-            loglik = float(hmm.logliks(tested, model).agg(F.sum("loglik")).first()[0])
+            loglik = float(hmm.logliks(tested, model, args.block_rows).agg(F.sum("loglik")).first()[0])
             scores.append((fold, float(penalty), loglik, _json(found, history, states, u, args.spline)))
         spark.createDataFrame([s[:3] for s in scores], "fold int, penalty double, loglik double").coalesce(1).write.mode("overwrite").parquet(f"{args.out}/scores/fold={fold}")
         best = max(scores, key=lambda s: (s[2], -s[1]))
@@ -246,7 +247,7 @@ def split_(spark: SparkSession, args: argparse.Namespace) -> None:
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(args.out)
 
 
-@command(DATA, OUT, option("model"))
+@command(DATA, OUT, option("model"), BLOCKS)
 def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
     """State probabilities of every run under a fitted model, of one population or of two."""
     model, states, got = _load(spark, args.model)
@@ -259,7 +260,7 @@ def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
         raise SystemExit("rows of two populations need a model of two, as split writes it, and rows of one a model of one")
     else:
         hidden = conditioned.sample_model(model, states, got["theta"], got["rho"], known, alpha=alpha)
-    hmm.posterior(data, hidden).withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
+    hmm.posterior(data, hidden, args.block_rows).withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
 
 
 @command(OUT, option("--history", choices=("constant", "human", "sawtooth"), default="constant"), option("--contigs", type=int, default=4), option("--length", type=int, default=1_000_000), option("--theta", type=float, default=1e-3), option("--rho", type=float, default=1e-3), option("--seed", type=int, default=0))

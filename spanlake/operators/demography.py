@@ -338,13 +338,14 @@ def estimate(
     curve: Callable[[np.ndarray], Steps] | None = None,
     rough: Callable[[np.ndarray], float] = roughness,
     parts: Callable[[list[float], list[hmm.Key]], Parts] = pair_parts,
+    block_rows: int | None = None,
 ) -> tuple[Steps, list[float]]:
     """EM on the distinguished pair, or with ``parts`` = conditioned.sample_parts on all samples; ``build`` makes a whole model
     instead. A round is one distributed E-step and a driver M-step: first all log sizes move together, then each rate of
     ``learn`` (names of LEARNED), then one knot at a time, last first, or all ``together`` by minimise(). The penalty is on
     ``rough``, in units of the size of the first expectation. ``on`` is told what happens, with a Fit that ``start`` takes to
     go on from: begin; pre, post E-step; pre M-step; post minimize of each parameter; post mini M-step of each knot; post
-    M-step; converged; optimization finished. Ends when the relative gain is small."""
+    M-step; converged; optimization finished. With ``block_rows`` contigs are worked on in blocks. Ends when the relative gain is small."""
     if set(learn) - set(LEARNED):
         raise ValueError(f"what can be learned: {', '.join(LEARNED)}")
     spans = spans.select("contig_id", "seq", "span", *hmm.key_columns(spans)).persist()
@@ -360,7 +361,7 @@ def estimate(
     while not fit.done and len(fit.history) < rounds:
         model = at(fit.y)
         say("pre E-step")
-        stats = hmm.reduced(hmm.statistics(spans, model)).collect()  # keys times states
+        stats = hmm.reduced(hmm.statistics(spans, model, block_rows)).collect()  # keys times states
         fit.history.append(sum(r["value"] for r in stats if r["kind"] == "loglik"))
         say("post E-step", loglik=fit.history[-1])
         if len(fit.history) > 1 and 0 <= (fit.history[-2] - fit.history[-1]) / fit.history[-2] < 1e-4:

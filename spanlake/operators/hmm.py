@@ -115,7 +115,7 @@ def forward_backward(rows: Runs | list[tuple[int, Key]], model: Model, start: np
     return loglik, gamma, xi, first / first.sum()
 
 
-#: Contigs of more rows are cut into blocks of so many, which are worked on side by side.
+#: Rows of a block, where contigs are cut into blocks that are worked on side by side.
 BLOCK = 16_384
 
 
@@ -132,13 +132,45 @@ def _kind(rows: DataFrame) -> str:
     return rows.schema["contig_id"].dataType.simpleString()
 
 
-def _rows_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Runs]:
-    pdf = pdf.sort_values("seq")
+def _rows_of(pdf: pd.DataFrame, ordered: bool = False) -> tuple[pd.DataFrame, Runs]:
+    pdf = pdf if ordered else pdf.sort_values("seq")
     names = ["span", *[c for c in pdf.columns if c[0] in "abn" and c[-1].isdigit()]]
-    pairs, which = np.unique(pdf[names].to_numpy(np.int64), axis=0, return_inverse=True)
+    cells = pdf[names].to_numpy(np.int64)
+    code, place = np.zeros(len(cells), np.int64), 1
+    for c in cells.T:  # one number for a row, where that fits; else rows are compared as such
+        low, high = int(c.min(initial=0)), int(c.max(initial=0))
+        code, place = code + (c - low) * place, place * (high - low + 1)
+        if place > 1 << 62:
+            break
+    if place > 1 << 62:
+        pairs, which = np.unique(cells, axis=0, return_inverse=True)
+    else:
+        _, at, which = np.unique(code, return_index=True, return_inverse=True)
+        pairs = cells[at]
     return pdf, Runs(which.reshape(-1), [(r[0], tuple(r[1:])) for r in pairs.tolist()])
 
 
+def _by_contig(spans: DataFrame, use: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``use`` of the rows of each contig in order. Contigs follow each other in a task, so a small one costs no batch of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            names, done = pdf["contig_id"].to_numpy(), []
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and held[-1]["contig_id"].iloc[0] != names[a]:
+                    done.append(use(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+                held.append(pdf.iloc[a:b])
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield use(pd.concat(held))
+
+    return spans.select(*_kept(spans)).repartition("contig_id").sortWithinPartitions("contig_id", "seq").mapInPandas(run, schema)
+
+
 def _blocks(spans: DataFrame, size: int) -> DataFrame:
     """Rows with ``block``, which grows along a contig: ranges of (contig_id, seq) cut every ``size`` rows, written once as
     both passes must see the same ones. No task holds a contig."""
@@ -200,16 +232,16 @@ def _edges(blocks: DataFrame, model: Model) -> DataFrame:
     return products.groupBy("contig_id").applyInPandas(scan, f"contig_id {_kind(blocks)}, block bigint, loglik double, start array<double>, finish array<double>")
 
 
-def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple, bool], pd.DataFrame], schema: str, size: int) -> DataFrame:
-    """``use`` of each contig's, or block's, rows with what forward_backward gives, and whether a contig begins there."""
-    most = spans.groupBy("contig_id").count().agg(F.max("count")).first()[0] or 0
-    if most <= size:
+def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple, bool], pd.DataFrame], schema: str, size: int | None) -> DataFrame:
+    """``use`` of each contig's rows, or of those of each block of ``size`` rows, with what forward_backward gives, and whether
+    a contig begins there."""
+    if not size:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf, rows = _rows_of(pdf)
+            pdf, rows = _rows_of(pdf, True)
             return use(pdf, forward_backward(rows, model), True)
 
-        return spans.select(*_kept(spans)).groupBy("contig_id").applyInPandas(whole, schema)
+        return _by_contig(spans, whole, schema)
     blocks = _blocks(spans, size)
     edges = _edges(blocks, model)
     first = edges.groupBy("contig_id").agg(F.min("block").alias("block")).withColumn("first", F.lit(True))
@@ -222,7 +254,7 @@ def _applied(spans: DataFrame, model: Model, use: Callable[[pd.DataFrame, tuple,
     return blocks.groupBy("contig_id", "block").cogroup(edges.groupBy("contig_id", "block")).applyInPandas(part, schema)
 
 
-def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+def posterior(spans: DataFrame, model: Model, size: int | None = None) -> DataFrame:
     """contig_id, seq, start, span and gamma, the state probabilities of each run."""
 
     def run(pdf: pd.DataFrame, found: tuple, _: bool) -> pd.DataFrame:
@@ -232,28 +264,29 @@ def posterior(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
     return _applied(positions(spans), model, run, f"contig_id {_kind(spans)}, seq bigint, start bigint, span bigint, gamma array<double>", size)
 
 
-def logliks(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
-    """contig_id and loglik, by forward passes only; from the blocks' matrices where a contig is cut."""
-    kind = f"contig_id {_kind(spans)}, loglik double"
-    if (spans.groupBy("contig_id").count().agg(F.max("count")).first()[0] or 0) > size:
+def logliks(spans: DataFrame, model: Model, size: int | None = None) -> DataFrame:
+    """contig_id and loglik, by forward passes only; with ``size``, from the matrices of blocks of so many rows."""
+    if size:
         blocks = _edges(_blocks(spans, size), model)
         return blocks.groupBy("contig_id").agg(F.sum("loglik").alias("loglik"))
 
     def forward(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows = _rows_of(pdf)
+        pdf, rows = _rows_of(pdf, True)
         which, matrices, loglik = _steps(rows, model)
-        a = model.pi
+        a, scale = model.pi, 1.0
         for w in which:
-            x = matrices[w] @ a
-            c = x.sum()
-            loglik += np.log(c)
-            a = np.maximum(x / c, 0)
-        return pd.DataFrame({"contig_id": pdf["contig_id"].iloc[:1], "loglik": [loglik]})
+            a = matrices[w] @ a
+            c = a.sum()
+            a = a / c
+            scale *= c
+            if not 1e-200 < scale < 1e200:
+                loglik, scale = loglik + np.log(scale), 1.0
+        return pd.DataFrame({"contig_id": pdf["contig_id"].iloc[:1], "loglik": [loglik + float(np.log(scale))]})
 
-    return spans.select(*_kept(spans)).groupBy("contig_id").applyInPandas(forward, kind)
+    return _by_contig(spans, forward, f"contig_id {_kind(spans)}, loglik double")
 
 
-def statistics(spans: DataFrame, model: Model, size: int = BLOCK) -> DataFrame:
+def statistics(spans: DataFrame, model: Model, size: int | None = None) -> DataFrame:
     """Sufficient statistics of each contig in long form: kind (loglik, first, gamma, xi), key, i, j, value; of each block
     of it, where a contig is cut."""
     columns = key_columns(spans)
