@@ -32,7 +32,33 @@ def command(*options: tuple[tuple, dict]) -> Callable:
 
 
 MU, RHO = option("--mu", type=float, required=True, help="mutations a base and generation"), option("--r", type=float, help="recombinations; default: as mu")
-DATA, OUT = option("spans", help="Parquet of contig_id, seq, span, a1, b1, nb1"), option("out")
+DATA, OUT = option("spans", help="Parquet of contig_id, seq, span, a1, b1, nb1 (and a2, b2, nb2); or a span file, or @ and a file that lists them"), option("out")
+
+
+def _rows(spark: SparkSession, path: str):
+    """The span rows that a command is given. Files are checked by their headers: at most two populations, a pair of
+    distinguished lineages in each file's first; those with the pair in the second have their populations exchanged."""
+    if not path.startswith("@") and text.exists(spark, f"{path}/_SUCCESS"):
+        rows = spark.read.parquet(path)
+        if missing := {"contig_id", "seq", "span", "a1", "b1", "nb1"} - set(rows.columns):
+            raise SystemExit(f"{path} misses the columns {', '.join(sorted(missing))}")
+        if spans.bad_rows(rows, (2,) * len(spans.populations(rows))).limit(1).count():
+            raise SystemExit(f"{path} has rows with no bases, more than two derived alleles of a pair, or more than were sampled")
+        return rows
+    paths = text.expand(spark, [path])
+    if empty := [r.file for r in text.empty_files(spark, paths).collect()]:
+        raise SystemExit(f"no rows in {', '.join(empty)}")
+    heads = text.headers(spark, paths).withColumnRenamed("file", "contig_id").persist()
+    many = {len(r.pids) for r in heads.select("pids").distinct().collect()}
+    if len(many) != 1 or max(many) > 2:
+        raise SystemExit("files of one kind are needed: all of one population, or all of two")
+    rows = text.read_spans(spark, paths, many.pop())
+    bad = [r.contig_id for r in spans.load_checks(rows, heads).where("not ok").collect()]  # files, not rows
+    if bad:
+        raise SystemExit(f"headers and rows do not agree in {', '.join(bad)}")
+    if "a2" in rows.columns:
+        rows = spans.canonical(rows.join(heads.select("contig_id", F.size(F.col("dist")[1]).alias("dist2")), "contig_id")).drop("dist2")
+    return rows
 
 
 @command(option("vcf"), OUT, option("population", nargs="+", help="name:sample,sample or name:@file; one or two"), option("--distinguished", nargs=2, help="samples of the two distinguished haplotypes"), option("--mask", help="BED"), option("--missing-cutoff", type=int), option("--contig", help="only this one; of an indexed file, only its part is read"), option("--length", type=int, help="of every contig"), option("--ignore-missing", action="store_true"), option("--drop-first-last", action="store_true"))
@@ -76,7 +102,7 @@ def index(spark: SparkSession, args: argparse.Namespace) -> None:
 @command(DATA, OUT, option("--size", type=int, default=5_000_000), option("--draws", type=int), option("--seed", type=int, default=0), option("--text", help="a file of span rows: write text files, with its header, in place of Parquet"))
 def chunk(spark: SparkSession, args: argparse.Namespace) -> None:
     """Chunks of equal size, drawn with replacement where asked; as Parquet, or a text file each."""
-    cut = spans.chunk(spark.read.parquet(args.spans), args.size)
+    cut = spans.chunk(_rows(spark, args.spans), args.size)
     rows = chunks.numbered(cut, ["contig_id", "win"])
     if args.draws:
         drawn = sampling.bootstrap(rows.select("chunk").distinct(), args.draws, args.seed, "chunk")
@@ -172,7 +198,7 @@ def _json(found: demography.Steps, history: list[float], states: list[float], u:
 @command(DATA, OUT, MU, RHO, *FIT, option("--penalty", type=float, default=0.0))
 def estimate(spark: SparkSession, args: argparse.Namespace) -> None:
     """Fit a model; writes one JSON line. Rounds are kept in ``out``-rounds, and a run that was ended goes on from the last."""
-    found, history, states, u = _fit(spark, spark.read.parquet(args.spans), args, args.penalty, args.out + "-rounds")
+    found, history, states, u = _fit(spark, _rows(spark, args.spans), args, args.penalty, args.out + "-rounds")
     spark.createDataFrame([(_json(found, history, states, u, args.spline),)], "value string").coalesce(1).write.text(args.out)
 
 
@@ -180,7 +206,7 @@ def estimate(spark: SparkSession, args: argparse.Namespace) -> None:
 def cv(spark: SparkSession, args: argparse.Namespace) -> None:
     """Log likelihood of each left-out fold under each penalty, in ``out``/scores, and the best model of each fold in
     ``out``/best. Folds that are there already are not fitted again."""
-    data = spark.read.parquet(args.spans)
+    data = _rows(spark, args.spans)
     dealt = data.join(sampling.folds(data.select("contig_id").distinct(), args.folds), "contig_id")
     for fold in range(args.folds):
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{args.out}/best/fold={fold}/_SUCCESS")
@@ -231,7 +257,7 @@ def split_(spark: SparkSession, args: argparse.Namespace) -> None:
     theta, rho = a["theta"], a["rho"]
     if not np.isclose(theta, b["theta"], rtol=1e-6):
         raise SystemExit("the two models were fitted with different mutation rates")
-    data = spark.read.parquet(args.spans)
+    data = _rows(spark, args.spans)
     if "a2" not in data.columns:
         raise SystemExit("these rows are of one population: they do not say when two split")
     kind = {"together": split.TOGETHER, "apart": split.APART, None: None}[args.pair] or _pair_of(data)
@@ -251,7 +277,7 @@ def split_(spark: SparkSession, args: argparse.Namespace) -> None:
 def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
     """State probabilities of every run under a fitted model, of one population or of two."""
     model, states, got = _load(spark, args.model)
-    data = spark.read.parquet(args.spans)
+    data = _rows(spark, args.spans)
     known = [tuple(r) for r in data.select(*hmm.key_columns(data)).distinct().collect()]
     alpha = got.get("alpha", 1.0)
     if "a2" in data.columns and isinstance(model, tuple):

@@ -97,6 +97,12 @@ def expand_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(*observation(df)).agg(F.sum("span").alias("bases"), F.count("*").alias("runs"))
 
 
+def unpack(df: DataFrame) -> DataFrame:
+    """A row a base: place is the number of the base in its run."""
+    rows = df.where("span > 0").withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("span").cast("bigint") - 1)))
+    return rows.select("contig_id", "seq", "place", *observation(df))
+
+
 def decompress_polymorphic(df: DataFrame) -> DataFrame:
     """Unit rows for spans that carry a derived allele."""
     poly = reduce(lambda x, y: x | y, [(F.col(f"a{p}") > 0) | (F.col(f"b{p}") > 0) for p in populations(df)])
@@ -246,6 +252,17 @@ def break_long(df: DataFrame, cutoff: int, width: int | None = None) -> DataFram
     return rows.where("long = 0").select("contig_id", "piece", "seq", "span", *names).unionByName(_missing(pieces, names))
 
 
+def group_rows(df: DataFrame, n: int) -> DataFrame:
+    """The rows of grouped() with grp and place (0 to n - 1); rows without seq and observation complete a contig's last group."""
+    names = observation(df)
+    at = F.row_number().over(ordered()) - 1
+    rows = df.select("contig_id", "seq", "span", *names, at.alias("_at"))
+    rows = rows.select("contig_id", F.floor(F.col("_at") / n).alias("grp"), (F.col("_at") % n).cast("int").alias("place"), "seq", "span", *names)
+    left = df.groupBy("contig_id").agg(F.count("*").alias("_n")).where(F.col("_n") % n > 0)
+    left = left.select("contig_id", F.floor(F.col("_n") / n).alias("grp"), F.explode(F.sequence((F.col("_n") % n).cast("int"), F.lit(n - 1))).alias("place"))
+    return rows.unionByName(left, allowMissingColumns=True)
+
+
 def grouped(df: DataFrame, n: int) -> DataFrame:
     """Fixed-size groups of rows in order; ``filled`` rows would complete the last group."""
     rows = df.withColumn("grp", F.floor((F.row_number().over(ordered()) - 1) / n))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..operators import density, ingest, spans
-from ..sources import chunks, indexed, text
+from ..sources import chunks, formats, indexed, text
 from ..streaming import runs
 from .model_tables import QUERIES, SQL
 from .queries import COUNTS, OBS, REALIGN, RUNS, SITES, on_calls, on_spans
@@ -106,3 +106,26 @@ on_spans("rate_density_quantiles", _rate_quantiles, f"""{DENSE(100)},
 a AS (SELECT y, coalesce(sum(s) OVER (ORDER BY y), 0) AS area FROM (SELECT y, (density + lag(density) OVER (ORDER BY y)) / 2 AS s FROM d)),
 n AS (SELECT y, area / max(area) OVER () AS area FROM a), l AS (SELECT y, area, lag(y) OVER (ORDER BY y) AS y0, lag(area) OVER (ORDER BY y) AS a0 FROM n)
 SELECT p, round(y0 + (y - y0) * (p - a0) / (area - a0), 6) AS q FROM l, (SELECT unnest({PROBABILITIES})::DOUBLE AS p) WHERE a0 < p AND p <= area""")
+
+
+# runs as bases, rows in groups of equal size, times of trees
+on_spans("rle_unpack", lambda df: spans.unpack(spans.compress(df)), f"{RUNS} SELECT contig_id, seq, unnest(range(span)) AS place, {OBS} FROM runs")
+on_spans("group_rows", lambda df: spans.group_rows(df, 7), f""", n AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY seq) - 1 AS i FROM spans),
+c AS (SELECT contig_id, count(*) AS n FROM spans GROUP BY 1)
+SELECT contig_id, i // 7 AS grp, CAST(i % 7 AS INT) AS place, seq, span, {OBS} FROM n
+UNION ALL SELECT contig_id, n // 7, CAST(unnest(range(n % 7, 7)) AS INT), NULL, NULL, NULL, NULL, NULL FROM c WHERE n % 7 > 0""")
+
+
+def _tree_runs(df: DataFrame) -> DataFrame:
+    """The meeting time of two leaves along a contig, from trees as text, in runs."""
+    deep = (1 + F.col("seq") % 3).cast("int")
+    tree = F.format_string("((a:%d,b:%d):2,(c:1,d:1):%d);", deep, deep, deep + 1)
+    times = formats.tree_track(df.select("contig_id", "seq", "span", tree.alias("newick")), "a", "b").drop("newick")
+    runs_ = spans.islands(times, ["t"]).groupBy("contig_id", "island", "t").agg(F.min("seq").alias("seq"), F.sum("span").alias("span"))
+    return runs_.select("contig_id", "seq", "span", "t")
+
+
+on_spans("tree_track_runs", _tree_runs, """, l AS (SELECT *, CAST(1 + seq % 3 AS DOUBLE) AS t FROM spans),
+c AS (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY contig_id ORDER BY seq) = t THEN 0 ELSE 1 END AS ch FROM l),
+g AS (SELECT *, sum(ch) OVER (PARTITION BY contig_id ORDER BY seq) AS g FROM c)
+SELECT contig_id, min(seq) AS seq, CAST(sum(span) AS BIGINT) AS span, t FROM g GROUP BY contig_id, g, t""")

@@ -109,3 +109,38 @@ def test_expectation_is_that_of_the_statistics():
     stats = [{"kind": "first", "key": "", "i": i, "j": 0, "value": rng.random()} for i in range(2)] + [{"kind": "xi", "key": "", "i": i, "j": j, "value": rng.random()} for i in range(2) for j in range(2)]
     stats += [{"kind": "gamma", "key": ",".join(map(str, k)), "i": i, "j": 0, "value": rng.random()} for k in keys for i in range(2)]
     np.testing.assert_allclose(dm.Expectation(stats, 2)(model), hmm.expectation(model.pi, model.transition, model.emission, stats))
+
+
+def test_transition_against_a_numerical_integral():
+    """The chain of the next base (as this one, floating, met elsewhere) in small steps of time, and the definition of the rows."""
+    model, states, rho = dm.Steps(np.array([0.0, 0.4, 1.0]), np.array([1.0, 0.3, 2.0])), [0.0, 0.25, 0.7, 1.5, math.inf], 0.4
+
+    def at(t, steps=4000):
+        p, h = np.array([1.0, 0.0, 0.0]), t / steps
+        for i in range(steps):
+            def f(x, u):
+                eta = 1 / model.a[np.searchsorted(model.t, u, "right") - 1]
+                return x @ np.array([[-rho, rho, 0], [eta, -2 * eta, eta], [0, 0, 0]])
+            u = i * h
+            a = f(p, u); b = f(p + h / 2 * a, u + h / 2); c = f(p + h / 2 * b, u + h / 2); d = f(p + h * c, u + h * (1 - 1e-9))  # noqa: E702
+            p = p + h / 6 * (a + 2 * b + 2 * c + d)
+        return p
+
+    got = dm.transition(model, states, rho, mix=0.0)
+    grid = np.linspace(0, 60, 600_001)
+    density = np.array([math.exp(-model.hazard(0))])
+    size = model.a[np.searchsorted(model.t, grid, "right") - 1]
+    hazard = np.r_[0, np.cumsum(np.diff(grid) / size[:-1])]
+    density = np.exp(-hazard) / size
+    met = [at(h)[2] if not math.isinf(h) else 1.0 for h in states]
+    for j in range(4):
+        inside = (grid >= states[j]) & (grid < states[j + 1])
+        mean = (grid * density)[inside].sum() / density[inside].sum()
+        want = np.zeros(4)
+        for k in range(j):
+            want[k] = met[k + 1] - met[k]
+        for k in range(j + 1, 4):
+            low, high = (math.exp(-model.hazard(x) + model.hazard(mean)) if not math.isinf(x) else 0.0 for x in (states[k], states[k + 1]))
+            want[k] = at(mean)[1] * (low - high)
+        want[j] = 1 - want.sum()
+        np.testing.assert_allclose(got[j], want, rtol=2e-3, atol=1e-5)

@@ -94,3 +94,22 @@ def test_spline_table_gives_the_same_values(spark):
     points = spark.createDataFrame([(k, v / 4 - 1) for k in s for v in range(28)], "model_id string, t double")
     for r in splines.values(points, splines.pieces(spark, s)).collect():
         assert r.y == pytest.approx(float(s[r.model_id](np.array([r.t]))[0]))
+
+
+def test_commands_read_span_files(spark, tmp_path):
+    from spanlake import __main__ as commands
+
+    head = '# spans {"version": "1", "pids": ["p", "q"], "undist": [[["s", 0]], [["t", 0]]], "dist": %s}\n'
+    (tmp_path / "one.txt").write_text(head % '[[["s", 0], ["s", 1]], []]' + "5 0 0 2 0 0 3\n1 1 1 2 0 3 3\n")
+    (tmp_path / "two.txt").write_text(head % '[[], [["t", 0], ["t", 1]]]' + "7 0 0 2 1 2 3\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/one.txt\n{tmp_path}/two.txt\n")
+    got = sorted((r.span, r.a1, r.b1, r.nb1, r.a2, r.b2, r.nb2) for r in commands._rows(spark, f"@{tmp_path}/list").collect())
+    assert got == [(1, 1, 1, 2, 0, 3, 3), (5, 0, 0, 2, 0, 0, 3), (7, 1, 2, 3, 0, 0, 2)]
+    (tmp_path / "bad.txt").write_text(head % '[[["s", 0]], []]' + "5 0 0 2 0 0 3\n")
+    (tmp_path / "none.txt").write_text(head % '[[["s", 0], ["s", 1]], []]')
+    for name in ("bad.txt", "none.txt"):
+        with pytest.raises(SystemExit):
+            commands._rows(spark, f"{tmp_path}/{name}")
+    spark.createDataFrame([("c", 0, 0, 0, 0, 2)], "contig_id string, seq bigint, span int, a1 int, b1 int, nb1 int").write.parquet(f"{tmp_path}/zero")
+    with pytest.raises(SystemExit):
+        commands._rows(spark, f"{tmp_path}/zero")
