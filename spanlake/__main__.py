@@ -298,6 +298,18 @@ def simulate(spark: SparkSession, args: argparse.Namespace) -> None:
     text.write_vcf(simulator.genotypes(sites), args.out, ["s"], lengths)
 
 
+@command(option("rates", help="table of time_index, left, right and rate of coalescence"), OUT, MU)
+def rates(spark: SparkSession, args: argparse.Namespace) -> None:
+    """A model, as the other commands read it, from a table of coalescence rates; times and sizes in units of N0."""
+    u = models.units(args.mu)
+    pieces = formats.coalescence_rates(spark, args.rates, "rates", args.mu).orderBy("t0").collect()  # a row a time interval
+    if not pieces:
+        raise SystemExit(f"no rates in {args.rates}")
+    found = demography.Steps(np.array([r.t0 / (2 * u["n0"]) for r in pieces]), np.array([r["size"] / u["n0"] for r in pieces]))
+    values = {"knots": found.t.tolist(), "values": np.log(found.a), "alpha": 1.0}
+    spark.createDataFrame([(_json(found, [], found.balanced(32), {**u, **values}, "piecewise"),)], "value string").coalesce(1).write.text(args.out)
+
+
 @command(option("models", nargs="+"), OUT, option("--generation", type=float, default=1.0, help="years a generation"))
 def plot(spark: SparkSession, args: argparse.Namespace) -> None:
     """Curves of fitted models as CSV."""
@@ -321,6 +333,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser.parse_args(argv)
     if getattr(args, "mu", None) is not None and not 1e-11 <= args.mu <= 1e-5:
         parser.error("mu is outside 1e-11 to 1e-5")
+    for name, least in (("thinning", 1), ("bin", 1), ("knots", 2), ("em_iterations", 1), ("size", 1), ("draws", 1), ("folds", 2), ("block_rows", 2), ("rate_window", 1), ("length", 1), ("missing_cutoff", 1)):
+        if getattr(args, name, None) is not None and getattr(args, name) < least:
+            parser.error(f"--{name.replace('_', '-')} must be {least} or more")
     COMMANDS[args.command][0](spark or SparkSession.builder.getOrCreate(), args)
 
 

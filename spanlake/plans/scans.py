@@ -129,3 +129,14 @@ on_spans("tree_track_runs", _tree_runs, """, l AS (SELECT *, CAST(1 + seq % 3 AS
 c AS (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY contig_id ORDER BY seq) = t THEN 0 ELSE 1 END AS ch FROM l),
 g AS (SELECT *, sum(ch) OVER (PARTITION BY contig_id ORDER BY seq) AS g FROM c)
 SELECT contig_id, min(seq) AS seq, CAST(sum(span) AS BIGINT) AS span, t FROM g GROUP BY contig_id, g, t""")
+
+
+# the list of segregating sites, with phasing errors
+ALLELE = lambda h: f"CASE WHEN {h} = 0 THEN 'A' WHEN {h} > 0 THEN 'C' ELSE '?' END"
+on_calls("segregating_list", lambda c: formats.segregating_list(c.where("sid <= 4"), 0.3, 5), f""", t AS (SELECT *, CASE WHEN coalesce(h0, 0) + coalesce(h1, 0) > 0
+  AND CAST('0x' || substr(md5(concat_ws(':', '5', contig, CAST(pos AS VARCHAR), CAST(sid AS VARCHAR))), 1, 12) AS BIGINT) < {int(0.3 * (1 << 48))} THEN 1 ELSE 0 END AS turn FROM geno WHERE sid <= 4),
+o AS (SELECT *, sum(turn) OVER (PARTITION BY contig, sid ORDER BY pos) % 2 = 1 AS odd FROM t),
+w AS (SELECT contig, pos, sid, CASE WHEN odd THEN h1 ELSE h0 END AS h0, CASE WHEN odd THEN h0 ELSE h1 END AS h1 FROM o),
+l AS (SELECT contig, pos, string_agg({ALLELE('h0')} || {ALLELE('h1')}, '' ORDER BY sid) AS alleles FROM w GROUP BY 1, 2),
+k AS (SELECT * FROM l WHERE alleles LIKE '%A%' AND alleles LIKE '%C%' AND alleles NOT LIKE '%?%')
+SELECT contig, pos, pos - coalesce(lag(pos) OVER (PARTITION BY contig ORDER BY pos), 0) AS since, alleles FROM k""")

@@ -140,8 +140,20 @@ def tree_track(trees: DataFrame, first: str, second: str) -> DataFrame:
     return trees.withColumn("t", time("newick"))
 
 
-def segregating_list(calls: DataFrame) -> DataFrame:
+def switched(calls: DataFrame, rate: float, seed: int) -> DataFrame:
+    """Calls with phasing errors: from a site where a sample has a derived allele its haplotypes change places with
+    probability ``rate``, until the next such change. What is drawn follows from seed, contig, pos and sid."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "contig", "pos", "sid").cast("binary")), 1, 12), 16, 10).cast("bigint")
+    turn = ((F.coalesce("h0", F.lit(0)) + F.coalesce("h1", F.lit(0)) > 0) & (bits < int(rate * (1 << 48)))).cast("int")
+    w = Window.partitionBy("contig", "sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = calls.withColumn("_turn", turn).withColumn("_odd", F.sum("_turn").over(w) % 2 == 1)
+    swap = lambda a, b: F.when(F.col("_odd"), F.col(b)).otherwise(F.col(a))
+    return rows.select(*[swap("h0", "h1").alias(c) if c == "h0" else swap("h1", "h0").alias(c) if c == "h1" else c for c in calls.columns])
+
+
+def segregating_list(calls: DataFrame, switch_error: float = 0.0, seed: int = 0) -> DataFrame:
     """Lines ``contig, pos, bases since the last site, alleles`` of segregating sites whose alleles are all known."""
+    calls = switched(calls, switch_error, seed) if switch_error else calls
     allele = lambda h: F.when(F.col(h) == 0, "A").when(F.col(h) > 0, "C").otherwise("?")
     sites = calls.groupBy("contig", "pos").agg(F.array_sort(F.collect_list(F.struct("sid", F.concat(allele("h0"), allele("h1")).alias("x")))).alias("xs"))
     sites = sites.select("contig", "pos", F.array_join(F.transform("xs", lambda v: v["x"]), "").alias("alleles")).where("alleles like '%A%' and alleles like '%C%' and alleles not like '%?%'")

@@ -165,3 +165,15 @@ def test_basis_splines_and_common_knots():
     a, b = splines.aligned(curve, splines.fit("akima", [0.0, 1.0, 3.0], [1.0, 2.0, 0.0]))
     at = np.linspace(0, 3, 31)
     assert a.x.tolist() == b.x.tolist() == [0.0, 0.5, 1.0, 2.0, 3.0] and np.allclose(a(at), curve(at))
+
+
+def test_rates_become_a_model(spark, tmp_path):
+    from spanlake import __main__ as commands
+
+    (tmp_path / "m").write_text("time_index\tleft\tright\tlambda\n0\t0\t0.001\t100\n1\t0.001\tinf\t50\n")
+    main(["rates", str(tmp_path / "m"), str(tmp_path / "out"), "--mu", "1e-8"], spark)
+    model, states, got = commands._load(spark, str(tmp_path / "out"))
+    n0 = got["model"]["N0"]
+    assert np.allclose(model.t * 2 * n0, [0, 1e5]) and np.allclose(model.a * n0, [5e5, 1e6]) and len(states) == 33 and states[-1] == np.inf
+    with pytest.raises(SystemExit):
+        main(["chunk", "x", "y", "--size", "0"], spark)
