@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import conditioned, demography, hmm, ingest, joint, measures, models, sampling, spans, split, splines
-from .operators import simulate as simulator
 from .sources import chunks, formats, indexed, text
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[tuple, dict]]]] = {}
@@ -289,15 +288,6 @@ def posterior(spark: SparkSession, args: argparse.Namespace) -> None:
     hmm.posterior(data, hidden, args.block_rows).withColumn("hidden_states", F.array(*map(F.lit, states))).write.parquet(args.out)
 
 
-@command(OUT, option("--history", choices=("constant", "human", "sawtooth"), default="constant"), option("--contigs", type=int, default=4), option("--length", type=int, default=1_000_000), option("--theta", type=float, default=1e-3), option("--rho", type=float, default=1e-3), option("--seed", type=int, default=0))
-def simulate(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Variant calls of one diploid sample under a built-in history, as text."""
-    times, sizes = ([0.0], [1.0]) if args.history == "constant" else models.stepped(getattr(models, args.history)())
-    sites = simulator.pairs(spark, demography.Steps(np.array(times), np.array(sizes)), args.contigs, args.length, args.theta, args.rho, args.seed)
-    lengths = spark.range(args.contigs).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(args.length).cast("bigint").alias("length"))
-    text.write_vcf(simulator.genotypes(sites), args.out, ["s"], lengths)
-
-
 @command(option("rates", help="table of time_index, left, right and rate of coalescence"), OUT, MU)
 def rates(spark: SparkSession, args: argparse.Namespace) -> None:
     """A model, as the other commands read it, from a table of coalescence rates; times and sizes in units of N0."""

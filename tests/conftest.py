@@ -2,10 +2,17 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(1, str(Path(__file__).resolve().parent))
+
+
+import simulated_pairs  # noqa: E402
+
+cloudpickle.register_pickle_by_value(simulated_pairs)  # workers do not have the tests' folder
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,4 @@
-"""A simulator of the distinguished pair: the sequentially Markov coalescent under a step model."""
+"""A fixture: simulated data of the distinguished pair, from the sequentially Markov coalescent under a step model."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .demography import Steps
+from spanlake.operators.demography import Steps
 
 
 def segments(model: Steps, length: int, rho: float, rng: np.random.Generator) -> Iterator[tuple[int, int, float]]:

@@ -5,10 +5,12 @@ import math
 
 import numpy as np
 import pytest
+import simulated_pairs
 from pyspark.sql import functions as F
 
 from spanlake.__main__ import main
-from spanlake.operators import demography, measures, moran, panels, simulate, splines
+from spanlake.operators import demography, measures, moran, panels, splines
+from spanlake.sources import text
 
 
 def test_moran_eigensystems():
@@ -72,15 +74,17 @@ def test_breaks_against_a_loop(spark):
 
 def test_simulated_pairs_have_the_expected_differences(spark):
     model = demography.Steps(np.array([0.0]), np.array([1.0]))
-    sites = simulate.pairs(spark, model, 4, 200_000, 2e-3, 2e-3, seed=3)
+    sites = simulated_pairs.pairs(spark, model, 4, 200_000, 2e-3, 2e-3, seed=3)
     n = sites.groupBy("contig_id").count().collect()
     assert len(n) == 4 and sum(r["count"] for r in n) / 800_000 == pytest.approx(4e-3, rel=0.1)
-    assert sites.collect() == simulate.pairs(spark, model, 4, 200_000, 2e-3, 2e-3, seed=3).collect()
+    assert sites.collect() == simulated_pairs.pairs(spark, model, 4, 200_000, 2e-3, 2e-3, seed=3).collect()
 
 
 def test_constant_size_comes_back(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
-    main(["simulate", at("v"), "--contigs", "6", "--length", "300000", "--theta", "1e-3", "--rho", "1e-3", "--seed", "1"], spark)
+    sites = simulated_pairs.pairs(spark, demography.Steps(np.array([0.0]), np.array([1.0])), 6, 300_000, 1e-3, 1e-3, 1)
+    lengths = spark.range(6).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"), F.lit(300_000).cast("bigint").alias("length"))
+    text.write_vcf(simulated_pairs.genotypes(sites), at("v"), ["s"], lengths)
     main(["convert", at("v"), at("s"), "p:s"], spark)
     assert spark.read.parquet(at("s")).agg(F.sum("span")).first()[0] == 1_800_000
     fit = ["--mu", "1e-8", "--knots", "3", "--penalty", "10"]
