@@ -1,7 +1,7 @@
 """Hidden Markov inference on span tables: a numpy kernel that steps over runs, and its grouped application.
 
 Model matrices are small (M states) and travel with the function; data stay where they are. A run of span s costs one
-power of its key's step matrix, by an eigendecomposition, so spans are never expanded."""
+power of its key's step matrix, by squaring, so spans are never expanded."""
 
 from __future__ import annotations
 
@@ -44,8 +44,9 @@ class Model:
         if (span, key) not in self._step:
             if len(self._step) >= 50_000:
                 self._step.clear()
-            d, p, inv, top = self.eigen(key)
-            self._step[span, key] = ((p * (d / top) ** span) @ inv).real, span * float(np.log(top))
+            top = self.eigen(key)[3]
+            base = np.diag(self.emission[key] / top) @ self.transition.T  # no negative number: powers by squaring keep every digit
+            self._step[span, key] = np.linalg.matrix_power(base, span), span * float(np.log(top))
         return self._step[span, key]
 
 
