@@ -59,44 +59,47 @@ def shapes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Chain:
-    """Masses of (blocks before the meeting): p, where the meeting is left out, and y, where it happens at rate 1; and of
-    (blocks at the meeting, blocks since): g."""
+    """Masses of many models, an array (n + 3, n + 1, model). Rows 0 and 1 are of the blocks before the meeting: p, where the
+    meeting is left out, and y, where it happens at rate 1; then g by (blocks at the meeting, blocks since)."""
 
     def __init__(self, n: int) -> None:
         o = np.arange(n + 1)
         self.n, self.before, self.after = n, (o + 2) * (o + 1) / 2 - 1, (o + 1) * o / 2
         self.most = (n + 2) * (n + 1) / 2
+        leave = np.vstack([self.before, self.before + 1, np.tile(self.after, (n + 1, 1))])
+        self.stay = (1 - leave / self.most)[:, :, None]
+        self.fall = np.vstack([self.before, self.before, np.tile(self.after, (n + 1, 1))])[:, 1:, None] / self.most
 
-    def step(self, p: np.ndarray, y: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def none(self, models: int) -> np.ndarray:
+        return np.zeros((self.n + 3, self.n + 1, models))
+
+    def step(self, masses: np.ndarray) -> np.ndarray:
         """One jump of the uniformised chain."""
-        q = self.most
-        np_, ny, ng = p * (1 - self.before / q), y * (1 - (self.before + 1) / q), g * (1 - self.after / q)
-        np_[:-1] += p[1:] * self.before[1:] / q
-        ny[:-1] += y[1:] * self.before[1:] / q
-        ng[:, :-1] += g[:, 1:] * self.after[1:] / q
-        o = np.arange(self.n + 1)
-        ng[o, o] += y / q
-        return np_, ny, ng
-
-    def move(self, masses: tuple, du: float) -> tuple[tuple, tuple]:
-        """Masses after du, and their integrals over it. After FAR all that moves has moved, to one part in e**FAR."""
-        if du > FAR:
-            masses, totals = self.move(masses, FAR)
-            return masses, tuple(t + (du - FAR) * x for t, x in zip(totals, masses, strict=True))
-        totals = tuple(np.zeros_like(x) for x in masses)
-        parts = max(1, math.ceil(self.most * du / 32))
-        rate = self.most * du / parts
-        for _ in range(parts):
-            now, weight, cdf = masses, math.exp(-rate), 0.0
-            ends = tuple(np.zeros_like(x) for x in masses)
-            for i in range(int(rate + 12 * math.sqrt(rate) + 30)):
-                cdf += weight
-                for e, t, x in zip(ends, totals, now, strict=True):
-                    e += weight * x
-                    t += max(0.0, 1 - cdf) / self.most * x
-                now, weight = self.step(*now), weight * rate / (i + 1)
-            masses = ends
-        return masses, totals
+        out, o = masses * self.stay, np.arange(self.n + 1)
+        out[:, :-1] += masses[:, 1:] * self.fall
+        out[o + 2, o] += masses[1] / self.most
+        return out
+
+    def move(self, masses: np.ndarray, du: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Masses after each model's du, and their integrals over it. After FAR all that moves has moved, to one part in e**FAR."""
+        near = np.minimum(du, FAR)
+        parts = np.ceil(self.most * near / 32).astype(int)
+        ends, totals = masses.copy(), np.zeros_like(masses)
+        for part in range(parts.max(initial=0)):
+            on = np.flatnonzero(parts > part)
+            now, rate = ends[:, :, on], self.most * near[on] / parts[on]
+            end, total = np.zeros_like(now), np.zeros_like(now)
+            weights, top = [np.exp(-rate)], rate.max()
+            while len(weights) < int(top + 12 * math.sqrt(top) + 30) and (len(weights) < 2 * top + self.n or weights[-1].max() > 1e-25):
+                weights.append(weights[-1] * rate / len(weights))
+            tails = np.cumsum(weights[:0:-1], 0)[::-1]  # what follows each jump, from the smallest on: short times keep their digits
+            for weight, tail in zip(weights, [*tails, 0.0], strict=True):
+                end += weight * now
+                total += tail / self.most * now
+                now = self.step(now)
+            ends[:, :, on] = end
+            totals[:, :, on] += total
+        return ends, totals + np.maximum(du - FAR, 0.0) * ends
 
     def rest(self, y: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Integrals of y and g from here to infinity; g over at least two blocks."""
@@ -107,64 +110,78 @@ class _Chain:
             inflow = ty[o] * self.before[o]
         o = np.arange(self.n + 1)
         g[o, o] += ty
-        flow = np.zeros(self.n + 1)
+        flow = np.zeros_like(y)
         for k in range(self.n, 0, -1):
             tg[:, k] = (g[:, k] + flow) / self.after[k]
             flow = tg[:, k] * self.after[k]
         return ty, tg
 
 
-def spectra(model: dm.Steps, states: list[float], n: int, until: float = math.inf) -> np.ndarray:
-    """Expected branch lengths (state, 0..2 of the pair, 0..n others) above which a mutation would be seen so, given that the
-    pair meets in the state's interval. A state in which no meeting is possible has zeros. With ``until`` only what lies
-    before that time counts, but of all samples' common ancestor too, up to then."""
+def spectra_of(models: dm.Many, states: list[float | np.ndarray], n: int, until: float | np.ndarray = math.inf) -> np.ndarray:
+    """spectra() of many models at once, with the model as the last axis; states and ``until`` may be arrays of a number a model."""
     single, apart, late, joint = shapes(n)
-    chain, m = _Chain(n), len(states) - 1
-    cuts = sorted({*model.t.tolist(), *states, until})
-    size = {a: float(model.a[int(np.searchsorted(model.t, a, "right")) - 1]) for a in cuts[:-1]}
-    out = np.zeros((m, 3, n + 1))
-    p, seen = np.zeros(n + 1), np.zeros(n + 1)  # seen: time at each number of blocks up to the start of the state
-    p[n] = 1.0
-    none = np.zeros((n + 1, n + 1))
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > min(states[0], until):
-            break
-        (p, _, _), (t, _, _) = chain.move((p, np.zeros(n + 1), none), (b - a) / size[a])
-        seen = seen + t * size[a]
+    chain, m, count = _Chain(n), len(states) - 1, len(models)
+    states, until = [np.broadcast_to(np.asarray(s, float), count) for s in states], np.broadcast_to(np.asarray(until, float), count)
+    cuts = np.sort(np.vstack([models.t, *states, until]), axis=0)
+    pieces = [(a, b, models.size(a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = np.zeros((m, 3, n + 1, count))
+    masses, seen = chain.none(count), np.zeros((n + 1, count))  # seen: time at each number of blocks up to the start of the state
+    masses[0, n] = 1.0
+    for a, b, size in pieces:
+        on = (b <= np.minimum(states[0], until)) & (a < b) & np.isfinite(b)
+        if on.any():
+            masses, t = chain.move(masses, np.subtract(b, a, out=np.zeros(count), where=on) / size)
+            seen = seen + t[0] * size
     for i, (low, high) in enumerate(zip(states, states[1:], strict=False)):
-        ends = math.inf if math.isinf(high) else model.hazard(high) - model.hazard(low)
-        met, left = -math.expm1(-ends), math.exp(-ends)
-        if met <= 0:
-            continue
-        before, since = seen.copy(), np.zeros((n + 1, n + 1))
-        y, g = p / met, none.copy()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b <= low:
+        first = models.hazard(low)
+        ends = np.subtract(models.hazard(high), first, out=np.zeros(count), where=np.isfinite(first))
+        met, left = -np.expm1(-ends), np.exp(-ends)
+        able = met > 0
+        met = np.where(able, met, 1.0)
+        before, since = seen.copy(), np.zeros((n + 1, n + 1, count))
+        masses[1], masses[2:] = masses[0] / met, 0.0
+        for a, b, s in pieces:
+            on = able & (b > low) & (a < until) & (a < b)
+            if not on.any():
                 continue
-            if a >= until:
-                break
-            inside, s = a < high, size[a]
-            if math.isinf(b):
-                ty, tg = chain.rest(y if inside else np.zeros(n + 1), g)
-                before, since = before + (ty * s if inside else 0), since + tg * s
-                continue
-            (q, y2, g), (tp, ty, tg) = chain.move((p if inside else np.zeros(n + 1), y if inside else np.zeros(n + 1), g), (b - a) / s)
-            since = since + tg * s
-            if inside:
-                before = before + (ty - tp * left / met) * s
-                seen, p, y = seen + tp * s, q, y2
-        out[i, 1] = before @ single
-        out[i, 0] = before @ apart + np.einsum("ok,okb->b", since, late)
-        out[i, 2] = np.einsum("ok,okb->b", since, joint)
-        if not math.isinf(until):
-            out[i, 2, n] += since[:, 0].sum()
+            inside, near, far = a < high, on & np.isfinite(b), np.flatnonzero(on & np.isinf(b))
+            if near.any():
+                start = masses.copy()
+                start[:2] *= inside
+                end, t = chain.move(start, np.subtract(b, a, out=np.zeros(count), where=near) / s)
+                since += t[2:] * s
+                before += (t[1] - t[0] * left / met) * s
+                seen += t[0] * s
+                end[:2] = np.where(near & inside, end[:2], masses[:2])
+                masses = end
+            if len(far):
+                ty, tg = chain.rest((masses[1] * inside)[:, far], masses[2:, :, far])
+                before[:, far] += ty * s[far]
+                since[:, :, far] += tg * s[far]
+        flat = since.reshape(-1, count)
+        out[i, 1] = single.T @ before
+        out[i, 0] = apart.T @ before + late.reshape(-1, n + 1).T @ flat
+        out[i, 2] = joint.reshape(-1, n + 1).T @ flat
+        out[i, 2, n] += np.where(np.isfinite(until), since[:, 0].sum(0), 0.0)
+        out[i] *= able
     return out
 
 
+def spectra(model: dm.Steps, states: list[float], n: int, until: float = math.inf) -> np.ndarray:
+    """Expected branch lengths (state, 0..2 of the pair, 0..n others) above which a mutation would be seen so, given that the
+    pair meets in the state's interval. A state in which no meeting is possible has zeros. With ``until`` only what lies
+    before that time counts, but of all samples' common ancestor too, up to then."""
+    return spectra_of(dm.Many.of([model]), states, n, until)[..., 0]
+
+
 def over_models(pieces: DataFrame, states: list[float], n: int) -> DataFrame:
     """model_id, m, a, b, length: the spectra of every model of a table."""
-    rows = lambda model: [(m, a, b, float(x)) for (m, a, b), x in np.ndenumerate(spectra(model, states, n))]
-    return dm.per_model(pieces, rows, "m int, a int, b int, length double")
+    return dm.per_model(pieces, lambda models: spectra_of(models, states, n), "m int, a int, b int, length double", together(n))
+
+
+def together(n: int) -> int:
+    """Models whose masses are moved at once: some 4 MB of them, and 1024 at most."""
+    return max(1, min(1024, (1 << 19) // ((n + 3) * (n + 1))))
 
 
 @lru_cache(maxsize=64)

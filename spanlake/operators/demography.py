@@ -5,12 +5,15 @@ Sizes a_k on [t_k, t_{k+1}); the hazard is R(t), the integral of 1 / a."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import hmm
 
@@ -48,31 +51,109 @@ class Steps:
         return [0.0, *[self.inverse(-math.log1p(-i / m)) for i in range(1, m)], math.inf]
 
 
-def per_model(pieces: DataFrame, values: Callable[[Steps], list[tuple]], schema: str) -> DataFrame:
-    """Rows that a function makes of each model of a table (model_id, t0, size); a task has one model's pieces at a time."""
-    kind = pieces.schema["model_id"].dataType.simpleString()
-    names = ["model_id", *[c.split()[0] for c in schema.split(", ")]]
+@dataclass(frozen=True)
+class Many:
+    """Step models side by side: start times and sizes (piece, model). Where a model has fewer pieces than another, the times
+    of the rest are infinite; pieces may be of no length."""
+
+    t: np.ndarray
+    a: np.ndarray
+
+    @staticmethod
+    def of(models: list[Steps]) -> Many:
+        counts = np.array([len(m.t) for m in models])
+        return Many.flat(counts, np.concatenate([m.t for m in models]), np.concatenate([m.a for m in models]))
+
+    @staticmethod
+    def flat(counts: np.ndarray, t: np.ndarray, a: np.ndarray) -> Many:
+        """Of the pieces of all models, one model after the other."""
+        if not counts.all() or not (a > 0).all():
+            raise ValueError("a model needs a piece, and pieces need sizes above 0")
+        there = np.arange(counts.max()) < counts[:, None]
+        times, sizes = np.full(there.shape, math.inf), np.ones(there.shape)
+        times[there], sizes[there] = t, a
+        return Many(np.ascontiguousarray(times.T), np.ascontiguousarray(sizes.T))
+
+    def __len__(self) -> int:
+        return self.t.shape[1]
+
+    def pick(self, at: np.ndarray) -> Many:
+        return Many(self.t[:, at], self.a[:, at])
+
+    def size(self, x: np.ndarray) -> np.ndarray:
+        """Sizes at a time of each model."""
+        return np.take_along_axis(self.a, ((self.t <= x).sum(0) - 1)[None], 0)[0]
+
+    def hazard(self, x: float | np.ndarray) -> np.ndarray:
+        x = np.broadcast_to(x, len(self))
+        within = np.where(np.isinf(x), 0.0, x)
+        ends = np.minimum(np.vstack([self.t[1:], np.full((1, len(self)), math.inf)]), within)
+        return np.where(np.isinf(x), math.inf, (np.subtract(ends, self.t, out=np.zeros_like(self.t), where=ends > self.t) / self.a).sum(0))
+
+    def survival(self, x: float, y: float) -> np.ndarray:
+        """Integral of exp(-R) from x to y."""
+        total = np.zeros(len(self))
+        for k in range(len(self.t)):
+            low = np.maximum(self.t[k], x)
+            high = np.minimum(self.t[k + 1] if k + 1 < len(self.t) else math.inf, np.full(len(self), y))
+            on = low < high
+            long = np.subtract(high, low, out=np.zeros(len(self)), where=on)
+            endless = np.isinf(self.a[k])
+            part = np.where(endless, long, -np.expm1(-long / np.where(endless, 1.0, self.a[k])) * np.where(endless, 0.0, self.a[k]))
+            total += np.where(on, np.exp(-self.hazard(np.where(on, low, 0.0))) * part, 0.0)
+        return total
+
+
+def piece_lists(*pieces: Column) -> list[Column]:
+    """Aggregates: the times and the sizes of each model of structs (t0, size), in order of time."""
+    sorted_ = [F.sort_array(F.collect_list(p)) for p in pieces]
+    return [x for s in sorted_ for x in (s.getField("t0"), s.getField("size"))]
+
+
+def many_rows(table: DataFrame, values: Callable[..., np.ndarray], schema: str, populations: int = 1, batch: int = 1024) -> DataFrame:
+    """model_id, the indices and the value of each cell of arrays whose last axis is the model. ``table`` has a row a model:
+    model_id, and for each population its times and its sizes as arrays, then numbers that ``values`` takes too."""
+    kind, names = table.schema["model_id"].dataType.simpleString(), [c.split()[0] for c in schema.split(", ")]
+
+    def models(times: pa.Array, sizes: pa.Array) -> Many:
+        return Many.flat(*[x.to_numpy(zero_copy_only=False) for x in (pc.list_value_length(times), times.flatten(), sizes.flatten())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch):
+                rows = whole.slice(start, batch)
+                cells = [rows.column(i) for i in range(1, rows.num_columns)]
+                taken = [models(*cells[2 * i : 2 * i + 2]) for i in range(populations)]
+                found = values(*taken, *[x.to_numpy(zero_copy_only=False) for x in cells[2 * populations :]])
+                *shape, count = found.shape
+                at = np.indices(shape, np.int32).reshape(len(shape), -1)
+                ids = rows.column(0).take(pa.array(np.repeat(np.arange(count), at.shape[1])))
+                flat = np.ascontiguousarray(found.reshape(-1, count).T).ravel()
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.tile(i, count)) for i in at], pa.array(flat, from_pandas=True)], ["model_id", *names])
+
+    return table.mapInArrow(run, f"model_id {kind}, {schema}")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t0")
-        return pd.DataFrame([(key[0], *r) for r in values(Steps(pdf["t0"].to_numpy(float), pdf["size"].to_numpy(float)))], columns=names)
 
-    return pieces.select("model_id", "t0", "size").groupBy("model_id").applyInPandas(run, f"model_id {kind}, {schema}")
+def per_model(pieces: DataFrame, values: Callable[[Many], np.ndarray], schema: str, batch: int = 1024) -> DataFrame:
+    """A row for each cell of the array (indices, model) that a function makes of many models of a table (model_id, t0, size)."""
+    times, sizes = piece_lists(F.struct(F.col("t0").cast("double").alias("t0"), F.col("size").cast("double").alias("size")))
+    table = pieces.groupBy("model_id").agg(times.alias("t"), sizes.alias("a"))
+    return many_rows(table, values, schema, batch=batch)
 
 
-def initial(model: Steps, states: list[float], floor: float = 1e-20) -> np.ndarray:
-    s = np.array([math.exp(-model.hazard(h)) for h in states])
+def initial(model: Steps | Many, states: list[float], floor: float = 1e-20) -> np.ndarray:
+    s = np.array([np.exp(-model.hazard(h)) for h in states])
     p = np.maximum(s[:-1] - s[1:], floor)
-    return p / p.sum()
+    return p / p.sum(0)
 
 
-def meeting_times(model: Steps, states: list[float]) -> np.ndarray:
+def meeting_times(model: Steps | Many, states: list[float]) -> np.ndarray:
     """Mean meeting time within each interval."""
     out = []
     for x, y in zip(states, states[1:], strict=False):
-        sx, sy = math.exp(-model.hazard(x)), math.exp(-model.hazard(y))
+        sx, sy = np.exp(-model.hazard(x)), np.exp(-model.hazard(y))
         upper = 0.0 if math.isinf(y) else y * sy
-        out.append((x * sx - upper + model.survival(x, y)) / (sx - sy) if sx > sy else math.nan)
+        out.append(np.where(sx > sy, (x * sx - upper + model.survival(x, y)) / np.where(sx > sy, sx - sy, 1.0), math.nan))
     return np.array(out)
 
 

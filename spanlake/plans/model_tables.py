@@ -133,7 +133,7 @@ MEAN = "CASE WHEN b IS NULL THEN a + size ELSE (a * exp(-a / size) - b * exp(-b
 
 
 def _mean_times(p: DataFrame) -> DataFrame:
-    return dm.per_model(p, lambda s: [(m, float(t)) for m, t in enumerate(dm.meeting_times(s, STATES))], "m int, t double")
+    return dm.per_model(p, lambda models: dm.meeting_times(models, STATES), "m int, t double")
 
 
 on_models("meeting_times", lambda p, df: rounded(_mean_times(p), "t"), f"SELECT model_id, m, round({MEAN}, 6) AS t FROM pieces JOIN {CUTS} USING (piece)")
@@ -144,7 +144,7 @@ AREA = lambda c: f"sum(exp(-{c} * hazard) * size / {c} * CASE WHEN t1 IS NULL TH
 
 def _all_samples(p: DataFrame) -> DataFrame:
     """The spectrum of a sample of three: spectra by state, mixed by the probability of each state."""
-    weights = dm.per_model(p, lambda s: [(m, float(w)) for m, w in enumerate(dm.initial(s, STATES))], "m int, w double")
+    weights = dm.per_model(p, lambda models: dm.initial(models, STATES), "m int, w double")
     rows = conditioned.over_models(p, STATES, 1).join(weights, ["model_id", "m"])
     sums = rows.groupBy("model_id", (F.col("a") + F.col("b")).alias("k")).agg(F.sum(F.col("w") * F.col("length")).alias("length"))
     return rounded(sums.where("k between 1 and 2"), "length")

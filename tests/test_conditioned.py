@@ -86,3 +86,21 @@ def test_estimate_with_samples(spark):
     df = spark.createDataFrame(rows, "contig_id int, seq int, span int, a1 int, b1 int, nb1 int")
     model, history = dm.estimate(df, [0.0, 0.5], [0.0, 0.4, 1.0, math.inf], 0.01, 0.01, rounds=2, build=cs.sample_model)
     assert len(model.a) == 2 and history[-1] >= history[0] - 1e-6 * abs(history[0])
+
+
+MANY = [FLAT, BENT, dm.Steps(np.array([0.0, 0.125, 0.5, 2.0]), np.array([0.25, 3.0, 40.0, 0.5])), dm.Steps(np.array([0.0, 0.7]), np.array([0.05, 2.0]))]
+
+
+@pytest.mark.parametrize("n", [0, 2, 6])
+def test_models_side_by_side(n, monkeypatch):
+    """Models of unlike pieces give what each gives alone, and passes do not grow with their number."""
+    states, moves, move = [0.0, 0.0625, 0.5, 2.0, math.inf], [], cs._Chain.move
+    monkeypatch.setattr(cs._Chain, "move", lambda self, *x: (moves.append(1), move(self, *x))[1])
+    got = cs.spectra_of(dm.Many.of(MANY), states, n)
+    few = len(moves)
+    cs.spectra_of(dm.Many.of(MANY * 50), states, n)
+    assert len(moves) == 2 * few
+    for i, model in enumerate(MANY):
+        np.testing.assert_allclose(got[..., i], cs.spectra(model, states, n), rtol=1e-10, atol=1e-13)
+        np.testing.assert_allclose(got[:, 1, :, i].sum(1), 2 * dm.meeting_times(model, states), rtol=1e-9)
+    np.testing.assert_array_equal(dm.initial(dm.Many.of(MANY), states), np.stack([dm.initial(m, states) for m in MANY], -1))
