@@ -104,3 +104,18 @@ def test_models_side_by_side(n, monkeypatch):
         np.testing.assert_allclose(got[..., i], cs.spectra(model, states, n), rtol=1e-10, atol=1e-13)
         np.testing.assert_allclose(got[:, 1, :, i].sum(1), 2 * dm.meeting_times(model, states), rtol=1e-9)
     np.testing.assert_array_equal(dm.initial(dm.Many.of(MANY), states), np.stack([dm.initial(m, states) for m in MANY], -1))
+
+
+def test_over_models(spark):
+    """Any order of pieces, models of unlike pieces, more models than are moved at once; null for what has no mean time."""
+    rows = [(f"m{i}", float(t), float(a) * (1 + i % 3)) for i in range(1100) for t, a in reversed(list(zip(MANY[i % 4].t, MANY[i % 4].a)))]
+    df = spark.createDataFrame(rows, "model_id string, t0 double, size double")
+    states = [0.0, 0.5, math.inf]
+    got = {(r.model_id, r.m, r.a, r.b): r.length for r in cs.over_models(df, states, 1).collect()}
+    assert len(got) == 1100 * 2 * 3 * 2
+    for i in (0, 1, 2, 3, 6, 1099):
+        want = cs.spectra(dm.Steps(MANY[i % 4].t, MANY[i % 4].a * (1 + i % 3)), states, 1)
+        np.testing.assert_allclose([got[f"m{i}", *at] for at in np.ndindex(*want.shape)], want.ravel(), rtol=1e-10, atol=1e-13)
+    never = spark.createDataFrame([("x", 0.0, math.inf), ("x", 1.0, 1.0)], df.schema)
+    times = dm.per_model(never, lambda models: dm.meeting_times(models, [0.0, 0.5, math.inf]), "m int, t double").orderBy("m").collect()
+    assert times[0].t is None and times[1].t == pytest.approx(2.0)
