@@ -32,7 +32,7 @@ def _rates(n: int, derived: int | None, of: int) -> np.ndarray:
     return np.array(moran.rates(n, derived, of), float)
 
 
-def _down(n: int, derived: int, of: int, hazard: float) -> np.ndarray:
+def _down(n: int, derived: int, of: int, hazard: np.ndarray) -> np.ndarray:
     return moran.grown(_rates(n, derived, of), hazard)
 
 
@@ -67,92 +67,122 @@ def _dealt(n1: int, n2: int) -> np.ndarray:
     return np.exp(c(np.array(n1), i) + c(np.array(n2), j) - c(np.array(n1 + n2), i + j))
 
 
+def _later(models: dm.Many, t: np.ndarray) -> dm.Many:
+    """later() of many models: pieces before that time keep no length."""
+    return dm.Many(np.maximum(models.t - t, 0.0), models.a)
+
+
 def _shared(lengths: np.ndarray, n1: int, n2: int) -> np.ndarray:
-    """Lengths by number of copies, 0 to n1 + n2, as lengths by copies in each part."""
-    return lengths[np.arange(n1 + 1)[:, None] + np.arange(n2 + 1)[None, :]] * _dealt(n1, n2)
+    """Lengths (0 to n1 + n2, model) by number of copies, as lengths (model, i, j) by copies in each part."""
+    return np.moveaxis(lengths[np.arange(n1 + 1)[:, None] + np.arange(n2 + 1)[None, :]], -1, 0) * _dealt(n1, n2)
 
 
-def plain(model: dm.Steps, n: int, until: float = math.inf) -> np.ndarray:
-    """Branch lengths above 0..n of n samples up to a time; without a limit not those above all of them."""
-    out = np.zeros(n + 1)
-    if n == 1 and not math.isinf(until):
+def _across(one: np.ndarray, lengths: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Lengths of each model moved on in both populations, with the model as the last axis."""
+    return np.moveaxis(np.swapaxes(one, 1, 2) @ lengths @ two, 0, -1)
+
+
+def _plain(models: dm.Many, n: int, until: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros((n + 1, len(models)))
+    if n == 1 and until is not None:
         out[1] = until
     elif n > 1:
-        found = conditioned.spectra(model, [0.0, math.inf], n - 2, until)[0]
+        found = conditioned.spectra_of(models, [0.0, math.inf], n - 2, math.inf if until is None else until)[0]
         for d in range(3):
             out[d : d + n - 1] += found[d]
         out[0] = 0.0
-        out[n] = out[n] if not math.isinf(until) else 0.0
+        if until is None:
+            out[n] = 0.0
     return out
 
 
-def _met_above(model: dm.Steps, split: float, low: float, high: float, n1: int, n2: int, hazards: tuple[float, float]) -> np.ndarray:
-    """(pair, others of 1, others of 2), given that a pair of the first population meets in [low, high) beyond the split."""
-    top = conditioned.spectra(later(model, split), [low - split, high - split], n1 + n2)[0]
-    two = moran.grown(_rates(n2, None, 2), hazards[1])
-    out = np.stack([_down(n1, d, 2, hazards[0]).T @ _shared(top[d], n1, n2) @ two for d in range(3)])
-    if split > 0:
-        out[:, :, 0] += conditioned.spectra(model, [split, math.inf], n1, split)[0]
+def plain(model: dm.Steps, n: int, until: float = math.inf) -> np.ndarray:
+    """Branch lengths above 0..n of n samples up to a time; without a limit not those above all of them."""
+    return _plain(dm.Many.of([model]), n, None if math.isinf(until) else np.array([until]))[:, 0]
+
+
+def _met_above(models: dm.Many, split: np.ndarray, low: np.ndarray, high: np.ndarray, n1: int, n2: int, two: np.ndarray) -> np.ndarray:
+    """(pair, others of 1, others of 2, model), given that a pair of the first population meets in [low, high) beyond the split;
+    ``two`` moves the second population on from the split."""
+    top = conditioned.spectra_of(_later(models, split), [low - split, high - split], n1 + n2)[0]
+    hazard = models.hazard(split)
+    out = np.stack([_across(_down(n1, d, 2, hazard), _shared(top[d], n1, n2), two) for d in range(3)])
+    out[:, :, 0] += conditioned.spectra_of(models, [split, math.inf], n1, split)[0]
     return out
 
 
-def _met_below(model: dm.Steps, split: float, low: float, high: float, n1: int, n2: int, hazards: tuple[float, float]) -> np.ndarray:
-    """The same where the pair meets before the split."""
-    out = np.zeros((3, n1 + 1, n2 + 1))
-    out[:, :, 0] = conditioned.spectra(model, [low, high], n1, split)[0]
-    r1, r2 = model.hazard(low), model.hazard(high)
-    top = _shared(plain(later(model, split), n1 + n2 + 1), n1 + 1, n2)
-    two = moran.grown(_rates(n2, None, 2), hazards[1])
+def _met_below(models: dm.Many, split: np.ndarray, low: np.ndarray, high: np.ndarray, n1: int, n2: int, two: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The same where the pair meets before the split; ``top``: lengths beyond it of n1 + 1 samples and n2."""
+    out = np.zeros((3, n1 + 1, n2 + 1, len(models)))
+    out[:, :, 0] = conditioned.spectra_of(models, [low, high], n1, split)[0]
+    r1, r2 = models.hazard(low), models.hazard(high)
     joined, share = _rates(n1 + 1, None, 2), np.arange(n1 + 2) / (n1 + 1)
-    above = moran.grown(joined, hazards[0] - r2)
+    above = moran.grown(joined, models.hazard(split) - r2)
     for d, keep in ((0, np.eye(n1 + 2)[:, : n1 + 1] * (1 - share)[:, None]), (2, np.eye(n1 + 2)[:, 1:] * share[:, None])):
         beside = _rates(n1, d, 2)
         both = np.block([[joined, keep], [np.zeros((n1 + 1, n1 + 2)), beside - np.eye(n1 + 1)]])
-        meeting = moran.grown(both, r2 - r1)[: n1 + 2, n1 + 2 :] / -math.expm1(r1 - r2)
-        out[d] += (above @ meeting @ moran.grown(beside, r1)).T @ top @ two
+        meeting = moran.grown(both, r2 - r1)[:, : n1 + 2, n1 + 2 :] / -np.expm1(r1 - r2)[:, None, None]
+        out[d] += _across(above @ meeting @ moran.grown(beside, r1), top, two)
     return out
 
 
-def spectra(model1: dm.Steps, model2: dm.Steps, split: float, states: list[float], n: tuple[int, int], na: tuple[int, int] = (2, 0)) -> np.ndarray:
-    """Expected branch lengths (state, of the pair in 1, of n1, of the pair in 2, of n2) given the state in which the pair meets;
-    zeros where it cannot. ``na``: lineages of the pair in each population, (2, 0) or (1, 1)."""
+def _pair_in_one(model1: dm.Many, model2: dm.Many, split: np.ndarray, states: list[float], n1: int, n2: int) -> np.ndarray:
+    out = np.zeros((len(states) - 1, 3, n1 + 1, 1, n2 + 1, len(model1)))
+    two = moran.grown(_rates(n2, None, 2), model2.hazard(split))
+    top = _shared(_plain(_later(model1, split), n1 + n2 + 1), n1 + 1, n2)
+    alone = _plain(model2, n2, split)
+    for i, (low, high) in enumerate(zip(states, states[1:], strict=False)):
+        cut = np.minimum(np.maximum(split, low), high)
+        s = [np.exp(-model1.hazard(x)) for x in (low, cut, high)]
+        below, above = np.flatnonzero((low < split) & (s[0] > s[1])), np.flatnonzero((high > split) & (s[1] > s[2]))
+        if len(below):
+            share = ((s[0] - s[1]) / np.where(s[0] > s[2], s[0] - s[2], 1.0))[below]
+            here = split[below]
+            out[i, :, :, 0][..., below] += share * _met_below(model1.pick(below), here, np.full(len(below), low), np.minimum(high, here), n1, n2, two[below], top[below])
+        if len(above):
+            share = ((s[1] - s[2]) / np.where(s[0] > s[2], s[0] - s[2], 1.0))[above]
+            here = split[above]
+            out[i, :, :, 0][..., above] += share * _met_above(model1.pick(above), here, np.maximum(low, here), np.full(len(above), high), n1, n2, two[above])
+        out[i, 0, 0, 0] += alone * (s[0] > s[2])
+    return out
+
+
+def _pair_apart(model1: dm.Many, model2: dm.Many, split: np.ndarray, states: list[float], n1: int, n2: int) -> np.ndarray:
+    out = np.zeros((len(states) - 1, 2, n1 + 1, 2, n2 + 1, len(model1)))
+    ones = [[_down(size, d, 1, model.hazard(split)) for d in (0, 1)] for size, model in ((n1, model1), (n2, model2))]
+    alone = [_plain(model, size + 1, split) for size, model in ((n1, model1), (n2, model2))]
+    for i, (low, high) in enumerate(zip(states, states[1:], strict=False)):
+        top = conditioned.spectra_of(_later(model1, split), [np.maximum(low - split, 0.0), np.maximum(high - split, 0.0)], n1 + n2)[0]
+        able = (high > split) & (top.any((0, 1)) if n1 + n2 else True)
+        for d1, d2 in product((0, 1), repeat=2):
+            out[i, d1, :, d2] += able * _across(ones[0][d1], _shared(top[d1 + d2] / (2 if d1 != d2 else 1), n1, n2), ones[1][d2])
+        for k in range(1, n1 + 2):
+            with_ = able * alone[0][k] * k / (n1 + 1)
+            out[i, 1, k - 1, 0, 0] += with_
+            out[i, 0, min(k, n1), 0, 0] += able * alone[0][k] - with_
+        for k in range(1, n2 + 2):
+            with_ = able * alone[1][k] * k / (n2 + 1)
+            out[i, 0, 0, 1, k - 1] += with_
+            out[i, 0, 0, 0, min(k, n2)] += able * alone[1][k] - with_
+    return out
+
+
+def spectra_of(model1: dm.Many, model2: dm.Many, split: float | np.ndarray, states: list[float], n: tuple[int, int], na: tuple[int, int] = (2, 0)) -> np.ndarray:
+    """spectra() of many pairs of models at once, with the pair of models as the last axis; the split may be one for all or one for each."""
     if na not in ((2, 0), (1, 1)):
         raise ValueError("the pair is in the first population, or has one lineage in each")
-    n1, n2 = n
-    hazards = model1.hazard(split), model2.hazard(split)
-    out = np.zeros((len(states) - 1, na[0] + 1, n1 + 1, na[1] + 1, n2 + 1))
-    if na == (1, 1):
-        ones = [[_down(size, d, 1, h) for d in (0, 1)] for size, h in zip(n, hazards, strict=True)]
-        alone = [plain(m, size + 1, split) if split > 0 else np.zeros(size + 2) for m, size in zip((model1, model2), n, strict=True)]
-    for i, (low, high) in enumerate(zip(states, states[1:], strict=False)):
-        if na == (2, 0):
-            s = [math.exp(-model1.hazard(x)) for x in (low, min(max(split, low), high), high)]
-            if s[0] <= s[2]:
-                continue
-            if low < split and s[0] > s[1]:
-                out[i, :, :, 0] += (s[0] - s[1]) / (s[0] - s[2]) * _met_below(model1, split, low, min(high, split), n1, n2, hazards)
-            if high > split and s[1] > s[2]:
-                out[i, :, :, 0] += (s[1] - s[2]) / (s[0] - s[2]) * _met_above(model1, split, max(low, split), high, n1, n2, hazards)
-            if split > 0:
-                out[i, 0, 0, 0] += plain(model2, n2, split)
-        elif high > split:
-            top = conditioned.spectra(later(model1, split), [max(low - split, 0.0), high - split], n1 + n2)[0]
-            if not top.any() and n1 + n2:
-                continue
-            for d1, d2 in product((0, 1), repeat=2):
-                out[i, d1, :, d2] += ones[0][d1].T @ _shared(top[d1 + d2] / (2 if d1 != d2 else 1), n1, n2) @ ones[1][d2]
-            for k in range(1, n1 + 2):
-                with_ = alone[0][k] * k / (n1 + 1)
-                out[i, 1, k - 1, 0, 0] += with_
-                out[i, 0, min(k, n1), 0, 0] += alone[0][k] - with_
-            for k in range(1, n2 + 2):
-                with_ = alone[1][k] * k / (n2 + 1)
-                out[i, 0, 0, 1, k - 1] += with_
-                out[i, 0, 0, 0, min(k, n2)] += alone[1][k] - with_
+    split = np.broadcast_to(np.asarray(split, float), len(model1))
+    out = (_pair_in_one if na == (2, 0) else _pair_apart)(model1, model2, split, states, *n)
     out[:, 0, 0, 0, 0] = out[:, -1, -1, -1, -1] = 0.0
     return out
 
 
+def spectra(model1: dm.Steps, model2: dm.Steps, split: float, states: list[float], n: tuple[int, int], na: tuple[int, int] = (2, 0)) -> np.ndarray:
+    """Expected branch lengths (state, of the pair in 1, of n1, of the pair in 2, of n2) given the state in which the pair meets;
+    zeros where it cannot. ``na``: lineages of the pair in each population, (2, 0) or (1, 1)."""
+    return spectra_of(dm.Many.of([model1]), dm.Many.of([model2]), split, states, n, na)[..., 0]
+
+
 def bins(key: hmm.Key, n: tuple[int, int], na: tuple[int, int], error: float = 0.5) -> dict[tuple[int, ...], float]:
     """Full observations (of the pair in 1, of n1, of the pair in 2, of n2) that a key of six numbers may stand for, and their
     weights, as conditioned.bins does it for one population."""
@@ -207,16 +237,11 @@ def model_of(model1: dm.Steps, model2: dm.Steps, split: float, states: list[floa
 
 def over_models(pieces: DataFrame, states: list[float], n: tuple[int, int], na: tuple[int, int] = (2, 0)) -> DataFrame:
     """model_id, m, a1, b1, a2, b2, length of every pair of models of a table (model_id, population 1 or 2, t0, size, split)."""
-    kind = pieces.schema["model_id"].dataType.simpleString()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t0")
-        one, two = (dm.Steps(x["t0"].to_numpy(float), x["size"].to_numpy(float)) for x in (pdf[pdf["population"] == p] for p in (1, 2)))
-        found = spectra(one, two, float(pdf["split"].iloc[0]), states, n, na)
-        return pd.DataFrame([(key[0], *at, float(x)) for at, x in np.ndenumerate(found)], columns=["model_id", "m", "a1", "b1", "a2", "b2", "length"])
-
-    rows = pieces.select("model_id", "population", "t0", "size", "split")
-    return rows.groupBy("model_id").applyInPandas(run, f"model_id {kind}, m int, a1 int, b1 int, a2 int, b2 int, length double")
+    row = F.struct(F.col("t0").cast("double").alias("t0"), F.col("size").cast("double").alias("size"))
+    t1, a1, t2, a2 = dm.piece_lists(*[F.when(F.col("population") == p, row) for p in (1, 2)])
+    table = pieces.groupBy("model_id").agg(t1.alias("t1"), a1.alias("a1"), t2.alias("t2"), a2.alias("a2"), F.first("split").cast("double").alias("split"))
+    run = lambda one, two, split: spectra_of(one, two, split, states, n, na)
+    return dm.many_rows(table, run, "m int, a1 int, b1 int, a2 int, b2 int, length double", 2, conditioned.together(n[0] + n[1] + 1))
 
 
 def key_table(keys: DataFrame, model1: dm.Steps, model2: dm.Steps, split: float, states: list[float], theta: float, n: tuple[int, int], na: tuple[int, int] = (2, 0), error: float = 0.5) -> DataFrame:

@@ -75,16 +75,17 @@ def after(n: int, t: float, pair: int | None = None) -> np.ndarray:
     return (u * np.exp(d * t)) @ inverse
 
 
-def grown(q: np.ndarray, t: float) -> np.ndarray:
-    """exp(q t) of a matrix with no negative number off its diagonal: a sum of positive terms over a short time, squared."""
-    top = float(-q.diagonal().min()) or 1.0
-    halves = max(0, int(np.ceil(np.log2(max(top * t, 1e-300)))))
-    x, step = top * t / 2**halves, np.eye(len(q)) + q / top
-    term = np.eye(len(q)) * np.exp(-x)
-    out = term.copy()
-    for k in range(1, 24):
-        term = term @ step * (x / k)
-        out += term
-    for _ in range(halves):
-        out = out @ out
-    return out
+def grown(q: np.ndarray, t: float | np.ndarray) -> np.ndarray:
+    """exp(q t) of a matrix with no negative number off its diagonal, for one t or each of an array: a sum of positive terms
+    over a short time, squared."""
+    top, times = float(-q.diagonal().min()) or 1.0, np.atleast_1d(np.asarray(t, float))
+    halves = np.maximum(0, np.ceil(np.log2(np.maximum(top * times, 1e-300)))).astype(int)
+    x, step = top * times / 2.0**halves, np.eye(len(q)) + q / top
+    power, weight, out = np.eye(len(q)), np.exp(-x), np.zeros((*times.shape, *q.shape))
+    for k in range(1, 25):
+        out += weight[:, None, None] * power
+        power, weight = power @ step, weight * x / k
+    for h in range(halves.max(initial=0)):
+        on = halves > h
+        out[on] = out[on] @ out[on]
+    return out.reshape(*np.shape(t), *q.shape)

@@ -9,6 +9,7 @@ from spanlake.operators import conditioned as cs
 from spanlake.operators import demography as dm
 from spanlake.operators import joint
 
+cs_chain = cs._Chain
 FLAT = dm.Steps(np.array([0.0]), np.array([1.0]))
 BENT = dm.Steps(np.array([0.0, 0.3, 1.2]), np.array([1.0, 0.2, 3.0]))
 GROWN = dm.Steps(np.array([0.0, 0.5]), np.array([2.0, 0.4]))
@@ -110,3 +111,17 @@ def test_second_population_without_samples():
         if k[0] < 0 and k[2] == 0:
             continue
         np.testing.assert_allclose(two.emission[k], one.emission[k[:3]], rtol=1e-6)
+
+
+@pytest.mark.parametrize("na", [(2, 0), (1, 1)])
+def test_pairs_of_models_side_by_side(na, monkeypatch):
+    """Each with its own split, 0 included; passes do not grow with their number."""
+    one, two, splits = [BENT, FLAT, GROWN, BENT], [GROWN, BENT, FLAT, FLAT], np.array([0.4, 0.0, 0.2, 2.0])
+    moves, move = [], cs_chain.move
+    monkeypatch.setattr(cs_chain, "move", lambda self, *x: (moves.append(1), move(self, *x))[1])
+    got = joint.spectra_of(dm.Many.of(one), dm.Many.of(two), splits, STATES, (2, 1), na)
+    few = len(moves)
+    joint.spectra_of(dm.Many.of(one * 50), dm.Many.of(two * 50), np.tile(splits, 50), STATES, (2, 1), na)
+    assert len(moves) == 2 * few
+    for i, (a, b, split) in enumerate(zip(one, two, splits)):
+        np.testing.assert_allclose(got[..., i], joint.spectra(a, b, float(split), STATES, (2, 1), na), rtol=1e-9, atol=1e-12)
