@@ -177,8 +177,8 @@ SPLIT = "CASE WHEN CAST(model_id AS BIGINT) % 2 = 0 THEN 0.5 ELSE 2.0 END"
 
 def _pairs(p: DataFrame) -> DataFrame:
     split = F.when(F.col("model_id").cast("bigint") % 2 == 0, 0.5).otherwise(2.0)
-    both = p.withColumn("population", F.lit(1)).unionByName(p.withColumn("population", F.lit(2)).withColumn("size", F.col("size") / 2))
-    return both.withColumn("split", split)
+    both = p.withColumn("population", F.explode(F.array(F.lit(1), F.lit(2))))
+    return both.withColumns({"size": F.when(F.col("population") == 2, F.col("size") / 2).otherwise(F.col("size")), "split": split})
 
 
 on_models("joint_first_margin", lambda p, df: rounded(joint.over_models(_pairs(p), STATES, (1, 1)).where("a1 = 1").groupBy("model_id", "m").agg(F.sum("length").alias("mass")), "mass"),

@@ -125,3 +125,13 @@ def test_pairs_of_models_side_by_side(na, monkeypatch):
     assert len(moves) == 2 * few
     for i, (a, b, split) in enumerate(zip(one, two, splits)):
         np.testing.assert_allclose(got[..., i], joint.spectra(a, b, float(split), STATES, (2, 1), na), rtol=1e-9, atol=1e-12)
+
+
+def test_second_margin_over_models(spark):
+    """The second population's samples are a coalescent of its own model and then the first's, for each pair of a table."""
+    sides = [(BENT, GROWN, 0.4), (FLAT, BENT, 2.0), (GROWN, FLAT, 0.0)]
+    rows = [(i, p, float(t), float(a), s) for i, (one, two, s) in enumerate(sides) for p, m in ((2, two), (1, one)) for t, a in zip(m.t, m.a)]
+    df = spark.createDataFrame(rows, "model_id long, population int, t0 double, size double, split double")
+    got = joint.over_models(df, [0.0, math.inf], (1, 2)).where("b2 = 1").groupBy("model_id").sum("length").orderBy("model_id").collect()
+    want = [joint.plain(joint.spliced(two, one, s), 2)[1] for one, two, s in sides]
+    np.testing.assert_allclose([r[1] for r in got], want, rtol=1e-8)
