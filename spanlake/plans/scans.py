@@ -61,19 +61,22 @@ SQL["sql_break_long"] = SQL["break_long_spans"]
 
 
 def _streamed(df: DataFrame) -> DataFrame:
-    """The rows as a stream of four files in order, and a last one that only lets time go on."""
+    """The rows as a stream of four parts in order, each a run of the query from where the one before ended, and a last one
+    that only lets time go on. No contig is idle for longer than all rows take."""
     spark, folder = df.sparkSession, text.scratch(df.sparkSession, "stream")
-    last = df.agg(F.max("seq")).first()[0] or 0
+    first, last = (x or 0 for x in df.agg(F.min("seq"), F.max("seq")).first())
+    idle = last - min(first, 0) + 60
     timed = df.withColumn("ts", F.timestamp_seconds(F.col("seq") + 86_400))  # time 0 is where watermarks begin
     timed = timed.select("contig_id", "seq", "span", "a1", "b1", "nb1", "ts")
-    tick = spark.range(1).select(F.lit(None).cast(timed.schema["contig_id"].dataType).alias("contig_id"), F.lit(last).alias("seq"), F.lit(0).alias("span"), *[F.lit(0).alias(c) for c in ("a1", "b1", "nb1")], F.timestamp_seconds(F.lit(last + 100_000)).alias("ts"))
-    for i in range(4):
-        timed.where((F.col("seq") * 4 > i * last) & (F.col("seq") * 4 <= (i + 1) * last) | (F.col("seq") <= 0) & F.lit(i == 0)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    tick.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    rows = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    out = runs.compress(rows, idle=f"{last + 60} seconds" if last < 3600 else "1 hour")
-    query = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start(f"{folder}/out")
-    query.awaitTermination()
+    end = F.timestamp_seconds(F.lit(last + idle + 100_000))
+    tick = spark.range(1).select(F.lit(None).cast(timed.schema["contig_id"].dataType).alias("contig_id"), F.lit(last).alias("seq"), F.lit(0).alias("span"), *[F.lit(0).alias(c) for c in ("a1", "b1", "nb1")], end.alias("ts"))
+    parts = [timed.where((F.col("seq") * 4 > i * last) & (F.col("seq") * 4 <= (i + 1) * last) | (F.col("seq") <= 0) & F.lit(i == 0)) for i in range(4)]
+    out = None
+    for part in (*parts, tick):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = runs.compress(spark.readStream.schema(timed.schema).parquet(f"{folder}/in"), idle=f"{idle} seconds")
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start(f"{folder}/out")
+        query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

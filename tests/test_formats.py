@@ -81,6 +81,36 @@ def test_streamed_runs(spark, tmp_path):
     assert got == sorted(tuple(r) for r in spans.compress(df).select(*runs.COLUMNS).collect())
 
 
+def test_streamed_groups_of_contigs(spark, tmp_path):
+    """Contigs of one group end each at its own time, and go on in later runs of the query."""
+    rows = [("a", 1, 5, 0), ("b", 2, 3, 1), ("a", 3, 2, 0), ("c", 4, 1, 1), ("b", 200, 4, 1), ("b", 201, 1, 0), (None, 230, 0, 0), ("b", 240, 2, 0), ("c", 241, 6, 1), (None, 9000, 0, 0)]
+    cells = "contig_id string, seq long, span int, a1 int"
+    held, got = [], []
+    for part in (rows[:4], rows[4:7], rows[7:9], rows[9:]):
+        df = spark.createDataFrame(part, cells).select("*", F.lit(0).alias("b1"), F.lit(4).alias("nb1"), F.timestamp_seconds(F.col("seq") * 60).alias("ts"))
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        out = runs.compress(stream, idle="220 minutes", groups=1)
+        out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+        got = sorted((r.contig_id, r.seq, r.span, r.a1) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect())
+        held.append(got)
+    assert held[0] == []
+    assert held[1] == [("a", 1, 7, 0), ("b", 2, 7, 1), ("c", 4, 1, 1)]
+    assert held[2] == held[1]
+    assert held[3] == [("a", 1, 7, 0), ("b", 2, 7, 1), ("b", 201, 3, 0), ("c", 4, 1, 1), ("c", 241, 6, 1)]
+
+
+def test_streamed_runs_of_distant_rows(spark):
+    """A contig that shows nothing for two of the four parts keeps its run."""
+    from spanlake.plans import scans
+
+    rows = [(1, 1, 5, 0, 0, 4), (1, 19_000, 7, 0, 0, 4), *[(2, s, 1, s // 1000 % 2, 0, 4) for s in range(2, 20_001, 500)]]
+    df = spark.createDataFrame(rows, "contig_id long, seq long, span int, a1 int, b1 int, nb1 int")
+    got = sorted(tuple(r) for r in scans._streamed(df).collect())
+    assert got == sorted(tuple(r) for r in spans.compress(df).select(*runs.COLUMNS).collect())
+    assert (1, 1, 12, 0, 0, 4) in got
+
+
 def test_table_functions(spark):
     tables.register(spark)
     df = _spans(spark).withColumn("note", F.lit("x"))
