@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import demography as dm
 from . import hmm
@@ -179,6 +180,17 @@ def over_models(pieces: DataFrame, states: list[float], n: int) -> DataFrame:
     return dm.per_model(pieces, lambda models: spectra_of(models, states, n), "m int, a int, b int, length double", together(n))
 
 
+def mixed(models: dm.Many, states: list[float], n: int) -> np.ndarray:
+    """The spectrum (k - 1, model) of all n + 2 samples of many models: those of the states, mixed by their probabilities."""
+    return marginal(np.einsum("mx,mabx->abx", dm.initial(models, states), spectra_of(models, states, n)))
+
+
+def mixed_over_models(pieces: DataFrame, states: list[float], n: int) -> DataFrame:
+    """model_id, k, length: mixed() of every model of a table, in one pass over it."""
+    rows = dm.per_model(pieces, lambda models: mixed(models, states, n), "k int, length double", together(n))
+    return rows.withColumn("k", F.col("k") + 1)
+
+
 def together(n: int) -> int:
     """Models whose masses are moved at once: some 4 MB of them, and 1024 at most."""
     return max(1, min(1024, (1 << 19) // ((n + 3) * (n + 1))))
@@ -191,9 +203,9 @@ def _held(t: tuple[float, ...], a: tuple[float, ...], states: tuple[float, ...],
 
 
 def marginal(spectrum: np.ndarray, folded: bool = False) -> np.ndarray:
-    """The spectrum of all n + 2 samples from that of one state, k = 1 on; folded: k with its complement."""
+    """The spectrum of all n + 2 samples from that of one state, k = 1 on; folded: k with its complement. Models may be a last axis."""
     n = spectrum.shape[1] - 1
-    out = np.zeros(n + 3)
+    out = np.zeros((n + 3, *spectrum.shape[2:]))
     for d in range(3):
         out[d : d + n + 1] += spectrum[d]
     if folded:

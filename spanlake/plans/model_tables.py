@@ -140,17 +140,8 @@ on_models("meeting_times", lambda p, df: rounded(_mean_times(p), "t"), f"SELECT
 on_models("pair_branches", lambda p, df: rounded(conditioned.over_models(p, STATES, 2).where("a = 1").groupBy("model_id", "m").agg(F.sum("length").alias("mass")), "mass"),
           f"SELECT model_id, m, round(2 * {MEAN}, 6) AS mass FROM pieces JOIN {CUTS} USING (piece)")
 AREA = lambda c: f"sum(exp(-{c} * hazard) * size / {c} * CASE WHEN t1 IS NULL THEN 1 ELSE 1 - exp(-{c} * (t1 - t0) / size) END)"
-
-
-def _all_samples(p: DataFrame) -> DataFrame:
-    """The spectrum of a sample of three: spectra by state, mixed by the probability of each state."""
-    weights = dm.per_model(p, lambda models: dm.initial(models, STATES), "m int, w double")
-    rows = conditioned.over_models(p, STATES, 1).join(weights, ["model_id", "m"])
-    sums = rows.groupBy("model_id", (F.col("a") + F.col("b")).alias("k")).agg(F.sum(F.col("w") * F.col("length")).alias("length"))
-    return rounded(sums.where("k between 1 and 2"), "length")
-
-
-on_models("conditioned_spectra", lambda p, df: _all_samples(p), f""",
+# a sample of three: spectra by state, mixed by the probability of each state
+on_models("conditioned_spectra", lambda p, df: rounded(conditioned.mixed_over_models(p, STATES, 1), "length"), f""",
 x AS (SELECT model_id, {AREA(3)} AS t3, {AREA(1)} AS t1 FROM hz GROUP BY 1), y AS (SELECT model_id, t3, 1.5 * (t1 - t3) AS t2 FROM x)
 SELECT model_id, CAST(k AS INT) AS k, round(CASE WHEN k = 1 THEN 3 * t3 + t2 ELSE t2 END, 6) AS length FROM y, range(1, 3) AS r(k)""")
 _flat = lambda p: p.where("piece = 0").withColumn("t1", F.lit(None).cast("double"))

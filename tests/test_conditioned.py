@@ -119,3 +119,28 @@ def test_over_models(spark):
     never = spark.createDataFrame([("x", 0.0, math.inf), ("x", 1.0, 1.0)], df.schema)
     times = dm.per_model(never, lambda models: dm.meeting_times(models, [0.0, 0.5, math.inf]), "m int, t double").orderBy("m").collect()
     assert times[0].t is None and times[1].t == pytest.approx(2.0)
+
+
+def test_mixed_over_models(spark):
+    """The sample of all as states of one interval give it, for models of unlike pieces."""
+    df = spark.createDataFrame([(f"m{i}", float(t), float(a)) for i, m in enumerate(MANY) for t, a in zip(m.t, m.a)], "model_id string, t0 double, size double")
+    got = {(r.model_id, r.k): r.length for r in cs.mixed_over_models(df, [0.0, 0.2, 0.7, 1.5, math.inf], 3).collect()}
+    assert len(got) == 4 * 4
+    for i, model in enumerate(MANY):
+        np.testing.assert_allclose([got[f"m{i}", k] for k in range(1, 5)], cs.marginal(cs.spectra(model, [0.0, math.inf], 3)[0]), rtol=1e-8)
+
+
+def test_conditioned_spectra_in_one_pass(spark, tmp_path):
+    """Rows of no user are a contig like others, and the table is read once, whose spectra meet no join."""
+    import duckdb
+
+    from spanlake.plans import scans
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events AS SELECT * REPLACE (CASE WHEN user_id % 5 > 0 THEN user_id END AS user_id) FROM '/root/testdata/sf0.001/events.parquet'")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got, want = scans.QUERIES["conditioned_spectra"](spark, str(tmp_path)), c.execute(scans.SQL["conditioned_spectra"]).fetchall()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(r[0] is None for r in want) == 2
+    assert plan.count("FileScan") == 1 and "Join" not in plan
